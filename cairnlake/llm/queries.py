@@ -2,19 +2,42 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnlake.llm import exact_dedup
-from cairnlake.session import table
+from cairnlake.llm import exact_dedup, pieces, token_files
+from cairnlake.session import checkpoint_root, table
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file on this machine; every executor has the same package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_exact_dedup": op1_exact_dedup}
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = os.path.join(checkpoint_root(spark), f"token-files-{uuid.uuid4().hex}")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    return token_files.token_statistics(token_files.read_token_files(spark, path))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op5_token_files": op5_token_files,
+    "op8_sentencepiece": op8_sentencepiece,
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": r"""

@@ -3,7 +3,7 @@
 A text is cut before each run of spaces (no piece of the vocabulary holds a space mark behind another character, which is
 checked), and the distinct words of a batch are encoded together: one flat array of symbols, in each round the best pair
 of every word by a segmented minimum over (rank, position), all words' leftmost best merges at once, then compaction;
-words without a mergeable pair leave the arrays. Words are remembered between batches.
+words without a mergeable pair leave the arrays. Two generations of words are remembered between batches.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ class PieceModel:
     #: Words of more symbols are merged from a heap, in n log n steps; a round of the arrays merges one pair a word.
     LONG = 1000
 
-    def __init__(self, path: str, remember: int = 400_000) -> None:
+    def __init__(self, path: str, remember: int = 200_000) -> None:
         import sentencepiece
 
         table = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -55,7 +55,7 @@ class PieceModel:
         pairs = sorted((self.symbols[name[:k]] * self.base + self.symbols[name[k:]], order[table.get_score(i)], i) for name, i in pieces.items() for k in range(1, len(name)) if name[:k] in self.symbols and name[k:] in self.symbols)
         self.keys, self.ranks, self.merged = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
         self.by_pair = {k: (r, i) for k, r, i in pairs}
-        self.end, self.remember, self.ids, self.surface = table.eos_id(), remember, {}, {}
+        self.end, self.remember, self.ids, self.surface, self.old = table.eos_id(), remember, {}, {}, ({}, {})
 
     def _spell(self, symbol: int, char: str) -> list[int]:
         return [symbol] if symbol < self.pieces else [self.byte_id[b] for b in char.encode()]
@@ -149,17 +149,23 @@ class PieceModel:
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """Decimal ids with the end id, joined by spaces, and the decoded text of each text."""
         if len(self.ids) > self.remember:
-            self.ids.clear()
-            self.surface.clear()
+            self.old, self.ids, self.surface = (self.ids, self.surface), {}, {}
         split = [self.words(t) for t in texts]
-        if new := set().union(*split) - self.ids.keys():
-            self.learn(list(new))
+        new = set().union(*split) - self.ids.keys()
+        for w in new & self.old[0].keys():
+            self.ids[w], self.surface[w] = self.old[0][w], self.old[1][w]
+        if fresh := list(new - self.ids.keys()):
+            self.learn(fresh)
         ids, surface = self.ids.__getitem__, self.surface.__getitem__
         for own in split:
             decoded = b"".join(map(surface, own))
             yield " ".join([*map(ids, own), str(self.end)]), (decoded[1:] if decoded[:1] == b" " else decoded).decode(errors="replace")
 
 
+#: One model a Python worker, kept for its next tasks.
+MODELS: dict[str, PieceModel] = {}
+
+
 def encode_pieces(docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_id", with_text: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row; ``with_text`` adds ids (``array<int>``) and decoded.
 
@@ -169,10 +175,11 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text", doc_id: str =
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_text
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = PieceModel(model)
+        own = MODELS.get(model) or PieceModel(model)
+        MODELS[model] = own
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                piece = batch.slice(at, 256)
                 rows = [(ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *([list(map(int, ids.split(" "))), decoded] if with_text else [])) for ids, decoded in own.encode_batch([t or "" for t in piece.column(1).to_pylist()])]
                 columns = [piece.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()], strict=False))]
                 yield pa.RecordBatch.from_arrays(columns, names)

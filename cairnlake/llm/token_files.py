@@ -29,43 +29,52 @@ class Encoder:
     """A byte-level BPE file of the ``tokenizers`` library, with the ids of words it has seen.
 
     Every single space after a character that is no white space starts a new pretoken, so a text is encoded as the ids of
-    the parts between such spaces; texts with runs of white space go to the library whole.
+    the parts between such spaces; texts with runs of white space go to the library whole. Two generations of ``remember``
+    words are held: when the young one is full it becomes the old one, whose words come back as they are met again.
     """
 
-    def __init__(self, path: str, end_id: int, remember: int = 600_000) -> None:
+    def __init__(self, path: str, end_id: int, remember: int = 200_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.remember = Tokenizer.from_file(path), np.array([end_id], "<u4").tobytes(), remember
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for at in range(0, len(texts), 4096) for e in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.young) > self.remember:
+            self.old, self.young = self.young, {}
+        new = set(words) - self.young.keys()
+        back = new & self.old.keys()
+        self.young.update((w, self.old[w]) for w in back)
+        fresh = list(new - back)
+        self.young.update(zip(fresh, self._plain([" " + w for w in fresh]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text with the end id, as little-endian unsigned 32-bit integers."""
-        if len(self.first) + len(self.rest) > self.remember:
-            self.first.clear()
-            self.rest.clear()
         parts = [None if RUN.search(t) else t.split(" ") for t in texts]
-        whole = [i for i, p in enumerate(parts) if p is None]
-        done = dict(zip(whole, self._plain([texts[i] for i in whole]), strict=True))
-        heads = list({p[0] for p in parts if p} - self.first.keys())
-        tails = list(set().union(*(p[1:] for p in parts if p)) - self.rest.keys())
-        self.first.update(zip(heads, self._plain(heads), strict=True))
-        self.rest.update(zip(tails, self._plain([" " + t for t in tails]), strict=True))
-        rest = self.rest.__getitem__
-        return [(done[i] if p is None else self.first[p[0]] + b"".join(map(rest, p[1:]))) + self.end for i, p in enumerate(parts)]
+        whole = iter(self._plain([t for t, p in zip(texts, parts, strict=True) if p is None]))
+        heads = iter(self._plain([p[0] for p in parts if p]))
+        self._learn([w for p in parts if p for w in p[1:]])
+        young = self.young.__getitem__
+        return [(next(whole) if p is None else next(heads) + b"".join(map(young, p[1:]))) + self.end for p in parts]
+
+
+#: One encoder a Python worker, kept for its next tasks.
+ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id and ids (``array<int>``, end id included) of each row; null texts count as empty."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary, end_id)
+        encoder = ENCODERS.get((vocabulary, end_id)) or Encoder(vocabulary, end_id)
+        ENCODERS[vocabulary, end_id] = encoder
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 128):
+                piece = batch.slice(at, 128)
                 ids = encoder.encode([t or "" for t in piece.column(1).to_pylist()])
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))

@@ -7,8 +7,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cairnlake.llm import exact_dedup, pieces, token_files
+from cairnlake.llm import compression, exact_dedup, pieces, token_files
 from cairnlake.session import checkpoint_root, table
 
 
@@ -33,10 +34,27 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", compression.fold(F.col("doc_id"), 5) == 0)
+    return compression.identify_language(docs, compression.learn_languages(docs.where("NOT held_out")))
+
+
+def toxicity_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> compression.ToxicityModel:
+    """The model learnt from the labels outside fold 1 of 3."""
+    return compression.learn_toxicity(docs, table(spark, sf_dir, "labels").where(compression.fold(F.col("doc_id"), 3) != 1))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", compression.fold(F.col("doc_id"), 3) == 1)
+    return compression.score_toxicity(docs, toxicity_model(docs, spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op5_token_files": op5_token_files,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_language_id": op9_language_id,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LETTER = re.compile(r"[^\W\d_]")
+NO_LETTER = re.compile(r"[\W\d_]+")
 WORD = re.compile(r"[^\W\d_]{3,}")
 
 
@@ -22,13 +23,15 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def compressor(data: bytes, level: int, kind: int = zstandard.DICT_TYPE_AUTO) -> zstandard.ZstdCompressor:
-    """A compressor whose frames carry neither size, checksum nor dictionary id; without ``data``, one without dictionary."""
-    if not data:
-        return zstandard.ZstdCompressor(level=level, write_content_size=False, write_dict_id=False)
+def compressor(data: bytes, size: int, match: int, kind: int = zstandard.DICT_TYPE_AUTO) -> zstandard.ZstdCompressor:
+    """A compressor of pieces of ``size`` bytes with the dictionary ``data``; no match is shorter than ``match`` bytes.
+
+    Its frames carry neither size, checksum nor dictionary id.
+    """
+    settings = zstandard.ZstdCompressionParameters.from_level(3, source_size=size, dict_size=len(data), min_match=match, write_content_size=False, write_dict_id=False)
     dictionary = zstandard.ZstdCompressionDict(data, dict_type=kind)
-    dictionary.precompute_compress(level=level)
-    return zstandard.ZstdCompressor(level=level, dict_data=dictionary, write_content_size=False, write_dict_id=False)
+    dictionary.precompute_compress(compression_params=settings)
+    return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings)
 
 
 def sample_of_classes(rows: DataFrame, label: str, size: int) -> DataFrame:
@@ -40,40 +43,44 @@ def sample_of_classes(rows: DataFrame, label: str, size: int) -> DataFrame:
 # --- language ---------------------------------------------------------------------------------------------------------
 
 
+def letters(text: str) -> bytes:
+    """The lower-cased words of a text as UTF-16, where a literal costs more than its share of a match."""
+    return NO_LETTER.sub(" ", text.lower()).encode("utf-16-le", errors="surrogatepass")
+
+
 def learn_languages(docs: DataFrame, lang: str = "lang", text: str = "text", per_language: int = 256, snippet: int = 512) -> dict[str, bytes]:
-    """A raw-content dictionary of each language: ``snippet`` characters of at most ``per_language`` documents.
+    """A raw-content dictionary of each language: ``snippet`` characters from the middle of ``per_language`` documents at most.
 
     Rows without text, without a letter or without language teach nothing. The result holds at most
     languages x per_language x snippet characters.
     """
-    rows = docs.select(F.col("doc_id"), F.col(lang).alias("lang"), F.lower(F.col(text)).alias("text")).where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'")
+    rows = docs.select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'")
     keys = sample_of_classes(rows.select("doc_id", "lang"), "lang", per_language).distinct()
     begin = F.greatest(F.lit(1), F.floor((F.char_length("text") - snippet) / 2).cast("int"))
     texts = rows.join(F.broadcast(keys), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", F.substring("text", begin, F.lit(snippet)).alias("text"))
-    texts = sample_of_classes(texts, "lang", per_language)
-    found = texts.groupBy("lang").agg(F.array_sort(F.collect_list("text")).alias("texts")).collect()
-    return {r["lang"]: "\n".join(r["texts"]).encode() for r in sorted(found, key=lambda r: r["lang"])}
+    found = sample_of_classes(texts, "lang", per_language).groupBy("lang").agg(F.array_sort(F.collect_list("text")).alias("texts")).collect()
+    return {r["lang"]: b"".join(map(letters, r["texts"])) for r in sorted(found, key=lambda r: r["lang"])}
 
 
-def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", block: int = 4096, narrow: float = 0.01, level: int = 3) -> DataFrame:
-    """``docs``' doc_id with lang_pred, score and rejected, a row for each row.
+def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", block: int = 4096, narrow: float = 0.01) -> DataFrame:
+    """doc_id and held_out of ``docs`` with lang_pred, score and rejected, a row for each row.
 
-    The whole lower-cased text is compressed in blocks of ``block`` bytes with each language's dictionary; the smallest sum
-    wins, ties go to the first name. margin = (second - best) / second, score = 1 - exp(-50 margin); rejected marks
-    margins under ``narrow``. Texts that are null or without a letter, and all texts if nothing was learnt, get ``und`` with
-    score 0 and are rejected. With one language learnt the margin is 1.
+    The letters of the whole text are compressed in blocks of ``block`` bytes with each language's dictionary; the smallest
+    sum wins, ties go to the first name. margin = (second - best) / second and score = 1 - exp(-50 margin); rejected
+    marks margins under ``narrow``, whose guess a caller should not trust. Texts that are null or without a letter, and all
+    texts if nothing was learnt, get ``und`` with score 0 and are rejected. With one language learnt the margin is 1.
     """
     held = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packers = [(name, compressor(data, level, zstandard.DICT_TYPE_RAWCONTENT)) for name, data in held.value.items()]
+        packers = [(name, compressor(data, block, 6, zstandard.DICT_TYPE_RAWCONTENT)) for name, data in held.value.items()]
         for batch in batches:
             out = []
             for t in batch["text"]:
                 if t is None or not packers or not LETTER.search(t):
                     out.append(("und", 0.0, True))
                     continue
-                data = t.lower().encode()
+                data = letters(t)
                 sizes = sorted((sum(len(p.compress(data[at : at + block])) for at in range(0, len(data), block)), name) for name, p in packers)
                 margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0] if len(sizes) > 1 else 1.0
                 out.append((sizes[0][1], 1 - math.exp(-50 * margin), margin < narrow))
@@ -162,16 +169,9 @@ class ToxicityModel:
         data = text.lower().encode("utf-16-le", errors="surrogatepass")
         return [data[at : at + 2 * self.window] for at in range(0, max(1, len(data) - 2 * (self.window - self.step)), 2 * self.step)]
 
-    def _packer(self, data: bytes) -> zstandard.ZstdCompressor:
-        # matches of under seven bytes (four characters) are left alone
-        settings = zstandard.ZstdCompressionParameters.from_level(3, source_size=2 * self.window, dict_size=len(data), min_match=7, write_content_size=False, write_dict_id=False)
-        dictionary = zstandard.ZstdCompressionDict(data)
-        dictionary.precompute_compress(compression_params=settings)
-        return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings)
-
     def evidence(self, text: str) -> np.ndarray:
         if self._packers is None:
-            self._packers = self._packer(self.ordinary), self._packer(self.toxic)
+            self._packers = tuple(compressor(data, 2 * self.window, 7) for data in (self.ordinary, self.toxic))
         a, b = (p.compress for p in self._packers)
         return np.array([len(a(w)) - len(b(w)) for w in self.windows(text)], float)
 

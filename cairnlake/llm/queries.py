@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm import compression, exact_dedup, pieces, token_files
-from cairnlake.session import checkpoint_root, table
+from cairnlake.llm import compression, exact_dedup, packing, pieces, secrets, token_files
+from cairnlake.session import checkpoint_root, durable, table
 
 
 def vocabulary(name: str) -> str:
@@ -24,12 +24,22 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(durable(secrets.scan(table(spark, sf_dir, "documents"))))
+    of_kind = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(of_kind, ("assign", "access", "hex")), F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = os.path.join(checkpoint_root(spark), f"token-files-{uuid.uuid4().hex}")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
     return token_files.token_statistics(token_files.read_token_files(spark, path))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -51,7 +61,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_secret_scans": op3_secret_scans,
     "op5_token_files": op5_token_files,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,

@@ -7,6 +7,7 @@ doc_ids skip the rest of the token column.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,14 +35,27 @@ class Encoder:
     """
 
     def __init__(self, path: str, end_id: int, remember: int = 200_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism; threads of the library cost memory
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.remember = Tokenizer.from_file(path), np.array([end_id], "<u4").tobytes(), remember
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
+        self.spaced = np.zeros(max(names.values()) + 1, bool)
+        self.spaced[[i for name, i in names.items() if name.startswith(space)]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for at in range(0, len(texts), 4096) for e in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _spaced_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that hold no space and don't end in white space, each after a space: one call, cut at spaced tokens."""
+        text = "".join([" " + w for w in words])
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.append(np.flatnonzero(self.spaced[ids]), len(ids)).tolist()
+        data = ids.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip(ends, ends[1:], strict=False)]
 
     def _learn(self, words: list[str]) -> None:
         if len(self.young) > self.remember:
@@ -50,7 +64,11 @@ class Encoder:
         back = new & self.old.keys()
         self.young.update((w, self.old[w]) for w in back)
         fresh = list(new - back)
-        self.young.update(zip(fresh, self._plain([" " + w for w in fresh]), strict=True))
+        odd = [w for w in fresh if not w or w[-1].isspace()]
+        even = [w for w in fresh if w and not w[-1].isspace()]
+        self.young.update(zip(odd, self._plain([" " + w for w in odd]), strict=True))
+        for at in range(0, len(even), 2048):
+            self.young.update(zip(even[at : at + 2048], self._spaced_words(even[at : at + 2048]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text with the end id, as little-endian unsigned 32-bit integers."""

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm import compression, exact_dedup, packing, pieces, secrets, token_files
+from cairnlake.llm import compression, exact_dedup, html_text, packing, pieces, secrets, token_files
 from cairnlake.session import checkpoint_root, durable, table
 
 
@@ -24,6 +24,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(durable(secrets.scan(table(spark, sf_dir, "documents"))))
     of_kind = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
@@ -61,6 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_html_extraction": op2_html_extraction,
     "op3_secret_scans": op3_secret_scans,
     "op5_token_files": op5_token_files,
     "op6_best_fit_packing": op6_best_fit_packing,

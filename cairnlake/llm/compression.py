@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -238,3 +239,16 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", li
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("held_out"), F.col(text).alias("text"))
     return rows.mapInPandas(score, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", limit: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` with a score under ``limit``, with all their columns; no shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held.value
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(t) < limit for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm import compression, exact_dedup, html_text, packing, pieces, secrets, token_files
+from cairnlake.llm import compression, embedding_dedup, exact_dedup, html_text, minhash, packing, pieces, secrets, token_files
 from cairnlake.session import checkpoint_root, durable, table
 
 
@@ -34,6 +34,10 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(of_kind, ("assign", "access", "hex")), F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = os.path.join(checkpoint_root(spark), f"token-files-{uuid.uuid4().hex}")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
@@ -44,6 +48,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -53,22 +61,19 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.identify_language(docs, compression.learn_languages(docs.where("NOT held_out")))
 
 
-def toxicity_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> compression.ToxicityModel:
-    """The model learnt from the labels outside fold 1 of 3."""
-    return compression.learn_toxicity(docs, table(spark, sf_dir, "labels").where(compression.fold(F.col("doc_id"), 3) != 1))
-
-
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", compression.fold(F.col("doc_id"), 3) == 1)
-    return compression.score_toxicity(docs, toxicity_model(docs, spark, sf_dir))
+    return compression.score_toxicity(docs, compression.learn_toxicity(docs, table(spark, sf_dir, "labels").where(compression.fold(F.col("doc_id"), 3) != 1)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_html_extraction": op2_html_extraction,
     "op3_secret_scans": op3_secret_scans,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_token_files": op5_token_files,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,

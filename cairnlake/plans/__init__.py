@@ -1 +1,16 @@
-"""plans of the engine."""
+"""Registered queries of the engine."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = tuple[Callable[[SparkSession, str], DataFrame], str | None]
+
+
+def registry() -> dict[str, Query]:
+    """Every query by name, with its DuckDB SQL or None."""
+    from cairnlake.plans import retrieval
+
+    return {**retrieval.QUERIES}

@@ -29,8 +29,9 @@ def ascii_tokens(text: Column) -> Column:
 
 def trigram_tokens(text: Column) -> Column:
     """Every three consecutive characters, lower-cased; shorter texts have none."""
-    low = F.lower(_blank(text))
-    return F.when(F.char_length(low) < 3, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(low) - 2)), lambda i: F.substring(low, i, F.lit(3))))
+    chars = F.split(F.lower(_blank(text)), "")
+    starts = F.when(F.size(chars) < 3, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.size(chars) - 3))
+    return F.transform(starts, lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)))
 
 
 #: Tokenizers by the name an index stores.

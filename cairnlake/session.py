@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +21,24 @@ def build_session(app: str = "cairnlake", master: str | None = None, partitions:
     return builder.getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, unless they find it by PYTHONPATH or the working folder as the driver does."""
+    home = Path(__file__).resolve().parent
+    found = [Path.cwd(), *map(Path, os.environ.get("PYTHONPATH", "").split(os.pathsep))]
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or any(p.resolve() == home.parent for p in found):
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="cairnlake-"), "cairnlake"), "zip", home.parent, home.name)
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of the dataset in ``sf_dir``, opened by Spark's own reader."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -131,12 +131,12 @@ def masked(text: Column, limit: int = 300) -> Column:
     return F.substring(line, 1, limit)
 
 
-def json_scores(text: Column, schema: str) -> Column:
-    """A struct of ``schema`` from a reply that holds one JSON object, fenced or not, its keys in any case."""
+def json_scores(text: Column, fields: dict[str, str]) -> Column:
+    """A struct of the fields (name: type) from a reply that holds one JSON object, fenced or not, its keys in any case."""
     body = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     pairs = F.map_entries(F.from_json(body, "map<string,string>"))
-    folded = F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.lower(p["key"]), p["value"])))
-    return F.from_json(F.to_json(folded), schema)
+    value = lambda name: F.get(F.filter(pairs, lambda p: F.lower(p["key"]) == name.lower()), 0)["value"]
+    return F.struct(*(value(n).try_cast(kind).alias(n) for n, kind in fields.items()))
 
 
 # --- catalogue text ---------------------------------------------------------------------------------------------------

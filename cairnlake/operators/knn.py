@@ -21,7 +21,7 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, mask: Mask | None = No
     boolean matrix of admitted pairs; it is applied before ranking. A query block and an item block of bounded size
     meet in one task, which returns k rows a query at most; a window merges them. Rows without a vector are left out.
     """
-    queries, items = (d.where(F.col("vector").isNotNull()) for d in (queries, items))
+    queries, items = (d.select(*(F.col(c).alias(c) for c in d.columns)).where(F.col("vector").isNotNull()) for d in (queries, items))  # one frame may serve as both
     nq, ni = (max(1, math.ceil(d.count() / size)) for d, size in ((queries, query_block), (items, item_block)))
     left = queries.withColumn("__q", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ni - 1).cast("long"))))
     right = items.withColumn("__i", F.pmod(F.xxhash64("item_id"), F.lit(ni))).withColumn("__q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))

@@ -11,6 +11,6 @@ Query = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 
 def registry() -> dict[str, Query]:
     """Every query by name, with its DuckDB SQL or None."""
-    from cairnlake.plans import analytics, preferences, retrieval
+    from cairnlake.plans import analytics, dialogues, preferences, retrieval
 
-    return {**retrieval.QUERIES, **preferences.QUERIES, **analytics.QUERIES}
+    return {**retrieval.QUERIES, **preferences.QUERIES, **analytics.QUERIES, **dialogues.QUERIES}

@@ -151,10 +151,11 @@ class PieceModel:
         if len(self.ids) > self.remember:
             self.old, self.ids, self.surface = (self.ids, self.surface), {}, {}
         split = [self.words(t) for t in texts]
-        new = set().union(*split) - self.ids.keys()
-        for w in new & self.old[0].keys():
-            self.ids[w], self.surface[w] = self.old[0][w], self.old[1][w]
-        if fresh := list(new - self.ids.keys()):
+        new = [w for w in set().union(*split) if w not in self.ids]
+        for w in new:
+            if w in self.old[0]:
+                self.ids[w], self.surface[w] = self.old[0][w], self.old[1][w]
+        if fresh := [w for w in new if w not in self.ids]:
             self.learn(fresh)
         ids, surface = self.ids.__getitem__, self.surface.__getitem__
         for own in split:

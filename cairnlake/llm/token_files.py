@@ -8,9 +8,9 @@ doc_ids skip the rest of the token column.
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,62 +22,77 @@ from cairnlake.session import durable
 #: Parquet writer settings of a token file.
 LAYOUT = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.block.size": str(64 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "512"}
 
-#: A space here may belong to a run of white space that the tokenizer's pattern takes as one.
-RUN = re.compile(r"\s ")
+#: Runs of white space, which the tokenizer's pattern may take as one, and all white space but spaces and line ends.
+RUNS = ("  ", "\n\n", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
+#: Marks that are a pretoken of their own behind letters.
+MARKS = ".,;:!?"
+
+
+class Words:
+    """Ids of words that stand alone or each behind a space, in two generations of ``remember`` words.
+
+    When the young generation is full it becomes the old one, whose words come back as they are met again.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], remember: int) -> None:
+        self.remember = remember
+        self.marks = dict(zip(MARKS, encode(list(MARKS)), strict=True))
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, words: set[str], encode: Callable[[list[str]], list[bytes]]) -> None:
+        if len(self.young) > self.remember:
+            self.old, self.young = self.young, {}
+        new = {w for w in words if w not in self.young}
+        back = {w: self.old[w] for w in new if w in self.old}
+        self.young.update(back)
+        new.difference_update(back)
+        marked = [w for w in new if w[-1:] in self.marks and w[:-1].isalpha()]
+        plain = new.difference(marked).union(w[:-1] for w in marked if w[:-1] not in self.young)
+        self.young.update(zip(plain, encode(list(plain)), strict=True))
+        self.young.update((w, self.young[w[:-1]] + self.marks[w[-1]]) for w in marked)
 
 
 class Encoder:
     """A byte-level BPE file of the ``tokenizers`` library, with the ids of words it has seen.
 
-    Every single space after a character that is no white space starts a new pretoken, so a text is encoded as the ids of
-    the parts between such spaces; texts with runs of white space go to the library whole. Two generations of ``remember``
-    words are held: when the young one is full it becomes the old one, whose words come back as they are met again.
+    In a text whose white space is single spaces and line ends, each of these begins a pretoken: a space belongs to the word
+    behind it and a line end stands alone. Such a text's ids are those of its words; other texts go to the library whole.
     """
 
     def __init__(self, path: str, end_id: int, remember: int = 200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism; threads of the library cost memory
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.remember = Tokenizer.from_file(path), np.array([end_id], "<u4").tobytes(), remember
+        self.tokenizer, self.end = Tokenizer.from_file(path), np.array([end_id], "<u4").tobytes()
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
         self.spaced = np.zeros(max(names.values()) + 1, bool)
         self.spaced[[i for name, i in names.items() if name.startswith(space)]] = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.line = self._plain(["\n"])[0]
+        self.first, self.rest = Words(self._plain, remember // 4), Words(self._plain, remember)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _spaced_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words that hold no space and don't end in white space, each after a space: one call, cut at spaced tokens."""
-        text = "".join([" " + w for w in words])
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.append(np.flatnonzero(self.spaced[ids]), len(ids)).tolist()
-        data = ids.tobytes()
-        return [data[4 * a : 4 * b] for a, b in zip(ends, ends[1:], strict=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.young) > self.remember:
-            self.old, self.young = self.young, {}
-        new = set(words) - self.young.keys()
-        back = new & self.old.keys()
-        self.young.update((w, self.old[w]) for w in back)
-        fresh = list(new - back)
-        odd = [w for w in fresh if not w or w[-1].isspace()]
-        even = [w for w in fresh if w and not w[-1].isspace()]
-        self.young.update(zip(odd, self._plain([" " + w for w in odd]), strict=True))
-        for at in range(0, len(even), 2048):
-            self.young.update(zip(even[at : at + 2048], self._spaced_words(even[at : at + 2048]), strict=True))
+    def _behind_spaces(self, words: list[str]) -> list[bytes]:
+        """Ids of words each behind a space: joined calls, cut at the tokens that begin with a space."""
+        out = []
+        for at in range(0, len(words), 2048):
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join([" " + w for w in words[at : at + 2048]])], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * np.append(np.flatnonzero(self.spaced[ids]), len(ids))).tolist()
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text with the end id, as little-endian unsigned 32-bit integers."""
-        parts = [None if RUN.search(t) else t.split(" ") for t in texts]
-        whole = iter(self._plain([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        heads = iter(self._plain([p[0] for p in parts if p]))
-        self._learn([w for p in parts if p for w in p[1:]])
-        young = self.young.__getitem__
-        return [(next(whole) if p is None else next(heads) + b"".join(map(young, p[1:]))) + self.end for p in parts]
+        lines = [None if t.endswith(" ") or any(r in t for r in RUNS) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        whole = iter(self._plain([t for t, p in zip(texts, lines, strict=True) if p is None]))
+        self.first.learn({p[0] for text in lines if text for p in text}, self._plain)
+        self.rest.learn(set(chain.from_iterable(p[1:] for text in lines if text for p in text)), self._behind_spaces)
+        first, rest, join = self.first.young, self.rest.young.__getitem__, b"".join
+        return [(next(whole) if text is None else self.line.join([first[p[0]] + join(map(rest, p[1:])) for p in text])) + self.end for text in lines]
 
 
 #: One encoder a Python worker, kept for its next tasks.

@@ -108,8 +108,8 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
 def acceptance(scanned: DataFrame, rate: float = 0.05) -> dict[str, float]:
     """The least accepted p-value of each stratum, from a histogram over all candidates (strata x bins rows at most).
 
-    Random runs have uniform p-values, so twice the share above one half estimates how many there are; the accepted
-    runs beyond those are taken as ordinary.
+    Random runs have uniform p-values, so twice the number above one half (plus one, for classes of few runs) estimates how
+    many there are; the accepted runs beyond those are taken as ordinary.
     """
     each = scanned.select(F.explode("candidates").alias("c")).select("c.stratum", F.least(F.floor(F.col("c.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
     counts: dict[str, np.ndarray] = {}
@@ -117,7 +117,7 @@ def acceptance(scanned: DataFrame, rate: float = 0.05) -> dict[str, float]:
         counts.setdefault(r["stratum"], np.zeros(BINS))[r["bin"]] = r["count"]
     out = {}
     for name, bins in counts.items():
-        total, random = bins.sum(), min(bins.sum(), 2 * bins[BINS // 2 :].sum())
+        total, random = bins.sum(), min(bins.sum(), 2 * bins[BINS // 2 :].sum() + 1)
         above = bins[::-1].cumsum()[::-1]
         expected = random * (1 - np.arange(BINS) / BINS)
         fine = np.flatnonzero((total > 0) & (above > 0) & (above - expected <= rate * above))

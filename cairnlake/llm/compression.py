@@ -214,7 +214,7 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, float(np.dot(self.features(self.evidence(text or "")), self.weights))))))
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 4000, longest: int = 65_536, **settings: int) -> ToxicityModel:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 2500, longest: int = 16_384, **settings: int) -> ToxicityModel:
     """Fit on at most ``per_label`` rows of each label, of documents of at most ``longest`` characters.
 
     A document with several labels counts once, with the highest. Null labels, ids and texts teach nothing.

@@ -77,3 +77,36 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, TextIndex]:
 def not_yet_done(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What a run that is taken up again still has to do."""
     return todo.join(done.select(key).distinct(), key, "left_anti")
+
+
+def loose_dialogue_name(path: Column) -> Column:
+    """(user, item, turns, attempts, succeed) of a name split at its dashes into six parts, or five for one without user."""
+    parts = F.split(F.regexp_replace(F.regexp_extract(path, r"([^/]*)\.txt$", 1), r"-\d{14}$", "-ts"), "-")
+    known = F.when(F.size(parts) == 6, parts).when(F.size(parts) == 5, F.concat(F.array(F.lit(None).cast("string")), parts))
+    fields = [known[0].alias("user"), known[1].alias("item"), *(known[i].try_cast("int").alias(n) for i, n in ((2, "turns"), (3, "attempts"), (4, "succeed")))]
+    return F.when(known.isNotNull(), F.struct(*fields))
+
+
+def dialogue_score(path: Column) -> Column:
+    """(turns, attempts, succeed) of any name that ends in these three and a time stamp, whatever stands before."""
+    pattern = r"-(\d+)-(\d+)-([01])-\d{14}\.txt$"
+    return F.struct(*(F.regexp_extract(path, pattern, i).try_cast("int").alias(n) for i, n in ((1, "turns"), (2, "attempts"), (3, "succeed"))))
+
+
+def outcome_flag(path: Column) -> Column:
+    """The last but one part of a name, as a number."""
+    return F.try_element_at(F.split(path, "-"), F.lit(-2)).try_cast("int")
+
+
+def time_stamp(path: Column) -> Column:
+    """The fourteen digits that end a name."""
+    return F.regexp_extract(path, r"(\d{14})\.txt$", 1)
+
+
+def conversation_targets(spark: SparkSession, path: str) -> DataFrame:
+    """(conv_id, n_suggested, n_liked, target, accepted) of a JSON-lines file: the first liked suggestion, else the first one."""
+    raw = spark.read.schema(CONVERSATION).json(path)
+    asked = F.map_entries(F.from_json("respondentQuestions", "map<string,struct<suggested: int, liked: int>>"))
+    suggested = F.filter(F.coalesce(asked, F.array().cast("array<struct<key: string, value: struct<suggested: int, liked: int>>>")), lambda e: e["value"]["suggested"] == 1)
+    liked = F.filter(suggested, lambda e: e["value"]["liked"] == 1)
+    return raw.select(F.col("conversationId").alias("conv_id"), F.size(suggested).alias("n_suggested"), F.size(liked).alias("n_liked"), F.coalesce(F.get(liked, 0)["key"], F.get(suggested, 0)["key"]).alias("target"), (F.size(liked) > 0).alias("accepted"))

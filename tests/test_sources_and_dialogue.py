@@ -33,6 +33,19 @@ def test_conversations_and_names(spark, tmp_path):
     assert [(r["role"], r["text"]) for r in rows] == [("user", "I like Heat (1995) and movie#12"), ("assistant", "ok")]
 
 
+def test_targets(spark, tmp_path):
+    asked = [{"1": {"suggested": 0, "liked": 1}, "9": {"suggested": 1, "liked": 2}, "3": {"suggested": 1, "liked": 1}}, {"5": {"suggested": 1, "liked": 0}}, []]
+    (tmp_path / "c.jsonl").write_text("\n".join(json.dumps({"conversationId": str(i), "respondentQuestions": q}) for i, q in enumerate(asked)))
+    rows = readers.conversation_targets(spark, str(tmp_path / "c.jsonl")).orderBy("conv_id").collect()
+    assert [(r["n_suggested"], r["n_liked"], r["target"], r["accepted"]) for r in rows] == [(2, 1, "3", True), (1, 0, "5", False), (0, 0, None, False)]
+
+
+@pytest.mark.parametrize(("name", "loose", "score", "flag", "stamp"), [("/d/u-i-5-2-1-20250101120000.txt", ("u", "i", 5, 2, 1), (5, 2, 1), 1, "20250101120000"), ("i-5-2-0-20250101120000.txt", (None, "i", 5, 2, 0), (5, 2, 0), 0, "20250101120000"), ("a-b-c-d-5-2-1-20250101120000.txt", None, (5, 2, 1), 1, "20250101120000")])
+def test_name_parsers(spark, name, loose, score, flag, stamp):
+    row = spark.createDataFrame([(name,)], "p string").select(readers.loose_dialogue_name(F.col("p")).alias("a"), readers.dialogue_score(F.col("p")).alias("b"), readers.outcome_flag(F.col("p")).alias("c"), readers.time_stamp(F.col("p")).alias("d")).first()
+    assert (row["a"] and tuple(row["a"]), tuple(row["b"]), row["c"], row["d"]) == (loose, score, flag, stamp)
+
+
 def test_dialogue_files(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "u-tmp3-i-9-5-2-1-20250101120000.txt").write_text("Bot: hi")

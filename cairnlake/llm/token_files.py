@@ -60,7 +60,7 @@ class Encoder:
     behind it and a line end stands alone. Such a text's ids are those of its words; other texts go to the library whole.
     """
 
-    def __init__(self, path: str, end_id: int, remember: int = 200_000) -> None:
+    def __init__(self, path: str, end_id: int, remember: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism; threads of the library cost memory
         from tokenizers import Tokenizer
 
@@ -106,8 +106,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, text: st
         encoder = ENCODERS.get((vocabulary, end_id)) or Encoder(vocabulary, end_id)
         ENCODERS[vocabulary, end_id] = encoder
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                piece = batch.slice(at, 128)
+            for at in range(0, batch.num_rows, 512):
+                piece = batch.slice(at, 512)
                 ids = encoder.encode([t or "" for t in piece.column(1).to_pylist()])
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))

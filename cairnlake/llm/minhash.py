@@ -3,10 +3,14 @@
 Equal shingle sets are first collapsed to one representative. Each of several trees sorts the representatives by a short
 sequence of MinHash values; a range shuffle spreads even one hot prefix over many tasks. Rows next to each other in that
 order share the longest prefixes: where few rows share the first ``DEPTH`` values all of them are compared, and in crowded
-regions those within half a ``BLOCK`` (the second time, a whole one) of each other, which share longer ones. Of the pairs whose sketches look alike each
+regions first those within half a ``BLOCK`` (the second time, a whole one) of each other, which share longer ones. Of the pairs whose sketches look alike each
 block passes on a spanning forest, best first, never all pairs; those are confirmed on the full sets. Pairs that fail may have
 stood for others, so documents of groups with a failed pair meet once more with their texts, in the same order, and each
 block compares all their full sets by one product of incidence matrices; it returns the edges of a spanning forest.
+
+Rows of runs that no block held whole meet by an exact join on full sets instead: two linked sets share one of their rarest
+shingles, whatever the order of rarity, so the documents of each such shingle are paired, in squares of bounded size where
+they are many, unless they are in one group already. Pairs whose sketches look alike are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -26,6 +30,9 @@ from cairnlake.session import durable
 TREES, VALUES, DEPTH = 12, 6, 2
 #: Rows compared together in a crowded region; half of them overlap with the next block.
 BLOCK = 256
+#: Of rows in larger runs: documents whose shingles are counted to rank all by rarity, shingles ranked, documents of one
+#: shingle compared together, and bytes of texts confirmed together.
+SAMPLE, RANKED, CROWD, CHUNK = 2048, 1 << 16, 1024, 1 << 20
 #: Share of equal sketch bytes, below the link threshold, from which a pair is confirmed: over five standard errors.
 SLACK = 0.2
 
@@ -202,37 +209,44 @@ def _in_order(rows: DataFrame, *carried: str) -> DataFrame:
     return spread.select("tree", "prefix", "id", *carried).repartitionByRange("tree", "prefix", "id").sortWithinPartitions("tree", "prefix", "id")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], rows: int = BLOCK, most_bytes: int = 1 << 25) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int = BLOCK, most_bytes: int = 1 << 25) -> Iterator[tuple[pa.Table, list[tuple[int, int]], list[tuple[int, int]]]]:
     """Tables with the bounds of blocks in them: rows that share tree and first values, overlapping by half where they are many.
 
     A block has ``rows`` rows at most, and no more once it holds ``most_bytes``. Rows of a run that goes on in the next batch are
-    held back, of a long one the overlap only.
+    held back, of a long one the overlap only. The last list bounds the rows of runs that no block holds whole: runs of several
+    blocks, and those at an edge of the partition, which may go on in the next one.
     """
 
-    def cut(table: pa.Table, last: bool) -> tuple[list[tuple[int, int]], int]:
+    def cut(table: pa.Table, last: bool, begun: bool) -> tuple[list[tuple[int, int]], list[tuple[int, int]], int, bool]:
         n = table.num_rows
         prefix = np.frombuffer(b"".join(table["prefix"].to_pylist()), np.uint8).reshape(n, 4 * VALUES)[:, : 4 * DEPTH]
         tree = table["tree"].to_numpy()
         starts = np.flatnonzero(np.append(True, (tree[1:] != tree[:-1]) | (prefix[1:] != prefix[:-1]).any(axis=1)))
         ends = np.append(starts[1:], n)
         rest = n if last else int(starts[-1])
-        bounds = [(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if b - a > 1 and b <= rest]
-        if n - rest > 2 * rows:
-            bounds.append((rest, n))
+        runs = [(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if b <= rest]
+        goes_on = n - rest > 2 * rows
+        if goes_on:
+            runs.append((rest, n))
             rest = n - rows // 2
         step = max(2, min(rows, most_bytes * n // max(1, table.nbytes)))
-        return [(at, min(b, at + step)) for a, b in bounds for at in range(a, max(a + 1, b - step // 2), step // 2)], rest
+        bounds = [(at, min(b, at + step)) for a, b in runs if b - a > 1 for at in range(a, max(a + 1, b - step // 2), step // 2)]
+        partial = [(a, b) for a, b in runs if b - a > step or (begun and a == 0) or b == n]
+        return bounds, partial, rest, goes_on or (begun and rest == 0)
 
     held: pa.Table | None = None
+    begun = True
     for batch in batches:
+        if not batch.num_rows:
+            continue
         table = pa.Table.from_batches([batch])
         held = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
-        bounds, rest = cut(held, False)
-        yield held, bounds
+        bounds, partial, rest, begun = cut(held, False, begun)
+        yield held, bounds, partial
         held = held.slice(rest)
     if held is not None and held.num_rows:
         held = held.combine_chunks()
-        yield held, cut(held, True)[0]
+        yield held, *cut(held, True, begun)[:2]
 
 
 def _edges(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
@@ -241,13 +255,14 @@ def _edges(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def candidate_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """Distinct (a, b), a < b, to be confirmed, from rows of (id, signature, sketch)."""
+    """Distinct (a, b), a < b, to be confirmed, from rows of (id, signature, sketch); (a, a) marks rows of runs not met whole."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in _blocks(batches):
-            pairs: set[tuple[int, int]] = set()
+        for table, bounds, partial in _blocks(batches):
+            ids = table["id"].to_numpy()
+            pairs = {(x, x) for a, b in partial for x in ids[a:b].tolist()}
             if bounds:
-                ids, sketch = table["id"].to_numpy(), np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
+                sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
                 two = np.array([a for a, b in bounds if b - a == 2], int)
                 fine = two[(sketch[two] == sketch[two + 1]).mean(axis=1) >= least] if len(two) else two
                 pairs.update(zip(np.minimum(ids[fine], ids[fine + 1]).tolist(), np.maximum(ids[fine], ids[fine + 1]).tolist(), strict=True))
@@ -260,13 +275,13 @@ def candidate_pairs(rows: DataFrame, least: float) -> DataFrame:
 
 
 def links_within(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Distinct edges (a, b) that join what is linked in each block of (id, signature, text), from full sets."""
+    """Distinct edges (a, b) that join what is linked in each block of (id, signature, text), from full sets; (a, a) as above."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
-        for table, bounds in _blocks(batches, 2 * BLOCK):
-            pairs: set[tuple[int, int]] = set()
+        for table, bounds, partial in _blocks(batches, 2 * BLOCK):
             ids = table["id"].to_numpy()
+            pairs = {(x, x) for a, b in partial for x in ids[a:b].tolist()}
             for a, b in bounds:
                 sets = [x for _, part in _slices(table["text"].slice(a, b - a).combine_chunks()) for x in shingler.sets(part)]
                 pairs.update(_linked(ids[a:b], sets, percent))
@@ -294,6 +309,145 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return both.mapInArrow(check, "a long, b long, linked boolean")
 
 
+def _common_shingles(texts: DataFrame, width: int) -> np.ndarray:
+    """Shingles that documents of a sample repeat, sorted, with their counts: two rows."""
+    every = max(1, texts.count() // SAMPLE)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(width)
+        for batch in batches:
+            for _, part in _slices(batch.column(0)):
+                found, n = np.unique(np.concatenate(shingler.sets(part)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1])], ["shingle", "n"])
+
+    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text")
+    most = sample.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(RANKED)
+    found = np.array([(r["shingle"], r["n"]) for r in most.collect()], np.int64).reshape(-1, 2).T
+    shingle, n = np.ascontiguousarray(found).view(np.uint64)
+    order = np.argsort(shingle)
+    return np.vstack([shingle[order], n[order]])
+
+
+def _rarest(texts: DataFrame, common: np.ndarray, width: int, percent: int) -> DataFrame:
+    """(shingle, id, grp, size, left): of each of (id, grp, text) so many of its rarest shingles that linked sets share one.
+
+    ``left`` counts the shingle and those behind it in the order of rarity: no more are shared by sets that share none before it.
+    """
+    held = texts.sparkSession.sparkContext.broadcast(common)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, (known, counts) = Shingler(width), held.value
+        for batch in batches:
+            for at, part in _slices(batch.column(2)):
+                sets = shingler.sets(part)
+                rare = []
+                for x in sets:
+                    place = np.minimum(np.searchsorted(known, x), max(0, len(known) - 1))
+                    often = np.where(known[place] == x, counts[place], np.uint64(0)) if len(known) else np.zeros(len(x), np.uint64)
+                    rare.append(x[np.lexsort((x, often))[: len(x) + percent * len(x) // -100 + 1]])
+                row = np.repeat(np.arange(at, at + len(sets)), [len(x) for x in rare])
+                size = np.repeat([len(x) for x in sets], [len(x) for x in rare])
+                left = size - np.concatenate([np.arange(len(x)) for x in rare])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rare).view(np.int64)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(size), pa.array(left)], ["shingle", "id", "grp", "size", "left"])
+
+    return texts.select("id", "grp", "text").mapInArrow(read, "shingle long, id long, grp long, size long, left long")
+
+
+def _met(rare: DataFrame, nodes: DataFrame, least: float, percent: int) -> DataFrame:
+    """Distinct (a, b), a < b, of different groups that share one of ``rare`` and look alike, from nodes (id, sketch).
+
+    Documents of a shingle are dealt by their ids into parts of about ``CROWD``; each part meets each other in a task's group.
+    """
+    shared = rare.groupBy("shingle").agg(F.count("*").alias("n"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi")
+    parts = F.ceil(F.col("n") / CROWD).cast("int")
+    own = F.pmod(F.xxhash64("id"), parts).cast("int")
+    rows = rare.join(shared.select("shingle", "n"), "shingle").withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), parts - 1))})
+    rows = rows.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "grp", "size", "left", "own").join(nodes.select("id", "sketch"), "id")
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in (*batches, None):
+            if batch is not None and not batch.num_rows:
+                continue
+            if batch is not None:
+                table = pa.Table.from_batches([batch])
+                held = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
+            if held is None or not held.num_rows:
+                continue
+            key = np.column_stack([held[c].to_numpy() for c in ("shingle", "i", "j")])
+            starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
+            ends = np.append(starts[1:], len(key))
+            rest = len(key) if batch is None else int(starts[-1])
+            ids, grp, size, left, own = (held[c].to_numpy() for c in ("id", "grp", "size", "left", "own"))
+            sketch = np.frombuffer(b"".join(held["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
+            found = [np.zeros((0, 2), np.int64)]
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                if b > rest or b - a < 2:
+                    continue
+                across = key[a, 1] != key[a, 2]
+                for at in range(a, b):
+                    span = slice(a if across else at + 1, b)
+                    near = (grp[span] != grp[at]) & ((100 + percent) * np.minimum(left[span], left[at]) >= percent * (size[span] + size[at]))
+                    if across:
+                        near &= own[span] > own[at]
+                    to = np.flatnonzero(near) + span.start
+                    if len(to):
+                        to = to[(sketch[to] == sketch[at]).mean(axis=1) >= least]
+                        found.append(np.column_stack([np.minimum(ids[to], ids[at]), np.maximum(ids[to], ids[at])]))
+            pairs = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            held = held.slice(rest)
+
+    dealt = rows.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+    return dealt.select("shingle", "i", "j", "id", "grp", "size", "left", "own", "sketch").mapInArrow(pair, "a long, b long").distinct()
+
+
+def _links_of(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The linked ones of pairs (a, b), from the full sets of texts (id, text).
+
+    Texts are dealt by their ids into chunks of about ``CHUNK`` bytes; a group compares the pairs of two chunks, with each of their texts
+    that has such a pair once.
+    """
+    chunks = 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK
+    number = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int")
+    placed = durable(pairs.select("a", "b", F.least(number("a"), number("b")).alias("i"), F.greatest(number("a"), number("b")).alias("j")))
+    ends = placed.select(F.col("i").alias("p"), F.col("j").alias("q"), F.explode(F.array("a", "b")).alias("id")).distinct().join(texts.select("id", "text"), "id")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        shingler, sets = Shingler(width), {}
+        ids = right["id"].to_pylist()
+        for at, part in _slices(right["text"].combine_chunks()):
+            sets.update(zip(ids[at : at + len(part)], shingler.sets(part), strict=True))
+        a, b = left["a"].to_numpy(), left["b"].to_numpy()
+        if len(sets) <= 2 * CROWD and len(a) > 16 * len(sets):
+            place = {x: i for i, x in enumerate(sets)}
+            i, j, size = [place[x] for x in a.tolist()], [place[x] for x in b.tolist()], np.array([len(x) for x in sets.values()])
+            both = _shared_counts(list(sets.values()), 1 << 12)[i, j]
+            linked = 100 * both >= percent * (size[i] + size[j] - both)
+            return pa.table({"a": a[linked], "b": b[linked]})
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        linked = np.zeros(len(a), bool)
+        starts = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, int)
+        for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(a)], strict=False):
+            own = sets[int(a[at])]
+            for k in range(at, end, 256):
+                others = [sets[int(x)] for x in b[k : min(end, k + 256)]]
+                flat, size = np.concatenate(others), np.array([len(x) for x in others])
+                place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                both = np.add.reduceat((own[place] == flat).astype(np.int64), np.cumsum([0, *size[:-1]]))
+                linked[k : k + len(others)] = 100 * both >= percent * (size + len(own) - both)
+        return pa.table({"a": a[linked], "b": b[linked]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return placed.groupBy("i", "j").cogroup(ends.groupBy("p", "q")).applyInArrow(compare, "a long, b long")
+
+
+def exact_links(texts: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """All links (a, b) between different groups of texts (id, grp, text), met by their rarest shingles; nodes: (id, sketch)."""
+    rare = durable(_rarest(texts, _common_shingles(texts, width), width, percent))
+    return _links_of(_met(rare, nodes, percent / 100 - SLACK, percent), texts, width, percent)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept, a row for each row.
 
@@ -304,7 +458,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     Other columns are not read.
 
     A pair at the threshold j is met in no tree with probability (1 - j ** DEPTH) ** TREES at most, 5e-6 for 0.8 and 2e-7
-    for 0.85; in regions where more than a block of documents share prefixes, only the nearest in each order are compared.
+    for 0.85; documents that share prefixes with more than a block of others meet by an exact join of their rarest shingles.
     """
     rows = durable(signed(docs, width, text, doc_id))
     classes = durable(rows.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")))
@@ -314,15 +468,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     needed = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = durable(own.join(needed, "id").groupBy("id").agg(F.max("text").alias("text")))
-    tested = durable(confirmed(pairs, texts, width, percent))
-    groups = components(tested.where("linked").select("a", "b"))
+    crowded = pairs.where("a = b").select(F.col("a").alias("node"))
+    tested = durable(confirmed(pairs.where("a <> b"), texts, width, percent))
+    edges = tested.where("linked").select("a", "b")
+    groups = components(edges)
     failed = tested.where("NOT linked").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    placed = texts.join(groups, F.col("id") == F.col("node"), "left").select("id", "text", F.coalesce("component", "id").alias("grp"))
     if not failed.isEmpty():
-        placed = texts.join(groups, F.col("id") == F.col("node"), "left").select("id", "text", F.coalesce("component", "id").alias("grp"))
         open_groups = placed.join(failed, F.col("id") == F.col("node"), "left_semi").select("grp").distinct()
         again = placed.join(open_groups, "grp", "left_semi").join(nodes.select("id", "signature"), "id")
-        more = links_within(again, width, percent)
-        groups = components(tested.where("linked").select("a", "b").unionByName(more))
+        more = durable(links_within(again, width, percent))
+        crowded = crowded.unionAll(more.where("a = b").select(F.col("a").alias("node"))).distinct()
+        edges = edges.unionByName(more.where("a <> b"))
+        groups = components(edges)
+        placed = texts.join(groups, F.col("id") == F.col("node"), "left").select("id", "text", F.coalesce("component", "id").alias("grp"))
+    if not crowded.isEmpty():
+        rest = durable(exact_links(placed.join(crowded, F.col("id") == F.col("node"), "left_semi"), nodes, width, percent))
+        if not rest.isEmpty():
+            groups = components(edges.unionByName(rest))
     by_key = classes.select("key", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "key").join(by_key, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +146,32 @@ def test_a_large_bucket_is_split_and_counted_once(spark):
     rows = [(i, [c + rng.gauss(0, 0.02) for c in centre]) for i in range(1500)]
     found = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).agg(F.min("n_links").alias("a"), F.max("n_links").alias("b"), F.max("component_id").alias("c")).first()
     assert (found["a"], found["b"], found["c"]) == (1499, 1499, 0)
+
+
+@pytest.mark.parametrize(("count", "size"), [(1500, 1), (20, 3500)])
+def test_families_of_a_hot_template_are_met(spark, count, size):
+    """Pairs just over the threshold with distant ids among rows just under it, more than a block holds, or very long."""
+    rng = random.Random(count)
+    texts = []
+    for f in range(count):
+        slots = rng.sample(range(1, 99), 10)
+        base = [f"t{i}" + "x" * size for i in range(300)]
+        for k in slots[:2]:
+            base[3 * k] = f"f{f}w{k}"
+        for member in (slots[2:6], slots[6:]):
+            texts.append(" ".join(f"m{f}w{k}" if (k := i // 3) in member and i % 3 == 0 else w for i, w in enumerate(base)))
+    rng.shuffle(texts)
+    sets = [shingles(t, 3) for t in texts]
+    place = {}
+    for x in sets:
+        for s in x:
+            place.setdefault(s, len(place))
+    seen = np.zeros((len(sets), len(place)), bool)
+    for i, x in enumerate(sets):
+        seen[i, [place[s] for s in x]] = True
+    often = seen[:, seen.sum(axis=0) > 1].astype(np.float32)
+    both, n = often @ often.T, np.array([len(x) for x in sets])
+    want = groups(np.argwhere(np.tril(100 * both >= 85 * (n[:, None] + n[None, :] - both), -1)).tolist(), range(len(sets)))
+    docs = spark.createDataFrame([(i, t, 0, "") for i, t in enumerate(texts)], DOCS).repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, 3, 85).collect()}
+    assert sum(got[i] != want[i] for i in want) == 0

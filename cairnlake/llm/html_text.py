@@ -28,7 +28,7 @@ TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Elements without content, elements whose content is no text, and elements that begin a block.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe textarea select svg math canvas object title".split())
+RAW = set("script style iframe textarea title".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = set("table ul ol dl article section div body nav aside header footer form main td th".split())
@@ -87,7 +87,7 @@ class Page:
             self.parents.append(stack[-1])
             self.speak_for.append(len(tokens & FOR))
             self.speak_against.append(len(tokens & AGAINST))
-            self.hidden.append(HIDDEN.search(markup) is not None)
+            self.hidden.append(tag == "template" or HIDDEN.search(markup) is not None)
             if not markup.endswith("/>"):
                 stack.append(len(self.tags) - 1)
 

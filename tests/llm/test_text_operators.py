@@ -110,6 +110,15 @@ def test_odd_pages(spark):
     assert {r["text"] for r in found if r["page_id"] == 7} == {"One <two> three four\nFive", ""}
 
 
+@pytest.mark.parametrize("icon", ['<svg class="icon"/>', "<math/>", '<svg><svg><path d="m"/></svg></svg>', "<noscript>", "<object>", "<canvas>"])
+def test_inline_elements_do_not_swallow_the_page(icon):
+    words = "A long sentence of the article, with many plain words in it. " * 8
+    page = f"<html><body><nav><ul><li>{icon}<a href='/'>Home</a></li></ul></nav>{icon}<article><h1>Head</h1><p>{words}{icon}<math><mi>x</mi></math> end.</p><p>{words}</p></article></body></html>"
+    got = html_text.main_texts([page], html_text.main_text_model())[0]
+    one = " ".join(words.split())
+    assert got == f"Head\n{one} x end.\n{one}"
+
+
 def brute_spans(text):
     found = []
     for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -43,23 +44,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate results: ``spark.checkpoint.dir``, or a folder of our own where that is unset."""
+    """The shared folder for intermediate results: ``spark.checkpoint.dir``, or the checkpoint folder the session was given.
+
+    On a local master that has neither, a temporary folder is set; on a cluster, whose machines don't share one, that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="cairnlake-")
+        if held.isDefined():
+            return held.get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="cairnlake-")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+def scratch_path(spark: SparkSession, kind: str = "table") -> str:
+    """A new path under the shared folder, in the application's own part of it."""
+    return os.path.join(checkpoint_root(spark), f"cairnlake-{spark.sparkContext.applicationId}", f"{kind}-{uuid.uuid4().hex}")
+
+
 def durable(df: DataFrame, *sort: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs only the tasks that ran on it, and later readers prune columns. The
-    table outlives the call; the shared folder is scratch space that its owner clears.
+    table lasts until :func:`discard` or :func:`clear_scratch`.
     """
-    path = os.path.join(checkpoint_root(df.sparkSession), f"cairnlake-{uuid.uuid4().hex}")
+    path = scratch_path(df.sparkSession)
     out = df.sortWithinPartitions(*sort) if sort else df
     out.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held._scratch = path
+    return held
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark knows."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables of :func:`durable` that no later action reads; other frames are left alone."""
+    for df in frames:
+        if path := getattr(df, "_scratch", None):
+            remove(df.sparkSession, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once its results are written."""
+    remove(spark, os.path.dirname(scratch_path(spark)))

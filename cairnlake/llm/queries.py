@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlake.llm import compression, embedding_dedup, exact_dedup, html_text, minhash, packing, pieces, secrets, token_files
-from cairnlake.session import checkpoint_root, durable, table
+from cairnlake.session import durable, remove, scratch_path, table
 
 
 def vocabulary(name: str) -> str:
@@ -39,9 +37,11 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = os.path.join(checkpoint_root(spark), f"token-files-{uuid.uuid4().hex}")
+    path = scratch_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
-    return token_files.token_statistics(token_files.read_token_files(spark, path))
+    found = token_files.token_statistics(token_files.read_token_files(spark, path))  # measured: the files are no longer read
+    remove(spark, path)
+    return found
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,91 +9,145 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Callable, Iterator
-from itertools import chain
+from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnlake.session import durable
 
-#: Parquet writer settings of a token file.
-LAYOUT = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.block.size": str(64 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "512"}
+#: Parquet writer settings of a token file: dictionary pages for the ids, delta encoding for the ascending columns.
+LAYOUT = {
+    "compression": "zstd",
+    "parquet.writer.version": "v2",
+    "parquet.enable.dictionary": "true",
+    **{f"parquet.enable.dictionary#{c}": "false" for c in ("doc_id", "shard", "row")},
+    "parquet.block.size": str(64 << 20),
+    "parquet.page.size": str(256 << 10),
+    "parquet.page.row.count.limit": "512",
+}
 
-#: Runs of white space, which the tokenizer's pattern may take as one, and all white space but spaces and line ends.
-RUNS = ("  ", "\n\n", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
-#: Marks that are a pretoken of their own behind letters.
-MARKS = ".,;:!?"
+#: Texts in which the tokenizer's pattern may take white space as one run, or that hold any but spaces and line ends.
+_ODD_SPACE = "".join(f"\\x{{{ord(c):x}}}" for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+IRREGULAR = rf"  |\n\n| \n|\n |[{_ODD_SPACE}]| \z"
+#: Letters of Latin scripts with signs of ASCII behind them (no apostrophe, which may begin a contraction): two pretokens.
+LATIN = r"[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+"
+SIGNED = rf"\A(?P<stem>{LATIN})(?P<signs>[!-&(-/:-@\[-`{{-~]+)\z"
 
 
-class Words:
-    """Ids of words that stand alone or each behind a space, in two generations of ``remember`` words.
-
-    When the young generation is full it becomes the old one, whose words come back as they are met again.
-    """
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], remember: int) -> None:
-        self.remember = remember
-        self.marks = dict(zip(MARKS, encode(list(MARKS)), strict=True))
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def learn(self, words: set[str], encode: Callable[[list[str]], list[bytes]]) -> None:
-        if len(self.young) > self.remember:
-            self.old, self.young = self.young, {}
-        new = {w for w in words if w not in self.young}
-        back = {w: self.old[w] for w in new if w in self.old}
-        self.young.update(back)
-        new.difference_update(back)
-        marked = [w for w in new if w[-1:] in self.marks and w[:-1].isalpha()]
-        plain = new.difference(marked).union(w[:-1] for w in marked if w[:-1] not in self.young)
-        self.young.update(zip(plain, encode(list(plain)), strict=True))
-        self.young.update((w, self.young[w[:-1]] + self.marks[w[-1]]) for w in marked)
+def _in_turn(data: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries ``code`` one after the other, and their ends; ``data`` holds entries of ``size`` numbers."""
+    length = size[code]
+    ends = np.cumsum(length)
+    return data[np.repeat((np.cumsum(size) - size)[code] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)], ends
 
 
 class Encoder:
-    """A byte-level BPE file of the ``tokenizers`` library, with the ids of words it has seen.
+    """A byte-level BPE file of the ``tokenizers`` library, called once for each distinct word of many texts.
 
     In a text whose white space is single spaces and line ends, each of these begins a pretoken: a space belongs to the word
-    behind it and a line end stands alone. Such a text's ids are those of its words; other texts go to the library whole.
+    behind it and a line end stands alone. Such texts are split and their words numbered by Arrow, signs behind letters
+    are cut off the distinct words, what is left goes to the library, and numpy puts the ids together; other texts go to
+    the library whole. Nothing is remembered from call to call.
     """
 
-    def __init__(self, path: str, end_id: int, remember: int = 200_000) -> None:
+    def __init__(self, path: str, end_id: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism; threads of the library cost memory
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end = Tokenizer.from_file(path), np.array([end_id], "<u4").tobytes()
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.model = Tokenizer(self.tokenizer.model)  # takes pretokens, whose bytes are spelt by the characters of ``spelling``
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
         self.spaced = np.zeros(max(names.values()) + 1, bool)
         self.spaced[[i for name, i in names.items() if name.startswith(space)]] = True
-        self.line = self._plain(["\n"])[0]
-        self.first, self.rest = Words(self._plain, remember // 4), Words(self._plain, remember)
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _behind_spaces(self, words: list[str]) -> list[bytes]:
-        """Ids of words each behind a space: joined calls, cut at the tokens that begin with a space."""
-        out = []
-        for at in range(0, len(words), 2048):
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join([" " + w for w in words[at : at + 2048]])], add_special_tokens=False)[0].ids, "<u4")
-            ends = (4 * np.append(np.flatnonzero(self.spaced[ids]), len(ids))).tolist()
-            data = ids.tobytes()
-            out += [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text with the end id, as little-endian unsigned 32-bit integers."""
-        lines = [None if t.endswith(" ") or any(r in t for r in RUNS) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        whole = iter(self._plain([t for t, p in zip(texts, lines, strict=True) if p is None]))
-        self.first.learn({p[0] for text in lines if text for p in text}, self._plain)
-        self.rest.learn(set(chain.from_iterable(p[1:] for text in lines if text for p in text)), self._behind_spaces)
-        first, rest, join = self.first.young, self.rest.young.__getitem__, b"".join
-        return [(next(whole) if text is None else self.line.join([first[p[0]] + join(map(rest, p[1:])) for p in text])) + self.end for text in lines]
-
+        self.spelling = np.zeros(256, "<u2")
+        for char in map(chr, range(0x250)):
+            self.spelling[list(char.encode())] = [ord(c) for c in self.tokenizer.pre_tokenizer.pre_tokenize_str(char)[0][0]]
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _behind_spaces(self, words: pa.Array, latin: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words behind a space each: joined calls, cut at the tokens that begin with a space.
+
+        Words of Latin letters are pretokens and go to the library's model as such.
+        """
+        ids = [np.zeros(0, np.int32)]
+        for at in range(0, len(words), 4096):
+            part = words.slice(at, 4096)
+            joined = " " + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), "\n " if latin else " ")[0].as_py()
+            if latin:
+                spelt = self.spelling[np.frombuffer(joined.encode(), np.uint8)].tobytes().decode("utf-16-le")
+                found = self.model.encode_batch_fast([spelt.split(chr(self.spelling[10]))], is_pretokenized=True, add_special_tokens=False)
+            else:
+                found = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)
+            ids.append(np.array(found[0].ids, np.int32))
+        data = np.concatenate(ids)
+        return data, np.diff(np.append(np.flatnonzero(self.spaced[data]), len(data)))
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of distinct words behind a space each; a word that begins with a line end stands behind that instead."""
+        latin = pc.match_substring_regex(words, rf"\A{LATIN}\z").to_numpy(zero_copy_only=False)
+        begun = pc.starts_with(words, "\n").to_numpy(zero_copy_only=False)
+        kinds = [latin, begun, ~(latin | begun)]
+        own = [words.filter(pa.array(k)) for k in kinds]
+        found = [self._behind_spaces(own[0], True), self._plain(own[1].to_pylist()), self._behind_spaces(own[2], False)]
+        code = np.zeros(len(words), np.int64)
+        code[np.concatenate([np.flatnonzero(k) for k in kinds])] = np.arange(len(words))
+        size = np.concatenate([s for _, s in found])
+        return _in_turn(np.concatenate([d for d, _ in found]), size, code)[0], size[code]
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same, with the signs behind letters apart."""
+        parts = pc.extract_regex(words, SIGNED)
+        held = pc.is_valid(parts)
+        signed = held.to_numpy(zero_copy_only=False)
+        stems = pc.dictionary_encode(pc.if_else(held, pc.struct_field(parts, "stem"), words))
+        signs = pc.dictionary_encode(pc.struct_field(parts, "signs").filter(held))
+        (data, size), (more, more_size) = self._words(stems.dictionary), self._plain(signs.dictionary.to_pylist())
+        code = np.full(len(words) + int(signed.sum()), -1, np.int64)
+        code[np.flatnonzero(signed) + np.arange(1, signed.sum() + 1)] = len(size) + signs.indices.to_numpy()
+        code[code < 0] = stems.indices.to_numpy()
+        size = np.append(size, more_size)
+        begins = np.arange(len(words)) + np.cumsum(signed) - signed
+        return _in_turn(np.append(data, more), size, code)[0], np.add.reduceat(size[code], begins) if len(words) else size[:0]
+
+    def encode(self, texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of texts one after the other, each with the end id, and the bounds of the texts, about ``most`` words at a time.
+
+        Null texts are empty.
+        """
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        n, odd = len(texts), pc.match_substring_regex(texts, IRREGULAR)
+        split = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", texts), "\n", " \n"), " ")
+        bounds, flat = split.offsets.to_numpy() - (split.offsets[0].as_py() if n else 0), split.flatten()
+        leads = np.zeros(len(flat), bool)
+        leads[bounds[:-1]] = True
+        first = pc.if_else(odd, texts, flat.filter(pa.array(leads)))  # a text's first word, or all of an irregular text
+        numbered = pc.dictionary_encode(flat.filter(pa.array(~leads)))
+        (data, size), (more, more_size) = self._distinct(numbered.dictionary), self._plain(first.to_pylist())
+        # entries: the distinct words, the texts' beginnings, and the end id
+        code = np.full(len(flat) + n, -1, np.int32)
+        code[bounds[:-1] + np.arange(n)] = len(size) + np.arange(n)
+        code[bounds[1:] + np.arange(n)] = len(size) + n
+        code[code < 0] = numbered.indices.to_numpy()
+        data, size = np.concatenate([data, more, [self.end_id]]).astype(np.int32), np.concatenate([size, more_size, [1]])
+        bounds = bounds + np.arange(n + 1)
+        cuts = np.flatnonzero(np.diff(bounds[1:] // most, prepend=0)) + 1
+        for at, end in pairwise(np.unique([0, *cuts, n]).tolist()):
+            ids, ends = _in_turn(data, size, code[bounds[at] : bounds[end]])
+            yield ids, np.append(0, ends[bounds[at + 1 : end + 1] - bounds[at] - 1])
+
+
+#: Bytes of texts encoded together, about; a longer text is encoded alone.
+SLICE = 16 << 20
 
 #: One encoder a Python worker, kept for its next tasks.
 ENCODERS: dict[tuple[str, int], Encoder] = {}
@@ -106,12 +160,13 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, text: st
         encoder = ENCODERS.get((vocabulary, end_id)) or Encoder(vocabulary, end_id)
         ENCODERS[vocabulary, end_id] = encoder
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                piece = batch.slice(at, 128)
-                ids = encoder.encode([t or "" for t in piece.column(1).to_pylist()])
-                ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "ids"])
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            cuts = np.flatnonzero(np.diff(size // SLICE, prepend=0)) + 1
+            for at, end in pairwise(np.unique([0, *cuts, batch.num_rows]).tolist()):
+                for ids, bounds in encoder.encode(batch.column(1).slice(at, end - at)):
+                    lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(lists)), lists], ["doc_id", "ids"])
+                    at += len(lists)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, "doc_id long, ids array<int>")
 

@@ -5,8 +5,10 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,30 +45,46 @@ def test_heap_and_rounds_agree():
     assert own._rounds(words) == [own._heap_word(w) for w in words]
 
 
-def test_encoder_equals_the_library(sf):
+@pytest.mark.parametrize(("part", "most"), [(100, 1 << 19), (1000, 300), (7, 1)])
+def test_encoder_equals_the_library(sf, part, most):
     from tokenizers import Tokenizer
 
     path = vocabulary("byte_bpe_50k.json")
-    library, own, all_texts = Tokenizer.from_file(path), token_files.Encoder(path, 0, remember=5000), texts(sf)
-    for at in range(0, len(all_texts), 100):
-        part = all_texts[at : at + 100]
-        for text, ids in zip(part, own.encode(part), strict=True):
-            assert np.frombuffer(ids, "<u4").tolist() == [*library.encode(text, add_special_tokens=False).ids, 0], repr(text[:80])
+    library, own, all_texts = Tokenizer.from_file(path), token_files.Encoder(path, 0), texts(sf)
+    for at in range(0, len(all_texts), part):
+        got = [ids[a:b] for ids, bounds in own.encode(pa.array(all_texts[at : at + part]), most) for a, b in pairwise(bounds)]
+        for text, ids in zip(all_texts[at : at + part], got, strict=True):
+            assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 0], repr(text[:80])
+    assert list(own.encode(pa.array([], pa.string()))) == []
 
 
 def test_token_files_round_trip(spark, tmp_path):
+    from pyarrow import parquet
     from tokenizers import Tokenizer
 
-    rows = [(5, "b c", "x"), (None, "no id", "y"), (1, None, "z"), (9, "a  b\nc", ""), (5, "again", ""), (-3, "", "")]
+    rows = [(5, "b c", "x"), (None, "no id", "y"), (1, None, "z"), (9, "a  b\nc", ""), (5, "again", ""), (-3, "", ""), (10, "word, " * 5000, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(3)
-    library = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
-    token_files.write_token_files(docs, str(tmp_path / "t"), vocabulary("byte_bpe_50k.json"))
-    got = sorted(((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_files.token_statistics(token_files.read_token_files(spark, str(tmp_path / "t"))).collect()))
-    assert [g[1] for g in got] == [None, -3, 1, 5, 5, 9]
+    library, path = Tokenizer.from_file(vocabulary("byte_bpe_50k.json")), str(tmp_path / "t")
+    token_files.write_token_files(docs, path, vocabulary("byte_bpe_50k.json"))
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_files.token_statistics(token_files.read_token_files(spark, path)).collect())
+    assert [g[1] for g in got] == [None, -3, 1, 5, 5, 9, 10]
     assert [g[0] for g in got] == [sum(x[2] for x in got[:i]) for i in range(len(got))]
-    want = {zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()) for _, t, _ in rows}
-    assert {g[3] for g in got} == want
-    assert sorted(r["doc_id"] for r in token_files.read_token_files(spark, str(tmp_path / "t"), 5, 9).collect()) == [5, 5]
+    want = defaultdict(set)
+    for i, t, _ in rows:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        want[i].add((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    found = defaultdict(set)
+    for _, i, n, crc in got:
+        found[i].add((n, crc))
+    assert found == want
+    assert sorted(r["doc_id"] for r in token_files.read_token_files(spark, path, 5, 9).collect()) == [5, 5]
+    for file in (tmp_path / "t").glob("*.parquet"):
+        meta = parquet.ParquetFile(file).metadata
+        for group in range(meta.num_row_groups):
+            columns = {meta.row_group(group).column(c).path_in_schema: meta.row_group(group).column(c) for c in range(4)}
+            assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+            assert "DELTA_BINARY_PACKED" in columns["doc_id"].encodings and "DELTA_BINARY_PACKED" in columns["row"].encodings
+            assert "RLE_DICTIONARY" in columns["ids.list.element"].encodings or columns["ids.list.element"].num_values < 50
     token_files.write_token_files(docs.limit(0), str(tmp_path / "e"), vocabulary("byte_bpe_50k.json"))
     assert token_files.token_statistics(token_files.read_token_files(spark, str(tmp_path / "e"))).count() == 0
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from cairnlake.functions.porter import stem
+
 
 def _blank(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
@@ -29,13 +32,23 @@ def ascii_tokens(text: Column) -> Column:
 
 def trigram_tokens(text: Column) -> Column:
     """Every three consecutive characters, lower-cased; shorter texts have none."""
-    chars = F.split(F.lower(_blank(text)), "")
-    starts = F.when(F.size(chars) < 3, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.size(chars) - 3))
-    return F.transform(starts, lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)))
+    return F.regexp_extract_all(F.lower(_blank(text)), F.lit("(?s)(?=(...))"), 1)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _stems(tokens: pd.Series) -> pd.Series:
+    """Porter stems of arrays of tokens; each distinct token of a batch is stemmed once."""
+    known: dict[str, str] = {}
+    return tokens.map(lambda own: [known[t] if t in known else known.setdefault(t, stem(t)) for t in own])
+
+
+def porter_tokens(text: Column) -> Column:
+    """The default tokens, stemmed by Porter's algorithm."""
+    return _stems(search_tokens(text))
 
 
 #: Tokenizers by the name an index stores.
-TOKENIZERS = {"unicode61": search_tokens, "ascii": ascii_tokens, "trigram": trigram_tokens}
+TOKENIZERS = {"unicode61": search_tokens, "ascii": ascii_tokens, "porter": porter_tokens, "trigram": trigram_tokens}
 
 
 def category_tokens(text: Column) -> Column:
@@ -78,8 +91,10 @@ def cut_message(text: Column, limit: int = 250) -> Column:
 
 
 def complete_sentences(text: Column) -> Column:
-    """The text without a trailing ellipsis, up to its last sentence end; empty if it has none."""
-    clean = F.rtrim(F.regexp_replace(F.trim(text), r"(\.\.\.|…)\s*$", ""))
+    """The text without its trailing ellipses, up to its last sentence end; empty if it has none."""
+    clean = F.regexp_replace(_blank(text), r"(?U)\s+\z", "")
+    for mark in (r"\.\.\.", "…"):
+        clean = F.regexp_replace(clean, rf"(?U)\s*(?:{mark}\s*)+\z", "")
     return F.regexp_extract(clean, r"(?s)^(.*[.!?])", 1)
 
 
@@ -91,9 +106,9 @@ def visible_reply(text: Column) -> Column:
 
 
 def clean_line(text: Column, role: Column) -> Column:
-    """A spoken line without notes to the reader, and without small-talk tags on the user's side."""
-    noted = F.trim(F.regexp_replace(text, r"(?is)\(note:[^)]*\)", ""))
-    return F.when(F.lower(role) == "user", F.trim(F.regexp_replace(noted, r"(?i)\[chit-chat\]", ""))).otherwise(noted)
+    """A spoken line without the notes of the user's side, and without the small-talk tag that begins the bot's."""
+    user = F.regexp_replace(F.regexp_replace(text, r"(?U)\s*\(Note:[^)]*\)", ""), r"(?U)^\s+|\s+\z", "")
+    return F.when(F.lower(role) == "user", user).when(F.lower(role) == "bot", F.regexp_replace(text, r"(?U)^\[chit-chat\]\s*", "")).otherwise(text)
 
 
 def attribute_list(text: Column) -> Column:
@@ -112,23 +127,40 @@ def distinct_by_name(names: Column) -> Column:
     return F.filter(names, lambda x, i: F.array_position(keys, key(x)) == i + 1)
 
 
+#: A line that reports replaced calls, indented or not.
+FALLBACK_LINE = r"(?m)^[^\S\n]*System: <FALLBACK>([^\n]*)"
+
+
 def fallback_count(text: Column) -> Column:
-    """Sum over lines that begin with <FALLBACK>; a line without a number counts 1."""
-    lines = F.filter(F.split(_blank(text), "\n"), lambda x: x.startswith("<FALLBACK>"))
-    numbers = F.transform(lines, lambda x: F.coalesce(F.regexp_extract(x, r"(\d+)", 1).try_cast("int"), F.lit(1)))
+    """Sum of ``fallbacks=N`` over the lines that report replaced calls; a line without the number counts 1."""
+    lines = F.regexp_extract_all(_blank(text), F.lit(FALLBACK_LINE), 1)
+    numbers = F.transform(lines, lambda x: F.coalesce(F.regexp_extract(x, r"\bfallbacks=(\d+)", 1).try_cast("int"), F.lit(1)))
     return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
 
 
 def without_fallback(text: Column) -> Column:
-    return F.array_join(F.filter(F.split(_blank(text), "\n"), lambda x: ~x.startswith("<FALLBACK>")), "\n")
+    return F.regexp_replace(_blank(text), FALLBACK_LINE + r"(?:\n|\z)", "")
+
+
+#: Credentials in running text and what is shown of them, in the order in which they are applied.
+SECRETS = [
+    (r"(?i)\bbearer\s+[^\s'\",;]+", "Bearer ***"),
+    (r"(?i)\b(api[-_]?key|access[-_]?token|token|authorization|key)\b(\s*[=:]\s*)[^\s'\",;&]+", "$1$2***"),
+    (r"\bsk-[A-Za-z0-9_\-]{6,}", "sk-***"),
+]
+
+
+def without_secrets(text: Column) -> Column:
+    """The text with bearer tokens, the values of keys and tokens, and ``sk-`` keys masked; line ends stay."""
+    for pattern, mark in SECRETS:
+        text = F.regexp_replace(text, pattern, mark)
+    return text
 
 
 def masked(text: Column, limit: int = 300) -> Column:
-    """One line of at most ``limit`` characters, with keys, bearer tokens and addresses masked."""
-    line = F.trim(F.regexp_replace(_blank(text), r"\s+", " "))
-    for pattern, mark in ((r"sk-[A-Za-z0-9_-]{8,}", "sk-***"), (r"(?i)bearer\s+[A-Za-z0-9._-]+", "Bearer ***"), (r"[\w.+-]+@[\w-]+\.[\w.]+", "***@***")):
-        line = F.regexp_replace(line, pattern, mark)
-    return F.substring(line, 1, limit)
+    """One line of at most ``limit`` characters without secrets; a cut line ends in three dots."""
+    line = without_secrets(F.regexp_replace(F.regexp_replace(_blank(text), r"(?U)\s+", " "), r"^ | \z", ""))
+    return F.when(F.char_length(line) <= limit, line).otherwise(F.concat(F.substring(line, 1, limit - 3), F.lit("...")))
 
 
 def json_scores(text: Column, fields: dict[str, str]) -> Column:
@@ -163,16 +195,21 @@ def present(value: Column) -> Column:
     return value.isNotNull() & ~text.isin("", "nan", "NaN", "None")
 
 
-#: What the last part of a category code says about wearers.
-WEARERS = {"ladies": "Women", "men": "Men", "kids": "Kids", "baby": "Baby", "divided": "Women", "sportswear": "Unisex", "home": "Home", "beauty": "Beauty"}
+#: Wearers by the first part of a category code.
+WEARERS = {"ladies": "Women", "men": "Men", "kids": "Kids", "divided": "Divided", "newborn": "Newborn", "baby": "Baby"}
+
+
+def title_case(text: Column) -> Column:
+    """Every run of letters capitalised, whatever stands before it."""
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(\p{L}+|\P{L}+)"), 1), F.initcap), "")
 
 
 def category_parts(code: Column) -> tuple[Column, Column]:
-    """(wearer, kind) of a code such as ``men_shirts_slim``: the first part mapped, the rest in title case."""
-    parts = F.filter(F.split(F.lower(_blank(code)), "_"), lambda x: x != "")
+    """(wearer, kind) of a code such as ``men_shirts_slim``: the first part mapped or in title case, the rest in title case."""
+    parts = F.split(F.lower(_blank(code)), "_")
     table = F.create_map(*(F.lit(x) for pair in WEARERS.items() for x in pair))
     first = F.get(parts, 0)
-    return F.coalesce(table[first], F.initcap(first), F.lit("")), F.array_join(F.transform(F.slice(parts, 2, 100), F.initcap), " ")
+    return F.coalesce(table[first], title_case(first)), F.array_join(F.transform(F.slice(parts, 2, 1000), title_case), " ")
 
 
 def price_text(price: Column) -> Column:
@@ -185,12 +222,43 @@ def demographic_text(year: Column, gender: Column, job: Column, country: Column,
     return F.concat_ws(", ", age, F.when(present(gender), gender), F.when(present(job), job), F.when(present(country), F.concat(F.lit("from "), country)))
 
 
+#: Labels that were replaced over and over, and the short ones that repair them.
+REPAIRS = [
+    (r"\b(?:movie\s+){1,}genres\b", "genres"),
+    (r"\b(?:movie\s+){1,}production\s+companies\b", "production companies"),
+    (r"\b(?:movie\s+){1,}description\b", "overview"),
+    (r"\badult(?:\s+only)+\b", "adult-only content"),
+    (r"\boriginal\s+language(?:\s+of\s+the\s+movie)+\b", "original language"),
+    (r"\blanguages\s+spoken(?:\s+in\s+the\s+movie)+\b", "spoken languages"),
+    (r"\baverage\s+rating(?:\s+of\s+the\s+movie)+\b", "rating"),
+    (r"\byear(?:\s+of\s+the\s+movie)+\b", "release year"),
+    (r"\bcountries\s+where\s+the\s+movie\s+was\s+produced\b", "production countries"),
+    (r"\bwas\s+produced(?:\s+was\s+produced)+\b", "was produced"),
+]
+
+
+def repaired_labels(text: Column) -> Column:
+    for pattern, label in REPAIRS:
+        text = F.regexp_replace(text, "(?i)" + pattern, label)
+    return text
+
+
+def safe_names(names: dict[str, str]) -> dict[str, str]:
+    """The names whose label does not hold them, so that replacing twice changes nothing; names with a space are left out."""
+    return {k: v for k, v in names.items() if k.lower() not in v.lower() and ("_" in k or " " not in k)}
+
+
 def renamed_columns(text: Column, names: dict[str, str]) -> Column:
     """Column names in running text replaced by readable ones: whole words in any case, longest first."""
-    for name in sorted(names, key=lambda n: (-len(n), n)):
-        text = F.regexp_replace(text, rf"(?i)(?<![\w]){re.escape(name)}(?![\w])", names[name])
+    for name in sorted(names, key=lambda n: -len(n)):
+        text = F.regexp_replace(text, rf"(?i)\b{re.escape(name)}\b", names[name].replace("\\", "\\\\").replace("$", "\\$"))
     return text
 
 
 def quality_band(score: Column) -> Column:
-    return F.when(score >= 4.5, "Excellent").when(score >= 3.5, "Good").when(score >= 2.5, "Fair").when(score >= 1.5, "Poor").otherwise("Very poor")
+    return F.when(score >= 4.5, "excellent").when(score >= 3.5, "good").when(score >= 2.5, "average").when(score >= 1.5, "bad").otherwise("very_bad")
+
+
+def unset(value: Column) -> Column:
+    """Whether a setting spells nothing: null, blank, ``none``, ``null`` or ``~``."""
+    return value.isNull() | F.lower(F.trim(value.cast("string"))).isin("", "none", "null", "~")

@@ -64,3 +64,10 @@ def checked_size(items: DataFrame, vector: str) -> int:
     if seen["bad"] or seen["a"] != seen["b"]:
         raise ValueError(f"vectors differ in length ({seen['a']} to {seen['b']}) or {seen['bad']} are zero or missing")
     return seen["a"]
+
+
+def stored_unless_unit(vector: Column, slack: float = 1e-4) -> Column:
+    """The vector in single precision, normalised only where its squared length is more than ``slack`` off one."""
+    single = F.transform(vector, lambda x: x.cast("float"))
+    square = F.aggregate(single, F.lit(0.0).cast("float"), lambda a, x: (a + x * x).cast("float")).cast("double")
+    return F.when(F.abs(square - 1) > slack, stored_unit(single)).otherwise(single)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnlake.functions.text import TOKENIZERS
+from cairnlake.session import durable
 
 #: Term saturation and length normalisation, and the least idf.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -15,7 +16,7 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 @dataclass
 class TextIndex:
-    """postings (term, doc_id, tf), doc_len (doc_id, dl), term_df (term, df) and corpus (n, avgdl), one row."""
+    """postings (term, doc_id, tf, dl), doc_len (doc_id, dl), term_df (term, df) and corpus (n, avgdl), one row."""
 
     postings: DataFrame
     doc_len: DataFrame
@@ -24,11 +25,30 @@ class TextIndex:
     tokenizer: str = "unicode61"
 
 
+def _tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
+    if tokenizer not in TOKENIZERS:
+        raise ValueError(f"no tokenizer is called {tokenizer!r}; there are {', '.join(TOKENIZERS)}")
+    return docs.select("doc_id", TOKENIZERS[tokenizer](F.col("text")).alias("tokens"))
+
+
+def doc_lengths(docs: DataFrame, tokenizer: str = "unicode61") -> DataFrame:
+    return _tokens(docs, tokenizer).select("doc_id", F.size("tokens").cast("long").alias("dl"))
+
+
+def document_frequencies(docs: DataFrame, tokenizer: str = "unicode61") -> DataFrame:
+    """(term, df): distinct terms are taken inside each document, so only counts are shuffled."""
+    return _tokens(docs, tokenizer).select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def build_index(docs: DataFrame, tokenizer: str = "unicode61") -> TextIndex:
-    """Index (doc_id, text); null texts have no tokens and count as documents."""
-    tokens = docs.select("doc_id", TOKENIZERS[tokenizer](F.col("text")).alias("tokens"))
-    doc_len = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"))
-    postings = tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    """Index (doc_id, text); null texts have no tokens and count as documents. doc_id is unique.
+
+    Postings and lengths are written once; the other tables are aggregates of them.
+    """
+    tokens = _tokens(docs, tokenizer)
+    doc_len = durable(tokens.select("doc_id", F.size("tokens").cast("long").alias("dl")))
+    each = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    postings = durable(each.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl"))
     term_df = postings.groupBy("term").agg(F.count("*").alias("df"))
     corpus = doc_len.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
     return TextIndex(postings, doc_len, term_df, corpus, tokenizer)
@@ -47,13 +67,18 @@ def idf(n: Column, df: Column) -> Column:
 def scores(index: TextIndex, queries: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """(query_id, item_id, bm25_raw) of the documents that hold a query term; of ``candidates`` (query_id, item_id) only, if given.
 
-    Statistics are those of the whole corpus either way. Postings are cut to the queries' terms before they are joined.
+    Statistics are those of the whole corpus either way. Candidates meet the terms of their query first and then the
+    postings by document and term, so that a common term gathers nothing. Without candidates postings are cut to
+    the queries' terms, and a document's scores are added up where its matches lie.
     """
-    terms = query_terms(queries, index.tokenizer).join(index.term_df, "term")
-    hits = index.postings.join(terms, "term").withColumnRenamed("doc_id", "item_id")
+    terms = query_terms(queries, index.tokenizer)
+    terms = terms.join(index.term_df.join(terms.select("term").distinct(), "term", "left_semi"), "term")
+    postings = index.postings.withColumnRenamed("doc_id", "item_id")
     if candidates is not None:
-        hits = hits.join(candidates.select("query_id", "item_id"), ["query_id", "item_id"], "left_semi")
-    placed = hits.join(index.doc_len.withColumnRenamed("doc_id", "item_id"), "item_id").crossJoin(F.broadcast(index.corpus))
+        hits = candidates.select("query_id", "item_id").join(terms, "query_id").join(postings, ["item_id", "term"])
+    else:
+        hits = postings.join(terms, "term").repartition("item_id")
+    placed = hits.crossJoin(F.broadcast(index.corpus))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return placed.groupBy("query_id", "item_id").agg(F.sum(F.col("qtf") * idf(F.col("n"), F.col("df")) * part).alias("bm25_raw"))
 

@@ -2,27 +2,45 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.operators import bm25, hybrid, sampling
+from cairnlake.functions.text import category_tokens, present
+from cairnlake.operators import bm25, constraints, hybrid, sampling
 from cairnlake.operators.providers import with_embedding
-from cairnlake.session import durable
+from cairnlake.operators.transcripts import closing_line
+from cairnlake.session import discard, durable
 
-#: Questions of the system's side.
+#: Phrases of both sides; one is drawn for each turn by the dialogue and the round.
+GREETINGS = ["Hello! What are you looking for?", "Hi, what can I find for you?", "Welcome. What shall it be today?"]
 QUESTIONS = ["Could you tell me more about what you want?", "What else should it be like?", "Any other details?", "What matters most to you?"]
+OFFERS = ["How about \"{}\"?", "You might like \"{}\".", "My choice for you is \"{}\"."]
+REFUSALS = ["No, that is not it.", "Not what I had in mind.", "I would rather see another one."]
+SMALL_TALK = ["Nice talking to you!", "Good to know.", "That sounds lovely."]
+NO_PREFERENCE = "I have no preference."
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits of a dialogue: questions asked, recommendations shown, rounds in all, words a user gives away in an answer."""
+    """Limits and manners of a dialogue.
 
+    ``mode`` is free (open questions, the user tells words of the target's text), static (questions about ``attributes`` in
+    their order) or adaptive (about the attributes that each dialogue's column ``asks`` lists, then those of ``attributes``
+    that it lacks). ``attributes`` maps columns of the items to the labels they are asked by.
+    """
+
+    mode: str = "free"
     max_questions: int = 3
     max_shown: int = 6
     max_rounds: int = 30
     words_per_answer: int = 4
+    shown_at_once: int = 1
+    small_talk: float = 0.0
+    attributes: dict[str, str] = field(default_factory=dict)
     seed: int = 2025
 
 
@@ -39,45 +57,140 @@ def answer(target_text: Column, round_no: int, rules: Rules) -> Column:
     return F.array_join(F.slice(words, 1 + (round_no - 1) * rules.words_per_answer, rules.words_per_answer), " ")
 
 
+def admits(queries: pd.DataFrame, items: pd.DataFrame) -> np.ndarray:
+    """Pairs that the constraints of a query allow, for :func:`cairnlake.operators.knn.nearest`.
+
+    queries: low, high (years), excluded (genre words), required (genre phrases) and excluded_ids; items: year, genre_words.
+    A genre is required as consecutive words, excluded by any word; an item without a year is in no range.
+    """
+    year = items["year"].to_numpy(float)
+    spelt = [" " + " ".join(w if w is not None else ()) + " " for w in items["genre_words"]]
+    ids = items["item_id"].to_numpy()
+    holding: dict[str, np.ndarray] = {}
+
+    def holds(phrase: str) -> np.ndarray:
+        if phrase not in holding:
+            holding[phrase] = np.fromiter((f" {phrase} " in s for s in spelt), bool, len(spelt))
+        return holding[phrase]
+
+    out = np.ones((len(queries), len(items)), bool)
+    for row, (low, high, excluded, required, gone) in enumerate(zip(*(queries[c] for c in ("low", "high", "excluded", "required", "excluded_ids")), strict=True)):
+        if low == low and low is not None:
+            out[row] &= (year >= low) & (year <= high)
+        for word in excluded if excluded is not None else ():
+            out[row] &= ~holds(word)
+        if required is not None and len(required):
+            out[row] &= np.logical_or.reduce([holds(p) for p in required])
+        if gone is not None and len(gone):
+            out[row] &= ~np.isin(ids, gone)
+    return out
+
+
+def _asked(state: DataFrame, round_no: int, rules: Rules) -> DataFrame:
+    """The question of this round and its answer, for dialogues that have one left; a question and answer is one turn."""
+    if round_no > rules.max_questions:
+        return state
+    pick = lambda pool: sampling.picked(pool, rules.seed, F.col("dialogue_id"), F.lit(round_no))
+    if rules.mode == "free":
+        ask, question, reply, fact = F.lit(True), pick(QUESTIONS), answer(F.col("target_text"), round_no, rules), F.lit(None).cast("string")
+    else:
+        attribute = F.get("asks", round_no - 1)
+        labels = F.create_map(*(F.lit(x) for pair in rules.attributes.items() for x in pair)) if rules.attributes else F.create_map().cast("map<string,string>")
+        label, value = F.coalesce(labels[attribute], attribute), F.try_element_at("target_facts", attribute)
+        ask, question = attribute.isNotNull(), F.concat(F.lit("What is your preference for "), label, F.lit("?"))
+        reply = F.when(value.isNull(), NO_PREFERENCE).otherwise(F.concat(F.lit("I would like "), value, F.lit(" for "), label, F.lit(".")))
+        fact = F.when(value.isNotNull(), F.concat_ws(" ", label, value))
+    small = F.when(sampling.happens(rules.small_talk, rules.seed + 1, F.col("dialogue_id"), F.lit(round_no)), F.concat(F.lit("[chit-chat] "), pick(SMALL_TALK), F.lit(" "))).otherwise("")
+    lines = F.concat(F.lit("Bot: "), small, question, F.lit("\nUser: "), reply, F.lit("\n"))
+    return state.withColumns({
+        "facts": F.when(ask & fact.isNotNull(), F.array_append("facts", fact)).otherwise(F.col("facts")),
+        "said": F.when(ask, F.array_append("said", reply)).otherwise(F.col("said")),
+        "turns": F.col("turns") + ask.cast("int"),
+        "transcript": F.when(ask, F.concat("transcript", lines)).otherwise(F.col("transcript")),
+    })
+
+
+def _queries(state: DataFrame, rules: Rules) -> DataFrame:
+    """The search of each open dialogue: its text, and the constraints that the user has spoken out.
+
+    Free dialogues search by all the user has said, with the refusals once more behind it, and parse the same text; the
+    others search by the facts collected and the refusals, and parse what the user has said.
+    """
+    said = F.array_join("said", " ")
+    refused = F.array_join(F.transform("refusals", lambda r: F.concat(F.lit(" I do not want: "), r)), "")
+    text = F.concat(said, refused) if rules.mode == "free" else F.concat(F.array_join("facts", " "), refused)
+    parsed = text if rules.mode == "free" else said
+    low, high = constraints.year_range(parsed)
+    words = F.array_distinct(F.flatten(F.transform(constraints.excluded_genres(parsed), category_tokens)))
+    phrases = F.transform(constraints.required_genres(parsed), lambda g: F.array_join(category_tokens(g), " "))
+    return state.select("query_id", text.alias("text"), low.cast("double").alias("low"), high.cast("double").alias("high"), words.alias("excluded"), phrases.alias("required"), "excluded_ids")
+
+
 def simulate(dialogues: DataFrame, items: DataFrame, index: bm25.TextIndex, weights: hybrid.Weights = hybrid.Weights(threshold=0.0), rules: Rules = Rules()) -> DataFrame:
     """(dialogue_id, user_id, target_id, status, succeed, turns, shown, rounds, transcript) of each dialogue.
 
-    items: (item_id, title, text, vector). In each round the user of every open dialogue gives more of the target while questions
-    are left; the words so far are embedded and searched, and the best item not yet rejected is shown. The user accepts an
-    item whose title is the target's and rejects any other. A dialogue ends when accepted (success), when ``max_shown``
-    items were shown (max_shown), or after ``max_rounds`` rounds (max_rounds); one whose target is not in the catalogue
-    ends at once (target_not_found). Turns count answers, items shown, and the closing of a failure. The state is a
-    written table after each round, of open dialogues only.
+    dialogues: (dialogue_id, user_id, target_id), and if wanted excluded_ids (never shown), asks (attributes, adaptive mode),
+    long_profile and short_profile (vectors that join the score). items: (item_id, title, text, vector), and if wanted year,
+    category and the columns of ``rules.attributes``. The index must be durable: it is read in every round.
+
+    In each round the user of every open dialogue answers a question while there are any left, the items that its
+    constraints admit are searched, and the best that were not refused are shown. The user accepts if one of them bears
+    the target's title and refuses otherwise. A dialogue ends when accepted (success), after ``max_shown`` rounds that
+    showed something (max_shown), or after ``max_rounds`` rounds (max_rounds); one whose target is not in the catalogue
+    ends at once (target_not_found). The greeting is the first turn, each answer, each round that shows items and the
+    closing of a failure are one more. Only open dialogues are held in the table that is written after each round.
     """
-    targets = items.select(F.col("item_id").alias("target_id"), F.col("title").alias("target_title"), F.col("text").alias("target_text"))
-    state = dialogues.join(targets, "target_id", "left").withColumns({"said": F.lit(""), "shown": F.lit(0), "turns": F.lit(1), "rejected": F.array().cast("array<bigint>"), "transcript": F.lit("")})
-    missing = state.where("target_title IS NULL").withColumns({"status": F.lit("target_not_found"), "rounds": F.lit(0)})
-    finished, state = [missing], durable(state.where("target_title IS NOT NULL"))
-    for round_no in range(1, rules.max_rounds + 1):
-        if state.isEmpty():
-            break
-        if round_no <= rules.max_questions:
-            question = sampling.picked(QUESTIONS, rules.seed, F.col("dialogue_id"), F.lit(round_no))
-            reply = answer(F.col("target_text"), round_no, rules)
-            state = state.withColumns({"said": F.trim(F.concat_ws(" ", "said", reply)), "turns": F.col("turns") + 1, "transcript": F.concat("transcript", F.lit("Bot: "), question, F.lit("\nUser: "), reply, F.lit("\n"))})
-        state = durable(state.withColumn("query_id", F.xxhash64("dialogue_id")))
-        queries = with_embedding(state.select("query_id", F.col("said").alias("text")), "text", "vector")
-        found = hybrid.ranked(hybrid.gated(hybrid.candidates(index, queries, items.select("item_id", "vector"), weights), weights.threshold).withColumn("score", F.col("base_score")), 3 * weights.k)
+    facts = F.map_filter(F.create_map(*(x for c in rules.attributes for x in (F.lit(c), F.when(present(F.col(c)), F.trim(F.col(c).cast("string")))))) if rules.attributes else F.create_map().cast("map<string,string>"), lambda _, v: v.isNotNull())
+    targets = items.select(F.col("item_id").alias("target_id"), F.col("title").alias("target_title"), F.col("text").alias("target_text"), facts.alias("target_facts"))
+    year = F.col("year").cast("double") if "year" in items.columns else F.lit(None).cast("double")
+    genres = category_tokens(F.col("category")) if "category" in items.columns else F.array().cast("array<string>")
+    catalogue = items.select("item_id", "vector", year.alias("year"), genres.alias("genre_words"))
+    id_type = items.schema["item_id"].dataType.simpleString()
+    none = F.array().cast("array<string>")
+    listed = F.array(*map(F.lit, rules.attributes)) if rules.attributes else none
+    asks = F.array_union("asks", listed) if rules.mode == "adaptive" and "asks" in dialogues.columns else listed
+    given = F.col("excluded_ids") if "excluded_ids" in dialogues.columns else F.lit(None).cast(f"array<{id_type}>")
+    profiles = [F.col(c) if c in dialogues.columns else F.lit(None).cast("array<double>").alias(c) for c in ("long_profile", "short_profile")]
+    begun = dialogues.select("dialogue_id", "user_id", "target_id", given.alias("excluded_ids"), asks.alias("asks"), *profiles).join(targets, "target_id", "left")
+    greeting = F.concat(F.lit("Bot: "), sampling.picked(GREETINGS, rules.seed, F.col("dialogue_id"), F.lit(0)), F.lit("\n"))
+    begun = begun.withColumns({"said": none, "facts": none, "refusals": none, "shown": F.lit(0), "turns": F.lit(1), "rejected": F.array().cast(f"array<{id_type}>"), "transcript": greeting, "query_id": F.xxhash64("dialogue_id")})
+    begun = durable(begun)
+    finished = [begun.where("target_title IS NULL").withColumns({"status": F.lit("target_not_found"), "rounds": F.lit(0)})]
+    state, round_no = begun.where("target_title IS NOT NULL"), 0
+    while round_no < rules.max_rounds and not state.isEmpty():
+        round_no += 1
+        state = durable(_asked(state, round_no, rules))
+        queries = durable(with_embedding(_queries(state, rules), "text", "vector").join(state.select("query_id", "long_profile", "short_profile"), "query_id"))
+        found = hybrid.gated(hybrid.candidates(index, queries, catalogue, weights, admits), weights.threshold)
+        found = hybrid.ranked(hybrid.with_profiles(found, queries, catalogue, weights), weights.k)
         fresh = found.join(state.select("query_id", "rejected"), "query_id").where(~F.array_contains("rejected", F.col("item_id")))
-        best = fresh.groupBy("query_id").agg(F.min_by("item_id", "rank").alias("item_id")).join(items.select("item_id", F.col("title").alias("shown_title")), "item_id")
-        met = state.join(best, "query_id", "left")
-        seen, accepted = F.col("item_id").isNotNull(), F.coalesce(F.col("shown_title") == F.col("target_title"), F.lit(False))
-        line = F.when(seen, F.concat(F.lit("Bot: How about '"), "shown_title", F.lit("'?\nUser: "), F.when(accepted, "Yes, that is it.").otherwise("No, not that one."), F.lit("\n"))).otherwise("")
-        met = met.withColumns({"accepted": accepted, "shown": F.col("shown") + seen.cast("int"), "turns": F.col("turns") + seen.cast("int"), "transcript": F.concat("transcript", line), "rejected": F.when(seen & ~accepted, F.array_append("rejected", F.col("item_id"))).otherwise(F.col("rejected"))})
+        named = fresh.join(items.select("item_id", "title"), "item_id").groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("rank", "item_id", "title"))), 1, rules.shown_at_once).alias("offer"))
+        met = state.join(named, "query_id", "left")
+        seen = F.col("offer").isNotNull()
+        titles = F.transform("offer", lambda o: o["title"])
+        accepted = F.coalesce(F.array_contains(titles, F.col("target_title")), F.lit(False))
+        pick = lambda pool: sampling.picked(pool, rules.seed, F.col("dialogue_id"), F.lit(round_no), F.lit("offer"))  # noqa: B023, E731
+        offer = F.replace(pick(OFFERS), F.lit("{}"), F.get(titles, 0)) if rules.shown_at_once == 1 else F.concat(F.lit("Here is what I found:\n"), F.array_join(F.transform(titles, lambda t: F.concat(F.lit("- "), t)), "\n"))
+        reply = F.when(accepted, F.concat(F.lit("Yes, \""), "target_title", F.lit("\" is what I want."))).otherwise(pick(REFUSALS))
+        met = met.withColumns({
+            "accepted": accepted,
+            "shown": F.col("shown") + seen.cast("int"),
+            "turns": F.col("turns") + seen.cast("int"),
+            "transcript": F.when(seen, F.concat("transcript", F.lit("Bot: "), offer, F.lit("\nUser: "), reply, F.lit("\n"))).otherwise(F.col("transcript")),
+            "said": F.when(seen, F.array_append("said", reply)).otherwise(F.col("said")),
+            "refusals": F.when(seen & ~accepted, F.array_append("refusals", reply)).otherwise(F.col("refusals")),
+            "rejected": F.when(seen & ~accepted, F.concat("rejected", F.transform("offer", lambda o: o["item_id"]))).otherwise(F.col("rejected")),
+        })
         status = F.when(F.col("accepted"), "success").when(F.col("shown") >= rules.max_shown, "max_shown").when(F.lit(round_no >= rules.max_rounds), "max_rounds")
-        met = durable(met.withColumns({"status": status, "rounds": F.lit(round_no)}).drop("query_id", "item_id", "shown_title", "accepted"))
-        finished.append(met.where("status IS NOT NULL"))
-        state = met.where("status IS NULL").drop("status", "rounds")
+        held, asked = durable(met.withColumns({"status": status, "rounds": F.lit(round_no)}).drop("offer", "accepted")), state
+        discard(asked, queries)
+        finished.append(held.where("status IS NOT NULL"))
+        state = held.where("status IS NULL").drop("status", "rounds")
     out = finished[0]
     for part in finished[1:]:
         out = out.unionByName(part)
-    won = F.col("status") == "success"
-    ending = F.when(won, F.concat(F.lit("System: accepted '"), "target_title", F.lit("'."))).otherwise(F.concat(F.lit("System: not found: '"), F.coalesce("target_title", F.lit("")), F.lit("'.")))
+    won, title = F.col("status") == "success", F.coalesce("target_title", F.lit(""))
+    ending = F.when(won, closing_line("success", title, F.col("target_id"))).when(F.col("status") == "max_rounds", closing_line("max_total_rounds", title, F.col("target_id"))).otherwise(closing_line("max_rec_attempts", title, F.col("target_id")))
     return out.select("dialogue_id", "user_id", "target_id", "status", won.cast("int").alias("succeed"), (F.col("turns") + (~won).cast("int")).alias("turns"), "shown", "rounds", F.concat("transcript", ending).alias("transcript"))
 
 
@@ -86,16 +199,7 @@ def spoken_lines(dialogues: DataFrame, dialogue_id: str = "dialogue_id", text: s
 
     Lines without a speaker go on with the one before them.
     """
-    each = dialogues.select(dialogue_id, F.posexplode(F.split(text, "\n")).alias("line", "raw")).where("trim(raw) <> '' AND raw NOT LIKE '- %' AND raw NOT LIKE '<FALLBACK>%'")
+    each = dialogues.select(dialogue_id, F.posexplode(F.split(text, "\n")).alias("line", "raw")).where("trim(raw) <> '' AND raw NOT LIKE '- %' AND ltrim(raw) NOT LIKE 'System: <FALLBACK>%'")
     speaker = F.regexp_extract("raw", r"^(\w+): ", 1)
     marked = each.withColumn("own", F.when(speaker != "", speaker)).withColumn("said", F.regexp_replace("raw", r"^\w+: ", ""))
     return marked.selectExpr(dialogue_id, "line", f"last_value(own, true) OVER (PARTITION BY {dialogue_id} ORDER BY line) AS speaker", "said")
-
-
-def outcome(text: Column) -> Column:
-    """success, max_shown:target_rejected, max_shown:target_not_shown or incomplete, from a transcript's closing line."""
-    ok = F.regexp_extract(text, r"(?m)^System: accepted '(.*)'\.$", 1)
-    title = F.regexp_extract(text, r"(?m)^System: not found: '(.*)'\.$", 1)
-    said = F.array_join(F.filter(F.split(text, "\n"), lambda x: x.startswith("Bot:")), "\n")
-    shown = (title != "") & F.contains(F.lower(said), F.lower(title))
-    return F.when(ok != "", "success").when(shown, "max_shown:target_rejected").when(title != "", "max_shown:target_not_shown").otherwise("incomplete")

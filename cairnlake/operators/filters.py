@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.functions.text import category_tokens, contains_sequence
+from cairnlake.functions.text import category_tokens
 
 
 def not_excluded(item_id: Column, excluded: Column) -> Column:
@@ -21,8 +21,9 @@ def no_excluded_genre(category: Column, genres: Column) -> Column:
 
 def any_required_genre(category: Column, genres: Column) -> Column:
     """True if the words of one genre stand in the category one after the other, or no list is given."""
-    tokens = category_tokens(category)
-    return genres.isNull() | F.exists(F.coalesce(genres, F.array().cast("array<string>")), lambda g: contains_sequence(tokens, category_tokens(g)))
+    tokens = F.concat(F.lit(" "), F.array_join(category_tokens(category), " "), F.lit(" "))
+    phrase = lambda g: F.array_join(category_tokens(g), " ")
+    return genres.isNull() | F.exists(F.coalesce(genres, F.array().cast("array<string>")), lambda g: (phrase(g) != "") & F.contains(tokens, F.concat(F.lit(" "), phrase(g), F.lit(" "))))
 
 
 def in_years(year: Column, low: Column, high: Column) -> Column:
@@ -66,8 +67,29 @@ def usable_ids(rows: DataFrame, column: str) -> DataFrame:
     return rows.where(F.col(column).isNotNull() & ~F.lower(F.trim(F.col(column).cast("string"))).isin("", "nan"))
 
 
-def near_length(rows: DataFrame, column: str, low: int, high: int, slack: int = 2) -> DataFrame:
-    """Rows within the range widened by ``slack``; if none, those up to its upper end; if none again, all rows."""
-    inside = rows.where(F.col(column).between(max(1, low - slack), high + slack))
-    below = rows.where(F.col(column) <= high + slack)
-    return next((r for r in (inside, below) if not r.isEmpty()), rows)
+def near_length(rows: DataFrame, column: str, low: int, high: int, least_rows: int, slack: int = 2, cap: int | None = None) -> DataFrame:
+    """Rows within the range widened by ``slack`` (from 1 on, up to ``cap``); if these are under ``least_rows``, all up to the cap.
+
+    Without a cap, and if even those are under ``least_rows``, all rows. Rows with a null are in none but the last.
+    """
+    top = high + slack if cap is None else min(high + slack, cap)
+    inside = F.col(column).between(max(1, low - slack), top)
+    below = F.col(column).isNotNull() if cap is None else F.col(column) <= cap
+    n = rows.agg(F.count_if(inside).alias("inside"), F.count_if(below).alias("below")).first()
+    return rows.where(inside) if n["inside"] >= least_rows else rows.where(below) if n["below"] >= least_rows else rows
+
+
+def empty_filters(items: DataFrame, low: Column, high: Column, required: Column) -> DataFrame:
+    """(reason, value, column) of the filters that no item can pass whatever the others do: a missing column or no hit.
+
+    The genre reason looks at the filter's own hits, not at those that the years leave.
+    """
+    null = F.lit(None).cast("string")
+    have_year, have_category = "year" in items.columns, "category" in items.columns
+    years = F.count_if(in_years(F.col("year"), low, high)) if have_year else F.lit(0)
+    genres = F.count_if(any_required_genre(F.col("category"), required)) if have_category else F.lit(1)
+    value = F.concat_ws("-", F.coalesce(low.cast("int").cast("string"), F.lit("")), F.coalesce(high.cast("int").cast("string"), F.lit("")))
+    seen = items.agg(years.alias("__y"), genres.alias("__g"), F.count("*").alias("__n"))
+    year = F.when((low.isNotNull() | high.isNotNull()) & (F.col("__y") == 0), F.struct(F.lit("year_range").alias("reason"), value.alias("value"), F.lit("year").alias("column")))
+    genre = F.when(required.isNotNull() & (F.col("__g") == 0), F.struct(F.lit("require_any_genre").alias("reason"), F.coalesce(F.array_join(required, ","), null).alias("value"), F.lit("category").alias("column")))
+    return seen.select(F.explode(F.filter(F.array(year, genre), lambda x: x.isNotNull())).alias("r")).select("r.*")

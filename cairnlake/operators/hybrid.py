@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cairnlake.functions import vectors as V
 from cairnlake.operators import bm25
 from cairnlake.operators.knn import Mask, nearest
+from cairnlake.session import durable
 
 
 @dataclass(frozen=True)
@@ -27,8 +28,9 @@ def candidates(index: bm25.TextIndex, queries: DataFrame, items: DataFrame, weig
     """(query_id, item_id, knn_rank, cos_score, bm25_norm, base_score) of the 3 k nearest admitted items of each query.
 
     queries: (query_id, vector, text, ...); BM25 never adds an item, and is scaled over its hits among the candidates.
+    The neighbours are written once, at most 3 k rows a query.
     """
-    near = nearest(queries, items, 3 * weights.k, mask).withColumnRenamed("rank", "knn_rank")
+    near = durable(nearest(queries, items, 3 * weights.k, mask).withColumnRenamed("rank", "knn_rank"))
     hits = bm25.scaled(bm25.scores(index, queries, near))
     both = near.join(hits, ["query_id", "item_id"], "left").withColumn("bm25_norm", F.coalesce("bm25_norm", F.lit(0.0)))
     return both.select("query_id", "item_id", "knn_rank", "cos_score", "bm25_norm", (weights.bm25 * F.col("bm25_norm") + (1 - weights.bm25) * F.col("cos_score")).alias("base_score"))
@@ -67,6 +69,7 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
 
 def search(index: bm25.TextIndex, queries: DataFrame, items: DataFrame, weights: Weights = Weights(), mask: Mask | None = None) -> DataFrame:
     """One retrieval call for each query: (query_id, rank, item_id, score, base_score, cos_score, bm25_norm)."""
+    checked_dimension(queries, items)
     found = gated(candidates(index, queries, items, weights, mask), weights.threshold)
     out = ranked(with_profiles(found, queries, items, weights), weights.k)
     return out.select("query_id", "rank", "item_id", "score", "base_score", "cos_score", "bm25_norm")
@@ -80,3 +83,27 @@ def first_items(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """
     head = items.orderBy("item_id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy("item_id")))
     return queries.select("query_id").join(F.broadcast(head.select("rank", "item_id")))
+
+
+def overlap(queries: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """(query_id, jaccard) of two result lists (query_id, item_id); 1 for a query without a hit in either."""
+    a, b = (d.select("query_id", "item_id", F.lit(True).alias(n)) for d, n in ((first, "__a"), (second, "__b")))
+    met = a.join(b, ["query_id", "item_id"], "full_outer").groupBy("query_id").agg((F.count_if(F.col("__a") & F.col("__b")) / F.count("*")).alias("jaccard"))
+    return queries.select("query_id").distinct().join(met, "query_id", "left").select("query_id", F.coalesce("jaccard", F.lit(1.0)).alias("jaccard"))
+
+
+def checked_dimension(queries: DataFrame, items: DataFrame, vector: str = "vector") -> int:
+    """The one length of all vectors of both tables; an error names the lengths if there are several, or none."""
+    sizes = queries.select(F.size(vector).alias("n"), F.lit("queries").alias("side")).unionAll(items.select(F.size(vector), F.lit("items")))
+    seen = sizes.where("n >= 0").groupBy("side").agg(F.min("n").alias("low"), F.max("n").alias("high")).collect()
+    found = {n for r in seen for n in (r["low"], r["high"])}
+    if len(found) != 1:
+        raise ValueError(f"vectors of queries and items differ in length: {sorted((r['side'], r['low'], r['high']) for r in seen)}")
+    return found.pop()
+
+
+def offered(results: DataFrame, refused: DataFrame, keys: list[str], item: str, order: list[str], n: int) -> DataFrame:
+    """(keys, item, place) of the first ``n`` results of each key that were not refused; of an item that repeats, the first."""
+    kept = results.join(refused.select(*keys, item).distinct(), [*keys, item], "left_anti")
+    once = kept.groupBy(*keys, item).agg(F.min(F.struct(*order)).alias("__first"))
+    return once.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("__first"))).where(F.col("place") <= n).drop("__first")

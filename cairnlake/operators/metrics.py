@@ -30,9 +30,23 @@ def speaker_stats(lines: DataFrame, speaker: str = "role", text: str = "text") -
 
 
 def side_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """n, aborted, succeeded, completion rate over all rows, mean turns over the completed ones, of (completed, succeeded, turns)."""
+    """n, aborted, succeeded, completion rate over all rows, mean turns and attempts over the completed ones.
+
+    rows: (completed, succeeded, turns), and if there are any (attempts, reason); reasons are counted as ``reason:n``, sorted.
+    """
     done = F.col("completed")
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(~done).alias("aborted"), F.count_if(done & F.col("succeeded")).alias("succeeded"), F.avg((done & F.col("succeeded")).cast("int")).alias("completion_rate"), F.avg(F.when(done, F.col("turns"))).alias("mean_turns"))
+    more = [F.avg(F.when(done, F.col("attempts"))).alias("mean_attempts")] if "attempts" in rows.columns else []
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(~done).alias("aborted"), F.count_if(done & F.col("succeeded")).alias("succeeded"), F.avg((done & F.col("succeeded")).cast("int")).alias("completion_rate"), F.avg(F.when(done, F.col("turns"))).alias("mean_turns"), *more)
+    if "reason" not in rows.columns:
+        return out
+    each = rows.groupBy(*keys, "reason").agg(F.count("*").alias("__n")).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "reason", "__n"))), ",").alias("reasons"))
+    return out.join(each, keys)
+
+
+def conversation_stats(rows: DataFrame, keys: list[str], percent: bool = False) -> DataFrame:
+    """n, mean of succeed, turns and attempts of (succeed, turns, attempts); ``percent`` gives succeed in hundredths to one digit."""
+    rate = F.round(100 * F.avg("succeed"), 1) if percent else F.avg("succeed")
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), rate.alias("success"), F.avg("turns").alias("mean_turns"), F.avg("attempts").alias("mean_attempts"))
 
 
 def paired_difference(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
@@ -53,10 +67,17 @@ def side_by_side(rows: DataFrame, side: str, dimensions: list[str], names: tuple
 
 
 def rate_windows(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """``events`` with in_window: events of the key in the ``seconds`` up to and with each event."""
-    at = F.col(ts).cast("timestamp")
-    span = Window.partitionBy(key).orderBy(F.unix_micros(at)).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("in_window", F.count("*").over(span))
+    """``events`` with in_window: events of the key in the ``seconds`` up to and with each event.
+
+    Time is cut into buckets of that length, and each bucket also gets the rows of the one before it, so that a key with
+    very many events is spread over its buckets.
+    """
+    span = seconds * 1_000_000
+    timed = events.withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp")))
+    bucket = F.floor(F.col("__t") / span)
+    both = timed.withColumn("__own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("__b", F.when(F.col("__own"), bucket).otherwise(bucket + 1))
+    window = Window.partitionBy(key, "__b").orderBy("__t").rangeBetween(-span, 0)
+    return both.withColumn("in_window", F.count("*").over(window)).where("__own").drop("__t", "__b", "__own")
 
 
 def embedding_plan(texts: DataFrame, cache: DataFrame, key: list[str], batch: int = 100) -> DataFrame:
@@ -73,8 +94,14 @@ def run_counters(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.groupBy(*keys).agg(F.count("*").alias("calls"), F.count_if("used_fallback").alias("fallbacks"), F.count("error_type").alias("errors"))
 
 
+def exit_code(counters: DataFrame, failed_profiles: int = 0, unfinished: int = 0) -> int:
+    """3 after any replaced call, failed profile or unfinished dialogue, else 0; counters: (fallbacks, ...)."""
+    seen = counters.agg(F.coalesce(F.sum("fallbacks"), F.lit(0)).alias("n")).first()["n"]
+    return 3 if seen + failed_profiles + unfinished else 0
+
+
 def content_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """n and an order-free digest of rows: the sum of the leading 15 hex digits of each row's md5."""
+    """n and an order-free digest of rows: the sum of the leading 12 hex digits of each row's md5."""
     text = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
     return rows.agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")).cast("decimal(30,0)").cast("string").alias("digest"))
 

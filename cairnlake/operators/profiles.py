@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnlake.operators import sampling
+
 
 def top_values(rows: DataFrame, user: str, value: str, order: list[str], k: int = 8, separator: str | None = ",") -> DataFrame:
     """(user, rank, value, n): the ``k`` commonest values of each user, ties by first appearance.
@@ -65,3 +67,24 @@ def rated_exclusions(ratings: DataFrame, targets: DataFrame) -> DataFrame:
     """(user, target, n_excluded): how many distinct items each user has rated besides the target."""
     both = targets.join(ratings.select("user", "item").distinct(), "user", "left")
     return both.groupBy("user", "target").agg(F.count_if(F.col("item") != F.col("target")).alias("n_excluded"))
+
+
+def excluded_items(ratings: DataFrame, targets: DataFrame) -> DataFrame:
+    """(user, target, excluded): the distinct items each user has rated besides the target, sorted; ids as the ratings spell them."""
+    both = targets.join(ratings.select("user", "item").distinct(), "user", "left")
+    return both.groupBy("user", "target").agg(F.array_sort(F.collect_list(F.when(F.col("item") != F.col("target"), F.col("item")))).alias("excluded"))
+
+
+def fresh_targets(users: DataFrame, items: DataFrame, history: DataFrame, seed: int) -> DataFrame:
+    """(user, target): an item of the catalogue that each user has no history with, the first in the user's seeded order.
+
+    Every user tries as many places of the items' seeded order as it has items in its history and one more, so that one
+    is fresh; users without a fresh item are left out.
+    """
+    n = items.count()
+    tries = users.select("user").join(history.groupBy("user").agg(F.countDistinct("item").alias("__n")), "user", "left")
+    tries = tries.withColumn("__k", F.explode(F.sequence(F.lit(0), F.least(F.coalesce("__n", F.lit(0)), F.lit(n - 1)))))
+    start = F.floor(sampling.uniform(seed, F.col("user")) * n).cast("long")
+    placed = tries.withColumn("place", F.pmod(start + F.col("__k"), F.lit(n))).join(sampling.numbered(items, "item", seed), "place")
+    fresh = placed.join(history.select("user", "item").distinct(), ["user", "item"], "left_anti")
+    return fresh.groupBy("user").agg(F.min_by("item", "__k").alias("target"))

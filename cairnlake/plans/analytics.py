@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.functions import text as T
 from cairnlake.operators import diversity as D
 from cairnlake.operators import metrics as M
 from cairnlake.operators import sampling as S
+from cairnlake.operators.strategies import interleaved
 from cairnlake.session import table
 
 
@@ -172,21 +173,19 @@ def stratified_sample(spark, sf_dir):
 
 
 def interleave(spark, sf_dir):
-    """Three profiled customers, then one without profile, and so on."""
-    own = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 4 != 3).alias("profiled"))
-    n = F.row_number().over(Window.partitionBy("profiled", "bucket").orderBy("c_custkey")) - 1
-    place = F.when(F.col("profiled"), 4 * F.floor(n / 3) + n % 3).otherwise(4 * n + 3)
-    return own.withColumn("bucket", F.floor(F.col("c_custkey") / 1000)).withColumn("place", place).select("bucket", "c_custkey", "place")
+    """Three profiled customers, then one without profile, and so on, over all of them."""
+    own = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 5 != 3).alias("profiled"))
+    return interleaved(own, "profiled", "c_custkey", 2025)
 
 
 def message_cut(spark, sf_dir):
     """Every line cut to 250 characters, and to its complete sentences."""
-    return lines(spark, sf_dir).select("conv_id", "turn", "role", T.cut_message(F.col("text")).alias("cut"), F.md5(T.complete_sentences(F.col("text"))).alias("sentences"))
+    return lines(spark, sf_dir).select("conv_id", "turn", "role", T.cut_message(F.col("text")).alias("cut"), F.md5(T.complete_sentences(F.concat("text", F.when(F.col("turn") % 3 == 0, "... ...").when(F.col("turn") % 3 == 1, " …… ").otherwise("")))).alias("sentences"))
 
 
 def category_words(spark, sf_dir):
-    """How often each Unicode word starts a document."""
-    own = table(spark, sf_dir, "documents").select(F.get(T.category_tokens(F.col("text")), 0).alias("word"))
+    """How often each Unicode word occurs in all documents."""
+    own = table(spark, sf_dir, "documents").select(F.explode(T.category_tokens(F.col("text"))).alias("word"))
     return own.groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -225,7 +224,7 @@ QUERIES = {
     "cosine_diversity": (cosine_diversity, "WITH p AS (SELECT a.label, 1 - avg(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS x FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label) SELECT e.label, count(*) AS n, round(coalesce(any_value(x), 0), 6) AS diversity FROM embeddings e LEFT JOIN p USING (label) GROUP BY e.label"),
     "judge_describe": (judge_describe, f"WITH {SCORES} SELECT lang, {DESCRIBED.format('score')} FROM s GROUP BY lang"),
     "judge_compare": (judge_compare, f"WITH {SCORES} " + " UNION ALL ".join(f"SELECT '{n}' AS dimension, {_SIDE.format(e, chr(119) + 'here lang = ' + repr('en'), 'where lang <> ' + repr('en'))} FROM s" for n, e in (("score", "score"), ("quality", "quality"), ("clean", "1 - toxic")))),
-    "quality_bands": (quality_bands, f"WITH {SCORES} SELECT CASE WHEN score >= 4.5 THEN 'Excellent' WHEN score >= 3.5 THEN 'Good' WHEN score >= 2.5 THEN 'Fair' WHEN score >= 1.5 THEN 'Poor' ELSE 'Very poor' END AS band, count(*) AS n FROM s GROUP BY band"),
+    "quality_bands": (quality_bands, f"WITH {SCORES} SELECT CASE WHEN score >= 4.5 THEN 'excellent' WHEN score >= 3.5 THEN 'good' WHEN score >= 2.5 THEN 'average' WHEN score >= 1.5 THEN 'bad' ELSE 'very_bad' END AS band, count(*) AS n FROM s GROUP BY band"),
     "corpus_gap": (corpus_gap, f"WITH w AS (SELECT role, {_WORDS} AS words, length(text) AS chars FROM conversations WHERE role <> 'system') " + " UNION ALL ".join(f"SELECT '{n}' AS dimension, {_SIDE.format(n, 'where role = ' + repr('user'), 'where role = ' + repr('assistant'))} FROM w" for n in ("words", "chars"))),
     "completion_sides": (completion_sides, f"WITH {SIDES}, u AS (SELECT 'first' AS side, * FROM a UNION ALL SELECT 'second', * FROM b) SELECT side, count(*) AS n, count_if(NOT completed)::BIGINT AS aborted, count_if(completed AND succeeded)::BIGINT AS succeeded, round(avg((completed AND succeeded)::INT), 6) AS completion_rate, round(avg(turns) FILTER (WHERE completed), 6) AS mean_turns FROM u GROUP BY side"),
     "completion_paired": (completion_paired, f"WITH {SIDES}, j AS (SELECT a.conv_id AS i, b.conv_id AS k, a.completed AND a.succeeded AS s1, b.completed AND b.succeeded AS s2, a.completed AND b.completed AS done, b.turns - a.turns AS diff FROM a FULL JOIN b USING (conv_id)), g AS (SELECT count_if(i IS NOT NULL AND k IS NOT NULL)::BIGINT AS pairs, count_if(i IS NULL)::BIGINT AS only_second, count_if(k IS NULL)::BIGINT AS only_first, count_if(i IS NOT NULL AND k IS NOT NULL AND s1 <> s2)::BIGINT AS outcome_differs, avg(diff) FILTER (WHERE done) AS turn_diff, avg(s1::INT) FILTER (WHERE i IS NOT NULL AND k IS NOT NULL) AS rate FROM j) SELECT pairs, only_second, only_first, outcome_differs, round(turn_diff, 6) AS turn_diff, round(rate, 6) AS rate, round(100 * sqrt(rate * (1 - rate) / pairs), 6) AS se_points FROM g"),
@@ -238,8 +237,8 @@ QUERIES = {
     "items_with_replacement": (items_with_replacement, f"WITH p AS (SELECT p_partkey, row_number() OVER (ORDER BY md5('2025:' || p_partkey), p_partkey) - 1 AS place FROM part), d AS (SELECT draw, floor(({_hex.format(chr(109) + 'd5(concat_ws(' + repr(':') + ', ' + repr('2025') + ', ' + repr('draw') + ', draw))')} + 0.5::DOUBLE) / (1::BIGINT << 48)::DOUBLE * (SELECT count(*) FROM part))::BIGINT AS place FROM range(500) t(draw)) SELECT draw, p_partkey FROM d JOIN p USING (place)"),
     "matched_sample": (matched_sample, f"WITH {TURNS}, o AS (SELECT * FROM tu WHERE conv_id % 2 = 0), w AS (SELECT turns, count(*) AS w FROM tu WHERE conv_id % 2 = 1 GROUP BY turns), c AS (SELECT turns, count(*) AS c FROM o GROUP BY turns) SELECT conv_id, turns FROM o JOIN w USING (turns) JOIN c USING (turns) ORDER BY round(ln(({_hex.format('md5(concat_ws(chr(58), 7, conv_id))')} + 0.5::DOUBLE) / (1::BIGINT << 48)::DOUBLE) * c / w, 9) DESC, conv_id LIMIT 30"),
     "stratified_sample": (stratified_sample, "WITH c AS (SELECT toxic, count(*) AS c FROM labels GROUP BY toxic) SELECT doc_id, l.toxic FROM labels l JOIN c ON l.toxic = c.toxic QUALIFY row_number() OVER (PARTITION BY l.toxic ORDER BY md5(concat_ws(':', '11', l.toxic, doc_id)), doc_id) <= round_even(60 * c / (SELECT count(*) FROM labels), 0)"),
-    "interleave": (interleave, "WITH n AS (SELECT c_custkey // 1000 AS bucket, c_custkey, c_custkey % 4 <> 3 AS p, row_number() OVER (PARTITION BY c_custkey // 1000, c_custkey % 4 <> 3 ORDER BY c_custkey) - 1 AS n FROM customer) SELECT bucket, c_custkey, CASE WHEN p THEN 4 * (n // 3) + n % 3 ELSE 4 * n + 3 END AS place FROM n"),
-    "message_cut": (message_cut, r"WITH h AS (SELECT *, substr(text, 1, 250) AS h, rtrim(regexp_replace(trim(text), '(\.\.\.|…)\s*$', '')) AS w FROM conversations), m AS (SELECT *, regexp_extract(h, '(?s)^(.*[.!?])', 1) AS s, regexp_extract(h, '(?s)^(.*) ', 1) AS k FROM h) SELECT conv_id, turn, role, CASE WHEN length(text) <= 250 THEN text WHEN s <> '' THEN s WHEN k <> '' THEN k || '…' ELSE h END AS cut, md5(regexp_extract(w, '(?s)^(.*[.!?])', 1)) AS sentences FROM m"),
-    "category_words": (category_words, r"SELECT regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}\p{Pc}]+')[1] AS word, count(*) AS n FROM documents GROUP BY word"),
-    "tokenizer_variants": (tokenizer_variants, r"SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{Co}]+')) AS unicode61, len(regexp_extract_all(coalesce(text, ''), '[a-zA-Z0-9\x{80}-\x{10FFFF}]+')) AS ascii, greatest(0, length(lower(coalesce(text, ''))) - 2) AS trigram FROM documents"),
+    "interleave": (interleave, "WITH n AS (SELECT c_custkey, c_custkey % 5 <> 3 AS p, row_number() OVER (PARTITION BY c_custkey % 5 <> 3 ORDER BY md5('2025:' || c_custkey), c_custkey) - 1 AS n, count_if(c_custkey % 5 <> 3) OVER () AS a, count_if(c_custkey % 5 = 3) OVER () AS b FROM customer) SELECT c_custkey, p AS profiled, CASE WHEN p THEN n + least(n // 3, b) ELSE n + least((n + 1) * 3, a) END::BIGINT AS place FROM n"),
+    "message_cut": (message_cut, r"WITH h AS (SELECT *, substr(text, 1, 250) AS h, regexp_replace(regexp_replace(regexp_replace(text || CASE turn % 3 WHEN 0 THEN '... ...' WHEN 1 THEN ' …… ' ELSE '' END, '\s+$', ''), '\s*(\.\.\.\s*)+$', ''), '\s*(…\s*)+$', '') AS w FROM conversations), m AS (SELECT *, regexp_extract(h, '(?s)^(.*[.!?])', 1) AS s, regexp_extract(h, '(?s)^(.*) ', 1) AS k FROM h) SELECT conv_id, turn, role, CASE WHEN length(text) <= 250 THEN text WHEN s <> '' THEN s WHEN k <> '' THEN k || '…' ELSE h END AS cut, md5(regexp_extract(w, '(?s)^(.*[.!?])', 1)) AS sentences FROM m"),
+    "category_words": (category_words, r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}\p{Pc}]+')) AS word FROM documents) GROUP BY word"),
+    "tokenizer_variants": (tokenizer_variants, r"SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{Co}]+')) AS unicode61, len(regexp_extract_all(coalesce(text, ''), '[a-zA-Z0-9\x{80}-\x{10FFFF}]+')) AS ascii, len(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{Co}]+')) AS porter, greatest(0, length(lower(coalesce(text, ''))) - 2) AS trigram FROM documents"),
 }

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlake.functions import text as T
-from cairnlake.operators import constraints as C
 from cairnlake.operators import filters, fuzzy, profiles
 from cairnlake.session import table
 
@@ -54,38 +53,25 @@ def filter_empty_reasons(spark, sf_dir):
     return filters.empty_reasons(parts(spark, sf_dir), 900, 999, ["small ring"])
 
 
-SENTENCES = ["something from the 80s please", "a 1970s western, no horror", "made in 1999", "around 2015 but not animation or comedy.", "from '76", "something from '05, don't want drama", "2010s movies", "I need something in Action, Thriller", "looking for a story in Science, Fiction or family", "something like Alien, but without romance", "similar to The Matrix.", "in the style of Blade Runner or reminiscent of Dark City!", "avoid sci-fi and fantasy. except documentary?", "no preference", "", "rather not musical, please"]
-
-
-def sentences(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(SENTENCES)), "sid long, text string")
-
-
-def constraint_years(spark, sf_dir):
-    low, high = C.year_range(F.col("text"))
-    return sentences(spark).select("sid", low.alias("low"), high.alias("high"))
-
-
-def constraint_genres(spark, sf_dir):
-    return sentences(spark).select("sid", F.array_join(C.excluded_genres(F.col("text")), ",").alias("excluded"), F.array_join(C.required_genres(F.col("text")), ",").alias("required"))
-
-
-def constraint_ref_titles(spark, sf_dir):
-    return sentences(spark).select("sid", F.array_join(C.reference_titles(F.col("text")), ";").alias("titles"))
-
-
-LOOKUPS = ["smal ring", "Red Widgt", "blue-bolt", "hot gears", "gizmo small", "xyzzy", "", "large platee!", "olt bold", "Blue  Gear"]
-
-
 def fuzzy_title_match(spark, sf_dir):
-    lookups = spark.createDataFrame(list(enumerate(LOOKUPS)), "lookup_id long, title string")
-    titles = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("item_id")).select("item_id", F.col("p_name").alias("title"))
+    """The name of every fiftieth part, spelt wrongly by rule, looked up among all names."""
+    part = table(spark, sf_dir, "part")
+    key, name = F.floor(F.col("p_partkey") / 50) % 4, F.col("p_name")
+    spoilt = F.when(key == 0, F.concat(F.substring(name, 2, 100), F.lit("e"))).when(key == 1, F.regexp_replace(name, "[aeo]", "")).when(key == 2, F.concat(F.upper(name), F.lit("!"))).otherwise(F.reverse(name))
+    lookups = part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("lookup_id"), spoilt.alias("title"))
+    titles = part.groupBy("p_name").agg(F.min("p_partkey").alias("item_id")).select("item_id", F.col("p_name").alias("title"))
     return fuzzy.best_titles(lookups, titles).withColumn("ratio", F.round("ratio", 6))
 
 
 def profile_top_categories(spark, sf_dir):
     rows = filters.liked(ratings(spark, sf_dir)).join(table(spark, sf_dir, "part"), F.col("item") == F.col("p_partkey"))
-    return profiles.top_values(rows, "user", "p_brand", ["ord", "line", "item"])
+    return profiles.top_values(rows.withColumn("categories", F.concat_ws(" , ", "p_type", F.lit(" "), "p_brand", F.get(F.split("p_name", " "), 0))), "user", "categories", ["ord", "line", "item"])
+
+
+def profile_top_languages(spark, sf_dir):
+    """The five commonest brands of each user, as languages are counted: unsplit, nulls left out."""
+    rows = filters.liked(ratings(spark, sf_dir)).join(table(spark, sf_dir, "part"), F.col("item") == F.col("p_partkey"))
+    return profiles.top_values(rows.withColumn("language", F.when(F.col("item") % 5 != 0, F.col("p_brand"))), "user", "language", ["ord", "line", "item"], k=5, separator=None)
 
 
 def profile_sample_titles(spark, sf_dir):
@@ -124,7 +110,7 @@ def catalog_dedupe(spark, sf_dir):
 
 
 def catalog_category_parse(spark, sf_dir):
-    code = F.concat(F.when(F.col("p_partkey") % 3 == 0, "Men_").when(F.col("p_partkey") % 3 == 1, "ladies_").otherwise("other_"), F.regexp_replace("p_name", " ", "_"))
+    code = F.concat(F.element_at(F.array(*map(F.lit, ["Men", "ladies", "divided", "newborn", "home-ware", ""])), (F.col("p_partkey") % 6 + 1).cast("int")), F.lit("_"), F.regexp_replace("p_name", " ", "_"), F.lit("_t-shirts"))
     wearer, kind = T.category_parts(code)
     return table(spark, sf_dir, "part").select("p_partkey", wearer.alias("wearer"), kind.alias("kind"))
 
@@ -165,11 +151,6 @@ def interaction_import(spark, sf_dir):
 
 RATINGS = "r AS (SELECT o_custkey AS \"user\", l_partkey AS item, 1 + l_quantity::BIGINT % 5 AS rating, o_orderdate AS ts, l_orderkey AS ord, l_linenumber AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 WORDS = "list_transform({}, lambda g: regexp_extract_all(lower(g), '\\w+'))"
-_S = ", ".join("({}, '{}')".format(i, s.replace("'", "''")) for i, s in enumerate(SENTENCES))
-_SENTENCES = f"s(sid, text) AS (VALUES {_S})"
-_quoted = lambda pattern: pattern.replace("'", "''")
-_vocab = lambda table: ", ".join(f"('{k}', '{v}')" for k, v in table.items())
-_L = ", ".join("({}, '{}')".format(i, s) for i, s in enumerate(LOOKUPS))
 LCS = "list_reduce(list_prepend(list_transform(range(len(b) + 1), lambda z: 0), list_transform(range(len(a)), lambda z: [z::INT])), lambda prev, x: list_reduce(list_prepend([0], list_transform(range(len(b)), lambda z: [z::INT])), lambda cur, y: list_append(cur, greatest(cur[len(cur)], prev[y[1] + 2], prev[y[1] + 1] + CASE WHEN a[x[1] + 1] = b[y[1] + 1] THEN 1 ELSE 0 END))))"
 
 QUERIES = {
@@ -178,18 +159,16 @@ QUERIES = {
     "filter_require_phrase": (filter_require_phrase, "SELECT p_partkey AS item_id, p_name AS category FROM part WHERE (' ' || array_to_string(regexp_extract_all(lower(p_name), '\\w+'), ' ') || ' ') SIMILAR TO '.*( small ring | ring small | blue ).*'"),
     "filter_year_range": (filter_year_range, "WITH p AS (SELECT p_partkey AS item_id, CASE WHEN p_partkey % 7 <> 0 THEN p_size END AS year FROM part) SELECT 'both' AS bounds, item_id FROM p WHERE year BETWEEN 10 AND 20 UNION ALL SELECT 'low', item_id FROM p WHERE year >= 40 UNION ALL SELECT 'high', item_id FROM p WHERE year <= 5 UNION ALL SELECT 'open', item_id FROM p"),
     "filter_empty_reasons": (filter_empty_reasons, "SELECT 'year_range' AS reason, count_if(p_size BETWEEN 900 AND 999)::BIGINT AS hits FROM part UNION ALL SELECT 'require_any_genre', count_if(' ' || p_name || ' ' LIKE '% small ring %')::BIGINT FROM part"),
-    "constraint_years": (constraint_years, f"WITH {_SENTENCES}, m AS (SELECT sid, try_cast(nullif(regexp_extract(text, '{C.DECADE}', 1), '') AS INT) AS d, try_cast(nullif(regexp_extract(text, '{C.YEAR}', 1), '') AS INT) AS y, try_cast(nullif(regexp_extract(text, '{_quoted(C.SHORT_YEAR)}', 1), '') AS INT) AS h FROM s), c AS (SELECT *, coalesce(y, CASE WHEN h >= 30 THEN 1900 + h ELSE 2000 + h END) AS mid FROM m) SELECT sid::BIGINT AS sid, CASE WHEN d IS NOT NULL THEN 1900 + d ELSE mid - 2 END AS low, CASE WHEN d IS NOT NULL THEN 1909 + d ELSE mid + 2 END AS high FROM c"),
-    "constraint_genres": (constraint_genres, f"WITH {_SENTENCES}, n AS (SELECT sid, unnest(regexp_extract_all(text, '{_quoted(C.NEGATIVE)}', 1)) AS p FROM s), ex AS (SELECT sid, string_agg(DISTINCT v, ',' ORDER BY v) AS excluded FROM n, (VALUES {_vocab(C.EXCLUDED)}) t(k, v) WHERE contains(lower(trim(p)), k) GROUP BY sid), re AS (SELECT sid, string_agg(DISTINCT v, ',' ORDER BY v) AS required FROM s, (VALUES {_vocab(C.REQUIRED)}) t(k, v) WHERE contains(lower(regexp_extract(text, '{C.POSITIVE}', 1)), k) GROUP BY sid) SELECT sid::BIGINT AS sid, coalesce(excluded, '') AS excluded, coalesce(required, '') AS required FROM s LEFT JOIN ex USING (sid) LEFT JOIN re USING (sid)"),
-    "constraint_ref_titles": (constraint_ref_titles, f"WITH {_SENTENCES} SELECT sid::BIGINT AS sid, array_to_string(list_transform(regexp_extract_all(text, '{_quoted(C.REFERENCE)}', 1), lambda x: trim(x)), ';') AS titles FROM s"),
-    "fuzzy_title_match": (fuzzy_title_match, rf"WITH l(lookup_id, title) AS (VALUES {_L}), t AS (SELECT min(p_partkey) AS item_id, p_name FROM part GROUP BY p_name), p AS (SELECT lookup_id, item_id, trim(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}]', ' ', 'g')) AS a, trim(regexp_replace(lower(p_name), '[^\p{{L}}\p{{N}}]', ' ', 'g')) AS b FROM l, t), c AS (SELECT lookup_id, item_id, 200.0::DOUBLE * list_last({LCS}) / (len(a) + len(b)) AS ratio FROM p WHERE a <> '') SELECT lookup_id::BIGINT AS lookup_id, item_id, round(ratio, 6) AS ratio FROM c WHERE ratio >= 80 QUALIFY row_number() OVER (PARTITION BY lookup_id ORDER BY ratio DESC, item_id) = 1"),
-    "profile_top_categories": (profile_top_categories, f"WITH {RATINGS}, g AS (SELECT \"user\", p_brand AS value, count(*) AS n, min((ord, line, item)) AS f FROM r JOIN part ON item = p_partkey WHERE rating > 3 GROUP BY ALL) SELECT \"user\", row_number() OVER (PARTITION BY \"user\" ORDER BY n DESC, f)::INT AS rank, value, n FROM g QUALIFY rank <= 8"),
+    "fuzzy_title_match": (fuzzy_title_match, rf"WITH l AS (SELECT p_partkey AS lookup_id, CASE (p_partkey // 50) % 4 WHEN 0 THEN substr(p_name, 2) || 'e' WHEN 1 THEN regexp_replace(p_name, '[aeo]', '', 'g') WHEN 2 THEN upper(p_name) || '!' ELSE reverse(p_name) END AS title FROM part WHERE p_partkey % 50 = 0), t AS (SELECT min(p_partkey) AS item_id, p_name FROM part GROUP BY p_name), p AS (SELECT lookup_id, item_id, trim(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}]', ' ', 'g')) AS a, trim(regexp_replace(lower(p_name), '[^\p{{L}}\p{{N}}]', ' ', 'g')) AS b FROM l, t), c AS (SELECT lookup_id, item_id, 200.0::DOUBLE * list_last({LCS}) / (len(a) + len(b)) AS ratio FROM p WHERE a <> '') SELECT lookup_id::BIGINT AS lookup_id, item_id, round(ratio, 6) AS ratio FROM c WHERE ratio >= 80 QUALIFY row_number() OVER (PARTITION BY lookup_id ORDER BY ratio DESC, item_id) = 1"),
+    "profile_top_categories": (profile_top_categories, f"WITH {RATINGS}, s AS (SELECT \"user\", ord, line, item, unnest([p_type, p_brand, string_split(p_name, ' ')[1]]) AS value, generate_subscripts([1, 2, 3], 1) AS k FROM r JOIN part ON item = p_partkey WHERE rating > 3), g AS (SELECT \"user\", value, count(*) AS n, min((ord, line, item, k)) AS f FROM s GROUP BY ALL) SELECT \"user\", row_number() OVER (PARTITION BY \"user\" ORDER BY n DESC, f)::INT AS rank, value, n FROM g QUALIFY rank <= 8"),
+    "profile_top_languages": (profile_top_languages, f"WITH {RATINGS}, g AS (SELECT \"user\", p_brand AS value, count(*) AS n, min((ord, line, item)) AS f FROM r JOIN part ON item = p_partkey WHERE rating > 3 AND item % 5 <> 0 GROUP BY ALL) SELECT \"user\", row_number() OVER (PARTITION BY \"user\" ORDER BY n DESC, f)::INT AS rank, value, n FROM g QUALIFY rank <= 5"),
     "profile_sample_titles": (profile_sample_titles, f"WITH {RATINGS}, d AS (SELECT DISTINCT \"user\", item, p_name FROM r JOIN part ON item = p_partkey WHERE rating > 3), o AS (SELECT *, row_number() OVER (PARTITION BY \"user\" ORDER BY item) AS n FROM d QUALIFY n <= 8) SELECT \"user\", string_agg(p_name, '|' ORDER BY n) AS titles FROM o GROUP BY \"user\""),
     "profile_long_short": (profile_long_short, f"WITH g AS (SELECT o_custkey AS \"user\", count(*) AS n_long, count_if(o_orderdate >= TIMESTAMP '{ASOF}' - INTERVAL 365 DAY)::BIGINT AS n_short, avg(o_totalprice) AS l, avg(CASE WHEN o_orderdate >= TIMESTAMP '{ASOF}' - INTERVAL 365 DAY THEN o_totalprice END) AS s FROM orders GROUP BY ALL) SELECT \"user\", n_long, n_short, round(l, 8) AS mean_long, round(coalesce(s, l), 8) AS mean_short, n_short = 0 AS fallback FROM g"),
     "profile_demographics": (profile_demographics, "SELECT c_custkey, concat_ws(', ', CASE WHEN c_custkey % 3 <> 0 THEN (2001 - (1950 + c_custkey % 50))::VARCHAR || ' years old' END, CASE WHEN c_custkey % 2 = 0 THEN 'female' END, c_mktsegment, 'from ' || n_name) AS demographic FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey"),
     "liked_semi_join": (liked_semi_join, f"WITH {RATINGS} SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT item FROM r WHERE rating > 3)"),
     "rated_exclusions": (rated_exclusions, f"WITH {RATINGS} SELECT \"user\", min(item) AS target, count(DISTINCT item) - 1 AS n_excluded FROM r GROUP BY \"user\""),
     "catalog_dedupe": (catalog_dedupe, "SELECT p_name, string_agg(DISTINCT p_brand, ', ' ORDER BY p_brand) AS variants, count(*) AS n, min(p_partkey) AS p_partkey, min_by(p_type, p_partkey) AS p_type, min_by(p_retailprice, p_partkey) AS p_retailprice FROM part GROUP BY p_name"),
-    "catalog_category_parse": (catalog_category_parse, "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Men' WHEN 1 THEN 'Women' ELSE 'Other' END AS wearer, array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS kind FROM part"),
+    "catalog_category_parse": (catalog_category_parse, "SELECT p_partkey, ['Men', 'Women', 'Divided', 'Newborn', 'Home-Ware', ''][p_partkey % 6 + 1] AS wearer, array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') || ' T-Shirts' AS kind FROM part"),
     "catalog_description": (catalog_description, "SELECT p_partkey, concat_ws(' | ', 'Brand: ' || p_brand, CASE WHEN p_partkey % 5 <> 0 THEN 'Type: ' || p_type END, 'Price: ' || printf('$%.2f', p_retailprice), p_name) AS description FROM part"),
     "field_texts": (field_texts, "SELECT p_partkey, p_name || ' ' || CASE WHEN p_partkey % 4 <> 0 THEN p_brand ELSE '' END || ' ' || p_type AS text FROM part"),
     "rating_rescale": (rating_rescale, "SELECT raw, greatest(1, round_even(raw / 2, 0)::INT)::INT AS rating, count(*) AS n FROM (SELECT 1 + (l_orderkey + l_linenumber) % 10 AS raw FROM lineitem) GROUP BY ALL"),

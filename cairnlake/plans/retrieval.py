@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cairnlake.functions import vectors as V
 from cairnlake.operators import bm25, hybrid
 from cairnlake.operators.knn import nearest
-from cairnlake.session import table
+from cairnlake.session import durable, table
 
 STEP = 50
 
@@ -52,7 +52,7 @@ def hybrid_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     own, queries = items(spark, sf_dir), hybrid_queries(spark, sf_dir)
     index = bm25.build_index(texts(spark, sf_dir))
-    return hybrid.candidates(index, queries, own), queries, own
+    return durable(hybrid.candidates(index, queries, own)), queries, own
 
 
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,11 +92,11 @@ def truncate_renorm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.build_index(texts(spark, sf_dir)).doc_len
+    return bm25.doc_lengths(texts(spark, sf_dir))
 
 
 def bm25_term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.build_index(texts(spark, sf_dir)).term_df
+    return bm25.document_frequencies(texts(spark, sf_dir))
 
 
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,12 +132,12 @@ def hybrid_fallback_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlap of each query's ten nearest items with and without the label filter's complement: plain against blended."""
+    """Overlap of each query's ten nearest items, plain against blended, among those of another label than 0."""
     own = items(spark, sf_dir)
     queries = vector_queries(spark, sf_dir).join(V.mean_vectors(own, ["label"], "vector", "mean"), "label")
-    plain = nearest(queries, own, 10).groupBy("query_id").agg(F.collect_set("item_id").alias("a"))
-    mixed = nearest(queries.withColumn("vector", V.blend(F.col("vector"), F.col("mean"))), own, 10).groupBy("query_id").agg(F.collect_set("item_id").alias("b"))
-    return _round6(plain.join(mixed, "query_id").select("query_id", (F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))).alias("jaccard")), "jaccard")
+    plain = nearest(queries, own, 10)
+    mixed = nearest(queries.withColumn("vector", V.blend(F.col("vector"), F.col("mean"))), own.where("label > 0"), 10).where("query_id % 100 <> 0")
+    return _round6(hybrid.overlap(queries, plain, mixed), "jaccard")
 
 
 VECTORS = """
@@ -186,5 +186,5 @@ QUERIES = {
     "hybrid_profile": (hybrid_profile, HYBRID + ", ok AS (SELECT * FROM base QUALIFY max(base_score) OVER (PARTITION BY query_id) >= 0.3), s AS (SELECT ok.*, 0.7::DOUBLE * base_score + (1 - 0.7::DOUBLE) * (0.3::DOUBLE * (1 + list_cosine_similarity(v, short.mean)) / 2 + (1 - 0.3::DOUBLE) * (1 + list_cosine_similarity(v, long.mean)) / 2) AS score FROM ok JOIN long ON long.label = qlabel JOIN short ON short.label = qlabel) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, knn_rank)::INT AS rank, item_id, round(score, 6) AS score, round(base_score, 6) AS base_score FROM s QUALIFY rank <= 10"),
     "hybrid_gate": (hybrid_gate, HYBRID + ", m AS (SELECT query_id, count(*) AS n_candidates, max(base_score) AS top FROM base GROUP BY query_id) SELECT query_id, n_candidates, round(top, 6) AS max_base_score, CASE WHEN top < threshold THEN 'gate_failed' ELSE 'gate_passed' END AS exit_path, threshold::DOUBLE AS threshold FROM m, (VALUES (0.3), (0.72)) t(threshold)"),
     "hybrid_fallback_order": (hybrid_fallback_order, f"WITH {VECTORS} SELECT query_id, rank::INT AS rank, item_id FROM q, (SELECT item_id, row_number() OVER (ORDER BY item_id) AS rank FROM i QUALIFY rank <= 10)"),
-    "jaccard_at_k": (jaccard_at_k, f"WITH {VECTORS}, {MEANS}, a AS (SELECT query_id, item_id FROM q, i QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round({COS}, 9) DESC, item_id) <= 10), b0 AS (SELECT query_id, list_transform(list_zip(qv, mean), lambda p: 0.7::DOUBLE * p[1] + 0.3::DOUBLE * p[2]) AS qv FROM q JOIN long ON qlabel = long.label), b AS (SELECT query_id, item_id FROM b0, i QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round({COS}, 9) DESC, item_id) <= 10) SELECT query_id, round(count_if(a.item_id IS NOT NULL AND b.item_id IS NOT NULL) / count(*), 6) AS jaccard FROM a FULL JOIN b USING (query_id, item_id) GROUP BY query_id"),
+    "jaccard_at_k": (jaccard_at_k, f"WITH {VECTORS}, {MEANS}, a AS (SELECT query_id, item_id FROM q, i QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round({COS}, 9) DESC, item_id) <= 10), b0 AS (SELECT query_id, list_transform(list_zip(qv, mean), lambda p: 0.7::DOUBLE * p[1] + 0.3::DOUBLE * p[2]) AS qv FROM q JOIN long ON qlabel = long.label), b AS (SELECT query_id, item_id FROM b0, i WHERE label > 0 AND query_id % 100 <> 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round({COS}, 9) DESC, item_id) <= 10), o AS (SELECT query_id, count_if(a.item_id IS NOT NULL AND b.item_id IS NOT NULL) / count(*) AS j FROM a FULL JOIN b USING (query_id, item_id) GROUP BY query_id) SELECT query_id, round(coalesce(j, 1), 6) AS jaccard FROM q LEFT JOIN o USING (query_id)"),
 }

@@ -9,14 +9,14 @@ from cairnlake.functions.text import title_without_year
 from cairnlake.operators.bm25 import TextIndex
 
 
-def read_csv(spark: SparkSession, path: str, numeric: tuple[str, ...] = ()) -> DataFrame:
-    """A CSV with a header: nulls of text columns become empty, ``numeric`` columns doubles with null where they don't parse.
+def read_csv(spark: SparkSession, path: str, numeric: tuple[str, ...] = (), bad: float | None = None) -> DataFrame:
+    """A CSV with a header: nulls of text columns become empty, ``numeric`` columns doubles, ``bad`` where they don't parse.
 
     Columns without a name (written by an index) are dropped and texts are trimmed.
     """
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
     named = [c for c in raw.columns if c and not c.startswith(("_c", "Unnamed"))]
-    return raw.select(*(F.col(c).try_cast("double").alias(c) if c in numeric else F.trim(F.coalesce(c, F.lit(""))).alias(c) for c in named))
+    return raw.select(*(F.coalesce(F.col(c).try_cast("double"), F.lit(bad)).alias(c) if c in numeric else F.trim(F.coalesce(c, F.lit(""))).alias(c) for c in named))
 
 
 def parsed_vectors(items: DataFrame, column: str) -> DataFrame:
@@ -38,12 +38,23 @@ def read_titles(spark: SparkSession, path: str, item_id: str, name: str) -> Data
 CONVERSATION = "conversationId string, messages array<struct<text: string, senderWorkerId: long>>, movieMentions string, respondentQuestions string, initiatorWorkerId long, respondentWorkerId long"
 
 
-def read_conversations(spark: SparkSession, path: str) -> DataFrame:
-    """(conv_id, turn, role, text) of a JSON-lines file of conversations, mentions ``@id`` as titles where they are listed."""
+def read_conversations(spark: SparkSession, path: str, titles: DataFrame | None = None, zero_is_user: bool = False) -> DataFrame:
+    """(conv_id, turn, role, text) of a JSON-lines file of conversations.
+
+    Mentions ``@id`` become the title that the conversation lists, else that of ``titles`` (item_id, title), else ``movie#id``.
+    The initiator is the user and anyone else the assistant; with ``zero_is_user`` the sender 0 is the user, too.
+    """
     raw = spark.read.schema(CONVERSATION).json(path)
     mentions = F.coalesce(F.from_json("movieMentions", "map<string,string>"), F.create_map().cast("map<string,string>"))
-    each = raw.select("conversationId", "initiatorWorkerId", mentions.alias("names"), F.posexplode("messages").alias("turn", "m"))
-    role = F.when(F.col("m.senderWorkerId") == F.col("initiatorWorkerId"), "user").otherwise("assistant")
+    each = raw.select("conversationId", "initiatorWorkerId", "respondentWorkerId", mentions.alias("names"), F.posexplode("messages").alias("turn", "m"))
+    sender = F.col("m.senderWorkerId")
+    role = F.when((sender == F.col("initiatorWorkerId")) | (F.lit(zero_is_user) & (sender == 0) & (F.col("respondentWorkerId") != 0)), "user").otherwise("assistant")
+    if titles is not None:
+        asked = each.select("conversationId", "turn", F.explode(F.regexp_extract_all("m.text", F.lit(r"@(\d+)"), 1)).alias("item_id")).distinct()
+        known = asked.join(titles.select(F.col("item_id").cast("string").alias("item_id"), "title"), "item_id").groupBy("conversationId", "turn").agg(F.map_from_entries(F.collect_list(F.struct("item_id", "title"))).alias("more"))
+        each = each.join(known, ["conversationId", "turn"], "left")
+        own = F.coalesce("more", F.create_map().cast("map<string,string>"))
+        each = each.withColumn("names", F.map_concat(F.map_filter(own, lambda k, _: ~F.map_contains_key("names", k)), "names"))
     pieces = F.regexp_extract_all("m.text", F.lit(r"(@\d+|[^@]+|@)"), 1)
     named = F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(r"^@\d+$"), F.coalesce(F.try_element_at("names", F.substring(x, 2, 20)), F.concat(F.lit("movie#"), F.substring(x, 2, 20)))).otherwise(x)), "")
     return each.select(F.col("conversationId").alias("conv_id"), "turn", role.alias("role"), named.alias("text"))
@@ -84,7 +95,8 @@ def loose_dialogue_name(path: Column) -> Column:
     parts = F.split(F.regexp_replace(F.regexp_extract(path, r"([^/]*)\.txt$", 1), r"-\d{14}$", "-ts"), "-")
     known = F.when(F.size(parts) == 6, parts).when(F.size(parts) == 5, F.concat(F.array(F.lit(None).cast("string")), parts))
     fields = [known[0].alias("user"), known[1].alias("item"), *(known[i].try_cast("int").alias(n) for i, n in ((2, "turns"), (3, "attempts"), (4, "succeed")))]
-    return F.when(known.isNotNull(), F.struct(*fields))
+    numbers = [known[i].try_cast("int").isNotNull() for i in (2, 3, 4)]
+    return F.when(numbers[0] & numbers[1] & numbers[2], F.struct(*fields))
 
 
 def dialogue_score(path: Column) -> Column:
@@ -110,3 +122,36 @@ def conversation_targets(spark: SparkSession, path: str) -> DataFrame:
     suggested = F.filter(F.coalesce(asked, F.array().cast("array<struct<key: string, value: struct<suggested: int, liked: int>>>")), lambda e: e["value"]["suggested"] == 1)
     liked = F.filter(suggested, lambda e: e["value"]["liked"] == 1)
     return raw.select(F.col("conversationId").alias("conv_id"), F.size(suggested).alias("n_suggested"), F.size(liked).alias("n_liked"), F.coalesce(F.get(liked, 0)["key"], F.get(suggested, 0)["key"]).alias("target"), (F.size(liked) > 0).alias("accepted"))
+
+
+def tagged_name(path: Column) -> Column:
+    """(prefix, turns, attempts, succeed) of a name whose part before the three numbers may be missing."""
+    pattern = r"(?:^|/)(?:([^/]*)-)?(\d+)-(\d+)-([01])-\d{14}\.txt$"
+    return F.struct(F.regexp_extract(path, pattern, 1).alias("prefix"), *(F.regexp_extract(path, pattern, i).try_cast("int").alias(n) for i, n in ((2, "turns"), (3, "attempts"), (4, "succeed"))))
+
+
+def first_files(files: DataFrame, limit: int, path: str = "path") -> DataFrame:
+    """The first ``limit`` rows by name."""
+    return files.orderBy(path).limit(limit)
+
+
+def latest_run(files: DataFrame, path: str = "path") -> DataFrame:
+    """The finished dialogue files of each parent folder's latest run, the greatest folder name that holds any."""
+    parts = r"^(.*)/([^/]+)/([^/]+\.txt)$"
+    each = files.withColumns({"parent": F.regexp_extract(path, parts, 1), "run": F.regexp_extract(path, parts, 2)}).where(~in_progress(F.col(path)) & (F.regexp_extract(path, parts, 3) != ""))
+    return each.join(each.groupBy("parent").agg(F.max("run").alias("run")), ["parent", "run"], "left_semi")
+
+
+def read_table_csv(spark: SparkSession, path: str, names: dict[str, str], text_ids: tuple[str, ...] = ()) -> DataFrame:
+    """A CSV whose columns are renamed by ``names`` (its name: ours), those of ``text_ids`` as text; other columns stay."""
+    raw = spark.read.csv(path, header=True, inferSchema=True, multiLine=True, escape='"')
+    renamed = raw.select(*(F.col(f"`{c}`").alias(names.get(c, c)) for c in raw.columns))
+    return renamed.withColumns({c: F.col(c).cast("string") for c in text_ids if c in renamed.columns})
+
+
+def merged_settings(*layers: dict) -> dict:
+    """Settings of several files, later ones over earlier ones; null layers change nothing."""
+    out: dict = {}
+    for layer in layers:
+        out.update(layer or {})
+    return out

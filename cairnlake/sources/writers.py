@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +24,46 @@ def write_index(items: DataFrame, path: str, fields: list[str], vector: str = "v
         getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def append_to_cache(fresh: DataFrame, cache: DataFrame, path: str, key: list[str]) -> None:
-    """Append rows whose key the cache lacks; repeating a run adds nothing."""
-    fresh.dropDuplicates(key).join(cache.select(*key), key, "left_anti").write.mode("append").parquet(path)
+def append_to_cache(fresh: DataFrame, cache: DataFrame, path: str, key: list[str], batch: int = 100) -> None:
+    """Append rows whose key the cache lacks; repeating a run adds nothing.
+
+    Files hold ``batch`` rows at most, so that a reader of the folder sees whole batches while the job runs.
+    """
+    new = fresh.dropDuplicates(key).join(cache.select(*key).distinct(), key, "left_anti")
+    new.write.mode("append").option("maxRecordsPerFile", batch).parquet(path)
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """One CSV table with a header."""
+    rows.write.mode("overwrite").csv(path, header=True)
+
+
+def write_call_log(calls: DataFrame, path: str) -> None:
+    """Calls (site, error_type, used_fallback, ...) as JSON lines, appended; nulls are written too."""
+    calls.write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
+def write_conversation_texts(lines: DataFrame, path: str) -> None:
+    """One text row ``Speaker: text`` per line of each conversation (conv_id, turn, role, text), a folder a conversation."""
+    speaker = F.when(F.col("role") == "user", "User").when(F.col("role") == "system", "System").otherwise("Bot")
+    said = lines.select("conv_id", "turn", F.concat_ws(": ", speaker, F.coalesce("text", F.lit(""))).alias("value"))
+    said.repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "value").write.mode("overwrite").partitionBy("conv_id").text(path)
+
+
+def write_pairs(pairs: dict[str, DataFrame], path: str) -> None:
+    """Lists of (user_id, item_id), a folder each, and ``selection``, a JSON row with their sizes."""
+    sizes = None
+    for name, rows in sorted(pairs.items()):
+        write_report(rows.select("user_id", "item_id"), f"{path}/{name}")
+        own = rows.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+        sizes = own if sizes is None else sizes.unionAll(own)
+    if sizes is not None:
+        sizes.write.mode("overwrite").json(f"{path}/selection")
+
+
+def rewrite_texts(source: DataFrame, path: str, column: str, change: Callable[[Column], Column]) -> None:
+    """The rows of ``source`` with a changed text column, as a new dataset; the old one stays as it is."""
+    source.withColumn(column, change(F.col(column))).write.mode("overwrite").parquet(path)
 
 
 def write_unless_failed(rows: DataFrame, path: str, failed: Column) -> int:
@@ -49,7 +88,8 @@ def write_transcripts(dialogues: DataFrame, path: str, text: str = "transcript")
     dialogues.select("status", F.col(text).alias("value")).write.mode("overwrite").partitionBy("status").text(path)
 
 
-def run_summary(counters: DataFrame) -> DataFrame:
-    """One JSON row of counters (site, calls, fallbacks, errors)."""
+def run_summary(counters: DataFrame, failed_profiles: int = 0, unfinished: int = 0) -> DataFrame:
+    """One JSON row of counters (site, calls, fallbacks, errors), their totals and the exit code of the run."""
     each = F.map_from_entries(F.array_sort(F.collect_list(F.struct("site", F.struct("calls", "fallbacks", "errors")))))
-    return counters.agg(F.to_json(F.struct(each.alias("sites"), F.sum("errors").alias("errors"))).alias("summary"))
+    total = F.coalesce(F.sum("fallbacks"), F.lit(0)) + failed_profiles + unfinished
+    return counters.agg(F.to_json(F.struct(each.alias("sites"), F.sum("errors").alias("errors"), F.when(total > 0, 3).otherwise(0).alias("exit_code"))).alias("summary"))

@@ -58,8 +58,58 @@ def test_lists_and_scores_from_replies(spark):
     assert one(spark, T.attribute_list(F.col("t")), t="- a\n• b; c") == ["a", "b", "c"]
     assert one(spark, T.distinct_by_name(F.col("t")), t=["Brand", "brand", "price_range", "Price Range"]) == ["Brand", "price_range"]
     assert one(spark, T.json_scores(F.col("t"), {"score": "double", "why": "string"}), t='ok {"Score": 4.5, "WHY": "x"}').asDict() == {"score": 4.5, "why": "x"}
-    assert one(spark, T.fallback_count(F.col("t")), t="a\n<FALLBACK>\n<FALLBACK> 3") == 4
-    assert one(spark, T.masked(F.col("t")), t="key sk-abcdefgh12\nBearer xyz") == "key sk-*** Bearer ***"
+
+
+def test_lines_of_replaced_calls(spark):
+    text = "Bot: <FALLBACK>\n  System: <FALLBACK> fallbacks=3 sites=a:3\nSystem: <FALLBACK>\nUser: no"
+    assert one(spark, T.fallback_count(F.col("t")), t=text) == 4
+    assert one(spark, T.without_fallback(F.col("t")), t=text) == "Bot: <FALLBACK>\nUser: no"
+    assert one(spark, T.without_fallback(F.col("t")), t="a\nSystem: <FALLBACK> fallbacks=1") == "a\n"
+    assert one(spark, T.fallback_count(F.col("t")), t=None) == 0
+
+
+@pytest.mark.parametrize(("text", "shown"), [("a sk-abcdef12\nBearer x.y-z", "a sk-*** Bearer ***"), ("api_key=abc token: q;w, Authorization = z", "api_key=*** token: ***;w, Authorization = ***"), ("mail a@b.c sk-abc", "mail a@b.c sk-abc"), (None, ""), ("x" * 400, "x" * 297 + "...")])
+def test_masked(spark, text, shown):
+    assert one(spark, T.masked(F.col("t")), t=text) == shown
+
+
+@pytest.mark.parametrize(("text", "role", "clean"), [("[chit-chat] Hi (Note: x)", "bot", "Hi (Note: x)"), ("[chit-chat] Hi (Note: x) ", "user", "[chit-chat] Hi"), ("so [chit-chat] (Note: y)", "bot", "so [chit-chat] (Note: y)"), ("(Note: y)", "system", "(Note: y)")])
+def test_clean_line(spark, text, role, clean):
+    assert one(spark, T.clean_line(F.col("t"), F.col("r")), t=text, r=role) == clean
+
+
+@pytest.mark.parametrize(("text", "whole"), [("Yes. No… ……", "Yes."), ("Yes. No... ...", "Yes."), ("Yes....", "Yes."), ("Yes. No... …", "Yes. No..."), ("... ...", ""), (None, ""), ("no end", ""), ("Ok! ", "Ok!")])
+def test_complete_sentences(spark, text, whole):
+    assert one(spark, T.complete_sentences(F.col("t")), t=text) == whole
+
+
+def test_category_parts(spark):
+    wearer, kind = T.category_parts(F.col("c"))
+    rows = spark.createDataFrame([("ladies_t-shirts_tops",), ("sportswear",), ("divided__x",), (None,)], "c string").select(wearer, kind).collect()
+    assert [tuple(r) for r in rows] == [("Women", "T-Shirts Tops"), ("Sportswear", ""), ("Divided", " X"), ("", "")]
+
+
+def test_porter_equals_the_full_text_index(spark):
+    """The stemmer against the porter tokenizer of the full-text index that Python's sqlite has."""
+    import random
+    import sqlite3
+
+    from cairnlake.functions.porter import STEP2, STEP3, STEP4, stem
+
+    con = sqlite3.connect(":memory:")
+    try:
+        con.execute("CREATE VIRTUAL TABLE t USING fts5(x, tokenize='porter unicode61 remove_diacritics 0')")
+    except sqlite3.OperationalError:
+        pytest.skip("this sqlite has no full-text index")
+    rng = random.Random(1)
+    roots = ["hop", "hopp", "agre", "fly", "sky", "yes", "relat", "condit", "a", "tr", "bl", "fizz", "fall", "create", "oscillat", "rat", "naïv", "über", "x1", "toy"]
+    ends = [*STEP2, *STEP3, *STEP4, "sses", "ies", "s", "ss", "eed", "ed", "ing", "y", "e", "ll", "lly", "er", ""]
+    words = sorted({rng.choice(roots) + rng.choice(ends) + rng.choice(["", rng.choice(ends)]) for _ in range(4000)} | {"caresses", "ponies", "feed", "motoring", "happy", "controll", "ion", "adoption", "sses"})
+    con.execute("INSERT INTO t VALUES (?)", (" ".join(words),))
+    con.execute("CREATE VIRTUAL TABLE v USING fts5vocab(t, 'instance')")
+    want = [r[0] for r in con.execute("SELECT term FROM v ORDER BY offset")]
+    assert [w for w, x in zip(words, want, strict=True) if stem(w) != x] == []
+    assert one(spark, T.porter_tokens(F.col("t")), t="Hopping ponies, the Relational!") == ["hop", "poni", "the", "relat"]
 
 
 def test_catalogue_text(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.session import durable
+from cairnlake.session import discard, durable
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(least_of(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         joined = large.join(least_of(large), "u")
-        held = durable(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).distinct())
+        new = durable(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).distinct())
+        discard(held)
+        held = new
         seen = held.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if seen == before:
             break

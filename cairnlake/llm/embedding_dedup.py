@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 from cairnlake.llm.components import components
 from cairnlake.session import durable
 
-TABLES, PROBES, BLOCK = 10, 10, 1024
+PROBES, BLOCK = 10, 1024
 #: Numbers from here on stand for vectors without an id.
 NO_ID = 1 << 62
 
 
 @cache
-def _signs(size: int, vertices: int) -> np.ndarray:
-    return np.random.default_rng(77).choice([-1.0, 1.0], (TABLES, vertices, 3, size))
+def _signs(size: int, table: int, vertex: int) -> np.ndarray:
+    return np.random.default_rng((77, table, vertex)).choice([-1.0, 1.0], (3, size))
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -48,8 +48,8 @@ def unit_rows(data: list[bytes], size: int) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def codes(unit: np.ndarray, vertices: int) -> np.ndarray:
-    """Buckets of each vector: rows x TABLES x (1 + PROBES), the own one first; a bucket names ``vertices`` vertices.
+def codes(unit: np.ndarray, vertices: int, table: int) -> np.ndarray:
+    """Buckets of each vector in a table: rows x (1 + PROBES), the own one first; a bucket names ``vertices`` vertices.
 
     Probes change one or several vertices to the second or third nearest, least loss of projection first.
     """
@@ -58,26 +58,21 @@ def codes(unit: np.ndarray, vertices: int) -> np.ndarray:
     padded = np.zeros((n, size))
     padded[:, :d] = unit
     choices = np.stack(np.meshgrid(*[np.arange(3)] * vertices, indexing="ij"), -1).reshape(-1, vertices)
-    out = np.zeros((n, TABLES, 1 + min(PROBES, len(choices) - 1)), np.int64)
-    for t in range(TABLES):
-        near, loss = np.zeros((n, vertices, 3), np.int64), np.zeros((n, vertices, 3))
-        for k in range(vertices):
-            y = padded
-            for s in _signs(size, vertices)[t, k]:
-                y = _hadamard(y * s)
-            both = np.concatenate([y, -y], axis=1)
-            top3 = np.sort(np.argpartition(-both, 2, axis=1)[:, :3], axis=1)
-            top = np.take_along_axis(both, top3, axis=1)
-            order = np.argsort(-top, axis=1, kind="stable")
-            near[:, k], top = np.take_along_axis(top3, order, axis=1), np.take_along_axis(top, order, axis=1)
-            loss[:, k] = top[:, :1] - top
-        total, code = np.zeros((n, len(choices))), np.zeros((n, len(choices)), np.int64)
-        for k in range(vertices):
-            total += loss[:, k, choices[:, k]] ** 2
-            code = code * (2 * size) + near[:, k, choices[:, k]]
-        best = np.argsort(total, axis=1, kind="stable")[:, : out.shape[2]]
-        out[:, t] = np.take_along_axis(code, best, axis=1)
-    return out
+    total, code = np.zeros((n, len(choices))), np.zeros((n, len(choices)), np.int64)
+    for k in range(vertices):
+        y = padded
+        for s in _signs(size, table, k):
+            y = _hadamard(y * s)
+        both = np.concatenate([y, -y], axis=1)
+        top3 = np.sort(np.argpartition(-both, 2, axis=1)[:, :3], axis=1)
+        top = np.take_along_axis(both, top3, axis=1)
+        order = np.argsort(-top, axis=1, kind="stable")
+        near, top = np.take_along_axis(top3, order, axis=1), np.take_along_axis(top, order, axis=1)
+        loss = top[:, :1] - top
+        total += loss[:, choices[:, k]] ** 2
+        code = code * (2 * size) + near[:, choices[:, k]]
+    best = np.argsort(total, axis=1, kind="stable")[:, : 1 + min(PROBES, len(choices) - 1)]
+    return np.take_along_axis(code, best, axis=1)
 
 
 def vertices_for(rows: int, size: int) -> int:
@@ -85,6 +80,16 @@ def vertices_for(rows: int, size: int) -> int:
     return max(1, math.ceil(math.log(max(2, rows)) / math.log(2 * max(2, 1 << (size - 1).bit_length()))))
 
 
+def tables_for(vertices: int, size: int, missed: float = 1e-3) -> int:
+    """Tables, so that a pair at cosine 0.95 meets in none with a chance of about ``missed``.
+
+    The chance to meet in one table falls with the bits of a bucket's name; exp(-bits ** 2 / 1200) lies below what was
+    measured for 5 to 49 bits in 16 and 64 dimensions.
+    """
+    bits = vertices * math.log2(2 * max(2, 1 << (size - 1).bit_length()))
+    return max(3, math.ceil(math.log(missed) / math.log1p(-min(0.999, math.exp(-(bits**2) / 1200)))))
+
+
 def packed(vectors: DataFrame, vector: str, vec_id: str) -> DataFrame:
     """vec_id and the vector as little-endian doubles, null where it is null, empty, zero or holds null or non-finite components."""
 
@@ -107,18 +112,20 @@ def _block(ids: np.ndarray, weight: np.ndarray, side: np.ndarray, own: np.ndarra
     empty = np.zeros(0, np.int64)
     if not len(a):
         return empty, empty, empty, empty
-    used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    code = codes(unit[used], vertices)
     first = np.ones(len(a), bool)
-    for t in range(table + 1):
-        hx, hy = code[x, t, 0], code[y, t, 0]
-        in_y, in_x = (code[y, t] == hx[:, None]).any(axis=1), (code[x, t] == hy[:, None]).any(axis=1)
+    for t in range(table + 1):  # most pairs have met in the first tables, so few rows are hashed again for the later ones
+        live = np.flatnonzero(first)
+        if not len(live):
+            break
+        used, at = np.unique(np.concatenate([a[live], b[live]]), return_inverse=True)
+        code = codes(unit[used], vertices, t)
+        x, y = code[at[: len(live)]], code[at[len(live) :]]
+        in_y, in_x = (y == x[:, :1]).any(axis=1), (x == y[:, :1]).any(axis=1)
         if t < table:
-            first &= ~(in_x | in_y)
+            first[live] = ~(in_x | in_y)
         else:
             far = np.iinfo(np.int64).max
-            first &= np.minimum(np.where(in_y, hx, far), np.where(in_x, hy, far)) == bucket
+            first[live] = np.minimum(np.where(in_y, x[:, 0], far), np.where(in_x, y[:, 0], far)) == bucket
     links = np.zeros(len(ids), np.int64)
     np.add.at(links, a[first], weight[b[first]])
     np.add.at(links, b[first], weight[a[first]])
@@ -138,17 +145,18 @@ def _block(ids: np.ndarray, weight: np.ndarray, side: np.ndarray, own: np.ndarra
 def linked_vectors(classes: DataFrame, size: int, rows: int, least: float) -> DataFrame:
     """Rows (id, links) with the links of classes that were met, and rows (id, other) with edges, from (id, copies, vector)."""
     vertices = vertices_for(rows, size)
+    tables = tables_for(vertices, size)
 
     def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 piece = batch.slice(at, BLOCK)
-                code = codes(unit_rows(piece.column(1).to_pylist(), size), vertices)
-                n, t, p = code.shape
-                table = np.tile(np.repeat(np.arange(t, dtype=np.int32), p), n)
-                own = np.tile(np.arange(p) == 0, n * t)
-                ids = np.repeat(piece.column(0).to_numpy(), t * p)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(table), pa.array(code.reshape(-1)), pa.array(own)], ["id", "tab", "bucket", "own"])
+                unit, ids = unit_rows(piece.column(1).to_pylist(), size), piece.column(0).to_numpy()
+                for t in range(tables):
+                    code = codes(unit, vertices, t)
+                    n, p = code.shape
+                    own = np.tile(np.arange(p) == 0, n)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, p)), pa.array(np.full(n * p, t, np.int32)), pa.array(code.reshape(-1)), pa.array(own)], ["id", "tab", "bucket", "own"])
 
     places = durable(classes.select("id", "vector").mapInArrow(hash_rows, "id long, tab int, bucket long, own boolean"))
     live = places.groupBy("tab", "bucket").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 AND any_own").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n", "any_own")

@@ -2,8 +2,8 @@
 
 Misra-Gries summaries, one per partition, name the digests that may be frequent. Their exact counts and winners are
 computed with map-side partial aggregation and broadcast (at most ``counters`` rows), so rows of a huge group are
-decided where they lie. All other digests are light (fewer than ``rows / counters`` rows each) and take one ordinary
-shuffle of digests; texts are never shuffled here.
+decided where they lie. All other digests are light (fewer than ``rows / counters`` rows each); their winners are aggregated
+with partial combination and joined back. Texts are never shuffled here.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.session import durable
@@ -54,8 +54,8 @@ def _decided(docs: DataFrame, text: str, doc_id: str, counters: int) -> DataFram
     candidates = frequent_candidates(digests, "digest", counters)
     winners = durable(digests.join(F.broadcast(candidates), "digest", "left_semi").groupBy("digest").agg(F.min(rank).alias("best"), F.count("*").alias("group_size")))
     heavy = digests.join(F.broadcast(winners), "digest")
-    group = Window.partitionBy("digest")
-    light = digests.join(F.broadcast(winners.select("digest")), "digest", "left_anti").withColumns({"best": F.min(rank).over(group), "group_size": F.count("*").over(group)})
+    rest = digests.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    light = rest.join(rest.groupBy("digest").agg(F.min(rank).alias("best"), F.count("*").alias("group_size")), "digest")
     return heavy.select(*light.columns).unionAll(light).withColumn("kept", F.col("best.row") == F.col("row"))
 
 
@@ -76,7 +76,7 @@ def drop_exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "do
     Rows that repeat a doc_id with different texts are decided each by its own text; of rows that repeat both, one stays.
     The join carries each text through one shuffle; its key holds id, digest and length, and nulls in it compare equal.
     """
-    key = F.struct("doc_id", "digest", "size").alias("__key")
-    stay = _decided(docs, text, doc_id, counters).where("kept").select(key)
+    key = next(n for n in ("__key", *(f"__key{i}" for i in range(len(docs.columns) + 1))) if n not in docs.columns)
+    stay = _decided(docs, text, doc_id, counters).where("kept").select(F.struct("doc_id", "digest", "size").alias(key))
     own = F.struct(F.col(doc_id).alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text)), 256)).alias("digest"), F.char_length(F.coalesce(F.col(text), F.lit(""))).alias("size"))
-    return docs.withColumn("__key", own).join(stay, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    return docs.withColumn(key, own).join(stay, key, "left_semi").dropDuplicates([key]).select(*docs.columns)

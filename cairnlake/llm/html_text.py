@@ -44,23 +44,24 @@ GROUP_OF = {tag: i for i, tags in enumerate(GROUPS) for tag in tags}
 class Page:
     """The nodes of a page in document order, and its text runs as (node, block, text) with references decoded."""
 
-    __slots__ = ("tags", "parents", "speak_for", "speak_against", "hidden", "runs", "size")
+    __slots__ = ("tags", "parents", "speak_for", "speak_against", "hidden", "runs", "size", "_stack", "_open", "_scopes")
 
     def __init__(self, source: str) -> None:
         self.tags, self.parents, self.speak_for, self.speak_against, self.hidden = ["html"], [-1], [0], [0], [False]
         self.runs: list[tuple[int, int, str]] = []
         self.size = max(1, len(source))
-        stack, block, at = [0], 0, 0
+        self._stack, self._open, self._scopes = [0], {}, []  # open nodes, their places by name, and the places of scopes
+        block, at = 0, 0
         while at < len(source):
             begin = source.find("<", at)
             match = MARKUP.match(source, begin) if begin >= 0 else None
             if match is None:  # text up to the next possible tag, a lone "<" included
                 end = len(source) if begin < 0 else begin + 1
-                self._text(stack[-1], block, source[at:end])
+                self._text(self._stack[-1], block, source[at:end])
                 at = end
                 continue
             if begin > at:
-                self._text(stack[-1], block, source[at:begin])
+                self._text(self._stack[-1], block, source[at:begin])
             at, markup = match.end(), match[0]
             if markup.startswith("<!"):
                 continue
@@ -71,47 +72,57 @@ class Page:
             if tag in BLOCK:
                 block += 1
             if markup[1] == "/":
-                self._close(stack, tag)
+                self._close(tag)
                 continue
             if tag in RAW:
                 close = re.compile(rf"</{re.escape(tag)}(?:[\s/>]|$)", re.IGNORECASE).search(source, at)
                 at = close.start() if close else len(source)
                 continue
             if tag == "br":
-                self._text(stack[-1], block, " ")
+                self._text(self._stack[-1], block, " ")
             if tag in VOID or tag in ("html", "head"):
                 continue
-            self._imply(stack, tag)
+            self._imply(tag)
             tokens = {t.lower() for a in ATTRIBUTE.findall(markup) for t in TOKEN.findall(" ".join(a))} if "=" in markup else set()
             self.tags.append(tag)
-            self.parents.append(stack[-1])
+            self.parents.append(self._stack[-1])
             self.speak_for.append(len(tokens & FOR))
             self.speak_against.append(len(tokens & AGAINST))
             self.hidden.append(tag == "template" or HIDDEN.search(markup) is not None)
             if not markup.endswith("/>"):
-                stack.append(len(self.tags) - 1)
+                self._push(tag)
 
     def _text(self, node: int, block: int, text: str) -> None:
         self.runs.append((node, block, html.unescape(text) if "&" in text else text))
 
-    def _close(self, stack: list[int], tag: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if self.tags[stack[i]] == tag:
-                del stack[i:]
-                return
-            if self.tags[stack[i]] in SCOPE and tag not in SCOPE:
-                return
-
-    def _imply(self, stack: list[int], tag: str) -> None:
-        """Close what ``tag`` ends without an end tag: an open paragraph before a block, an item before the next."""
-        ends = CLOSES.get(tag, set()) | ({"p"} if tag in BLOCK else set())
-        for i in range(len(stack) - 1, 0, -1):
-            own = self.tags[stack[i]]
-            if own in ends:
-                del stack[i:]
-                return
-            if own in SCOPE and own not in ends:
+    def _close(self, tag: str) -> None:
+        """End the innermost open element of this name, unless a scope that its end tag can't leave lies between."""
+        places = self._open.get(tag)
+        if places and (tag in SCOPE or not self._scopes or self._scopes[-1] <= places[-1]):
+            self._cut(places[-1])
+
+    def _imply(self, tag: str) -> None:
+        """Close all that ``tag`` ends without an end tag: an open paragraph before a block, an item and its rest before the next."""
+        ends = [*CLOSES.get(tag, ()), *(("p",) if tag in BLOCK else ())]
+        while places := [self._open[e][-1] for e in ends if self._open.get(e)]:
+            inner = max(places)
+            if self._scopes and self._scopes[-1] > inner:
                 return
+            self._cut(inner)
+
+    def _push(self, tag: str) -> None:
+        self._open.setdefault(tag, []).append(len(self._stack))
+        if tag in SCOPE:
+            self._scopes.append(len(self._stack))
+        self._stack.append(len(self.tags) - 1)
+
+    def _cut(self, place: int) -> None:
+        """Close all open elements from this place of the stack on."""
+        while len(self._stack) > place:
+            own = self.tags[self._stack.pop()]
+            self._open[own].pop()
+            if own in SCOPE:
+                self._scopes.pop()
 
 
 def features(page: Page) -> np.ndarray:

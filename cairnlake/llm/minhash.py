@@ -495,5 +495,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One document of each component of :func:`near_duplicates`, with all its columns; rows without an id stay."""
     decided = near_duplicates(docs, width, percent, text, doc_id).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    gone = decided.where("NOT kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    name = next(n for n in ("__gone", *(f"__gone{i}" for i in range(len(docs.columns) + 1))) if n not in docs.columns)
+    gone = decided.where("NOT kept").select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col(doc_id) == F.col(name), "left_anti")

@@ -1,15 +1,14 @@
 """SentencePiece BPE by vectorised merge rounds.
 
 A text is cut before each run of spaces (no piece of the vocabulary holds a space mark behind another character, which is
-checked), and the distinct words of a batch are encoded together: one flat array of symbols, in each round the best pair
-of every word by a segmented minimum over (rank, position), all words' leftmost best merges at once, then compaction;
-words without a mergeable pair leave the arrays. Two generations of words are remembered between batches.
+checked), and the distinct words of a batch are encoded together: one flat array of symbols, in each round the best rank
+of every word by a segmented minimum, all merges of that rank at once from left to right, then compaction; words
+without a mergeable pair leave the arrays. Two generations of words are remembered between batches.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -26,9 +25,6 @@ NONE = np.iinfo(np.int64).max
 class PieceModel:
     """Vocabulary of a SentencePiece BPE file with byte fallback, identity normalisation and a dummy prefix."""
 
-    #: Words of more symbols are merged from a heap, in n log n steps; a round of the arrays merges one pair a word.
-    LONG = 1000
-
     def __init__(self, path: str, remember: int = 200_000) -> None:
         import sentencepiece
 
@@ -54,7 +50,6 @@ class PieceModel:
         order = {s: r for r, s in enumerate(sorted({table.get_score(i) for i in pieces.values()}, reverse=True))}
         pairs = sorted((self.symbols[name[:k]] * self.base + self.symbols[name[k:]], order[table.get_score(i)], i) for name, i in pieces.items() for k in range(1, len(name)) if name[:k] in self.symbols and name[k:] in self.symbols)
         self.keys, self.ranks, self.merged = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
-        self.by_pair = {k: (r, i) for k, r, i in pairs}
         self.end, self.remember, self.ids, self.surface, self.old = table.eos_id(), remember, {}, {}, ({}, {})
 
     def _spell(self, symbol: int, char: str) -> list[int]:
@@ -66,29 +61,15 @@ class PieceModel:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NONE), self.merged[at]
 
-    def _heap_word(self, chars: str) -> list[int]:
-        symbols = [self.symbols.get(c, self.base - 1) for c in chars]
-        start, after, before = list(range(len(chars))), [*range(1, len(chars)), -1], list(range(-1, len(chars) - 1))
-        alive, heap = [True] * len(chars), []
-
-        def offer(i: int) -> None:
-            if i >= 0 and (j := after[i]) >= 0 and (found := self.by_pair.get(symbols[i] * self.base + symbols[j])):
-                heapq.heappush(heap, (found[0], i, j, symbols[i], symbols[j], found[1]))
-
-        for i in range(len(chars)):
-            offer(i)
-        while heap:
-            _, i, j, left, right, piece = heapq.heappop(heap)
-            if alive[i] and alive[j] and after[i] == j and symbols[i] == left and symbols[j] == right:
-                symbols[i], alive[j], after[i] = piece, False, after[j]
-                if after[j] >= 0:
-                    before[after[j]] = i
-                offer(before[i])
-                offer(i)
-        return [x for i in start if alive[i] for x in self._spell(symbols[i], chars[i])]
-
     def _rounds(self, words: list[str]) -> list[list[int]]:
-        """Ids of words, each with its space marks."""
+        """Ids of words, each with its space marks, whatever their lengths.
+
+        A round merges the best pair of every word wherever it stands, from left to right without overlap. Where one of
+        these merges makes a pair that is as good or better, which one merge after the other would take before the
+        rest, that word takes only its leftmost merge in this round.
+        """
+        if not words:
+            return []
         sizes = np.array([len(w) for w in words])
         chars = "".join(words)
         symbol = np.array([self.symbols.get(c, self.base - 1) for c in chars], np.int64)
@@ -98,26 +79,25 @@ class PieceModel:
         rank[np.append(word[1:] != word[:-1], True)] = NONE
         while len(word):
             begins = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            least = np.minimum.reduceat(rank, begins)
             length = np.diff(np.append(begins, len(word)))
-            hit = np.flatnonzero((rank == np.repeat(least, length)) & (rank != NONE))
-            hit = hit[np.append(True, word[hit[1:]] != word[hit[:-1]])[: len(hit)]]  # the leftmost of each word
-            symbol[hit] = piece[hit]
-            stay = np.ones(len(word), bool)
-            stay[hit + 1] = False
-            over = np.repeat(least == NONE, length)
-            kept.append((word[over], origin[over], symbol[over]))
-            changed = np.zeros(len(word), bool)
-            changed[hit] = True
-            changed[np.maximum(hit - 1, 0)] = True
-            stay &= ~over
-            symbol, origin, word, rank, piece, changed = symbol[stay], origin[stay], word[stay], rank[stay], piece[stay], changed[stay]
-            where = np.flatnonzero(changed)
-            if len(where):
-                follows = np.minimum(where + 1, len(word) - 1)
-                new, made = self._look_up(symbol[where], symbol[follows])
-                new[(where + 1 >= len(word)) | (word[follows] != word[where])] = NONE
-                rank[where], piece[where] = new, made
+            least = np.repeat(np.minimum.reduceat(rank, begins), length)
+            over = least == NONE
+            if over.any():
+                kept.append((word[over], origin[over], symbol[over]))
+                symbol, origin, word, rank, piece, least = (x[~over] for x in (symbol, origin, word, rank, piece, least))
+                if not len(word):
+                    break
+            at = np.flatnonzero(rank == least)
+            starts = np.append(True, np.diff(at) > 1)
+            run = np.flatnonzero(starts)[np.cumsum(starts) - 1]
+            hit = at[(np.arange(len(at)) - run) % 2 == 0]  # of merges that overlap in a row every other one, from the left
+            first = np.append(True, word[hit[1:]] != word[hit[:-1]])[: len(hit)]
+            merged = self._merged(symbol, word, rank, piece, least, hit)
+            if not first.all() and (early := merged[-1]).any():
+                hit = hit[first | ~np.isin(word[hit], merged[1][early])]
+                merged = self._merged(symbol, word, rank, piece, least, hit)
+            stay = merged[-2]
+            symbol, word, rank, piece, origin = *merged[:4], origin[stay]
         w, o, s = (np.concatenate(x) for x in zip(*kept, strict=True))
         order = np.lexsort((o, w))
         out: list[list[int]] = [[] for _ in words]
@@ -128,6 +108,24 @@ class PieceModel:
                 out[a] += self._spell(c, chars[b])
         return out
 
+    def _merged(self, symbol: np.ndarray, word: np.ndarray, rank: np.ndarray, piece: np.ndarray, least: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, ...]:
+        """symbol, word, rank and piece after the merges at ``hit``, which rows stay, and where a new pair is as good as the old."""
+        symbol = symbol.copy()
+        symbol[hit] = piece[hit]
+        stay, changed = np.ones(len(word), bool), np.zeros(len(word), bool)
+        stay[hit + 1] = False
+        changed[hit] = True
+        symbol, word, rank, piece, least, changed = (x[stay] for x in (symbol, word, rank, piece, least, changed))
+        changed[:-1] |= changed[1:]
+        where = np.flatnonzero(changed)
+        follows = np.minimum(where + 1, len(word) - 1)
+        new, made = self._look_up(symbol[where], symbol[follows])
+        new[(where + 1 >= len(word)) | (word[follows] != word[where])] = NONE
+        early = np.zeros(len(word), bool)
+        early[where] = new <= least[where]
+        rank[where], piece[where] = new, made
+        return symbol, word, rank, piece, stay, early
+
     def decode(self, ids: list[int]) -> str:
         """Text of ids: control ids are silent, bytes that are no UTF-8 become U+FFFD, and the dummy prefix goes."""
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode(errors="replace")
@@ -135,11 +133,7 @@ class PieceModel:
 
     def learn(self, words: list[str]) -> None:
         """Encode words that begin with their spaces and remember their ids and surfaces."""
-        marked = [w.replace(" ", MARK) for w in words]
-        short = [i for i, m in enumerate(marked) if len(m) <= self.LONG]
-        found = dict(zip(short, self._rounds([marked[i] for i in short]) if short else [], strict=True))
-        for i, w in enumerate(words):
-            ids = found[i] if i in found else self._heap_word(marked[i])
+        for w, ids in zip(words, self._rounds([w.replace(" ", MARK) for w in words]), strict=True):
             self.ids[w] = " ".join(map(str, ids))
             self.surface[w] = b"".join(map(self.bytes_of.__getitem__, ids))
 

@@ -26,9 +26,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 BINS, FLOOR = 200, 0.001
 
+#: Characters at which a run is also read in parts, the least length of a run or part, and the least bits of a key.
+SEPARATOR, SHORTEST, KEY_BITS = re.compile(r"[/_+-]+"), 20, 100 - 1e-9
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Alphabets in the order of their symbols' values; a run is read in the first that holds all its characters.
-ENCODINGS = {"hex": DIGITS + "abcdef", "HEX": DIGITS + "ABCDEF", "base32": UPPER + "234567", "base36": DIGITS + LOWER, "BASE36": DIGITS + UPPER, "base62": UPPER + LOWER + DIGITS, "base64": UPPER + LOWER + DIGITS + "+/", "base64url": UPPER + LOWER + DIGITS + "-_"}
+ENCODINGS = {"digits": DIGITS, "lower": LOWER, "upper": UPPER, "hex": DIGITS + "abcdef", "HEX": DIGITS + "ABCDEF", "base32": UPPER + "234567", "base36": DIGITS + LOWER, "BASE36": DIGITS + UPPER, "letters": UPPER + LOWER, "base62": UPPER + LOWER + DIGITS, "base64": UPPER + LOWER + DIGITS + "+/", "base64url": UPPER + LOWER + DIGITS + "-_", "base64mixed": UPPER + LOWER + DIGITS + "+/-_"}
 VALUES = {name: {c: i for i, c in enumerate(alphabet)} for name, alphabet in ENCODINGS.items()}
 
 
@@ -48,12 +50,13 @@ def _tail(z: float) -> float:
 
 
 def battery(run: str) -> tuple[str, float] | None:
-    """Encoding and combined p-value of a run, or None where it has no letter, no digit or no known encoding."""
+    """Encoding and combined p-value of a run; None if no encoding holds its characters, or if it is too short for a key in it.
+
+    A key has 100 bits at least: 20 characters of base32 and up, but 22 of one case of letters and 31 digits.
+    """
     run = run.rstrip("=")
-    if not re.search(r"[0-9]", run) or not re.search(r"[A-Za-z]", run):
-        return None
-    name = next((n for n, v in VALUES.items() if all(c in v for c in set(run))), None)
-    if name is None:
+    name = next((n for n, v in VALUES.items() if set(run) <= v.keys()), None)
+    if name is None or len(run) * math.log2(len(ENCODINGS[name])) < KEY_BITS:
         return None
     values, n, size = np.array([VALUES[name][c] for c in run], float), len(run), len(ENCODINGS[name])
     counts = np.bincount(values.astype(int), minlength=size)
@@ -76,12 +79,47 @@ def stratum(name: str, n: int) -> str:
     return f"{name}:{int(math.log(n / 20) / math.log(1.25))}"
 
 
+def _covered(base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The base spans, in order of their starts, as disjoint ones."""
+    out: list[tuple[int, int]] = []
+    for start, _, end in base:
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def _free_parts(begin: int, end: int, covered: list[tuple[int, int]], at: int) -> tuple[list[tuple[int, int]], int]:
+    """What of a run is not covered, and the first covered span that may matter to later runs."""
+    while at < len(covered) and covered[at][1] <= begin:
+        at += 1
+    out, i = [], at
+    while i < len(covered) and covered[i][0] < end:
+        if covered[i][0] > begin:
+            out.append((begin, covered[i][0]))
+        begin = max(begin, covered[i][1])
+        i += 1
+    return [*out, (begin, end)] if begin < end else out, at
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
-    """(start, end, stratum, p) of runs that touch no base span."""
-    out = []
+    """(start, end, stratum, p) of runs, or of what base spans leave of them, in one sweep over both.
+
+    A run with separators is also read in the parts between them; the parts count if one of them looks more random than the
+    whole, as a key behind a path does.
+    """
+    out, at, covered = [], 0, _covered(base)
     for m in RUN.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e in base) and (found := battery(m[0])):
-            out.append((m.start(), m.end(), stratum(found[0], m.end() - m.start()), found[1]))
+        parts, at = _free_parts(m.start(), m.end(), covered, at)
+        for begin, end in parts:
+            if end - begin < SHORTEST:
+                continue
+            cuts = [begin, *(x for s in SEPARATOR.finditer(text, begin, end) for x in s.span()), end]
+            pieces = [(a, b) for a, b in zip(cuts[::2], cuts[1::2], strict=True) if b - a >= SHORTEST]
+            tested = [[(a, b, *found) for a, b in some if (found := battery(text[a:b]))] for some in ([(begin, end)], pieces)]
+            best = max(tested, key=lambda t: max((x[3] for x in t), default=-1.0))
+            out += [(a, b, stratum(name, b - a), p) for a, b, name, p in best]
     return out
 
 
@@ -108,15 +146,16 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
 def acceptance(scanned: DataFrame, rate: float = 0.05) -> dict[str, float]:
     """The least accepted p-value of each stratum, from a histogram over all candidates (strata x bins rows at most).
 
-    Random runs have uniform p-values, so twice the number above one half (plus one, for classes of few runs) estimates how
-    many there are; the accepted runs beyond those are taken as ordinary.
+    Random runs have uniform p-values, so twice the number above one half (plus one) estimates how many there are; the
+    accepted runs beyond those are taken as ordinary. Strata of few candidates are judged by those next to them, too.
     """
     each = scanned.select(F.explode("candidates").alias("c")).select("c.stratum", F.least(F.floor(F.col("c.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
     counts: dict[str, np.ndarray] = {}
     for r in each.groupBy("stratum", "bin").count().collect():
         counts.setdefault(r["stratum"], np.zeros(BINS))[r["bin"]] = r["count"]
     out = {}
-    for name, bins in counts.items():
+    for name in counts:
+        bins = _pooled(name, counts)
         total, random = bins.sum(), min(bins.sum(), 2 * bins[BINS // 2 :].sum() + 1)
         above = bins[::-1].cumsum()[::-1]
         expected = random * (1 - np.arange(BINS) / BINS)
@@ -125,6 +164,17 @@ def acceptance(scanned: DataFrame, rate: float = 0.05) -> dict[str, float]:
     return out
 
 
+def _pooled(name: str, counts: dict[str, np.ndarray], least: int = 50) -> np.ndarray:
+    """Counts of a stratum with those of the next length classes of its encoding, and at last all, until there are ``least``."""
+    encoding, own = name.split(":")
+    classes = {int(n.split(":")[1]): c for n, c in counts.items() if n.split(":")[0] == encoding}
+    for reach in range(max(classes) - min(classes) + 1):
+        bins = sum(c for k, c in classes.items() if abs(k - int(own)) <= reach)
+        if bins.sum() >= least:
+            return bins
+    return sum(counts.values())
+
+
 def _accepted(thresholds: dict[str, float]) -> Column:
     """Accepted candidates as spans of kind ``random``."""
     limits = F.create_map(*(F.lit(x) for pair in (thresholds or {"": 2.0}).items() for x in pair))

@@ -175,3 +175,25 @@ def test_families_of_a_hot_template_are_met(spark, count, size):
     docs = spark.createDataFrame([(i, t, 0, "") for i, t in enumerate(texts)], DOCS).repartition(4)
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, 3, 85).collect()}
     assert sum(got[i] != want[i] for i in want) == 0
+
+
+@pytest.mark.parametrize(("size", "vertices"), [(64, 1), (64, 2), (64, 3), (64, 5), (64, 7), (16, 4), (16, 7)])
+def test_recall_of_pairs_at_the_threshold(size, vertices):
+    rng = np.random.default_rng(3)
+    x, z = (rng.normal(size=(400, size)) for _ in range(2))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.95 * x + math.sqrt(1 - 0.95**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    met = np.zeros(len(x), bool)
+    for t in range(embedding_dedup.tables_for(vertices, size)):
+        a, b = (embedding_dedup.codes(v, vertices, t) for v in (x, y))
+        met |= (b == a[:, :1]).any(axis=1) | (a == b[:, :1]).any(axis=1)
+    assert met.mean() >= 0.99
+
+
+def test_columns_that_clash_and_long_texts(spark):
+    rows = [(1, "a b c d e f g", "k", "g"), (2, "a b c d e f g ", "k", "g"), (3, "w " * 200_000, "k", "g"), (4, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key string, __gone string")
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_exact_duplicates(docs).collect()) == [2, 3, 4]
+    near = minhash.drop_near_duplicates(docs)
+    assert near.columns == docs.columns and sorted(r["doc_id"] for r in near.collect()) == [1, 3, 4]

@@ -39,10 +39,30 @@ def test_pieces_equal_the_library(sf):
             assert decoded == library.decode(want) == own.decode(want)
 
 
-def test_heap_and_rounds_agree():
+def test_rounds_equal_one_merge_after_the_other():
     own, rng = pieces.PieceModel(vocabulary("piece_bpe_32k.model")), random.Random(8)
-    words = ["▁" + "".join(rng.choice("theandingo") for _ in range(rng.randint(1, 40))) for _ in range(200)]
-    assert own._rounds(words) == [own._heap_word(w) for w in words]
+    table = {k: (r, i) for k, r, i in zip(own.keys.tolist(), own.ranks.tolist(), own.merged.tolist(), strict=True)}
+
+    def one_by_one(word):
+        chars = [(own.symbols.get(c, own.base - 1), c) for c in word]
+        while found := [(table[k], i) for i, (x, y) in enumerate(pairwise(chars)) if (k := x[0] * own.base + y[0]) in table]:
+            (_, piece), i = min(found, key=lambda f: (f[0][0], f[1]))
+            chars[i : i + 2] = [(piece, "")]
+        return [x for symbol, char in chars for x in own._spell(symbol, char)]
+
+    words = ["▁" + "".join(rng.choice("theandingo") for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    words += ["▁" + c * n for c in "aelt=-" for n in (2, 3, 7, 64)] + ["▁" + "ab" * 40, "▁" + "ana" * 30, "▁日本語テキスト" * 3]
+    assert own._rounds(words) == [one_by_one(w) for w in words]
+    assert own._rounds([]) == []
+
+
+def test_long_words_go_through_the_rounds():
+    import sentencepiece
+
+    path, rng = vocabulary("piece_bpe_32k.model"), random.Random(9)
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceModel(path)
+    for text in ("".join(rng.choice("abcdefghij 日本語".replace(" ", "")) for _ in range(20_000)), "x" * 5_000, "ab" * 5_000):
+        assert [int(i) for i in next(own.encode_batch([text]))[0].split(" ")] == library.encode(text) + [library.eos_id()]
 
 
 @pytest.mark.parametrize(("part", "most"), [(100, 1 << 19), (1000, 300), (7, 1)])
@@ -137,6 +157,38 @@ def test_inline_elements_do_not_swallow_the_page(icon):
     assert got == f"Head\n{one} x end.\n{one}"
 
 
+def test_deep_and_unclosed_pages_take_linear_time():
+    import time
+
+    begin = time.process_time()
+    model = html_text.main_text_model()
+    begin = time.process_time()
+    for page in ("<b>" * 250_000 + "x", "<div>" * 100_000 + "<p>x", "<ul><li><p>a" * 40_000, "</p></td>" * 100_000 + "y", "<b></i>" * 100_000):
+        html_text.main_texts([page], model)
+    assert time.process_time() - begin < 60
+
+
+@pytest.mark.parametrize(("source", "parents"), [("<ul><li><p>a<li><p>b<li>c</ul>", {"li": {"ul"}, "p": {"li"}}), ("<table><tr><td>a<tr><td>b<td>c</table>", {"tr": {"table"}, "td": {"tr"}}), ("<dl><dt>a<dd><p>b<dt>c</dl>", {"dt": {"dl"}, "dd": {"dl"}}), ("<ul><li>a<ul><li>b</ul><li>c</ul>", {"li": {"ul"}})])
+def test_implied_ends(source, parents):
+    page = html_text.Page(source)
+    for tag, above in parents.items():
+        assert {page.tags[p] for t, p in zip(page.tags, page.parents, strict=True) if t == tag} == above
+
+
+LAYOUTS = [
+    '<body><div id="hd"><ul><li><a href="/">Home</a><li><a href="/n">News</a></ul></div><div class="col"><h1>Head of it</h1><p>{0}</p><p>{1}</p></div><div class="footer">&copy; all rights reserved</div></body>',
+    '<body><nav><a href="/">Start</a> <a href="/b">Blog</a></nav><main><section class="post-body"><h2>Head of it</h2><p>{0}<p>{1}</section></main><aside><h3>More</h3><ul><li><a href="/x">One</a></ul></aside></body>',
+    '<body><table><tr><td><a href="/">Home</a><br><a href="/c">Contact</a></td><td class="text"><h1>Head of it</h1><p>{0}</p><p>{1}</p></td></tr></table><div id="cookie-notice"><p>We use cookies.</p><button>OK</button></div></body>',
+]
+
+
+@pytest.mark.parametrize("layout", range(len(LAYOUTS)))
+def test_pages_of_other_layouts(layout):
+    words = ["A plain sentence about the matter at hand, long enough to matter, with a clause or two. " * 5, "Another paragraph that goes on about it, and ends here. " * 5]
+    got = html_text.main_texts([LAYOUTS[layout].format(*words)], html_text.main_text_model())[0]
+    assert got == "\n".join(["Head of it", *(" ".join(w.split()) for w in words)])
+
+
 def brute_spans(text):
     found = []
     for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
@@ -171,6 +223,74 @@ def test_random_runs_pass_the_battery_and_words_do_not():
     assert sum((p := secrets.battery(w)) is not None and p[1] > 0.05 for w in ordinary) < 5
 
 
+def test_secrets_behind_paths_and_beside_spans(spark):
+    rng = random.Random(5)
+    key = lambda n, name="base64url": "".join(rng.choice(secrets.ENCODINGS[name]) for _ in range(n))
+    one, two, three, four = key(44, "base62"), key(60, "letters"), key(23, "lower"), key(44, "base62")
+    rows = [f"GET /v1/files/of_users/{one} ok", f"k {two} k", f"n {three} n", f"token=abcdefgh/{four}", f"token='abcdefgh'+{four} x"]
+    found = {r["doc_id"]: r for r in secrets.find_secrets(secrets.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).cache()).collect()}
+    spans = lambda i: [(s["start"], s["end"]) for s in found[i]["spans"] if s["kind"] == 3]
+    assert spans(0) == [(rows[0].index(one), rows[0].index(one) + 44)]
+    assert spans(1) == [(2, 62)] and spans(2) == [(2, 25)]
+    assert spans(3) == []  # the whole run is the value of the assignment
+    assert spans(4) == [(rows[4].index(four), rows[4].index(four) + 44)]
+
+
+def test_base_and_random_spans_of_many_keys_take_linear_time():
+    import time
+
+    rng = random.Random(1)
+    text = " ".join("".join(rng.choice("0123456789abcdef") for _ in range(24)) for _ in range(20_000))
+    begin = time.process_time()
+    base = secrets.base_spans(text)
+    assert len(base) == 20_000 and secrets.candidates(text, base) == []
+    assert time.process_time() - begin < 10
+
+
+def brute_random_spans(texts, rate=0.05):
+    """Accepted random spans of texts, candidates by a plain search for each position and thresholds from sorted p-values."""
+    own = {i: secrets.candidates(t, brute_spans(t)) for i, t in enumerate(texts)}
+    strata = defaultdict(list)
+    for found in own.values():
+        for _, _, k, p in found:
+            strata[k].append(p)
+
+    def least(name):
+        encoding, n = name.split(":")
+        classes = {int(k.split(":")[1]): v for k, v in strata.items() if k.split(":")[0] == encoding}
+        pool = next((q for r in range(max(classes) - min(classes) + 1) if len(q := [p for k, v in classes.items() if abs(k - int(n)) <= r for p in v]) >= 50), [p for v in strata.values() for p in v])
+        bins = [min(secrets.BINS - 1, int(p * secrets.BINS)) for p in pool]
+        random_runs = min(len(pool), 2 * sum(b >= secrets.BINS // 2 for b in bins) + 1)
+        for b in range(secrets.BINS):
+            above = sum(x >= b for x in bins)
+            if above and above - random_runs * (1 - b / secrets.BINS) <= rate * above:
+                return max(secrets.FLOOR, b / secrets.BINS)
+        return 2.0
+
+    limits = {k: least(k) for k in strata}
+    return {i: sorted((s, 3, e) for s, e, k, p in found if p >= limits[k]) for i, found in own.items()}
+
+
+def test_secret_query_equals_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    want = brute_random_spans([r["text"] or "" for r in docs])
+    got = {r["doc_id"]: r for r in QUERIES["op3_secret_scans"](spark, sf).collect()}
+    for i, r in enumerate(docs):
+        base, row = brute_spans(r["text"] or ""), got[r["doc_id"]]
+        listed = lambda spans: ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
+        assert (row["n_assign"], row["n_access"], row["n_hex"]) == tuple(sum(k == kind for _, k, _ in base) for kind in range(3))
+        assert row["base_sha256"] == hashlib.sha256(listed(base).encode()).hexdigest()
+        assert row["spans"] == listed(base + want[i])
+
+
+def test_secret_rows_that_repeat_and_clash(spark):
+    rows = [(1, "password=abcdefgh", "a"), (1, "password=abcdefgh", "a"), (None, "password=abcdefgh", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    assert [len(r["spans"]) for r in secrets.find_secrets(secrets.scan(docs).cache()).collect()] == [1, 1, 1]
+    kept = secrets.redact_secrets(docs)
+    assert kept.columns == docs.columns and {r["text"] for r in kept.collect()} == {"[SECRET]"}
+
+
 def naive_best_fit(lengths, sources, clusters, capacity):
     bins, out = [], []
     for n, s, c in zip(lengths, sources, clusters, strict=True):
@@ -224,12 +344,37 @@ def test_languages_are_told_apart(spark):
 
 
 def test_language_odd_cases(spark):
-    docs = spark.createDataFrame([(1, None), (None, "123 !!"), (3, ""), (4, "hello there")], "doc_id long, text string").withColumns({"held_out": F.lit(True), "lang": F.lit("zz")})
+    docs = spark.createDataFrame([(1, None), (None, "123 !!"), (3, ""), (4, "hello there"), (5, "½ ② Ⅷ"), (5, "½ ② Ⅷ")], "doc_id long, text string").withColumns({"held_out": F.lit(True), "lang": F.lit("zz")})
     some = compression.identify_language(docs, {"a": compression.letters("hello there you " * 20), "b": compression.letters("guten tag ihnen allen " * 20)})
-    assert {(r["doc_id"], r["lang_pred"]) for r in some.collect()} == {(1, "und"), (None, "und"), (3, "und"), (4, "a")}
+    assert {(r["doc_id"], r["lang_pred"]) for r in some.collect()} == {(1, "und"), (None, "und"), (3, "und"), (4, "a"), (5, "und")}
+    assert some.count() == 6
     assert {r["lang_pred"] for r in compression.identify_language(docs, compression.learn_languages(docs.limit(0))).collect()} == {"und"}
 
 
+def test_letters_are_those_of_the_unicode_category():
+    import unicodedata
+
+    for char in map(chr, range(0x110000)):
+        assert (compression.LETTER.search(char) is not None) == unicodedata.category(char).startswith("L") == (compression.NO_LETTER.search(char) is None), hex(ord(char))
+
+
+def test_language_ties_long_texts_and_sizes(spark):
+    import math
+
+    import zstandard
+
+    same = compression.letters("one and the same words " * 30)
+    docs = spark.createDataFrame([(1, "one and the same"), (2, "quite other things " * 30_000)], "doc_id long, text string, lang_pred string".replace(", lang_pred string", "")).withColumn("held_out", F.lit(False))
+    tied = compression.identify_language(docs, {"b": same, "a": same}).collect()
+    assert {(r["lang_pred"], r["score"], r["rejected"]) for r in tied} == {("a", 0.0, True)}
+    dictionaries = {"a": same, "b": compression.letters("quite other things were said here " * 20)}
+    for r in compression.identify_language(docs, dictionaries).collect():
+        data = compression.letters({1: "one and the same", 2: "quite other things " * 30_000}[r["doc_id"]])
+        sizes = {n: sum(len(compression.compressor(d, 4096, 6, zstandard.DICT_TYPE_RAWCONTENT).compress(data[i : i + 4096])) for i in range(0, len(data), 4096)) for n, d in dictionaries.items()}
+        best, second = sorted(sizes.values())
+        assert r["lang_pred"] == min(sizes, key=lambda n: (sizes[n], n)) and math.isclose(r["score"], 1 - math.exp(-50 * (second - best) / second))
+
+
 def test_toxic_words_are_learnt(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice(["an", "er", "th", "on", "in", "es", "re"]) for _ in range(rng.randint(1, 3)))
@@ -251,6 +396,15 @@ def test_toxic_words_are_learnt(spark):
     none = compression.learn_toxicity(docs, labels.limit(0))
     assert {r["score"] for r in compression.score_toxicity(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string").withColumn("held_out", F.lit(False)), none).collect()} == {0.0}
     assert 0 <= model.score(None) <= 1 and 0 <= model.score("x" * 100_000) <= 1
+    brute = [compression.compressor(d, 2 * model.window, 7) for d in (model.ordinary, model.toxic)]
+    for _, text, _ in rows[1000:1050]:
+        data = text.lower().encode("utf-16-le")
+        cuts = [data[i : i + 2 * model.window] for i in range(0, max(1, len(data) - 2 * (model.window - model.step)), 2 * model.step)]
+        evidence = np.array([len(brute[0].compress(c)) - len(brute[1].compress(c)) for c in cuts], float)
+        beyond = np.clip(evidence - model.threshold, 0, None).sum()
+        x = [1.0, evidence.mean(), evidence.max(), np.log1p(beyond), np.log1p(len(cuts))]
+        assert abs(model.score(text) - 1 / (1 + np.exp(-np.clip(np.dot(x, model.weights), -30, 30)))) < 1e-12
+    assert compression.score_toxicity(docs.limit(0).withColumn("held_out", F.lit(True)), model).count() == 0
 
 
 def test_pipeline_stages_keep_their_promises(spark, sf):
@@ -267,6 +421,101 @@ def test_pipeline_stages_keep_their_promises(spark, sf):
     assert docs.select("doc_id").distinct().count() == kept["secret scans"] == kept["MinHash near-dedup"] <= kept["exact dedup"] <= kept["toxicity"]
 
 
+def test_pipeline_stages_in_odd_cases(spark, sf):
+    """Nulls, empty and repeated rows, clashing columns and an empty table, stage by stage."""
+    import corpus_pipeline
+    from cairnlake.session import durable
+
+    full = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in full.schema.fields]
+    text = "These are plain words of a text that is long enough to have shingles of its own. "
+    row = lambda i, t, s="x": tuple({"doc_id": i, "text": t, "lang": None, "source": s, "n_chars": None}.get(f.name) for f in full.schema.fields)
+    odd = [row(1, None), row(2, ""), row(2, ""), row(None, text), row(3, text * 2), row(4, text * 2 + " "), row(5, "password=abcdefgh " + text, None), row(6, "w " * 9000)]
+    made = spark.createDataFrame(odd, ", ".join(columns)).withColumns({n: F.lit("clash") for n in ("__key", "__gone", "key", "size", "digest")})
+    counts = {}
+    docs = made
+    for name, stage in corpus_pipeline.STAGES:
+        docs = durable(stage(spark, docs, sf))
+        counts[name] = docs.count()
+        if name != "best-fit packing":
+            assert docs.columns == made.columns
+    assert counts["exact dedup"] <= counts["toxicity"] - 3 and counts["best-fit packing"] >= counts["secret scans"]
+    docs = full.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = durable(stage(spark, docs, sf))
+        assert docs.count() == 0
+
+
+def test_pipeline_stages_equal_brute_force(spark, sf):
+    """Each stage against a plain version on its own input."""
+    import corpus_pipeline
+    from cairnlake.session import durable, table
+
+    docs, kept = durable(table(spark, sf, "documents")), {}
+    inputs = {}
+    for name, stage in corpus_pipeline.STAGES:
+        inputs[name] = docs.collect()
+        docs = durable(stage(spark, docs, sf))
+        kept[name] = docs.collect()
+    labels = table(spark, sf, "labels").where(compression.fold(F.col("doc_id"), 3) != 1)
+    model = compression.learn_toxicity(table(spark, sf, "documents"), labels)
+    ids = lambda rows: sorted(r["doc_id"] for r in rows)
+    assert ids(kept["toxicity"]) == sorted(r["doc_id"] for r in inputs["toxicity"] if model.score(r["text"]) < 0.7)
+    best = {}
+    for r in inputs["exact dedup"]:
+        k = re.sub("[\x20\x09-\x0d]", "", r["text"] or "")
+        best[k] = min(best.get(k, (0, 1 << 62)), (-len(r["text"] or ""), r["doc_id"]))
+    assert ids(kept["exact dedup"]) == sorted(i for _, i in best.values())
+    sets = {r["doc_id"]: five_words(r["text"]) for r in inputs["MinHash near-dedup"]}
+    holders = defaultdict(list)
+    for i, x in sets.items():
+        for s in x:
+            holders[s].append(i)
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in sets.items():
+        for j in {j for s in x for j in holders[s] if j < i}:
+            if 100 * len(x & sets[j]) >= 80 * len(x | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert ids(kept["MinHash near-dedup"]) == sorted(i for i in root if find(i) == i)
+    spans = brute_random_spans([r["text"] or "" for r in inputs["secret scans"]])
+    after = {r["doc_id"]: r for r in kept["secret scans"]}
+    for i, r in enumerate(inputs["secret scans"]):
+        text, done, out = r["text"] or "", 0, []
+        for s, _, e in sorted(brute_spans(text) + spans[i]):
+            out += [text[done:s], "[SECRET]"] if s >= done else []
+            done = max(done, e)
+        assert (after[r["doc_id"]]["text"] or "") == "".join([*out, text[done:]])
+    lengths = {r["doc_id"]: len(re.findall("[^\x20\x09-\x0d]+", r["text"] or "")) + 1 for r in inputs["best-fit packing"]}
+    packed = defaultdict(int)
+    for r in kept["best-fit packing"]:
+        packed[r["doc_id"]] += r["length"]
+    assert packed == lengths
+
+
+def five_words(text):
+    words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
+
+
+@pytest.mark.parametrize("operator", [lambda d: html_text.extract_main_text(d), lambda d: pieces.encode_pieces(d, vocabulary("piece_bpe_32k.model")), lambda d: packing.pack_documents(d), lambda d: secrets.redact_secrets(d)])
+def test_empty_tables(spark, operator):
+    schema = "page_id long, url string, html string, doc_id long, text string, source string"
+    assert operator(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_pieces_of_repeated_and_clashing_rows(spark):
+    docs = spark.createDataFrame([(1, "a b", 5), (1, "a b", 6), (None, None, 7)], "doc_id long, text string, n_tokens int")
+    got = pieces.encode_pieces(docs, vocabulary("piece_bpe_32k.model"), with_text=True).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["decoded"]) for r in got) == [("1", 3, "a b"), ("1", 3, "a b"), ("None", 1, "")]
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_every_query_has_a_row_for_each_document(spark, sf, name):
     source = "embeddings" if "embedding" in name else "pages" if "html" in name else "documents"

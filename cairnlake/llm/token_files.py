@@ -71,8 +71,12 @@ class Encoder:
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each has."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found))
+        data, size = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(texts), 256):  # the library's results take many times the room of the ids
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + 256], add_special_tokens=False)]
+            data.append(np.fromiter(chain.from_iterable(found), np.int32))
+            size.append(np.fromiter(map(len, found), np.int64, len(found)))
+        return np.concatenate(data), np.concatenate(size)
 
     def _behind_spaces(self, words: pa.Array, latin: bool) -> tuple[np.ndarray, np.ndarray]:
         """The same of words behind a space each: joined calls, cut at the tokens that begin with a space.
@@ -147,7 +151,7 @@ class Encoder:
 
 
 #: Bytes of texts encoded together, about; a longer text is encoded alone.
-SLICE = 8 << 20
+SLICE = 12 << 20
 
 #: One encoder a Python worker, kept for its next tasks.
 ENCODERS: dict[tuple[str, int], Encoder] = {}

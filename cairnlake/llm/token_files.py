@@ -65,6 +65,8 @@ class Encoder:
         space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
         self.spaced = np.zeros(max(names.values()) + 1, bool)
         self.spaced[[i for name, i in names.items() if name.startswith(space)]] = True
+        #: Characters behind which some token holds a space; only behind these could a merge cross into the next word.
+        self.clinging = sorted({a for name in names for a, b in pairwise(name) if b == space and a != space})
         self.spelling = np.zeros(256, "<u2")
         for char in map(chr, range(0x250)):
             self.spelling[list(char.encode())] = [ord(c) for c in self.tokenizer.pre_tokenizer.pre_tokenize_str(char)[0][0]]
@@ -81,15 +83,18 @@ class Encoder:
     def _behind_spaces(self, words: pa.Array, latin: bool) -> tuple[np.ndarray, np.ndarray]:
         """The same of words behind a space each: joined calls, cut at the tokens that begin with a space.
 
-        Words of Latin letters are pretokens and go to the library's model as such.
+        Words of Latin letters are pretokens and go to the library's model as such, many in a row where no token of the
+        vocabulary could reach from one into the space of the next.
         """
         ids = [np.zeros(0, np.int32)]
         for at in range(0, len(words), 4096):
             part = words.slice(at, 4096)
-            joined = " " + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), "\n " if latin else " ")[0].as_py()
+            joined = " " + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), " ")[0].as_py()
             if latin:
-                spelt = self.spelling[np.frombuffer(joined.encode(), np.uint8)].tobytes().decode("utf-16-le")
-                found = self.model.encode_batch_fast([spelt.split(chr(self.spelling[10]))], is_pretokenized=True, add_special_tokens=False)
+                spelt, space = self.spelling[np.frombuffer(joined.encode(), np.uint8)].tobytes().decode("utf-16-le"), chr(self.spelling[32])
+                for end in self.clinging:
+                    spelt = spelt.replace(end + space, f"{end}\n{space}")
+                found = self.model.encode_batch_fast([spelt.split("\n")], is_pretokenized=True, add_special_tokens=False)
             else:
                 found = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)
             ids.append(np.array(found[0].ids, np.int32))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.components import components
+from cairnlake.llm.components import components, met_by_key
 from cairnlake.session import durable
 
 #: Trees, MinHash values in each, and the values that compared rows share at least.
@@ -357,11 +357,13 @@ def _met(rare: DataFrame, nodes: DataFrame, least: float, percent: int) -> DataF
     """Distinct (a, b), a < b, of different groups that share one of ``rare`` and look alike, from nodes (id, sketch).
 
     Documents of a shingle are dealt by their ids into parts of about ``CROWD``; each part meets each other in a task's group.
+    A shingle of many documents brings its number to them by broadcast.
     """
     shared = rare.groupBy("shingle").agg(F.count("*").alias("n"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi")
     parts = F.ceil(F.col("n") / CROWD).cast("int")
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
-    rows = rare.join(shared.select("shingle", "n"), "shingle").withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), parts - 1))})
+    counted = met_by_key(rare, shared.select("shingle", "n", F.col("n").alias("of")), "shingle", rare.count()).withColumnRenamed("of", "n")
+    rows = counted.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), parts - 1))})
     rows = rows.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "grp", "size", "left", "own").join(nodes.select("id", "sketch"), "id")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,8 +477,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     failed = tested.where("NOT linked").select(F.explode(F.array("a", "b")).alias("node")).distinct()
     placed = texts.join(groups, F.col("id") == F.col("node"), "left").select("id", "text", F.coalesce("component", "id").alias("grp"))
     if not failed.isEmpty():
-        open_groups = placed.join(failed, F.col("id") == F.col("node"), "left_semi").select("grp").distinct()
-        again = placed.join(open_groups, "grp", "left_semi").join(nodes.select("id", "signature"), "id")
+        marked = placed.join(failed, F.col("id") == F.col("node"), "left").groupBy("grp")
+        open_groups = marked.agg(F.count("*").alias("n"), F.count("node").alias("failed")).where("failed > 0").select("grp", "n")
+        again = met_by_key(placed, open_groups, "grp", texts.count()).join(nodes.select("id", "signature"), "id")
         more = durable(links_within(again, width, percent))
         crowded = crowded.unionAll(more.where("a = b").select(F.col("a").alias("node"))).distinct()
         edges = edges.unionByName(more.where("a <> b"))

@@ -107,11 +107,23 @@ def test_a_crowded_region_is_met_whole(spark):
 
 def test_components_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(50)] + [(5, 5), (None, 3)]
-    found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert found == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(50)}}
+    for hub in (3, 1_000):
+        found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long"), hub).collect()}
+        assert found == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(50)}}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("least", [0, 5, 1_000])
+def test_hot_keys_meet_as_in_a_join(spark, least):
+    rows = [(k, i) for k in range(8) for i in range(k)] + [(9, i) for i in range(300)] + [(None, 1)]
+    frame = spark.createDataFrame(rows, "k int, i int")
+    keyed = frame.where("k IS NULL OR k <> 4").groupBy("k").agg(F.max("i").alias("m"), F.count("*").alias("n"))
+    found = components.met_by_key(frame, keyed, "k", len(rows), least, 50)
+    want = sorted((k, i, 299 if k == 9 else k - 1) for k, i in rows if k is not None and k != 4)
+    assert found.columns == ["k", "i", "m"] and sorted(map(tuple, found.collect())) == want
+    assert components.met_by_key(frame.limit(0), keyed.limit(0), "k", 0, least).count() == 0
+
+
 @pytest.mark.parametrize("size", [3, 64])
 def test_embedding_links_equal_brute_force(spark, size):
     rng = random.Random(size)

@@ -38,10 +38,17 @@ def compressor(data: bytes, size: int, match: int, kind: int = zstandard.DICT_TY
     return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings)
 
 
-def sample_of_classes(rows: DataFrame, label: str, size: int) -> DataFrame:
-    """At most ``size`` rows of each label, those with the least hash of their id; Spark keeps no more of a label in a task."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    return rows.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= size).drop("__n")
+def sample_of_classes(rows: DataFrame, label: str, size: int, parts: int = 64) -> DataFrame:
+    """At most ``size`` rows of each label, those with the least hash of their id.
+
+    They are ranked in ``parts`` parts of each label first, so that no more than ``parts`` x ``size`` rows of a label meet in a
+    task, however many there are.
+    """
+    placed = rows.withColumn("__part", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts)
+    for keys in ([label, "__part"], [label]):
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        placed = placed.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= size).drop("__n")
+    return placed.drop("__part")
 
 
 # --- language ---------------------------------------------------------------------------------------------------------

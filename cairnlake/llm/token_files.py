@@ -156,7 +156,7 @@ class Encoder:
 
 
 #: Bytes of texts encoded together, about; a longer text is encoded alone.
-SLICE = 6 << 20
+SLICE = 9 << 20
 
 #: One encoder a Python worker, kept for its next tasks.
 ENCODERS: dict[tuple[str, int], Encoder] = {}

@@ -115,7 +115,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT l.doc_id, l.source, l.place AS own, l.leaf, r.subroot, r.place AS top, false AS up, 0 AS level, l.place, l.size, coalesce(l.other, l.leaf) AS folded, '' AS proof
             FROM l JOIN r ON l.source IS NOT DISTINCT FROM r.source
             UNION ALL
-            SELECT f.doc_id, f.source, own, f.leaf, subroot, top, f.size = 1, CASE WHEN f.size = 1 THEN 0 ELSE f.level + 1 END, CASE WHEN f.size = 1 THEN top ELSE f.place // 16 END,
+            SELECT f.doc_id, f.source, own, f.leaf, subroot, top, f.up OR f.size = 1, CASE WHEN f.size = 1 THEN 0 ELSE f.level + 1 END, CASE WHEN f.size = 1 THEN top ELSE f.place // 16 END,
                    CASE WHEN f.size = 1 THEN (SELECT count(*) FROM r) ELSE (f.size + 15) // 16 END,
                    CASE WHEN f.size = 1 THEN folded ELSE sha256(string_agg(CASE WHEN n.place = f.place THEN folded ELSE n.node END, '' ORDER BY n.place)) END,
                    CASE WHEN f.size = 1 THEN proof ELSE proof || coalesce(string_agg(n.node, '' ORDER BY n.place) FILTER (n.place <> f.place), '') END

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm import compression, embedding_dedup, exact_dedup, html_text, merkle, minhash, packing, pieces, secrets, token_files
+from cairnlake.llm import compression, embedding_dedup, exact_dedup, html_text, lempel_ziv, merkle, minhash, packing, pieces, repair, secrets, token_files
 from cairnlake.session import durable, remove, scratch_path, table
 
 
@@ -66,10 +66,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.score_toxicity(docs, compression.learn_toxicity(docs, table(spark, sf_dir, "labels").where(compression.fold(F.col("doc_id"), 3) != 1)))
 
 
+def op11_lempel_ziv_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lempel_ziv.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_proofs(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_html_extraction": op2_html_extraction,
@@ -81,7 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
+    "op11_lempel_ziv_fingerprint": op11_lempel_ziv_fingerprint,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0} END"

@@ -131,20 +131,29 @@ def proofs(manifest: Manifest) -> DataFrame:
     known = F.broadcast(manifest.trees) if manifest.n_trees <= BROADCAST_NODES else manifest.trees
     runs = manifest.runs.join(known, "tree").withColumn("tall", height(F.col("size")))
     top = levels_above(manifest.n_trees)
-    power = lambda level: F.expr("1L").cast("long") * F.pow(F.lit(float(FAN)), level).cast("long")
-    at_level = lambda level: F.ceil(F.col("size") / power(level)).cast("long")
-    inside = F.transform(F.filter(F.sequence(F.lit(1), F.lit(15)), lambda k: k < tall), lambda k: _siblings(F.floor(F.col("run") / power(k - 1)).cast("long"), at_level(k), k, k, F.col("tree")))
-    over = [_siblings(F.shiftright("top_place", 4 * k), F.lit(-(-manifest.n_trees // FAN**k)).cast("long"), F.lit(k), tall + k, F.lit(TOP)) for k in range(top)]
-    asked = runs.select(F.col("tree").alias("of_tree"), "run", F.explode(F.concat(F.flatten(inside), *over)).alias("c")).select("of_tree", "run", "c.*")
+    at_level = lambda level: F.shiftright(F.col("size") + (FAN**level - 1), 4 * level)
     held = manifest.nodes.select("tree", "level", "place", "node")
     sizes = {(r["up"], r["level"]): r["n"] for r in manifest.nodes.groupBy((F.col("tree") == TOP).alias("up"), "level").agg(F.count("*").alias("n")).collect()}
-    large = [k for k, n in sizes.items() if n > BROADCAST_NODES]
-    is_large = lambda: sum(((((F.col("tree") == TOP) == up) & (F.col("level") == level)).cast("int") for up, level in large), F.lit(0)) > 0
-    found = asked.where(~is_large()).join(F.broadcast(held.where(~is_large())), ["tree", "level", "place"])
-    if large:
-        found = found.unionByName(asked.where(is_large()).join(held.where(is_large()).hint("shuffle_merge"), ["tree", "level", "place"]))
-    above = found.groupBy(F.col("of_tree").alias("tree"), "run").agg(F.array_sort(F.collect_list(F.struct("step", "place", "before", "node"))).alias("above"))
-    both = runs.join(above, ["tree", "run"], "left").withColumn("above", F.coalesce("above", F.array().cast(above.schema["above"].dataType)))
+
+    def lookup(large: bool) -> DataFrame | None:
+        levels = {up: [level for (u, level), n in sizes.items() if u == up and (n > BROADCAST_NODES) == large] for up in (False, True)}
+        below = [k for k in levels[False] if k > 0]
+        over = [_siblings(F.shiftright("top_place", 4 * k), F.lit(-(-manifest.n_trees // FAN**k)).cast("long"), F.lit(k), tall + k, F.lit(TOP)) for k in levels[True] if k < top]
+        if not below and not over:
+            return None
+        inside = [F.when(tall > k, _siblings(F.shiftright("run", 4 * (k - 1)), at_level(k), F.lit(k), F.lit(k), F.col("tree"))).otherwise(F.array()) for k in below]
+        asked = runs.select(F.col("tree").alias("of_tree"), "run", F.explode(F.concat(*inside, *over)).alias("c")).select("of_tree", "run", "c.*")
+        wanted = held.where((F.when(F.col("tree") == TOP, F.col("level").isin(levels[True])).otherwise(F.col("level").isin(levels[False]))))
+        return asked.join(wanted.hint("shuffle_merge") if large else F.broadcast(wanted), ["tree", "level", "place"])
+
+    found = [x for x in map(lookup, (False, True)) if x is not None]
+    found = found[0].unionByName(found[1]) if len(found) > 1 else found[0] if found else None
+    none = F.array().cast("array<struct<step:int,place:bigint,before:boolean,node:string>>").alias("above")
+    if found is None:
+        both = runs.withColumn("above", none)
+    else:
+        above = found.groupBy(F.col("of_tree").alias("tree"), "run").agg(F.array_sort(F.collect_list(F.struct("step", "place", "before", "node"))).alias("above"))
+        both = runs.join(above, ["tree", "run"], "left").withColumn("above", F.coalesce("above", none))
     side = lambda s, before: _joined(F.transform(F.filter("above", lambda u: (u["step"] == s) & (u["before"] == before)), lambda u: u["node"]))
     steps = F.filter(F.sequence(F.lit(0), F.lit(30)), lambda s: (s >= F.when(tall > 0, 1).otherwise(0)) & (s < tall + top))
     lined = both.withColumn("path", F.transform(steps, lambda s: F.struct(side(s, True).alias("left"), side(s, False).alias("right"))))

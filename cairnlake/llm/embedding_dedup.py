@@ -49,7 +49,7 @@ def unit_rows(data: list[bytes], size: int) -> np.ndarray:
 
 
 def codes(unit: np.ndarray, vertices: int, table: int) -> np.ndarray:
-    """Buckets of each vector in a table: rows x (1 + PROBES), the own one first; a bucket names ``vertices`` vertices.
+    """Buckets of each vector in a table: rows x (1 + PROBES) at most, the own one first; a bucket names ``vertices`` vertices.
 
     Probes change one or several vertices to the second or third nearest, least loss of projection first.
     """
@@ -57,8 +57,7 @@ def codes(unit: np.ndarray, vertices: int, table: int) -> np.ndarray:
     size = max(2, 1 << (d - 1).bit_length())
     padded = np.zeros((n, size))
     padded[:, :d] = unit
-    choices = np.stack(np.meshgrid(*[np.arange(3)] * vertices, indexing="ij"), -1).reshape(-1, vertices)
-    total, code = np.zeros((n, len(choices))), np.zeros((n, len(choices)), np.int64)
+    total, code = np.zeros((n, 1)), np.zeros((n, 1), np.int64)
     for k in range(vertices):
         y = padded
         for s in _signs(size, table, k):
@@ -68,16 +67,22 @@ def codes(unit: np.ndarray, vertices: int, table: int) -> np.ndarray:
         top = np.take_along_axis(both, top3, axis=1)
         order = np.argsort(-top, axis=1, kind="stable")
         near, top = np.take_along_axis(top3, order, axis=1), np.take_along_axis(top, order, axis=1)
-        loss = top[:, :1] - top
-        total += loss[:, choices[:, k]] ** 2
-        code = code * (2 * size) + near[:, choices[:, k]]
-    best = np.argsort(total, axis=1, kind="stable")[:, : 1 + min(PROBES, len(choices) - 1)]
-    return np.take_along_axis(code, best, axis=1)
+        # a name among the best has a beginning among the best beginnings, so no others need be kept
+        spent = (total[:, :, None] + ((top[:, :1] - top) ** 2)[:, None, :]).reshape(n, -1)
+        named = (code[:, :, None] * (2 * size) + near[:, None, :]).reshape(n, -1)
+        best = np.argsort(spent, axis=1, kind="stable")[:, : 1 + PROBES]
+        total, code = np.take_along_axis(spent, best, axis=1), np.take_along_axis(named, best, axis=1)
+    return code
 
 
 def vertices_for(rows: int, size: int) -> int:
-    """Vertices of a bucket name, so that a bucket holds few unrelated vectors whatever the number of rows."""
-    return max(1, math.ceil(math.log(max(2, rows)) / math.log(2 * max(2, 1 << (size - 1).bit_length()))))
+    """Vertices of a bucket name, so that a bucket holds few unrelated vectors whatever the number of rows.
+
+    A name needs no more bits than it takes to tell the caps of 18 degrees apart, about 1.7 a dimension: in few dimensions
+    more rows are truly near each other, which no finer bucket changes.
+    """
+    bits = math.log2(2 * max(2, 1 << (size - 1).bit_length()))
+    return max(1, min(math.ceil(math.log2(max(2, rows)) / bits), math.ceil((1.7 * size + 1) / bits)))
 
 
 def tables_for(vertices: int, size: int, missed: float = 1e-3) -> int:
@@ -142,29 +147,36 @@ def _block(ids: np.ndarray, weight: np.ndarray, side: np.ndarray, own: np.ndarra
     return ids[hit], links[hit], ids[lead[edge]], ids[edge]
 
 
-def linked_vectors(classes: DataFrame, size: int, rows: int, least: float) -> DataFrame:
-    """Rows (id, links) with the links of classes that were met, and rows (id, other) with edges, from (id, copies, vector)."""
-    vertices = vertices_for(rows, size)
-    tables = tables_for(vertices, size)
+def linked_vectors(classes: DataFrame, counts: dict[int, int], least: float) -> DataFrame:
+    """Rows (id, links) with the links of classes that were met, and rows (id, other) with edges, from (id, copies, vector, size).
+
+    counts: rows of each vector length; vectors meet only those of their length.
+    """
+    plan = {size: ((v := vertices_for(n, size)), tables_for(v, size)) for size, n in counts.items()}
 
     def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 piece = batch.slice(at, BLOCK)
-                unit, ids = unit_rows(piece.column(1).to_pylist(), size), piece.column(0).to_numpy()
-                for t in range(tables):
-                    code = codes(unit, vertices, t)
-                    n, p = code.shape
-                    own = np.tile(np.arange(p) == 0, n)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, p)), pa.array(np.full(n * p, t, np.int32)), pa.array(code.reshape(-1)), pa.array(own)], ["id", "tab", "bucket", "own"])
-
-    places = durable(classes.select("id", "vector").mapInArrow(hash_rows, "id long, tab int, bucket long, own boolean"))
-    live = places.groupBy("tab", "bucket").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 AND any_own").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n", "any_own")
-    met = places.join(live, ["tab", "bucket"]).withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+                all_ids, vectors, sizes = piece.column(0).to_numpy(), piece.column(1).to_pylist(), piece.column(2).to_numpy()
+                for size in np.unique(sizes).tolist():
+                    rows = np.flatnonzero(sizes == size)
+                    unit, ids = unit_rows([vectors[r] for r in rows], size), all_ids[rows]
+                    vertices, tables = plan[size]
+                    for t in range(tables):
+                        code = codes(unit, vertices, t)
+                        n, p = code.shape
+                        own = np.tile(np.arange(p) == 0, n)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, p)), pa.array(np.full(n * p, size, np.int32)), pa.array(np.full(n * p, t, np.int32)), pa.array(code.reshape(-1)), pa.array(own)], ["id", "size", "tab", "bucket", "own"])
+
+    name = ["size", "tab", "bucket"]
+    places = durable(classes.select("id", "vector", "size").mapInArrow(hash_rows, "id long, size int, tab int, bucket long, own boolean"))
+    live = places.groupBy(*name).agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 AND any_own").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n", "any_own")
+    met = places.join(live, name).withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     tasks = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = tasks.select("id", "tab", "bucket", "own", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int")).alias("side"))
-    key = ["tab", "bucket", "i", "j"]
-    together = tasks.join(classes, "id").select(*key, "id", "copies", "side", "own", "vector").repartition(*key).sortWithinPartitions(*key)
+    tasks = tasks.select("id", *name, "own", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int")).alias("side"))
+    key = ["size", "tab", "bucket", "i", "j"]
+    together = tasks.join(classes.drop("size"), "id").select(*key, "id", "copies", "side", "own", "vector").repartition(*key).sortWithinPartitions(*key)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -186,7 +198,8 @@ def linked_vectors(classes: DataFrame, size: int, rows: int, least: float) -> Da
         found: list[tuple[np.ndarray, ...]] = []
         for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
             if b - a > 1 and (last or b < len(keys)):
-                found.append(_block(ids[a:b], weight[a:b], side[a:b], own[a:b], unit_rows(vectors[a:b], size), int(keys[a, 0]), int(keys[a, 1]), vertices, least))
+                size, tab, bucket = keys[a, :3].tolist()
+                found.append(_block(ids[a:b], weight[a:b], side[a:b], own[a:b], unit_rows(vectors[a:b], size), tab, bucket, plan[size][0], least))
         who, links, x, y = (np.concatenate(c) for c in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 4
         pad = lambda v, before, after: pa.array(np.concatenate([np.zeros(before, np.int64), v, np.zeros(after, np.int64)]), mask=np.concatenate([np.ones(before, bool), np.zeros(len(v), bool), np.ones(after, bool)]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([who, x])), pad(links, 0, len(x)), pad(y, len(who), 0)], ["id", "links", "other"]), len(keys) if last else int(starts[-1])
@@ -203,18 +216,16 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, vector: str = "embeddi
     vectors of different lengths. A null vec_id counts among the links of others but can be nobody's component: such a row
     carries its vector's component, null if none of the rows with its vector has an id. Rows that repeat an id with
     other vectors are joined under it. An empty table gives no rows. Other columns are not read.
+    The driver learns how many vectors there are of each length, and nothing else.
     """
     rows = durable(packed(vectors, vector, vec_id))
     classes = rows.where("vector IS NOT NULL").groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     # vectors without an id get a number above all ids, which is nobody's component
     classes = durable(classes.select("vector", "copies", F.coalesce("id", F.shiftrightunsigned(F.xxhash64("vector"), 2) + F.lit(NO_ID)).alias("id"), (F.length("vector") / 8).cast("int").alias("size")))
-    found = None
-    for size in sorted(r["size"] for r in classes.select("size").distinct().collect()):
-        own = classes.where(F.col("size") == size)
-        part = linked_vectors(own, size, own.count(), least)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    counts = {r["size"]: r["count"] for r in classes.groupBy("size").count().collect()}
+    if not counts:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    found = linked_vectors(classes, counts, least)
     found = durable(found)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))

@@ -3,7 +3,8 @@
 A text is cut before each run of spaces (no piece of the vocabulary holds a space mark behind another character, which is
 checked), and the distinct words of a batch are encoded together: one flat array of symbols, in each round the best rank
 of every word by a segmented minimum, all merges of that rank at once from left to right, then compaction; words
-without a mergeable pair leave the arrays. Two generations of words are remembered between batches.
+without a mergeable pair leave the arrays. Two generations of short words are remembered between batches, each bounded by
+its characters; long words are encoded where they occur and forgotten with their group of texts.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 WORDS = re.compile(r" +[^ ]*")
+#: Characters of the longest word that is remembered, of the words of a generation, and of the texts encoded together.
+LONGEST, REMEMBER, TOGETHER = 48, 1_500_000, 1 << 20
 NONE = np.iinfo(np.int64).max
 
 
 class PieceModel:
     """Vocabulary of a SentencePiece BPE file with byte fallback, identity normalisation and a dummy prefix."""
 
-    def __init__(self, path: str, remember: int = 200_000) -> None:
+    def __init__(self, path: str, remember: int = REMEMBER) -> None:
         import sentencepiece
 
         table = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -50,7 +53,7 @@ class PieceModel:
         order = {s: r for r, s in enumerate(sorted({table.get_score(i) for i in pieces.values()}, reverse=True))}
         pairs = sorted((self.symbols[name[:k]] * self.base + self.symbols[name[k:]], order[table.get_score(i)], i) for name, i in pieces.items() for k in range(1, len(name)) if name[:k] in self.symbols and name[k:] in self.symbols)
         self.keys, self.ranks, self.merged = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
-        self.end, self.remember, self.ids, self.surface, self.old = table.eos_id(), remember, {}, {}, ({}, {})
+        self.end, self.remember, self.ids, self.surface, self.old, self.held = table.eos_id(), remember, {}, {}, ({}, {}), 0
 
     def _spell(self, symbol: int, char: str) -> list[int]:
         return [symbol] if symbol < self.pieces else [self.byte_id[b] for b in char.encode()]
@@ -131,30 +134,57 @@ class PieceModel:
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode(errors="replace")
         return text[1:] if text[:1] == " " else text
 
-    def learn(self, words: list[str]) -> None:
-        """Encode words that begin with their spaces and remember their ids and surfaces."""
+    def encoded(self, words: list[str]) -> Iterator[tuple[str, str, bytes]]:
+        """Each word, which begins with its spaces, with its ids and its surface."""
         for w, ids in zip(words, self._rounds([w.replace(" ", MARK) for w in words]), strict=True):
-            self.ids[w] = " ".join(map(str, ids))
-            self.surface[w] = b"".join(map(self.bytes_of.__getitem__, ids))
+            yield w, " ".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
 
     def words(self, text: str) -> list[str]:
         return WORDS.findall(" " + text.replace(MARK, " ")) if text else []
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[str, str]]:
-        """Decimal ids with the end id, joined by spaces, and the decoded text of each text."""
-        if len(self.ids) > self.remember:
-            self.old, self.ids, self.surface = (self.ids, self.surface), {}, {}
+        """Decimal ids with the end id, joined by spaces, and the decoded text of each text.
+
+        Texts are taken in groups of ``TOGETHER`` characters (a longer text is a group of its own), which bounds what the
+        merge rounds and the long words of a group hold.
+        """
+        group, size = [], 0
+        for text in texts:
+            if group and size + len(text) > TOGETHER:
+                yield from self._encode_group(group)
+                group, size = [], 0
+            group.append(text)
+            size += len(text)
+        yield from self._encode_group(group)
+
+    def _encode_group(self, texts: list[str]) -> Iterator[tuple[str, str]]:
+        if self.held > self.remember:
+            self.old, self.ids, self.surface, self.held = (self.ids, self.surface), {}, {}, 0
         split = [self.words(t) for t in texts]
-        new = [w for w in set().union(*split) if w not in self.ids]
-        for w in new:
+        long_ids: dict[str, str] = {}
+        long_surface: dict[str, bytes] = {}
+        fresh = []
+        for w in set().union(*split):
+            if w in self.ids:
+                continue
             if w in self.old[0]:
                 self.ids[w], self.surface[w] = self.old[0][w], self.old[1][w]
-        if fresh := [w for w in new if w not in self.ids]:
-            self.learn(fresh)
-        ids, surface = self.ids.__getitem__, self.surface.__getitem__
+                self.held += len(w)
+            else:
+                fresh.append(w)
+        for w, ids, surface in self.encoded(fresh):
+            if len(w) > LONGEST:
+                long_ids[w], long_surface[w] = ids, surface
+            else:
+                self.ids[w], self.surface[w] = ids, surface
+                self.held += len(w)
+        if long_ids:
+            ids_of, surface_of = lambda w: self.ids.get(w) or long_ids[w], lambda w: self.surface[w] if w in self.surface else long_surface[w]
+        else:
+            ids_of, surface_of = self.ids.__getitem__, self.surface.__getitem__
         for own in split:
-            decoded = b"".join(map(surface, own))
-            yield " ".join([*map(ids, own), str(self.end)]), (decoded[1:] if decoded[:1] == b" " else decoded).decode(errors="replace")
+            decoded = b"".join(map(surface_of, own))
+            yield " ".join([*map(ids_of, own), str(self.end)]), (decoded[1:] if decoded[:1] == b" " else decoded).decode(errors="replace")
 
 
 #: One model a Python worker, kept for its next tasks.

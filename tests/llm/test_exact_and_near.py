@@ -209,3 +209,50 @@ def test_columns_that_clash_and_long_texts(spark):
     assert sorted(r["doc_id"] for r in exact_dedup.drop_exact_duplicates(docs).collect()) == [2, 3, 4]
     near = minhash.drop_near_duplicates(docs)
     assert near.columns == docs.columns and sorted(r["doc_id"] for r in near.collect()) == [1, 3, 4]
+
+
+def test_probes_are_the_best_of_all_choices():
+    """The beam over vertices gives the names that all choices of three a vertex would give, least loss first."""
+    import itertools
+
+    rng = np.random.default_rng(8)
+    for size, vertices in ((1, 1), (2, 2), (5, 3), (64, 4)):
+        unit = rng.normal(size=(20, size))
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        full = max(2, 1 << (size - 1).bit_length())
+        near, losses = [], []
+        for k in range(vertices):
+            y = np.zeros((20, full))
+            y[:, :size] = unit
+            for s in embedding_dedup._signs(full, 3, k):
+                y = embedding_dedup._hadamard(y * s)
+            both = np.concatenate([y, -y], axis=1)
+            order = np.argsort(-both, axis=1, kind="stable")[:, :3]
+            near.append(order)
+            losses.append((both.max(axis=1, keepdims=True) - np.take_along_axis(both, order, axis=1)) ** 2)
+        got = embedding_dedup.codes(unit, vertices, 3)
+        for r in range(20):
+            every = sorted((sum(losses[k][r, c] for k, c in enumerate(choice)), choice) for choice in itertools.product(range(3), repeat=vertices))
+            names = []
+            for _, choice in every[: got.shape[1]]:
+                code = 0
+                for k, c in enumerate(choice):
+                    code = code * 2 * full + int(near[k][r, c])
+                names.append(code)
+            assert got.shape[1] == min(11, 3**vertices) and got[r, 0] == names[0]
+            if size > 2:
+                assert sorted(names) == sorted(got[r].tolist())
+
+
+def test_few_dimensions_and_mixed_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=d).tolist()) for i, d in enumerate([1] * 40 + [2] * 60 + [3] * 60 + [4] * 60)]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    linked = met = 0
+    for i, x in rows:
+        want = sum(1 for j, y in rows if i != j and len(x) == len(y) and np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) >= 0.95)
+        assert got[i] <= want
+        linked, met = linked + want, met + got[i]
+    assert met >= 0.99 * linked
+    for d in (1, 2, 4):
+        assert embedding_dedup.codes(np.ones((1000, d)), embedding_dedup.vertices_for(10**9, d), 0).shape[1] <= 11

@@ -75,8 +75,17 @@ def test_pieces_give_the_way_of_the_whole():
 
 def by_steps(pattern):
     """Least (cost, edits) row by row; insertions before every row and at the end."""
-    grow = lambda ways: {s: min([ways[s]] * (s in ways) + [(ways[p][0] + 5 * k, ways[p][1] + "I" * k) for p in ways for k, at in chain(p) if at == s]) for s in range(4) if any(at == s for p in ways for _, at in chain(p)) or s in ways}
-    chain = lambda p: [(0, p), *{0: [(1, 2), (2, 3), (3, 2)], 1: [(1, 2), (2, 3), (3, 2)], 2: [(1, 3), (2, 2)], 3: [(1, 2), (2, 3)]}[p]]
+    following = {0: 2, 1: 2, 2: 3, 3: 2}
+
+    def grow(ways):
+        best = dict(ways)
+        for state, (cost, edits) in ways.items():
+            for k in range(1, 4):
+                state = following[state]
+                way = (cost + 5 * k, edits + "I" * k)
+                best[state] = min(best.get(state, way), way)
+        return best
+
     ways = {0: (0, "")}
     for row in pattern:
         after = {}

@@ -123,7 +123,7 @@ def test_made_pages_are_extracted():
     model, wrong, total = html_text.main_text_model(), 0, 0
     for seed in range(5000, 5060):
         labels, page = html_text._marked(html_text.training_page(seed))
-        got = html_text.consistent(page.parents, model.log_odds(html_text.features(page)).tolist())
+        got = html_text.consistent(page.parents, model.trees.log_odds(html_text.features(page, model.weights)).tolist())
         assert all(got[p] or not g for p, g in zip(page.parents[1:], got[1:], strict=True))
         wrong += sum(len(t.strip()) for n, _, t in page.runs if got[n] != bool(labels[n]))
         total += sum(len(t.strip()) for _, _, t in page.runs)
@@ -189,6 +189,52 @@ def test_pages_of_other_layouts(layout):
     assert got == "\n".join(["Head of it", *(" ".join(w.split()) for w in words)])
 
 
+@pytest.mark.parametrize("names", ["post", "entry-content", "post header-style", "post ad-free", "content meta", "story promo", "x1 sidebar-left", "top-stories tag"])
+def test_one_token_does_not_empty_an_article(names):
+    words = "A plain sentence about the matter at hand, long enough to matter, with a clause or two. " * 4
+    want = "\n".join(["Head of it", *[" ".join(words.split())] * 2])
+    for outer, inner in ((names, "b"), ("b", names), (names, names)):
+        page = f'<body><nav class="menu"><ul><li><a href="/">Home</a><li><a href="/n">News</a></ul></nav><article class="{outer}"><h1>Head of it</h1><div class="{inner}"><p>{words}</p><p>{words}</p></div></article><footer>All rights <a href="/p">Privacy</a></footer></body>'
+        assert html_text.main_texts([page], html_text.main_text_model())[0] == want
+
+
+NAMELESS = [
+    "<body><div><a href='/'>Home</a> <a href='/x'>About</a></div><div><div>{0}</div></div><div>Copyright 2020</div></body>",
+    "<body><ul><li><a href='/'>首页</a></li><li><a href='/n'>新闻</a></li></ul><div>{0}</div></body>",
+    "<body><table><tr><td>Menu<br><a href='/a'>One</a><br><a href='/b'>Two</a></td><td>{0}</td></tr></table></body>",
+    "<body><div>Menu</div><div>Home</div><div>{0}</div></body>",
+]
+
+
+@pytest.mark.parametrize("layout", range(len(NAMELESS)))
+def test_pages_without_names_lose_their_menus(layout):
+    words = "A plain sentence about the matter at hand, long enough to matter, with a clause or two. " * 4
+    words = "这是一个很长的段落，其中有许多字。" * 20 if layout == 1 else words
+    page = NAMELESS[layout].format(f"<p>{words}</p><p>{words}</p>")
+    assert html_text.main_texts([page], html_text.main_text_model())[0] == "\n".join([" ".join(words.split())] * 2)
+
+
+def test_bogus_comments_end_at_the_first_bracket():
+    page = "<article><h1>Head</h1><![CDATA[ gone ><p>" + "A sentence that stays on the page. " * 8 + "</p></article>"
+    got = html_text.main_texts([page], html_text.main_text_model())[0]
+    assert got == "Head\n" + ("A sentence that stays on the page. " * 8).strip()
+
+
+def test_long_unspaced_texts_are_encoded_and_forgotten():
+    import random
+
+    import sentencepiece
+
+    path = vocabulary("piece_bpe_32k.model")
+    own, library, rng = pieces.PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path), random.Random(2)
+    for _ in range(3):
+        batch = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(1500)) for _ in range(40)] + ["short words here"]
+        for text, (ids, decoded) in zip(batch, own.encode_batch(batch), strict=True):
+            want = library.encode(text, add_eos=True)
+            assert ids == " ".join(map(str, want)) and decoded == library.decode(want)
+    assert max(map(len, own.ids)) <= pieces.LONGEST and own.held == sum(map(len, own.ids))
+
+
 def brute_spans(text):
     found = []
     for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
@@ -356,6 +402,7 @@ def test_letters_are_those_of_the_unicode_category():
 
     for char in map(chr, range(0x110000)):
         assert (compression.LETTER.search(char) is not None) == unicodedata.category(char).startswith("L") == (compression.NO_LETTER.search(char) is None), hex(ord(char))
+        assert compression.letters(f"a{char}b") == compression.NO_LETTER.sub(" ", f"a{char}b".lower()).encode("utf-16-le", errors="surrogatepass")
 
 
 def test_language_ties_long_texts_and_sizes(spark):

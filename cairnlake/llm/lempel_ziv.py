@@ -36,61 +36,51 @@ def parse(text: str, begin: int, end: int, known: set[str], most: int = MOST_PHR
     """Ends of the phrases of ``text[begin:end]``, and where a rest that is itself a known phrase begins (else ``end``).
 
     A phrase is the longest known one and a further character; it is added to ``known``, which is emptied when it holds
-    ``most``. Known phrases have known beginnings, so the length is searched from that of the last phrase.
+    ``most``.
     """
-    ends, at, size = [], begin, 1
-    while at < end:
-        high = min(at + size, end)
-        if text[at:high] in known:
-            low, step = high, 1
-            high = low + 1
-            while high <= end and text[at:high] in known:
-                low, step = high, step * 2
-                high = min(low + step, end) if low < end else end + 1
-            if high > end:
-                break
-        else:
-            low = at
-        while high - low > 1:
-            middle = (low + high) // 2
-            if text[at:middle] in known:
-                low = middle
-            else:
-                high = middle
-        known.add(text[at:high])
-        if len(known) >= most:
-            known.clear()
-        ends.append(high)
-        size, at = high - at, high
-    return ends, at
+    ends: list[int] = []
+    add, ended, phrase = known.add, ends.append, ""
+    for at, char in enumerate(text[begin:end], begin + 1):
+        phrase += char
+        if phrase not in known:
+            add(phrase)
+            ended(at)
+            phrase = ""
+            if len(known) >= most:
+                known.clear()
+    return ends, end - len(phrase)
 
 
 def _least(hashes: np.ndarray) -> np.ndarray:
     return np.unique(hashes)[:SIGNATURE]
 
 
-def phrase_hashes(text: str, begin: int, ends: list[int]) -> np.ndarray:
-    """The least ``SIGNATURE`` hashes of the phrases that begin at ``begin`` and end at ``ends``; a hash depends on the phrase alone."""
-    stops = np.array(ends, np.int64)
-    starts = np.append(begin, stops[:-1]).astype(np.int64)[: len(stops)]
-    held, i = np.empty(0, np.uint64), 0
+def _hashes(text: str, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Hash of each phrase ``text[start:stop]``, which depends on the phrase alone; starts ascend."""
+    out, i = np.empty(len(stops), np.uint64), 0
     while i < len(stops):
-        j = max(i + 1, int(np.searchsorted(stops, starts[i] + SPAN, side="right")))
         first = int(starts[i])
-        codes = np.frombuffer(text[first : int(stops[j - 1])].encode("utf-32-le", errors="surrogatepass"), np.uint32).astype(np.uint64)
-        total = np.append(np.uint64(0), np.cumsum((codes + np.uint64(1)) * POWER[: len(codes)], dtype=np.uint64))
+        j = len(stops) if len(text) - first <= SPAN else max(i + 1, int(np.searchsorted(stops, first + SPAN, side="right")))
+        codes = np.frombuffer(text[first : int(stops[j - 1])].encode("utf-32-le", errors="surrogatepass"), np.uint32) + np.uint64(1)
+        total = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes * POWER[: len(codes)], out=total[1:])
         a, b = starts[i:j] - first, stops[i:j] - first
         x = (total[b] - total[a]) * BACK[a] + (b - a).astype(np.uint64)
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-        held = _least(np.append(held, (x ^ (x >> np.uint64(31))) >> np.uint64(64 - 4 * DIGITS)))
+        out[i:j] = (x ^ (x >> np.uint64(31))) >> np.uint64(64 - 4 * DIGITS)
         i = j
-    return held
+    return out
+
+
+def _bounds(begin: int, ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    bounds = np.array([begin, *ends], np.int64)
+    return bounds[:-1], bounds[1:]
 
 
 def signature(text: str) -> np.ndarray:
     """Sorted least hashes of a text's phrases; an empty text has none."""
-    return phrase_hashes(text, 0, parse(text, 0, len(text), set())[0])
+    return _least(_hashes(text, *_bounds(0, parse(text, 0, len(text), set())[0])))
 
 
 def both_signatures(text: str, tail: str) -> tuple[np.ndarray, np.ndarray]:
@@ -101,21 +91,28 @@ def both_signatures(text: str, tail: str) -> tuple[np.ndarray, np.ndarray]:
     same = len(text) - len(text) // 2
     known: set[str] = set()
     ends, at = parse(text, 0, same, known)
-    common = phrase_hashes(text, 0, ends)
-    out = []
-    for whole, dictionary in ((text, set(known)), (text[:same] + tail, known)):
-        out.append(_least(np.append(common, phrase_hashes(whole, at, parse(whole, at, len(whole), dictionary)[0]))))
-    return out[0], out[1]
+    common, further = len(ends), set(known)
+    ends += parse(text, at, len(text), further)[0]
+    edited = text[at:same] + tail
+    starts, stops = _bounds(0, ends)
+    more_starts, more_stops = _bounds(len(text), [len(text) + e for e in parse(edited, 0, len(edited), known)[0]])
+    hashes = _hashes(text + edited, np.append(starts, more_starts), np.append(stops, more_stops))
+    return _least(hashes[: len(ends)]), _least(np.append(hashes[:common], hashes[len(ends) :]))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Share of common hashes among the least ones of both; 1 for two empty signatures."""
-    least = _least(np.append(a, b))
-    return float(np.isin(np.intersect1d(a, b, assume_unique=True), least, assume_unique=True).sum() / len(least)) if len(least) else 1.0
+    both = np.sort(np.append(a, b))
+    if not len(both):
+        return 1.0
+    again = both[1:] == both[:-1]
+    rank = np.arange(1, len(both)) - np.cumsum(again)  # of each hash but the first one among the different ones, from 0
+    least = min(SIGNATURE, len(both) - int(again.sum()))
+    return float((again & (rank < least)).sum() / least)
 
 
 def spelled(hashes: np.ndarray) -> str:
-    return "".join(f"{x:0{DIGITS}x}" for x in hashes.tolist())
+    return hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - DIGITS // 2 :].tobytes().hex()
 
 
 def read(fingerprint: str) -> np.ndarray:

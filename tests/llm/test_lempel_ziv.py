@@ -41,12 +41,14 @@ def test_parse_equals_a_plain_one():
 
 def test_hashes_depend_on_phrases_alone(monkeypatch):
     for text in texts():
-        ends, _ = L.parse(text, 0, len(text), set())
-        want = {int(L.phrase_hashes(p, 0, [len(p)])[0]) for p in plain_phrases(text)}
-        assert L.signature(text).tolist() == sorted(want)[: L.SIGNATURE]
+        bounds = L._bounds(0, L.parse(text, 0, len(text), set())[0])
+        one = lambda p: int(L._hashes(p, *L._bounds(0, [len(p)]))[0])
+        assert L.signature(text).tolist() == sorted(map(one, plain_phrases(text)))[: L.SIGNATURE]
+        whole = L._hashes(text, *bounds)
         monkeypatch.setattr(L, "SPAN", 64)
-        assert (L.phrase_hashes(text, 0, ends) == L.signature(text)).all()
+        assert (L._hashes(text, *bounds) == whole).all()
         monkeypatch.undo()
+        assert (L.read(L.spelled(L.signature(text))) == L.signature(text)).all()
 
 
 def test_both_signatures_equal_two_parses():

@@ -183,6 +183,7 @@ def _compose(width: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
 def measured(stream: Stream, chain: bool, block: int = 10_000, ahead: int = 1_000, grow: int = 8) -> DataFrame:
     """One row a block of :func:`_measure`; blocks in which a factor goes on beyond the tokens ahead are measured again with more."""
+    ahead = max(ahead, WINDOW)
     rows = durable(blocks_of(stream, block, ahead).mapInArrow(_measure(stream.size, block, chain), _SHAPE))
     while ahead < stream.size and rows.where("moving_open OR coalesce(chain_open, false)").first() is not None:
         ahead *= grow

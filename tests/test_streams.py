@@ -91,7 +91,7 @@ def served(rows, most, seconds):
     out, starts = {}, {}
     for gate, us, i in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2])):
         own = starts.setdefault(gate, [])
-        start = max([us] + [own[-most] + seconds * 1_000_000] * (len(own) >= most))
+        start = max(us, own[-most] + seconds * 1_000_000) if len(own) >= most else us
         own.append(start)
         out[i] = start
     return out

@@ -105,17 +105,27 @@ def visible_reply(text: Column) -> Column:
     return F.when(closed.rlike(r"^\s*<think>"), F.lit(None)).otherwise(F.trim(tail))
 
 
-def clean_line(text: Column, role: Column) -> Column:
-    """A spoken line without the notes of the user's side, and without the small-talk tag that begins the bot's."""
-    user = F.regexp_replace(F.regexp_replace(text, r"(?U)\s*\(Note:[^)]*\)", ""), r"(?U)^\s+|\s+\z", "")
-    return F.when(F.lower(role) == "user", user).when(F.lower(role) == "bot", F.regexp_replace(text, r"(?U)^\[chit-chat\]\s*", "")).otherwise(text)
+def clean_line(text: Column, role: Column, show_note: bool = False, show_tag: bool = False) -> Column:
+    """A spoken line without the notes of the user's side, and without the small-talk tag that begins the bot's.
+
+    ``show_note`` and ``show_tag`` leave them where they are.
+    """
+    user = text if show_note else F.regexp_replace(F.regexp_replace(text, r"(?U)\s*\(Note:[^)]*\)", ""), r"(?U)^\s+|\s+\z", "")
+    bot = text if show_tag else F.regexp_replace(text, r"(?U)^\[chit-chat\]\s*", "")
+    return F.when(F.lower(role) == "user", user).when(F.lower(role) == "bot", bot).otherwise(text)
+
+
+#: A text in single or double quotes with backslash escapes, and a list of such texts.
+QUOTED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+QUOTED_LIST = rf"(?s)^\[\s*(?:(?:{QUOTED})\s*(?:,\s*(?:{QUOTED})\s*)*,?)?\s*\]$"
 
 
 def attribute_list(text: Column) -> Column:
     """Names from a reply that is a JSON array, a quoted list, or plain text parted by commas, semicolons or lines."""
     bare = F.trim(F.regexp_replace(text, r"(?is)^\s*```(?:json)?|```\s*$", ""))
     parsed = F.from_json(bare, ArrayType(StringType()))
-    quoted = F.from_json(F.regexp_replace(bare, "'", '"'), ArrayType(StringType()))
+    each = F.regexp_extract_all(bare, F.lit(f"(?s){QUOTED}"), F.lit(0))
+    quoted = F.when(bare.rlike(QUOTED_LIST), F.transform(each, lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.char_length(x) - 2), r"\\(.)", "$1")))
     plain = F.filter(F.transform(F.split(bare, r"[,;\n]"), lambda x: F.regexp_replace(x, r"^[\s\-•]+|\s+$", "")), lambda x: x != "")
     return F.coalesce(parsed, F.when(bare.startswith("["), quoted), plain)
 
@@ -171,6 +181,13 @@ def json_scores(text: Column, fields: dict[str, str]) -> Column:
     return F.struct(*(value(n).try_cast(kind).alias(n) for n, kind in fields.items()))
 
 
+def nested_scores(text: Column, names: tuple[str, ...]) -> Column:
+    """A struct of doubles from a reply ``{name: {"score": x, ...}, ...}``, fenced or not; null where a score can't be read."""
+    body = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    held = F.from_json(body, "map<string,string>")
+    return F.struct(*(F.get_json_object(F.try_element_at(held, F.lit(n)), "$.score").try_cast("double").alias(n) for n in names))
+
+
 # --- catalogue text ---------------------------------------------------------------------------------------------------
 
 
@@ -256,7 +273,8 @@ def renamed_columns(text: Column, names: dict[str, str]) -> Column:
 
 
 def quality_band(score: Column) -> Column:
-    return F.when(score >= 4.5, "excellent").when(score >= 3.5, "good").when(score >= 2.5, "average").when(score >= 1.5, "bad").otherwise("very_bad")
+    """The band of a score from 1 to 5; null without one."""
+    return F.when(score.isNull(), F.lit(None).cast("string")).when(score >= 4.5, "excellent").when(score >= 3.5, "good").when(score >= 2.5, "average").when(score >= 1.5, "bad").otherwise("very_bad")
 
 
 def unset(value: Column) -> Column:

@@ -8,12 +8,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnlake.functions.text import TOKENIZERS
-from cairnlake.session import durable
+from cairnlake.session import durable, exists
 
 #: Term saturation and length normalisation, and the least idf.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
+#: Lengths up to here are kept as they are by :func:`quantised_length`.
+EXACT_LENGTH = 24
+
+
+def quantised_length(dl: Column) -> Column:
+    """A length as an index holds it in one byte: exact below 24, beyond that 24 and the rest's four leading bits."""
+    rest = F.greatest(dl.cast("long") - EXACT_LENGTH, F.lit(0).cast("long"))
+    unit = F.pow(F.lit(2.0), F.greatest(F.length(F.bin(rest)) - 4, F.lit(0))).cast("long")
+    return F.when(dl < EXACT_LENGTH, dl.cast("long")).otherwise(EXACT_LENGTH + F.floor(rest / unit).cast("long") * unit)
+
+
+@dataclass(frozen=True)
+class Scorer:
+    """Two BM25 rules over one index: the plain one, and ``quantised``, whose lengths are rounded, whose statistics leave out
+    documents without tokens, and whose idf ln(1 + (n - df + 0.5) / (df + 0.5)) is never negative."""
+
+    quantised: bool = False
+
+    def corpus(self, index: TextIndex) -> DataFrame:
+        if not self.quantised:
+            return index.corpus
+        own = index.doc_len.where("dl > 0")
+        return own.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
+
+    def part(self) -> Column:
+        dl = quantised_length(F.col("dl")) if self.quantised else F.col("dl")
+        return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * dl / F.col("avgdl")))
+
+    def idf(self, n: Column, df: Column) -> Column:
+        return F.ln(1 + (n - df + 0.5) / (df + 0.5)) if self.quantised else idf(n, df)
+
+
+PLAIN, QUANTISED = Scorer(), Scorer(True)
+
+
 @dataclass
 class TextIndex:
     """postings (term, doc_id, tf, dl), doc_len (doc_id, dl), term_df (term, df) and corpus (n, avgdl), one row."""
@@ -54,6 +89,26 @@ def build_index(docs: DataFrame, tokenizer: str = "unicode61") -> TextIndex:
     return TextIndex(postings, doc_len, term_df, corpus, tokenizer)
 
 
+_OPEN: dict[tuple[object, ...], TextIndex] = {}
+
+
+def opened_index(docs: DataFrame, source: str, tokenizer: str = "unicode61") -> TextIndex:
+    """The index of ``docs`` (doc_id, text), the table at ``source``: built on first use, then the written one again.
+
+    An application builds it anew when the table's files have changed in number, size or time, or when its scratch folder has
+    been cleared.
+    """
+    spark = docs.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(source)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    held = files.getContentSummary(place)
+    key = (spark.sparkContext.applicationId, source, tokenizer, held.getLength(), held.getFileCount(), files.getFileStatus(place).getModificationTime())
+    index = _OPEN.get(key)
+    if index is None or not all(exists(spark, t._scratch) for t in (index.postings, index.doc_len)):
+        _OPEN[key] = index = build_index(docs, tokenizer)
+    return index
+
+
 def query_terms(queries: DataFrame, tokenizer: str = "unicode61") -> DataFrame:
     """(query_id, term, qtf) of (query_id, text); a repeated token counts each time."""
     return queries.select("query_id", F.explode(TOKENIZERS[tokenizer](F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
@@ -64,7 +119,7 @@ def idf(n: Column, df: Column) -> Column:
     return F.when(value <= 0, F.lit(LEAST_IDF)).otherwise(value)
 
 
-def scores(index: TextIndex, queries: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+def scores(index: TextIndex, queries: DataFrame, candidates: DataFrame | None = None, scorer: Scorer = PLAIN) -> DataFrame:
     """(query_id, item_id, bm25_raw) of the documents that hold a query term; of ``candidates`` (query_id, item_id) only, if given.
 
     Statistics are those of the whole corpus either way. Candidates meet the terms of their query first and then the
@@ -78,9 +133,48 @@ def scores(index: TextIndex, queries: DataFrame, candidates: DataFrame | None =
         hits = candidates.select("query_id", "item_id").join(terms, "query_id").join(postings, ["item_id", "term"])
     else:
         hits = postings.join(terms, "term").repartition("item_id")
-    placed = hits.crossJoin(F.broadcast(index.corpus))
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return placed.groupBy("query_id", "item_id").agg(F.sum(F.col("qtf") * idf(F.col("n"), F.col("df")) * part).alias("bm25_raw"))
+    placed = hits.crossJoin(F.broadcast(scorer.corpus(index)))
+    return placed.groupBy("query_id", "item_id").agg(F.sum(F.col("qtf") * scorer.idf(F.col("n"), F.col("df")) * scorer.part()).alias("bm25_raw"))
+
+
+def top_k(index: TextIndex, queries: DataFrame, k: int, scorer: Scorer = PLAIN, slack: float = 1e-6) -> DataFrame:
+    """(query_id, item_id, bm25_raw) of documents that hold all of each query's ``k`` best, as :func:`scores` would give them.
+
+    A term adds at most its greatest part over all documents. Sums over a query's rarest terms give a score that ``k``
+    documents reach; the terms whose greatest parts together stay below it can't lift a document there alone. So only
+    documents with one of the other terms are gathered, only those whose sum may still reach the ``k``-th are kept, and the common
+    terms are looked up for these alone. Nothing is skipped that could be among the best or tie with them (``slack`` is more
+    than the rounding of scores).
+    """
+    postings = index.postings.withColumnRenamed("doc_id", "item_id")
+    words = query_terms(queries, index.tokenizer)
+    own = postings.join(words.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(scorer.corpus(index))).select("term", "item_id", scorer.part().alias("part"), "n")
+    known = own.groupBy("term").agg(F.count("*").alias("df"), F.max("part").alias("most"), F.first("n").alias("n"))
+    weight = F.col("qtf") * scorer.idf(F.col("n"), F.col("df"))
+    terms = words.join(known, "term").select("query_id", "term", "df", weight.alias("weight"), (weight * F.col("most")).alias("bound"))
+    rare = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    terms = durable(terms.withColumn("seed", F.coalesce(F.sum("df").over(rare), F.lit(0)) < 50 * k))
+
+    def sums(chosen: DataFrame) -> DataFrame:
+        hits = own.join(chosen.select("query_id", "term", "weight"), "term")
+        return hits.groupBy("query_id", "item_id").agg(F.sum(F.col("weight") * F.col("part")).alias("s"))
+
+    def reached(found: DataFrame) -> DataFrame:
+        """The score that ``k`` documents of a query have at least; queries with fewer have none."""
+        top = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("s").desc())))
+        return top.where(F.col("r") == k).select("query_id", F.col("s").alias("reached"))
+
+    low = terms.join(reached(sums(terms.where("seed"))), "query_id", "left")
+    light = Window.partitionBy("query_id").orderBy("bound", "term")
+    split = durable(low.withColumn("needed", F.sum("bound").over(light) >= F.coalesce("reached", F.lit(0.0)) - slack))
+    rest = split.groupBy("query_id").agg(F.coalesce(F.sum(F.when(~F.col("needed"), F.col("bound"))), F.lit(0.0)).alias("rest"), F.coalesce(F.first("reached"), F.lit(0.0)).alias("reached"))
+    found = durable(sums(split.where("needed")))
+    better = reached(found).withColumnRenamed("reached", "better")
+    least = F.greatest(F.col("reached"), F.coalesce("better", F.lit(0.0))) - slack
+    alive = durable(found.join(rest, "query_id").join(better, "query_id", "left").where(F.col("s") + F.col("rest") >= least).select("query_id", "item_id", "s"))
+    common = alive.select("query_id", "item_id").join(split.where("NOT needed").select("query_id", "term", "weight"), "query_id").join(own, ["item_id", "term"])
+    more = common.groupBy("query_id", "item_id").agg(F.sum(F.col("weight") * F.col("part")).alias("more"))
+    return alive.join(more, ["query_id", "item_id"], "left").select("query_id", "item_id", (F.col("s") + F.coalesce("more", F.lit(0.0))).alias("bm25_raw"))
 
 
 def scaled(hits: DataFrame) -> DataFrame:

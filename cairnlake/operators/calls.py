@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.functions.text import attribute_list, distinct_by_name, json_scores, present, quality_band, visible_reply
+from cairnlake.functions.text import attribute_list, distinct_by_name, json_scores, nested_scores, present, quality_band, visible_reply
 from cairnlake.operators.providers import TextProvider, with_text
 
 
@@ -115,3 +115,16 @@ def judged(rows: DataFrame, make: Callable[[], TextProvider], digits: int = 2) -
     out = read.withColumns({n: F.col(f"__s.{n}") for n in names}).drop("__s", "reply")
     score = overall([F.col(n) for n in names], digits)
     return out.withColumn("overall_score", score).withColumn("overall_quality", F.when(F.col("overall_score").isNotNull(), quality_band(F.col("overall_score"))))
+
+
+ASPECTS = ("fluency", "informativeness", "coherence")
+
+
+def evaluated(rows: DataFrame, reply: str = "reply") -> DataFrame:
+    """``rows`` with the evaluator's three aspects from its nested reply, their mean to one digit and its band.
+
+    A reply in which any aspect can't be read has neither mean nor band.
+    """
+    read = rows.withColumn("__s", nested_scores(F.col(reply), ASPECTS))
+    out = read.withColumns({n: F.col(f"__s.{n}") for n in ASPECTS}).drop("__s")
+    return out.withColumn("overall_score", overall([F.col(n) for n in ASPECTS], 1)).withColumn("overall_quality", quality_band(F.col("overall_score")))

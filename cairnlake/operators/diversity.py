@@ -104,3 +104,13 @@ def cosine_diversity(rows: DataFrame, keys: list[str], vector: str) -> DataFrame
     own = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(dot(F.col(vector), F.col(vector))).alias("own"))
     both = own.join(total, keys)
     return both.select(*keys, "n", F.when(F.col("n") > 1, 1 - (F.col("s") - F.col("own")) / (F.col("n") * (F.col("n") - 1))).otherwise(0.0).alias("diversity"))
+
+
+def sampled_cosine_diversity(rows: DataFrame, keys: list[str], vector: str, order: list[str], n: int = 200, seed: int | None = None) -> DataFrame:
+    """:func:`cosine_diversity` of ``n`` rows of each group: the first ones by ``order``, or with a seed those of the least hash.
+
+    Each task ranks its own rows first, so a group of any size sends ``n`` rows a task at most.
+    """
+    by = [F.md5(F.concat_ws(":", F.lit(str(seed)), *order)), *order] if seed is not None else order
+    ranked = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
+    return cosine_diversity(ranked.where(F.col("__n") <= n).drop("__n"), keys, vector)

@@ -11,6 +11,6 @@ Query = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 
 def registry() -> dict[str, Query]:
     """Every query by name, with its DuckDB SQL or None."""
-    from cairnlake.plans import analytics, corpora, dialogues, preferences, retrieval, runs
+    from cairnlake.plans import analytics, corpora, dialogues, lookup, preferences, retrieval, runs
 
-    return {**retrieval.QUERIES, **preferences.QUERIES, **analytics.QUERIES, **dialogues.QUERIES, **runs.QUERIES, **corpora.QUERIES}
+    return {**retrieval.QUERIES, **preferences.QUERIES, **analytics.QUERIES, **dialogues.QUERIES, **runs.QUERIES, **corpora.QUERIES, **lookup.QUERIES}

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from cairnlake.functions import text as T
 from cairnlake.operators.admission import admitted, parse_rate, waits
+from cairnlake.operators.calls import evaluated
 from cairnlake.operators.digests import ordered_digest
+from cairnlake.operators.diversity import sampled_cosine_diversity
 from cairnlake.operators.streams import Stream, pooled_diversity, stream_of
 from cairnlake.plans.analytics import FACTORS, LINES, ONE_WAY, line_tokens
 from cairnlake.session import table
@@ -56,6 +58,23 @@ def index_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(name, n, digest) for name, (n, digest) in parts.items()], "part string, n long, digest string")
 
 
+def evaluator_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested evaluator replies about the labelled documents, some fenced, some without an aspect."""
+    own = table(spark, sf_dir, "labels")
+    aspect = lambda name, value: F.format_string(f'"{name}": {{"score": %d, "reason": "so"}}', value.cast("int"))
+    middle = F.when(F.col("doc_id") % 7 == 0, '"informativeness": {"reason": "none"}').otherwise(aspect("informativeness", F.col("doc_id") % 5 + 1))
+    body = F.concat(F.lit("{"), F.concat_ws(", ", aspect("fluency", 1 + 4 * F.col("quality")), middle, aspect("coherence", 5 - 3 * F.col("toxic"))), F.lit("}"))
+    reply = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    return evaluated(own.select("doc_id", reply.alias("reply"))).drop("reply")
+
+
+def cosine_diversity_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spread of each label's first 20 vectors, and of 20 drawn with a seed."""
+    own = table(spark, sf_dir, "embeddings")
+    both = [sampled_cosine_diversity(own, ["label"], "embedding", ["vec_id"], 20, seed).withColumn("drawn", F.lit(seed is not None)) for seed in (None, 42)]
+    return both[0].unionByName(both[1]).select("label", "drawn", "n", F.round("diversity", 6).alias("diversity"))
+
+
 _STREAM = LINES + """,
     tok AS (SELECT row_number() OVER (ORDER BY conv_id, turn, role, k) - 1 AS i, w FROM (SELECT conv_id, turn, role, unnest(t) AS w, generate_subscripts(t, 1) AS k FROM l)),
     size AS (SELECT count(*) AS n FROM tok),
@@ -115,7 +134,17 @@ DIGESTS = f"""WITH RECURSIVE {_tree('i', 'SELECT ' + _row('p_partkey', 'p_partke
     {_tree('e', 'SELECT ' + _row('vec_id', 'vec_id', 'embedding') + ' FROM e')}
     SELECT 'items' AS part, n, digest FROM i_r UNION ALL SELECT 'vocabulary', n, digest FROM v_r UNION ALL SELECT 'vectors', n, digest FROM e_r"""
 
+_SAMPLE = "SELECT {0} AS drawn, label, vec_id, embedding::DOUBLE[] AS v FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY {1}) <= 20"
+SAMPLED = f"""WITH s AS ({_SAMPLE.format('false', 'vec_id')} UNION ALL {_SAMPLE.format('true', "md5('42:' || vec_id), vec_id")}),
+    p AS (SELECT a.label, a.drawn, 1 - avg(list_dot_product(a.v, b.v)) AS x FROM s a JOIN s b ON a.label = b.label AND a.drawn = b.drawn AND a.vec_id < b.vec_id GROUP BY ALL)
+    SELECT label, drawn, count(*) AS n, round(coalesce(any_value(x), 0), 6) AS diversity FROM s LEFT JOIN p USING (label, drawn) GROUP BY label, drawn"""
+EVALUATED = """WITH a AS (SELECT doc_id, (1 + 4 * quality)::DOUBLE AS fluency, CASE WHEN doc_id % 7 <> 0 THEN (doc_id % 5 + 1)::DOUBLE END AS informativeness, (5 - 3 * toxic)::DOUBLE AS coherence FROM labels),
+    o AS (SELECT *, round((fluency + informativeness + coherence) / 3, 1) AS overall_score FROM a)
+    SELECT *, CASE WHEN overall_score >= 4.5 THEN 'excellent' WHEN overall_score >= 3.5 THEN 'good' WHEN overall_score >= 2.5 THEN 'average' WHEN overall_score >= 1.5 THEN 'bad' WHEN overall_score IS NOT NULL THEN 'very_bad' END AS overall_quality FROM o"""
+
 QUERIES = {
+    "evaluator_scores": (evaluator_scores, EVALUATED),
+    "cosine_diversity_sampled": (cosine_diversity_sampled, SAMPLED),
     "pooled_mtld": (pooled_mtld, POOLED),
     "rate_admission": (rate_admission, _served("event_type", 3, 7200) + " SELECT event_id, event_type, start_us, start_us - us AS wait_us FROM s"),
     "rate_waits": (rate_waits, _served("1", 2, 600) + " SELECT event_type, count(*) AS requests, count_if(start_us > us)::BIGINT AS delayed, sum(start_us - us)::BIGINT AS total_wait_us, max(start_us - us) AS most_wait_us FROM s GROUP BY event_type"),

@@ -34,6 +34,10 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def text_index(spark: SparkSession, sf_dir: str) -> bm25.TextIndex:
+    return bm25.opened_index(texts(spark, sf_dir), f"{sf_dir}/documents.parquet")
+
+
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -51,7 +55,7 @@ def hybrid_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     own, queries = items(spark, sf_dir), hybrid_queries(spark, sf_dir)
-    index = bm25.build_index(texts(spark, sf_dir))
+    index = text_index(spark, sf_dir)
     return durable(hybrid.candidates(index, queries, own)), queries, own
 
 
@@ -100,12 +104,12 @@ def bm25_term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bm25.best(bm25.scores(bm25.build_index(texts(spark, sf_dir)), text_queries(spark, sf_dir)), 10)
+    found = bm25.best(bm25.top_k(text_index(spark, sf_dir), text_queries(spark, sf_dir), 10), 10)
     return _round6(found.select("query_id", "rank", "item_id", "bm25_raw"), "bm25_raw")
 
 
 def bm25_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bm25.best(bm25.scores(bm25.build_index(texts(spark, sf_dir)), text_queries(spark, sf_dir)), 30)
+    found = bm25.best(bm25.top_k(text_index(spark, sf_dir), text_queries(spark, sf_dir), 30), 30)
     return _round6(bm25.scaled(found).select("query_id", "item_id", "bm25_norm"), "bm25_norm")
 
 

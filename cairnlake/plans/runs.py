@@ -381,7 +381,7 @@ def text_files(spark, sf_dir) -> DataFrame:
     """Every conversation as a text of its own, read back."""
     path = scratch_path(spark, "texts")
     writers.write_conversation_texts(table(spark, sf_dir, "conversations"), path)
-    held = spark.read.schema("value string, conv_id long").text(path)
+    held = readers.read_conversation_texts(spark, path).select("conv_id", F.explode(F.split("text", "\n")).alias("value"))
     return held.where("value <> ''").groupBy("conv_id").agg(F.count("*").alias("lines"), F.sum(F.char_length("value")).alias("chars"))
 
 

@@ -80,6 +80,11 @@ def durable(df: DataFrame, *sort: str) -> DataFrame:
     return held
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of any file system that Spark knows."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -155,3 +155,18 @@ def merged_settings(*layers: dict) -> dict:
     for layer in layers:
         out.update(layer or {})
     return out
+
+
+def read_conversation_texts(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(conv_id, shard, text) of the shards :func:`cairnlake.sources.writers.write_conversation_texts` wrote.
+
+    ``wanted`` (conv_id) reads the shards that hold these alone; each conversation's bytes are cut out by its index.
+    """
+    index = spark.read.parquet(f"{path}/index")
+    if wanted is not None:
+        index = index.join(wanted.select("conv_id").distinct(), "conv_id", "left_semi")
+    own = index.groupBy("shard").agg(F.collect_list(F.struct("conv_id", "first_byte", "n_bytes")).alias("own"))
+    shards = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{path}/text")
+    held = shards.select(F.regexp_extract("path", r"shard=(\d+)", 1).cast("long").alias("shard"), "content").join(own, "shard")
+    cut = lambda x: F.decode(F.substring(F.col("content"), (x["first_byte"] + 1).cast("int"), x["n_bytes"].cast("int")), "utf-8")
+    return held.select("shard", F.explode(F.transform("own", lambda x: F.struct(x["conv_id"].alias("conv_id"), cut(x).alias("text")))).alias("c")).select("c.conv_id", "shard", "c.text")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnlake.functions.text import field_text
 from cairnlake.functions.vectors import checked_size, stored_unit
 from cairnlake.operators.bm25 import build_index
+from cairnlake.operators.order import laid_out
 from cairnlake.session import durable
 
 
@@ -43,11 +45,39 @@ def write_call_log(calls: DataFrame, path: str) -> None:
     calls.write.mode("append").option("ignoreNullFields", "false").json(path)
 
 
-def write_conversation_texts(lines: DataFrame, path: str) -> None:
-    """One text row ``Speaker: text`` per line of each conversation (conv_id, turn, role, text), a folder a conversation."""
+def replace_folder(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Let ``write`` fill a new folder beside ``path`` and rename it, so that readers see the old data or all of the new."""
+    fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    write(fresh)
+    target, source = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh))
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(target, True)
+    if not files.rename(source, target):
+        raise OSError(f"{fresh} can't be renamed to {path}")
+
+
+def write_conversation_texts(lines: DataFrame, path: str, shard_bytes: int = 64 << 20) -> None:
+    """Lines ``Speaker: text`` of all conversations (conv_id, turn, role, text) in text shards, and where each one's are.
+
+    Shards under ``text`` are cut every ``shard_bytes`` bytes of the whole in order, whatever the conversations' number
+    or lengths; ``index`` has (conv_id, shard, first_byte, n_bytes, n_lines), a row for each shard a conversation is
+    in. Both appear at once, under a folder that replaces the old one.
+    """
+    spark = lines.sparkSession
     speaker = F.when(F.col("role") == "user", "User").when(F.col("role") == "system", "System").otherwise("Bot")
     said = lines.select("conv_id", "turn", F.concat_ws(": ", speaker, F.coalesce("text", F.lit(""))).alias("value"))
-    said.repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "value").write.mode("overwrite").partitionBy("conv_id").text(path)
+    placed, _ = laid_out(said, ["conv_id", "turn", "value"], F.octet_length("value") + 1, start="byte")
+    placed = durable(placed.withColumn("shard", F.floor(F.col("byte") / shard_bytes).cast("long")))
+    own = F.octet_length("value") + 1
+    parts = placed.groupBy("conv_id", "shard").agg(F.min("byte").alias("first"), F.sum(own).cast("long").alias("n_bytes"), F.count("*").alias("n_lines"))
+    begins = placed.groupBy("shard").agg(F.min("byte").alias("begin"))
+    index = parts.join(begins, "shard").select("conv_id", "shard", (F.col("first") - F.col("begin")).alias("first_byte"), "n_bytes", "n_lines")
+
+    def write(fresh: str) -> None:
+        placed.repartition("shard").sortWithinPartitions("shard", "byte").select("shard", "value").write.partitionBy("shard").text(f"{fresh}/text")
+        index.write.parquet(f"{fresh}/index")
+
+    replace_folder(spark, path, write)
 
 
 def write_pairs(pairs: dict[str, DataFrame], path: str) -> None:
@@ -84,8 +114,9 @@ def file_names(dialogues: DataFrame, base: list[str], ts: str) -> DataFrame:
 
 
 def write_transcripts(dialogues: DataFrame, path: str, text: str = "transcript") -> None:
-    """One text row of each dialogue, in folders by outcome."""
-    dialogues.select("status", F.col(text).alias("value")).write.mode("overwrite").partitionBy("status").text(path)
+    """One text row of each dialogue, in folders by outcome; the folder appears when all of it is written."""
+    rows = dialogues.select("status", F.col(text).alias("value"))
+    replace_folder(dialogues.sparkSession, path, lambda fresh: rows.write.partitionBy("status").text(fresh))
 
 
 def run_summary(counters: DataFrame, failed_profiles: int = 0, unfinished: int = 0) -> DataFrame:

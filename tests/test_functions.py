@@ -56,6 +56,11 @@ def test_lists_and_scores_from_replies(spark):
     assert one(spark, T.attribute_list(F.col("t")), t='```json\n["a", "b"]\n```') == ["a", "b"]
     assert one(spark, T.attribute_list(F.col("t")), t="['a', 'b']") == ["a", "b"]
     assert one(spark, T.attribute_list(F.col("t")), t="- a\n• b; c") == ["a", "b", "c"]
+    assert one(spark, T.attribute_list(F.col("t")), t="""["it's", 'b "x"', 'c\\'d', ]""") == ["it's", 'b "x"', "c'd"]
+    assert one(spark, T.attribute_list(F.col("t")), t="[]") == []
+    assert one(spark, T.quality_band(F.col("t").cast("double")), t=None) is None
+    assert one(spark, T.clean_line(F.col("t"), F.lit("user"), show_note=True), t="Hi (Note: x)") == "Hi (Note: x)"
+    assert one(spark, T.clean_line(F.col("t"), F.lit("bot"), show_tag=True), t="[chit-chat] Hi") == "[chit-chat] Hi"
     assert one(spark, T.distinct_by_name(F.col("t")), t=["Brand", "brand", "price_range", "Price Range"]) == ["Brand", "price_range"]
     assert one(spark, T.json_scores(F.col("t"), {"score": "double", "why": "string"}), t='ok {"Score": 4.5, "WHY": "x"}').asDict() == {"score": 4.5, "why": "x"}
 

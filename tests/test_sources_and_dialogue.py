@@ -135,3 +135,25 @@ def test_stream_of_preferences(spark, sf, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("prefs").agg(F.sum("n")).first()[0] == source.count()
+
+
+def test_conversation_shards_and_their_index(spark, tmp_path):
+    from cairnlake.sources import readers, writers
+
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"Zeile {t} é\nmore" * (1 + c % 3)) for c in range(25) for t in range(c % 7)] + [(90, 0, "system", None)]
+    path = str(tmp_path / "texts")
+    lines = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for size in (200, 10_000_000):  # the second one replaces the first
+        writers.write_conversation_texts(lines, path, shard_bytes=size)
+        parts = {}
+        for r in readers.read_conversation_texts(spark, path).collect():
+            parts.setdefault(r["conv_id"], []).append((r["shard"], r["text"]))
+        names = {"user": "User", "assistant": "Bot", "system": "System"}
+        want = {}
+        for c, _, role, text in rows:
+            want[c] = want.get(c, "") + f"{names[role]}: {text or ''}\n"
+        assert {c: "".join(t for _, t in sorted(p)) for c, p in parts.items()} == want
+    assert len({s for p in parts.values() for s, _ in p}) == 1
+    some = readers.read_conversation_texts(spark, path, spark.createDataFrame([(3,), (90,)], "conv_id long")).collect()
+    assert {r["conv_id"] for r in some} == {3, 90}
+    assert not [p for p in tmp_path.iterdir() if "new-" in p.name]

@@ -47,8 +47,44 @@ def porter_tokens(text: Column) -> Column:
     return _stems(search_tokens(text))
 
 
+#: Fixed values of Unicode word boundaries: what may stand between two letters, between two digits, and pictographs.
+MID_LETTER = r":·\x{387}\x{55F}\x{5F4}\x{2027}\x{FE13}\x{FE55}\x{FF1A}"
+MID_NUMBER = r",;\x{37E}\x{589}\x{60C}\x{60D}\x{66C}\x{7F8}\x{2044}\x{FE10}\x{FE14}\x{FE50}\x{FE54}\x{FF0C}\x{FF1B}"
+MID_BOTH = r"'.\x{2018}\x{2019}\x{2024}\x{FE52}\x{FF07}\x{FF0E}"
+PICTOGRAPH = (
+    r"©®\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{2199}\x{21A9}-\x{21AA}\x{231A}-\x{231B}\x{2328}\x{23CF}\x{23E9}-\x{23F3}\x{23F8}-\x{23FA}\x{24C2}\x{25AA}-\x{25AB}\x{25B6}\x{25C0}"
+    r"\x{25FB}-\x{25FE}\x{2600}-\x{27BF}\x{2934}-\x{2935}\x{2B05}-\x{2B07}\x{2B1B}-\x{2B1C}\x{2B50}\x{2B55}\x{3030}\x{303D}\x{3297}\x{3299}\x{1F000}-\x{1FAFF}"
+)
+KATAKANA = r"\x{30A0}-\x{30FA}\x{30FC}-\x{30FF}\x{31F0}-\x{31FF}\x{FF66}-\x{FF9F}"
+IDEOGRAPH = r"\x{3040}-\x{309F}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3134F}"
+LONGEST_TOKEN = 255
+
+
+def word_pattern(keep: str = "+") -> str:
+    """A pattern of words by Unicode's word boundaries; ``keep`` makes its repeats possessive where a dialect has that.
+
+    Letters and digits stay together, with one mark between two letters or two digits; a connector such as ``_`` joins what
+    touches it; katakana stays together; ideographs, hiragana and pictographs stand alone. Marks and format characters go with
+    what they follow. A run of connectors alone is no word.
+    """
+    extend = rf"[\p{{M}}\p{{Cf}}]*{keep}"
+    letter, digit = rf"(?:[^\P{{L}}{KATAKANA}{IDEOGRAPH}]|[^\P{{Nl}}{IDEOGRAPH}]){extend}", rf"\p{{Nd}}{extend}"
+    letters = rf"{letter}(?:[{MID_LETTER}{MID_BOTH}]?{extend}{letter})*{keep}"
+    digits = rf"{digit}(?:[{MID_NUMBER}{MID_BOTH}]?{extend}{digit})*{keep}"
+    kana, joint = rf"(?:[{KATAKANA}]{extend})+{keep}", rf"[\p{{Pc}}\x{{202F}}]{extend}"
+    body = rf"(?:(?:{letters}|{digits})+{keep}|{kana})"
+    return rf"(?:{joint})*{keep}{body}(?:(?:{joint})+{keep}{body})*{keep}(?:{joint})*{keep}|[{IDEOGRAPH}{PICTOGRAPH}]{extend}"
+
+
+def standard_tokens(text: Column) -> Column:
+    """Lower-cased words by Unicode's word boundaries, longer ones cut every 255 characters."""
+    found = F.regexp_extract_all(_blank(text), F.lit(word_pattern()), F.lit(0))
+    cut = lambda t: F.transform(F.sequence(F.lit(0), F.floor((F.char_length(t) - 1) / LONGEST_TOKEN).cast("int")), lambda k: F.lower(F.substring(t, k * LONGEST_TOKEN + 1, F.lit(LONGEST_TOKEN))))
+    return F.flatten(F.transform(found, cut))
+
+
 #: Tokenizers by the name an index stores.
-TOKENIZERS = {"unicode61": search_tokens, "ascii": ascii_tokens, "porter": porter_tokens, "trigram": trigram_tokens}
+TOKENIZERS = {"unicode61": search_tokens, "ascii": ascii_tokens, "porter": porter_tokens, "trigram": trigram_tokens, "standard": standard_tokens}
 
 
 def category_tokens(text: Column) -> Column:

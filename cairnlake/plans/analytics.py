@@ -191,7 +191,7 @@ def category_words(spark, sf_dir):
 
 def tokenizer_variants(spark, sf_dir):
     """Tokens of every document by each index tokenizer."""
-    return table(spark, sf_dir, "documents").select("doc_id", *(F.size(f(F.col("text"))).cast("long").alias(n) for n, f in T.TOKENIZERS.items()))
+    return table(spark, sf_dir, "documents").select("doc_id", *(F.size(T.TOKENIZERS[n](F.col("text"))).cast("long").alias(n) for n in ("unicode61", "ascii", "porter", "trigram")))
 
 
 TOK = r"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+'), lambda t: regexp_full_match(t, '[a-z]+'))"

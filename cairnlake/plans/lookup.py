@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnlake.functions import text as T
 from cairnlake.operators import bm25
 from cairnlake.operators.edits import best_title
 from cairnlake.plans.retrieval import STEP, TOKENS, text_index, text_queries
@@ -27,12 +28,21 @@ def fuzzy_title_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_title(index, lookups).select("query_id", "item_id", F.round("score", 6).alias("score"))
 
 
+def standard_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document by Unicode's word boundaries: their number, the different ones, and a digest of them in order."""
+    own = table(spark, sf_dir, "documents").select("doc_id", T.standard_tokens(F.col("text")).alias("t"))
+    return own.select("doc_id", F.size("t").cast("long").alias("words"), F.size(F.array_distinct("t")).cast("long").alias("different"), F.md5(F.array_join("t", " ")).alias("digest"))
+
+
 _LENGTH = "CASE WHEN dl < 24 THEN dl ELSE 24 + (((dl - 24) >> greatest(0, length(bin(dl - 24)) - 4)) << greatest(0, length(bin(dl - 24)) - 4)) END"
 _PART = f"tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * ({_LENGTH}) / avgdl))"
 _IDF = "ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))"
 _WORDS = "unnest(regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+'))"
 
+_STANDARD = "flatten(list_transform(regexp_extract_all(coalesce(text, ''), '" + T.word_pattern("").replace("'", "''") + "'), lambda t: list_transform(range(0, (length(t) + 254) // 255), lambda k: lower(substr(t, k * 255 + 1, 255)))))"
+
 QUERIES = {
+    "standard_words": (standard_words, f"WITH s AS (SELECT doc_id, {_STANDARD} AS t FROM documents) SELECT doc_id, len(t) AS words, len(list_distinct(t)) AS different, md5(array_to_string(t, ' ')) AS digest FROM s"),
     "bm25_quantised": (
         bm25_quantised,
         f"""WITH {TOKENS}, own AS (SELECT count(*) AS n, sum(dl) / count(*) AS avgdl FROM dl WHERE dl > 0),

@@ -74,3 +74,79 @@ def test_titles(spark):
     index = bm25.build_index(spark.createDataFrame(docs, "doc_id long, text string"))
     asked = spark.createDataFrame([(1, "silnet nihgt"), (2, "rivers sogn"), (3, "zzz"), (4, None), (5, "silent silent")], "query_id long, text string")
     assert {r["query_id"]: r["item_id"] for r in edits.best_title(index, asked).collect()} == {1: 2, 2: 5, 5: 2}
+
+
+def plain_words(text):
+    """Word boundaries one character at a time."""
+    import unicodedata
+
+    def kind(c):
+        if c in "'.‘’․﹒＇．":
+            return "both"
+        if c in ":··՟״‧︓﹕：":
+            return "letter mark"
+        if c in ",;;։،؍٬߸⁄︐︔﹐﹔，；":
+            return "number mark"
+        if c in "☃©":
+            return "alone"
+        category = unicodedata.category(c)
+        if category in ("Mn", "Mc", "Me", "Cf"):
+            return "extend"
+        if category == "Pc" or c == "\u202f":
+            return "joint"
+        if category == "Nd":
+            return "digit"
+        if "\u30a0" <= c <= "\u30ff" and c != "\u30fb":
+            return "kana"
+        if "\u3040" <= c <= "\u309f" or "\u4e00" <= c <= "\u9fff":
+            return "alone"
+        return "letter" if category[0] == "L" or category == "Nl" else "other"
+
+    units = []  # (kind, characters with what extends them)
+    for c in text:
+        if kind(c) == "extend" and units:
+            units[-1] = (units[-1][0], units[-1][1] + c)
+        else:
+            units.append((kind(c) if kind(c) != "extend" else "other", c))
+    out, held = [], []
+
+    def close():
+        if any(k in ("letter", "digit", "kana") for k, _ in held):
+            word = "".join(u for _, u in held)
+            out.extend(word[i : i + 255].lower() for i in range(0, len(word), 255))
+        held.clear()
+
+    for i, (k, u) in enumerate(units):
+        last = held[-1][0] if held else None
+        after = units[i + 1][0] if i + 1 < len(units) else None
+        if k == "alone":
+            close()
+            out.append(u.lower())
+        elif k in ("letter", "digit"):
+            if last == "kana":
+                close()
+            held.append((k, u))
+        elif k == "kana":
+            if last not in (None, "kana", "joint"):
+                close()
+            held.append((k, u))
+        elif k == "joint":
+            held.append((k, u))
+        elif last == after == "letter" and k in ("both", "letter mark") or last == after == "digit" and k in ("both", "number mark"):
+            held.append((last, u))
+        else:
+            close()
+    close()
+    return out
+
+
+def test_standard_words_equal_a_plain_scan(spark):
+    from cairnlake.functions import text as T
+
+    rng = random.Random(3)
+    signs = "aZé_'.:,;7٣ ・カー東ひ☃\u0301\u200d-’"
+    rows = ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 25))) for _ in range(1500)]
+    rows += ["x" * 700, "ab." * 4000 + "c", "a" * 200_000, "1,2" * 3000, "_" * 5000, ""]
+    got = spark.createDataFrame(list(enumerate(rows)), "i long, t string").select("i", T.standard_tokens(F.col("t")).alias("w")).collect()
+    for r in got:
+        assert r["w"] == plain_words(rows[r["i"]]), repr(rows[r["i"]])[:80]

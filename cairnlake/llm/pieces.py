@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 WORDS = re.compile(r" +[^ ]*")
 #: Characters of the longest word that is remembered, of the words of a generation, and of the texts encoded together.
-LONGEST, REMEMBER, TOGETHER = 48, 1_500_000, 1 << 20
+LONGEST, REMEMBER, TOGETHER = 48, 3_000_000, 1 << 20
 NONE = np.iinfo(np.int64).max
 
 

@@ -12,7 +12,8 @@ from cairnlake.operators.digests import ordered_digest
 from cairnlake.operators.diversity import sampled_cosine_diversity
 from cairnlake.operators.streams import Stream, pooled_diversity, stream_of
 from cairnlake.plans.analytics import FACTORS, LINES, ONE_WAY, line_tokens
-from cairnlake.session import table
+from cairnlake.session import scratch_path, table
+from cairnlake.sources import commits
 
 RATE = "3/7200"
 
@@ -75,6 +76,17 @@ def cosine_diversity_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both[0].unionByName(both[1]).select("label", "drawn", "n", F.round("diversity", 6).alias("diversity"))
 
 
+def cache_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache of all documents' digests filled in commits of 400, first the even ids, then all: rows and ids of each commit."""
+    path = scratch_path(spark, "cache")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    digest = lambda rows: rows.select("doc_id", F.md5("text").alias("digest"))
+    commits.fill(docs.where("doc_id % 2 = 0"), path, ["doc_id"], digest, 400)
+    commits.fill(docs, path, ["doc_id"], digest, 400)
+    held = commits.read_commits(spark, path).groupBy("commit").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("digest").alias("least"))
+    return held.select(F.substring("commit", 1, 12).cast("long").alias("commit"), "n", "low", "high", "least")
+
+
 _STREAM = LINES + """,
     tok AS (SELECT row_number() OVER (ORDER BY conv_id, turn, role, k) - 1 AS i, w FROM (SELECT conv_id, turn, role, unnest(t) AS w, generate_subscripts(t, 1) AS k FROM l)),
     size AS (SELECT count(*) AS n FROM tok),
@@ -142,7 +154,12 @@ EVALUATED = """WITH a AS (SELECT doc_id, (1 + 4 * quality)::DOUBLE AS fluency, C
     o AS (SELECT *, round((fluency + informativeness + coherence) / 3, 1) AS overall_score FROM a)
     SELECT *, CASE WHEN overall_score >= 4.5 THEN 'excellent' WHEN overall_score >= 3.5 THEN 'good' WHEN overall_score >= 2.5 THEN 'average' WHEN overall_score >= 1.5 THEN 'bad' WHEN overall_score IS NOT NULL THEN 'very_bad' END AS overall_quality FROM o"""
 
+COMMITS = """WITH d AS (SELECT doc_id, md5(coalesce(text, '')) AS digest, doc_id % 2 AS odd, row_number() OVER (PARTITION BY doc_id % 2 ORDER BY doc_id) - 1 AS place FROM documents),
+    c AS (SELECT *, place // 400 + CASE WHEN odd = 1 THEN (SELECT ceil(count(*) / 400)::BIGINT FROM d WHERE odd = 0) ELSE 0 END AS commit FROM d)
+    SELECT commit, count(*) AS n, min(doc_id) AS low, max(doc_id) AS high, min(digest) AS least FROM c GROUP BY commit"""
+
 QUERIES = {
+    "cache_commits": (cache_commits, COMMITS),
     "evaluator_scores": (evaluator_scores, EVALUATED),
     "cosine_diversity_sampled": (cosine_diversity_sampled, SAMPLED),
     "pooled_mtld": (pooled_mtld, POOLED),

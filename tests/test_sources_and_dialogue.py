@@ -157,3 +157,30 @@ def test_conversation_shards_and_their_index(spark, tmp_path):
     some = readers.read_conversation_texts(spark, path, spark.createDataFrame([(3,), (90,)], "conv_id long")).collect()
     assert {r["conv_id"] for r in some} == {3, 90}
     assert not [p for p in tmp_path.iterdir() if "new-" in p.name]
+
+
+def test_cache_goes_on_behind_its_last_commit(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from cairnlake.sources import commits
+
+    path, asked = str(tmp_path / "cache"), []
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(25)] + [(3, "t3")], "i long, t string")
+
+    def make(part, fail_at=None):
+        asked.append(sorted(r["i"] for r in part.collect()))
+        if len(asked) == fail_at:
+            raise RuntimeError("killed")
+        return part.select("i", F.upper("t").alias("v"))
+
+    assert commits.read_commits(spark, path) is None
+    with pytest.raises(RuntimeError):
+        commits.fill(rows, path, ["i"], lambda part: make(part, 3), 10)
+    assert commits.read_commits(spark, path).count() == 20
+    spark.createDataFrame([(99, "x")], "i long, v string").write.parquet(f"{path}/batches/000000000002-dead")  # written, never committed
+    assert commits.fill(rows, path, ["i"], make, 10) == 1
+    assert commits.fill(rows, path, ["i"], make, 10) == 0
+    held = commits.read_commits(spark, path).collect()
+    assert sorted((r["i"], r["v"]) for r in held) == [(i, f"T{i}") for i in range(25)]
+    assert asked == [list(range(10)), list(range(10, 20)), list(range(20, 25)), list(range(20, 25))]
+    assert len(commits.commits(spark, path)) == 3

@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 LETTER = re.compile(rf"[^\W\d_{NUMBERS}]")
 NO_LETTER = re.compile(rf"[\W\d_{NUMBERS}]+")
-#: Sets of categories and of single characters are each quick to search, sets of both are not.
-NUMBER, NO_WORD, AS_SPACE = re.compile(f"[{NUMBERS}]"), re.compile(r"[\W\d_]+"), dict.fromkeys(map(ord, NUMBERS), " ")
+SPACES = re.compile("  +")
 WORD = re.compile(r"[^\W\d_]{3,}")
 
 
@@ -56,12 +55,20 @@ def sample_of_classes(rows: DataFrame, label: str, size: int, parts: int = 64) -
 # --- language ---------------------------------------------------------------------------------------------------------
 
 
+class Letters(dict):
+    """What each character stands for, by its code: itself for a letter, else a space."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = code if chr(code).isalpha() else 32
+        return self[code]
+
+
+LETTERS = Letters()
+
+
 def letters(text: str) -> bytes:
     """The lower-cased words of a text as UTF-16, where a literal costs more than its share of a match."""
-    text = text.lower()
-    if not text.isascii() and NUMBER.search(text):
-        text = text.translate(AS_SPACE)
-    return NO_WORD.sub(" ", text).encode("utf-16-le", errors="surrogatepass")
+    return SPACES.sub(" ", text.lower().translate(LETTERS)).encode("utf-16-le", errors="surrogatepass")
 
 def learn_languages(docs: DataFrame, lang: str = "lang", text: str = "text", per_language: int = 256, snippet: int = 512) -> dict[str, bytes]:
     """A raw-content dictionary of each language: ``snippet`` characters from the middle of ``per_language`` documents at most.

@@ -70,6 +70,7 @@ def letters(text: str) -> bytes:
     """The lower-cased words of a text as UTF-16, where a literal costs more than its share of a match."""
     return SPACES.sub(" ", text.lower().translate(LETTERS)).encode("utf-16-le", errors="surrogatepass")
 
+
 def learn_languages(docs: DataFrame, lang: str = "lang", text: str = "text", per_language: int = 256, snippet: int = 512) -> dict[str, bytes]:
     """A raw-content dictionary of each language: ``snippet`` characters from the middle of ``per_language`` documents at most.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlake.functions import text as T
+from cairnlake.functions import vectors as V
 from cairnlake.operators import bm25
 from cairnlake.operators.edits import best_title
 from cairnlake.plans.retrieval import STEP, TOKENS, text_index, text_queries
@@ -34,6 +35,14 @@ def standard_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", F.size("t").cast("long").alias("words"), F.size(F.array_distinct("t")).cast("long").alias("different"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
+def single_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared lengths of all vectors, tripled, in single precision: in order, in eight lanes, and the same of their first 45 components."""
+    own = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: (x * 3).cast("float")).alias("v"))
+    short = F.slice("v", 1, 45)
+    sums = {"in_order": V.single_square(F.col("v")), "in_lanes": V.lane_square(F.col("v")), "short_in_order": V.single_square(short), "short_in_lanes": V.lane_square(short)}
+    return own.select("vec_id", *(F.round(c.cast("double"), 9).alias(n) for n, c in sums.items()))
+
+
 _LENGTH = "CASE WHEN dl < 24 THEN dl ELSE 24 + (((dl - 24) >> greatest(0, length(bin(dl - 24)) - 4)) << greatest(0, length(bin(dl - 24)) - 4)) END"
 _PART = f"tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * ({_LENGTH}) / avgdl))"
 _IDF = "ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))"
@@ -41,7 +50,29 @@ _WORDS = "unnest(regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}
 
 _STANDARD = "flatten(list_transform(regexp_extract_all(coalesce(text, ''), '" + T.word_pattern("").replace("'", "''") + "'), lambda t: list_transform(range(0, (length(t) + 254) // 255), lambda k: lower(substr(t, k * 255 + 1, 255)))))"
 
+def _fused(values: str, begin: str = "0::FLOAT") -> str:
+    return f"list_reduce(list_prepend({begin}, {values}), lambda a, x: (x::DOUBLE * x::DOUBLE + a::DOUBLE)::FLOAT)"
+
+
+def _lanes(v: str, n: int) -> str:
+    """Eight lanes of a vector of ``n`` components, more than 16."""
+    limit = n - n % 8
+    unrolled = max(0, -(-(limit - 24) // 32)) * 32
+    at = lambda k, r: [32 * t + 8 * r + k for t in range(unrolled // 32)] + ([i for i in range(unrolled, limit) if i % 8 == k] if r == 0 else [])
+    register = lambda k, r: _fused(f"list_select({v}, {[i + 1 for i in at(k, r)]}::BIGINT[])")
+    whole = "0::FLOAT"
+    for k in range(8):
+        whole = f"({whole} + (({register(k, 0)} + {register(k, 1)})::FLOAT + ({register(k, 2)} + {register(k, 3)})::FLOAT)::FLOAT)::FLOAT"
+    return _fused(f"{v}[{limit + 1}:]", whole) if limit < n else whole
+
+
+_ORDERED = "list_reduce(list_prepend(0::FLOAT, {0}), lambda a, x: (a + (x * x)::FLOAT)::FLOAT)"
+SQUARES = f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: (x::FLOAT * 3::FLOAT)::FLOAT) AS v FROM embeddings)
+    SELECT vec_id, round({_ORDERED.format('v')}::DOUBLE, 9) AS in_order, round(({_lanes('v', 64)})::DOUBLE, 9) AS in_lanes,
+        round({_ORDERED.format('v[1:45]')}::DOUBLE, 9) AS short_in_order, round(({_lanes('v[1:45]', 45)})::DOUBLE, 9) AS short_in_lanes FROM e"""
+
 QUERIES = {
+    "single_squares": (single_squares, SQUARES),
     "standard_words": (standard_words, f"WITH s AS (SELECT doc_id, {_STANDARD} AS t FROM documents) SELECT doc_id, len(t) AS words, len(list_distinct(t)) AS different, md5(array_to_string(t, ' ')) AS digest FROM s"),
     "bm25_quantised": (
         bm25_quantised,

@@ -150,3 +150,41 @@ def test_standard_words_equal_a_plain_scan(spark):
     got = spark.createDataFrame(list(enumerate(rows)), "i long, t string").select("i", T.standard_tokens(F.col("t")).alias("w")).collect()
     for r in got:
         assert r["w"] == plain_words(rows[r["i"]]), repr(rows[r["i"]])[:80]
+
+
+def test_single_precision_sums_keep_their_order(spark):
+    import numpy as np
+
+    from cairnlake.functions import vectors as V
+
+    f32 = np.float32
+    fused = lambda x, a: f32(np.float64(x) * np.float64(x) + np.float64(a))
+
+    def in_lanes(v, lanes=8):
+        n, i, out = len(v), 0, f32(0)
+        if n > 2 * lanes:
+            limit, acc = n - n % lanes, np.zeros((4, lanes), f32)
+            while i < limit - 3 * lanes:
+                for r in range(4):
+                    for k in range(lanes):
+                        acc[r, k] = fused(v[i + r * lanes + k], acc[r, k])
+                i += 4 * lanes
+            while i < limit:
+                for k in range(lanes):
+                    acc[0, k] = fused(v[i + k], acc[0, k])
+                i += lanes
+            for k in range(lanes):
+                out = f32(out + f32(f32(acc[0, k] + acc[1, k]) + f32(acc[2, k] + acc[3, k])))
+        for x in v[i:]:
+            out = fused(x, out)
+        return out
+
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=n).astype(f32).tolist()) for i, n in enumerate([0, 1, 8, 16, 17, 24, 31, 40, 41, 64, 65, 100, 128, 130])]
+    got = spark.createDataFrame(rows, "i long, v array<float>").select("i", V.single_square(F.col("v")).alias("a"), V.lane_square(F.col("v")).alias("b")).collect()
+    for r in got:
+        v = np.array(rows[r["i"]][1], f32)
+        total = f32(0)
+        for x in v:
+            total = f32(total + f32(x * x))
+        assert f32(r["a"]) == total and f32(r["b"]) == in_lanes(v), r["i"]

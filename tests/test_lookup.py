@@ -188,3 +188,31 @@ def test_single_precision_sums_keep_their_order(spark):
         for x in v:
             total = f32(total + f32(x * x))
         assert f32(r["a"]) == total and f32(r["b"]) == in_lanes(v), r["i"]
+
+
+def test_fuzzy_titles_equal_all_pairs(spark):
+    from cairnlake.operators import fuzzy
+
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("ab c") for _ in range(n))
+    titles = [(i, word(rng.randrange(0, 14))) for i in range(250)]
+    lookups = [(i, word(rng.randrange(0, 14))) for i in range(60)] + [(100 + i, t[:2] + t[3:] + rng.choice("ab")) for i, t in titles[:60]]
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    clean = lambda t: t.strip()
+    for cutoff in (80.0, 60.0):
+        want = {}
+        for q, a in lookups:
+            best = [(-200 * lcs(clean(a), clean(b)) / (len(clean(a)) + len(clean(b))), i) for i, b in titles if clean(a) and clean(b)]
+            best = [x for x in best if -x[0] >= cutoff]
+            if best:
+                want[q] = min(best)[1]
+        got = fuzzy.best_titles(spark.createDataFrame(lookups, "lookup_id long, title string"), spark.createDataFrame(titles, "item_id long, title string"), cutoff)
+        assert {r["lookup_id"]: r["item_id"] for r in got.collect()} == want

@@ -184,3 +184,53 @@ def test_cache_goes_on_behind_its_last_commit(spark, tmp_path):
     assert sorted((r["i"], r["v"]) for r in held) == [(i, f"T{i}") for i in range(25)]
     assert asked == [list(range(10)), list(range(10, 20)), list(range(20, 25)), list(range(20, 25))]
     assert len(commits.commits(spark, path)) == 3
+
+
+def test_vectors_through_the_cache(spark, tmp_path):
+    from cairnlake.sources import commits
+    from cairnlake.sources.embedded import EmbeddingsNeeded, computed_vectors, with_vectors
+
+    cache, log = str(tmp_path / "cache"), tmp_path / "asked"
+
+    def provider(fail=False):
+        def make():
+            def embed(texts):
+                with log.open("a") as f:
+                    f.writelines(t + "\n" for t in texts)
+                if fail and any("5" in t for t in texts):
+                    raise RuntimeError("no answer")
+                return [[float(len(t)), 1.0] for t in texts]
+
+            return embed
+
+        return make
+
+    rows = [(i, f"text {i}") for i in range(9)] + [(9, None)]
+    items = spark.createDataFrame(rows, "item_id long, search_text string")
+    with pytest.raises(EmbeddingsNeeded) as error:
+        computed_vectors(items, cache, "m", provider(), most=9)
+    assert error.value.plan["misses"] == 10 and not log.exists()
+    with pytest.raises(Exception, match="no answer"):
+        computed_vectors(items, cache, "m", provider(fail=True), most=None, rows_a_commit=3)
+    kept = commits.read_commits(spark, cache).count()
+    assert kept == 3
+    log.unlink()
+    got = {r["item_id"]: r["vector"] for r in computed_vectors(items, cache, "m", provider(), most=10, rows_a_commit=3).collect()}
+    assert got == {i: [float(len(t or "")), 1.0] for i, t in rows}
+    assert len(log.read_text().splitlines()) == 10 - kept
+    log.unlink()
+    changed = spark.createDataFrame([*rows[:8], (8, "another text")], "item_id long, search_text string")
+    assert with_vectors(changed, "absent", cache, "m", make=provider(), most=1).count() == 9
+    assert log.read_text() == "another text\n"
+    with pytest.raises(EmbeddingsNeeded):
+        computed_vectors(items, cache, "another model", provider())
+    own = spark.createDataFrame([(1, "[1.0, 2.0]"), (2, "none")], "item_id long, v string")
+    assert with_vectors(own, "v", cache, "m").count() == 1
+
+
+def test_settings_are_merged():
+    from cairnlake.sources.readers import merged_settings
+
+    low, high = {"a": 1, "b": {"x": 1, "y": 2}}, {"a": 2, "c": None}
+    assert merged_settings(low, high) == {"a": 2, "b": {"x": 1, "y": 2}, "c": None}
+    assert merged_settings() == {} and low == {"a": 1, "b": {"x": 1, "y": 2}}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlake.functions import text as T
+from cairnlake.functions.vectors import norm
 from cairnlake.operators.admission import admitted, parse_rate, waits
 from cairnlake.operators.calls import evaluated
 from cairnlake.operators.digests import ordered_digest
@@ -14,6 +15,9 @@ from cairnlake.operators.streams import Stream, pooled_diversity, stream_of
 from cairnlake.plans.analytics import FACTORS, LINES, ONE_WAY, line_tokens
 from cairnlake.session import scratch_path, table
 from cairnlake.sources import commits
+from cairnlake.sources.embedded import with_vectors
+from cairnlake.sources.readers import read_index
+from cairnlake.sources.writers import write_index
 
 RATE = "3/7200"
 
@@ -87,6 +91,17 @@ def cache_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select(F.substring("commit", 1, 12).cast("long").alias("commit"), "n", "low", "high", "least")
 
 
+def catalogue_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts whose vectors come through the cache, written as an index and read again: each item's text, vector and document length."""
+    path = scratch_path(spark, "catalogue")
+    items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"), F.col("p_type").alias("category"))
+    texts = items.withColumn("search_text", F.concat_ws(" ", "title", "category"))
+    write_index(with_vectors(texts, None, f"{path}/cache", "hash", most=None, rows_a_commit=5_000), f"{path}/index", ["title", "category"])
+    held, index = read_index(spark, f"{path}/index")
+    both = held.join(index.doc_len.withColumnRenamed("doc_id", "item_id"), "item_id")
+    return both.select("item_id", "title", F.size("vector").cast("long").alias("size"), F.round(norm(F.col("vector")), 4).alias("norm"), "dl")
+
+
 _STREAM = LINES + """,
     tok AS (SELECT row_number() OVER (ORDER BY conv_id, turn, role, k) - 1 AS i, w FROM (SELECT conv_id, turn, role, unnest(t) AS w, generate_subscripts(t, 1) AS k FROM l)),
     size AS (SELECT count(*) AS n FROM tok),
@@ -158,7 +173,10 @@ COMMITS = """WITH d AS (SELECT doc_id, md5(coalesce(text, '')) AS digest, doc_id
     c AS (SELECT *, place // 400 + CASE WHEN odd = 1 THEN (SELECT ceil(count(*) / 400)::BIGINT FROM d WHERE odd = 0) ELSE 0 END AS commit FROM d)
     SELECT commit, count(*) AS n, min(doc_id) AS low, max(doc_id) AS high, min(digest) AS least FROM c GROUP BY commit"""
 
+CATALOGUE = r"""SELECT p_partkey AS item_id, p_name AS title, 64::BIGINT AS size, 1.0::DOUBLE AS norm, len(regexp_extract_all(lower(p_name || ' ' || p_type), '[\p{L}\p{N}\p{Co}]+')) AS dl FROM part"""
+
 QUERIES = {
+    "catalogue_index": (catalogue_index, CATALOGUE),
     "cache_commits": (cache_commits, COMMITS),
     "evaluator_scores": (evaluator_scores, EVALUATED),
     "cosine_diversity_sampled": (cosine_diversity_sampled, SAMPLED),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairnlake.functions.text import ngrams
 from cairnlake.functions.vectors import dot, doubles
+from cairnlake.operators.order import placed
 
 
 def distinct_n(rows: DataFrame, keys: list[str], tokens: str, n: int) -> DataFrame:
@@ -21,19 +22,17 @@ def _ratio(counted: DataFrame, keys: list[str]) -> DataFrame:
     return counted.groupBy(*keys).agg(F.sum("c").alias("total"), F.count("*").alias("different"), (F.count("*") / F.sum("c")).alias("ratio"))
 
 
-def stream_bigrams(rows: DataFrame, doc: str, place: str, tokens: str, span: int = 10_000) -> DataFrame:
+def stream_bigrams(rows: DataFrame, doc: str, place: str, tokens: str) -> DataFrame:
     """(gram, c) of bigrams of the whole stream, rows by (doc, place); those across rows count too.
 
-    Inside rows they are local. Across rows only first and last tokens matter, which are followed up inside spans of
-    ``span`` documents and then from span to span, so no window holds more than a span or a row of each span.
+    Inside rows they are local. Across rows only first and last tokens matter: rows get their places in the stream and
+    meet the next one by it.
     """
     inside = rows.select(F.explode(ngrams(F.col(tokens), 2)).alias("gram"))
-    ends = rows.where(F.size(tokens) > 0).select(doc, place, F.get(F.col(tokens), 0).alias("first"), F.element_at(tokens, -1).alias("last"), F.floor(F.col(doc) / span).alias("span"))
-    order = Window.partitionBy("span").orderBy(doc, place)
-    within = ends.withColumn("next", F.lead("first").over(order)).where("next IS NOT NULL").select(F.concat_ws(" ", "last", "next").alias("gram"))
-    spans = ends.groupBy("span").agg(F.min_by("first", F.struct(doc, place)).alias("first"), F.max_by("last", F.struct(doc, place)).alias("last"))
-    across = spans.withColumn("next", F.lead("first").over(Window.orderBy("span"))).where("next IS NOT NULL").select(F.concat_ws(" ", "last", "next").alias("gram"))
-    return inside.unionAll(within).unionAll(across).groupBy("gram").agg(F.count("*").alias("c"))
+    ends = rows.where(F.size(tokens) > 0).select(doc, place, F.get(F.col(tokens), 0).alias("first"), F.element_at(tokens, -1).alias("last"))
+    held = placed(ends, [], [doc, place], place="__line", size="__lines")
+    across = held.select("__line", "last").join(held.select((F.col("__line") - 1).alias("__line"), F.col("first").alias("next")), "__line")
+    return inside.unionAll(across.select(F.concat_ws(" ", "last", "next").alias("gram"))).groupBy("gram").agg(F.count("*").alias("c"))
 
 
 def type_token(rows: DataFrame, keys: list[str], tokens: str) -> DataFrame:

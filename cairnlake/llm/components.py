@@ -27,8 +27,8 @@ def components(edges: DataFrame, hub: int = 1_000) -> DataFrame:
     Rounds of large-star and small-star steps (Kiveris et al., 2014): each links neighbours to the least one, so a path of n
     nodes takes about log(n) rounds. The least neighbour is an aggregate that combines before its shuffle, and a join brings it
     back, by broadcast to the rows of hubs (nodes of more than ``hub`` neighbours, 10,000 of them at most), so that no node's
-    neighbours are gathered. Each round is a written table; rounds end once one changes no edge. Edges may repeat, point
-    either way and be loops; a null end is ignored.
+    neighbours are gathered. Each half of a round is a written table, which keeps plans small; rounds end once one changes no
+    edge. Edges may repeat, point either way and be loops; a null end is ignored.
     """
 
     def with_least(rows: DataFrame, total: int) -> DataFrame:
@@ -38,10 +38,10 @@ def components(edges: DataFrame, hub: int = 1_000) -> DataFrame:
     before, total = None, held.count()
     while True:
         both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        large = durable(with_least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct())
         joined = with_least(large, 2 * total)
         new = durable(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).distinct())
-        discard(held)
+        discard(held, large)
         held = new
         seen = held.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if seen == before:

@@ -475,18 +475,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     edges = tested.where("linked").select("a", "b")
     groups = components(edges)
     failed = tested.where("NOT linked").select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    placed = texts.join(groups, F.col("id") == F.col("node"), "left").select("id", "text", F.coalesce("component", "id").alias("grp"))
+    # groups are found on ids alone; texts meet them by their ids, which are unique, and only where they are read
+    labelled = lambda: texts.select("id").join(groups, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("grp"))
+    labels = durable(labelled())
     if not failed.isEmpty():
-        marked = placed.join(failed, F.col("id") == F.col("node"), "left").groupBy("grp")
-        open_groups = marked.agg(F.count("*").alias("n"), F.count("node").alias("failed")).where("failed > 0").select("grp", "n")
-        again = met_by_key(placed, open_groups, "grp", texts.count()).join(nodes.select("id", "signature"), "id")
+        marked = labels.join(failed, F.col("id") == F.col("node"), "left").groupBy("grp")
+        open_groups = marked.agg(F.count("node").alias("failed")).where("failed > 0").select("grp")
+        again = texts.join(labels.join(open_groups, "grp", "left_semi").select("id"), "id").join(nodes.select("id", "signature"), "id")
         more = durable(links_within(again, width, percent))
         crowded = crowded.unionAll(more.where("a = b").select(F.col("a").alias("node"))).distinct()
         edges = edges.unionByName(more.where("a <> b"))
         groups = components(edges)
-        placed = texts.join(groups, F.col("id") == F.col("node"), "left").select("id", "text", F.coalesce("component", "id").alias("grp"))
+        labels = durable(labelled())
     if not crowded.isEmpty():
-        rest = durable(exact_links(placed.join(crowded, F.col("id") == F.col("node"), "left_semi"), nodes, width, percent))
+        few = texts.join(labels.join(crowded, F.col("id") == F.col("node"), "left_semi"), "id").select("id", "grp", "text")
+        rest = durable(exact_links(few, nodes, width, percent))
         if not rest.isEmpty():
             groups = components(edges.unionByName(rest))
     by_key = classes.select("key", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnlake.operators.order import placed, same_keys
+from cairnlake.session import durable
 
 
 def admitted(requests: DataFrame, gates: list[str], arrival: str, order: list[str], most: int, seconds: float) -> DataFrame:
@@ -48,5 +49,12 @@ def parse_rate(value: str | int | None) -> tuple[int, float] | None:
 
 
 def waits(rows: DataFrame, keys: list[str], wait: Column) -> DataFrame:
-    """requests, delayed ones, and the sum and the most of their waits in microseconds."""
-    return rows.groupBy(*keys).agg(F.count("*").alias("requests"), F.count_if(wait > 0).alias("delayed"), F.sum(wait).alias("total_wait_us"), F.max(wait).alias("most_wait_us"))
+    """requests, delayed ones, and the sum and the most of their waits in microseconds.
+
+    Waits at a full gate add up with the square of its requests, so they are summed in decimals. The sum is a long while each
+    group's fits one, and decimal(38,0) if one doesn't.
+    """
+    seen = rows.groupBy(*keys).agg(F.count("*").alias("requests"), F.count_if(wait > 0).alias("delayed"), F.sum(wait.cast("decimal(28,0)")).alias("total_wait_us"), F.max(wait).alias("most_wait_us"))
+    held = durable(seen)
+    fits = held.where(F.abs("total_wait_us") > F.lit(2**63 - 1)).isEmpty()
+    return held.withColumn("total_wait_us", F.col("total_wait_us").cast("long")) if fits else held

@@ -12,3 +12,12 @@ def test_content_digest_passes_64_bits(spark):
     got = metrics.content_digest(spark.range(n), ["id"]).first()
     whole = sum(int(hashlib.md5(str(i).encode()).hexdigest()[:12], 16) for i in range(n))
     assert whole > 2**63 and (got["n"], got["digest"]) == (n, str(whole))
+
+
+def test_waits_pass_64_bits(spark):
+    rows = [("a", 2**62), ("a", 2**62), ("a", 0), ("b", 5), (None, None)]
+    got = {r["gate"]: tuple(r)[1:] for r in admission.waits(spark.createDataFrame(rows, "gate string, w long"), ["gate"], F.col("w")).collect()}
+    assert got == {"a": (3, 2, 2**63, 2**62), "b": (1, 1, 5, 5), None: (1, 0, None, None)}
+    small = admission.waits(spark.createDataFrame(rows[1:], "gate string, w long"), ["gate"], F.col("w"))
+    assert small.schema["total_wait_us"].dataType.simpleString() == "bigint"
+    assert {r["gate"]: r["total_wait_us"] for r in small.collect()} == {"a": 2**62, "b": 5, None: None}

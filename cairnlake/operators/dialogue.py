@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.functions.text import category_tokens, present
-from cairnlake.operators import bm25, constraints, hybrid, sampling
+from cairnlake.operators import bm25, constraints, hybrid, knn, sampling
 from cairnlake.operators.providers import with_embedding
 from cairnlake.operators.transcripts import closing_line
 from cairnlake.session import discard, durable
@@ -110,8 +110,8 @@ def _asked(state: DataFrame, round_no: int, rules: Rules) -> DataFrame:
     })
 
 
-def _queries(state: DataFrame, rules: Rules) -> DataFrame:
-    """The search of each open dialogue: its text, and the constraints that the user has spoken out.
+def _search(rules: Rules) -> dict[str, Column]:
+    """The search of an open dialogue: its text, the constraints that the user has spoken out, exclusions and profiles.
 
     Free dialogues search by all the user has said, with the refusals once more behind it, and parse the same text; the
     others search by the facts collected and the refusals, and parse what the user has said.
@@ -123,7 +123,8 @@ def _queries(state: DataFrame, rules: Rules) -> DataFrame:
     low, high = constraints.year_range(parsed)
     words = F.array_distinct(F.flatten(F.transform(constraints.excluded_genres(parsed), category_tokens)))
     phrases = F.transform(constraints.required_genres(parsed), lambda g: F.array_join(category_tokens(g), " "))
-    return state.select("query_id", text.alias("text"), low.cast("double").alias("low"), high.cast("double").alias("high"), words.alias("excluded"), phrases.alias("required"), "excluded_ids")
+    own = {"text": text, "low": low.cast("double"), "high": high.cast("double"), "excluded": words, "required": phrases}
+    return own | {c: F.col(c) for c in ("excluded_ids", "long_profile", "short_profile")}
 
 
 def simulate(dialogues: DataFrame, items: DataFrame, index: bm25.TextIndex, weights: hybrid.Weights = hybrid.Weights(threshold=0.0), rules: Rules = Rules()) -> DataFrame:
@@ -135,16 +136,19 @@ def simulate(dialogues: DataFrame, items: DataFrame, index: bm25.TextIndex, weig
 
     In each round the user of every open dialogue answers a question while there are any left, the items that its
     constraints admit are searched, and the best that were not refused are shown. The user accepts if one of them bears
-    the target's title and refuses otherwise. A dialogue ends when accepted (success), after ``max_shown`` rounds that
+    the target's title and refuses otherwise. Dialogues whose search is the same share one. A dialogue ends when accepted (success), after ``max_shown`` rounds that
     showed something (max_shown), or after ``max_rounds`` rounds (max_rounds); one whose target is not in the catalogue
     ends at once (target_not_found). The greeting is the first turn, each answer, each round that shows items and the
-    closing of a failure are one more. Only open dialogues are held in the table that is written after each round.
+    closing of a failure are one more. Only open dialogues are held in the table that is written after each round; those that
+    end are written once.
     """
     facts = F.map_filter(F.create_map(*(x for c in rules.attributes for x in (F.lit(c), F.when(present(F.col(c)), F.trim(F.col(c).cast("string")))))) if rules.attributes else F.create_map().cast("map<string,string>"), lambda _, v: v.isNotNull())
     targets = items.select(F.col("item_id").alias("target_id"), F.col("title").alias("target_title"), F.col("text").alias("target_text"), facts.alias("target_facts"))
     year = F.col("year").cast("double") if "year" in items.columns else F.lit(None).cast("double")
     genres = category_tokens(F.col("category")) if "category" in items.columns else F.array().cast("array<string>")
     catalogue = items.select("item_id", "vector", year.alias("year"), genres.alias("genre_words"))
+    if "excluded_ids" not in dialogues.columns:
+        catalogue = knn.alike(catalogue, 3 * weights.k)
     id_type = items.schema["item_id"].dataType.simpleString()
     none = F.array().cast("array<string>")
     listed = F.array(*map(F.lit, rules.attributes)) if rules.attributes else none
@@ -155,17 +159,26 @@ def simulate(dialogues: DataFrame, items: DataFrame, index: bm25.TextIndex, weig
     greeting = F.concat(F.lit("Bot: "), sampling.picked(GREETINGS, rules.seed, F.col("dialogue_id"), F.lit(0)), F.lit("\n"))
     begun = begun.withColumns({"said": none, "facts": none, "refusals": none, "shown": F.lit(0), "turns": F.lit(1), "rejected": F.array().cast(f"array<{id_type}>"), "transcript": greeting, "query_id": F.xxhash64("dialogue_id")})
     begun = durable(begun)
-    finished = [begun.where("target_title IS NULL").withColumns({"status": F.lit("target_not_found"), "rounds": F.lit(0)})]
-    state, round_no = begun.where("target_title IS NOT NULL"), 0
+    kept = ["dialogue_id", "user_id", "target_id", "target_title", "turns", "shown", "transcript", "status", "rounds"]
+    finished = [durable(begun.where("target_title IS NULL").withColumns({"status": F.lit("target_not_found"), "rounds": F.lit(0)}).select(*kept))]
+    held, round_no = begun, 0
+    state = begun.where("target_title IS NOT NULL")
+    search = _search(rules)
     while round_no < rules.max_rounds and not state.isEmpty():
         round_no += 1
-        state = durable(_asked(state, round_no, rules))
-        queries = durable(with_embedding(_queries(state, rules), "text", "vector").join(state.select("query_id", "long_profile", "short_profile"), "query_id"))
-        found = hybrid.gated(hybrid.candidates(index, queries, catalogue, weights, admits), weights.threshold)
-        found = hybrid.ranked(hybrid.with_profiles(found, queries, catalogue, weights), weights.k)
-        fresh = found.join(state.select("query_id", "rejected"), "query_id").where(~F.array_contains("rejected", F.col("item_id")))
-        named = fresh.join(items.select("item_id", "title"), "item_id").groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("rank", "item_id", "title"))), 1, rules.shown_at_once).alias("offer"))
-        met = state.join(named, "query_id", "left")
+        asked = _asked(state, round_no, rules)
+        state = durable(asked.withColumn("search_id", F.xxhash64(F.to_json(F.struct(*(c.alias(n) for n, c in search.items())), {"ignoreNullFields": "false"}))))
+        discard(held)
+        searches = state.select(F.col("search_id").alias("query_id"), *(c.alias(n) for n, c in search.items())).dropDuplicates(["query_id"])
+        queries = durable(with_embedding(searches, "text", "vector"))
+        near = hybrid.neighbours(queries, catalogue, weights, admits)
+        found = hybrid.gated(hybrid.rated(index, queries, near, weights), weights.threshold)
+        found = hybrid.with_profiles(found, queries, catalogue, weights) if "long_profile" in dialogues.columns else found.withColumn("score", F.col("base_score"))
+        found = hybrid.ranked(found, weights.k).join(items.select("item_id", "title"), "item_id")
+        listed = found.groupBy(F.col("query_id").alias("search_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "item_id", "title"))).alias("listed"))
+        met = state.join(listed, "search_id", "left")
+        offer = F.slice(F.filter("listed", lambda o: ~F.array_contains("rejected", o["item_id"])), 1, rules.shown_at_once)
+        met = met.withColumn("offer", F.when(F.size(offer) > 0, offer)).drop("listed", "search_id")
         seen = F.col("offer").isNotNull()
         titles = F.transform("offer", lambda o: o["title"])
         accepted = F.coalesce(F.array_contains(titles, F.col("target_title")), F.lit(False))
@@ -182,9 +195,9 @@ def simulate(dialogues: DataFrame, items: DataFrame, index: bm25.TextIndex, weig
             "rejected": F.when(seen & ~accepted, F.concat("rejected", F.transform("offer", lambda o: o["item_id"]))).otherwise(F.col("rejected")),
         })
         status = F.when(F.col("accepted"), "success").when(F.col("shown") >= rules.max_shown, "max_shown").when(F.lit(round_no >= rules.max_rounds), "max_rounds")
-        held, asked = durable(met.withColumns({"status": status, "rounds": F.lit(round_no)}).drop("offer", "accepted")), state
-        discard(asked, queries)
-        finished.append(held.where("status IS NOT NULL"))
+        held = durable(met.withColumns({"status": status, "rounds": F.lit(round_no)}).drop("offer", "accepted"))
+        discard(state, queries, near)
+        finished.append(durable(held.where("status IS NOT NULL").select(*kept)))
         state = held.where("status IS NULL").drop("status", "rounds")
     out = finished[0]
     for part in finished[1:]:

@@ -30,7 +30,16 @@ def candidates(index: bm25.TextIndex, queries: DataFrame, items: DataFrame, weig
     queries: (query_id, vector, text, ...); BM25 never adds an item, and is scaled over its hits among the candidates.
     The neighbours are written once, at most 3 k rows a query.
     """
-    near = durable(nearest(queries, items, 3 * weights.k, mask).withColumnRenamed("rank", "knn_rank"))
+    return rated(index, queries, neighbours(queries, items, weights, mask), weights)
+
+
+def neighbours(queries: DataFrame, items: DataFrame, weights: Weights = Weights(), mask: Mask | None = None) -> DataFrame:
+    """(query_id, item_id, knn_rank, cos_score) of the 3 k nearest admitted items of each query, a written table."""
+    return durable(nearest(queries, items, 3 * weights.k, mask).withColumnRenamed("rank", "knn_rank"))
+
+
+def rated(index: bm25.TextIndex, queries: DataFrame, near: DataFrame, weights: Weights = Weights()) -> DataFrame:
+    """``near`` with bm25_norm and base_score."""
     hits = bm25.scaled(bm25.scores(index, queries, near))
     both = near.join(hits, ["query_id", "item_id"], "left").withColumn("bm25_norm", F.coalesce("bm25_norm", F.lit(0.0)))
     return both.select("query_id", "item_id", "knn_rank", "cos_score", "bm25_norm", (weights.bm25 * F.col("bm25_norm") + (1 - weights.bm25) * F.col("cos_score")).alias("base_score"))

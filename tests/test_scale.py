@@ -4,7 +4,8 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from cairnlake.operators import admission, metrics
+from cairnlake.operators import admission, bm25, dialogue, knn, metrics
+from cairnlake.operators.providers import with_embedding
 
 
 def test_content_digest_passes_64_bits(spark):
@@ -21,3 +22,34 @@ def test_waits_pass_64_bits(spark):
     small = admission.waits(spark.createDataFrame(rows[1:], "gate string, w long"), ["gate"], F.col("w"))
     assert small.schema["total_wait_us"].dataType.simpleString() == "bigint"
     assert {r["gate"]: r["total_wait_us"] for r in small.collect()} == {"a": 2**62, "b": 5, None: None}
+
+
+def _repeated(spark):
+    rows = [(i, [float(i % 7), float(i % 3), 1.0]) for i in range(300)]
+    unit = F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, y: a + y * y)))
+    return spark.createDataFrame(rows, "item_id long, v array<double>").select("item_id", unit.alias("vector"))
+
+
+def test_neighbours_of_classes_and_of_stripes(spark):
+    items = _repeated(spark)
+    queries = items.where("item_id % 10 = 0").withColumnRenamed("item_id", "query_id")
+    held = {r["item_id"]: r["vector"] for r in items.collect()}
+    cos = lambda a, b: round((1 + sum(x * y for x, y in zip(a, b, strict=True))) / 2, 9)
+    for k in (1, 10, 40):
+        want = {q: sorted(held, key=lambda i: (-cos(held[q], held[i]), i))[:k] for q in range(0, 300, 10)}
+        for own in (items, knn.alike(items, k)):
+            got = {}
+            for r in sorted(knn.nearest(queries, own, k, query_block=17, item_block=50).collect(), key=lambda r: r["rank"]):
+                got.setdefault(r["query_id"], []).append(r["item_id"])
+            assert got == want
+
+
+def test_dialogues_that_share_searches_equal_lone_ones(spark):
+    texts = [(i, f"Title {i % 9}", f"thing {['red', 'blue', 'green'][i % 3]} made of {['iron', 'wood'][i % 2]} size {i % 4}") for i in range(90)]
+    items = with_embedding(spark.createDataFrame(texts, "item_id long, title string, text string"), "text", "vector").cache()
+    index = bm25.build_index(items.selectExpr("item_id AS doc_id", "text"))
+    tasks = spark.range(60).selectExpr("concat('d', id) AS dialogue_id", "id AS user_id", "id * 7 % 90 AS target_id")
+    rules = dialogue.Rules(max_questions=2, max_shown=4, max_rounds=5)
+    shared = dialogue.simulate(tasks, items, index, rules=rules).collect()
+    lone = dialogue.simulate(tasks.withColumn("excluded_ids", F.array(-F.col("user_id") - 1)), items, index, rules=rules).collect()
+    assert len(shared) == 60 and sorted(map(tuple, shared)) == sorted(map(tuple, lone))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,13 +161,22 @@ def merged_settings(*layers: dict) -> dict:
 def read_conversation_texts(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
     """(conv_id, shard, text) of the shards :func:`cairnlake.sources.writers.write_conversation_texts` wrote.
 
-    ``wanted`` (conv_id) reads the shards that hold these alone; each conversation's bytes are cut out by its index.
+    ``wanted`` (conv_id) reads the shards that hold these alone; a task holds a shard and cuts each conversation's bytes out of it.
     """
     index = spark.read.parquet(f"{path}/index")
     if wanted is not None:
         index = index.join(wanted.select("conv_id").distinct(), "conv_id", "left_semi")
-    own = index.groupBy("shard").agg(F.collect_list(F.struct("conv_id", "first_byte", "n_bytes")).alias("own"))
     shards = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{path}/text")
-    held = shards.select(F.regexp_extract("path", r"shard=(\d+)", 1).cast("long").alias("shard"), "content").join(own, "shard")
-    cut = lambda x: F.decode(F.substring(F.col("content"), (x["first_byte"] + 1).cast("int"), x["n_bytes"].cast("int")), "utf-8")
-    return held.select("shard", F.explode(F.transform("own", lambda x: F.struct(x["conv_id"].alias("conv_id"), cut(x).alias("text")))).alias("c")).select("c.conv_id", "shard", "c.text")
+    held = shards.select(F.regexp_extract("path", r"shard=(\d+)", 1).cast("long").alias("shard"), "content")
+
+    if wanted is not None:
+        held = held.join(index.select("shard").distinct(), "shard", "left_semi")
+
+    def cut(content: pa.Table, own: pa.Table) -> pa.Table:
+        own = own if content.num_rows else own.slice(0, 0)
+        whole = memoryview(content["content"][0].as_buffer()) if own.num_rows else memoryview(b"")
+        texts = [str(whole[b : b + n], "utf-8", "replace") for b, n in zip(own["first_byte"].to_pylist(), own["n_bytes"].to_pylist(), strict=True)]
+        return pa.table({"conv_id": own["conv_id"], "shard": own["shard"], "text": pa.array(texts, pa.string())})
+
+    kind = index.schema["conv_id"].dataType.simpleString()
+    return held.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(cut, f"conv_id {kind}, shard long, text string")

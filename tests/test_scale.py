@@ -1,11 +1,13 @@
 """What larger tables asked for: wide sums, many commits, large blocks and repeated texts, against plain results."""
 
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
 from cairnlake.operators import admission, bm25, dialogue, knn, metrics
 from cairnlake.operators.providers import with_embedding
+from cairnlake.sources import commits, readers, writers
 
 
 def test_content_digest_passes_64_bits(spark):
@@ -53,3 +55,15 @@ def test_dialogues_that_share_searches_equal_lone_ones(spark):
     shared = dialogue.simulate(tasks, items, index, rules=rules).collect()
     lone = dialogue.simulate(tasks.withColumn("excluded_ids", F.array(-F.col("user_id") - 1)), items, index, rules=rules).collect()
     assert len(shared) == 60 and sorted(map(tuple, shared)) == sorted(map(tuple, lone))
+
+
+def test_texts_of_a_large_shard(spark, tmp_path):
+    """A shard of 64 MB isn't copied for each of its conversations."""
+    path = f"file://{tmp_path}/texts"
+    lines = spark.range(4000).selectExpr("id AS conv_id", "1 AS turn", "'user' AS role", "concat(id, repeat('é', 6000)) AS text")
+    writers.write_conversation_texts(lines.repartition(4), path)
+    begin = time.monotonic()
+    held = readers.read_conversation_texts(spark, path).selectExpr("conv_id", "text = concat('User: ', conv_id, repeat('é', 6000), char(10)) AS same").collect()
+    assert sorted(r["conv_id"] for r in held) == list(range(4000)) and all(r["same"] for r in held)
+    assert time.monotonic() - begin < 30
+    assert [r["text"] for r in readers.read_conversation_texts(spark, path, spark.range(7, 8).toDF("conv_id")).collect()] == [f"User: 7{'é' * 6000}\n"]

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.operators.order import placed
-from cairnlake.session import durable
+from cairnlake.operators.order import placed, same_keys
+from cairnlake.session import durable, remove
 
 
 def _files(spark: SparkSession, path: str) -> tuple[object, Callable[[str], object]]:
@@ -33,12 +33,13 @@ def read_commits(spark: SparkSession, path: str) -> DataFrame | None:
     return rows.withColumn("commit", F.regexp_extract(F.input_file_name(), r"/batches/([^/]+)/", 1))
 
 
-def fill(fresh: DataFrame, path: str, key: list[str], make: Callable[[DataFrame], DataFrame], rows_a_commit: int = 100_000) -> int:
+def fill(fresh: DataFrame, path: str, key: list[str], make: Callable[[DataFrame], DataFrame], rows_a_commit: int = 100_000, jobs: int = 32) -> int:
     """Add ``make`` of the rows whose key is not committed yet, ``rows_a_commit`` by key order at a time; the number of commits made.
 
-    ``make`` may be costly (a call of a model a row): a run that ends at any point has lost one batch at most, and
-    repeating it asks for nothing that is committed. Of rows that repeat a key one is taken. A commit is the creation
-    of one empty file, which succeeds once.
+    ``make`` may be costly (a call of a model a row) and returns the key: a run that ends at any point has lost one job at
+    most, and repeating it asks for nothing that is committed. A job is one commit; of more than ``jobs`` commits, a
+    ``jobs``-th part of them, which are written together and committed one after the other. Of rows that repeat a key one
+    is taken. A commit is the creation of one empty file, which succeeds once.
     """
     spark = fresh.sparkSession
     files, place = _files(spark, path)
@@ -48,12 +49,30 @@ def fill(fresh: DataFrame, path: str, key: list[str], make: Callable[[DataFrame]
         new = new.join(held.select(*key), key, "left_anti")
     rows = durable(placed(durable(new), [], key, place="__place", size="__size"), "__place")
     n, done = rows.count(), len(commits(spark, path))
-    made = 0
-    for begin in range(0, n, rows_a_commit):
-        name = f"{done + made:012d}-{uuid.uuid4().hex}"
-        part = rows.where(F.col("__place").between(begin, begin + rows_a_commit - 1)).drop("__place", "__size")
-        make(part).write.parquet(f"{path}/batches/{name}")
-        if not files.createNewFile(place(f"{path}/commits/{name}")):
-            raise FileExistsError(name)
-        made += 1
+    made = -(-n // rows_a_commit)
+    names = [f"{done + i:012d}-{uuid.uuid4().hex}" for i in range(made)]
+    each = max(1, -(-made // jobs))
+    for first in range(0, made, each):
+        own = names[first : first + each]
+        begin = first * rows_a_commit
+        part = rows.where(F.col("__place").between(begin, begin + each * rows_a_commit - 1))
+        if each == 1:
+            make(part.drop("__place", "__size")).write.parquet(f"{path}/batches/{own[0]}")
+        else:
+            whose = part.select(*key, F.floor((F.col("__place") - begin) / rows_a_commit).cast("long").alias("__commit"))
+            fresh_rows = same_keys(make(part.drop("__place", "__size")), whose, key)
+            staged = f"{path}/staged/{own[0]}"
+            fresh_rows.repartition("__commit").write.partitionBy("__commit").parquet(staged)
+            for i, name in enumerate(own):
+                _moved(files, place, f"{staged}/__commit={i}", f"{path}/batches/{name}")
+            remove(spark, staged)
+        for name in own:
+            if not files.createNewFile(place(f"{path}/commits/{name}")):
+                raise FileExistsError(name)
     return made
+
+
+def _moved(files: object, place: Callable[[str], object], source: str, target: str) -> None:
+    files.mkdirs(place(target).getParent())
+    if not files.rename(place(source), place(target)):
+        raise OSError(f"{source} can't be renamed to {target}")

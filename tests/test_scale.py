@@ -57,6 +57,24 @@ def test_dialogues_that_share_searches_equal_lone_ones(spark):
     assert len(shared) == 60 and sorted(map(tuple, shared)) == sorted(map(tuple, lone))
 
 
+def test_many_commits_share_jobs(spark, tmp_path):
+    path, jobs = f"file://{tmp_path}/cache", []
+    rows = spark.range(1000).selectExpr("id * 3 AS k", "concat('v', id) AS v")
+
+    def make(part):
+        jobs.append(1)
+        return part.select("k", F.md5("v").alias("d"))
+
+    assert commits.fill(rows, path, ["k"], make, 10, jobs=8) == 100 and len(jobs) == 8
+    held = commits.read_commits(spark, path)
+    assert held.columns == ["k", "d", "commit"]
+    got = sorted((int(r["commit"][:12]), r["k"], r["d"]) for r in held.collect())
+    assert got == [(i // 10, i * 3, hashlib.md5(f"v{i}".encode()).hexdigest()) for i in range(1000)]
+    assert commits.fill(rows, path, ["k"], make, 10) == 0 and len(jobs) == 8
+    assert commits.fill(spark.range(1000, 1015).selectExpr("id * 3 AS k", "'x' AS v"), path, ["k"], make, 10) == 2
+    assert commits.read_commits(spark, path).where("k >= 3000").count() == 15
+
+
 def test_texts_of_a_large_shard(spark, tmp_path):
     """A shard of 64 MB isn't copied for each of its conversations."""
     path = f"file://{tmp_path}/texts"

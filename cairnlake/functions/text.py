@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -35,11 +37,14 @@ def trigram_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(_blank(text)), F.lit("(?s)(?=(...))"), 1)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _stems(tokens: pd.Series) -> pd.Series:
-    """Porter stems of arrays of tokens; each distinct token of a batch is stemmed once."""
-    known: dict[str, str] = {}
-    return tokens.map(lambda own: [known[t] if t in known else known.setdefault(t, stem(t)) for t in own])
+@F.arrow_udf(ArrayType(StringType()))
+def _stems(tokens: pa.Array) -> pa.Array:
+    """Porter stems of arrays of tokens. Only the distinct tokens of a batch become Python strings, and each is stemmed once."""
+    coded = tokens.flatten().dictionary_encode()
+    stems = pa.array([None if t is None else stem(t) for t in coded.dictionary.to_pylist()], pa.string())
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0))
+    starts = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    return pa.ListArray.from_arrays(starts, stems.take(coded.indices), mask=tokens.is_null())
 
 
 def porter_tokens(text: Column) -> Column:

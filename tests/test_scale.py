@@ -3,8 +3,11 @@
 import hashlib
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from cairnlake.functions import text
+from cairnlake.functions.porter import stem
 from cairnlake.operators import admission, bm25, dialogue, knn, metrics
 from cairnlake.operators.providers import with_embedding
 from cairnlake.sources import commits, readers, writers
@@ -85,3 +88,9 @@ def test_texts_of_a_large_shard(spark, tmp_path):
     assert sorted(r["conv_id"] for r in held) == list(range(4000)) and all(r["same"] for r in held)
     assert time.monotonic() - begin < 30
     assert [r["text"] for r in readers.read_conversation_texts(spark, path, spark.range(7, 8).toDF("conv_id")).collect()] == [f"User: 7{'é' * 6000}\n"]
+
+
+def test_stems_leave_tokens_in_arrow():
+    rows = [["running", "runs", "running"], [], None, ["ponies", "cats"]]
+    got = text._stems.func(pa.array([["left", "out"], *rows], pa.list_(pa.string()))[1:])
+    assert got.to_pylist() == [r if r is None else [stem(t) for t in r] for r in rows]

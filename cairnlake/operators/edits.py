@@ -95,6 +95,9 @@ def title_scores(index: TextIndex, lookups: DataFrame) -> DataFrame:
 
 
 def best_title(index: TextIndex, lookups: DataFrame, digits: int = 8) -> DataFrame:
-    """(query_id, item_id, score) of each lookup's best title; ties go to the lower item."""
+    """(query_id, item_id, score) of each lookup's best title; ties go to the lower item. Lookups of equal text share a search."""
     order = Window.partitionBy("query_id").orderBy(F.round("score", digits).desc(), "item_id")
-    return title_scores(index, lookups).withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+    asked = durable(lookups.groupBy("text").agg(F.min("query_id").alias("query_id")))
+    best = title_scores(index, asked).withColumn("r", F.row_number().over(order)).where("r = 1").select(F.col("query_id").alias("__asked"), "item_id", "score")
+    own = lookups.select("query_id", "text").join(asked.withColumnRenamed("query_id", "__asked"), "text")
+    return own.join(best, "__asked").select("query_id", "item_id", "score")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cairnlake.functions import text
 from cairnlake.functions.porter import stem
-from cairnlake.operators import admission, bm25, dialogue, knn, metrics
+from cairnlake.operators import admission, bm25, dialogue, edits, knn, metrics
 from cairnlake.operators.providers import with_embedding
 from cairnlake.sources import commits, readers, writers
 
@@ -94,3 +94,13 @@ def test_stems_leave_tokens_in_arrow():
     rows = [["running", "runs", "running"], [], None, ["ponies", "cats"]]
     got = text._stems.func(pa.array([["left", "out"], *rows], pa.list_(pa.string()))[1:])
     assert got.to_pylist() == [r if r is None else [stem(t) for t in r] for r in rows]
+
+
+def test_equal_lookups_share_a_search(spark, monkeypatch):
+    index = bm25.build_index(spark.createDataFrame([(1, "red ring"), (2, "red ring"), (3, "blue bolt")], "doc_id long, text string"))
+    searched, scores = [], edits.title_scores
+    monkeypatch.setattr(edits, "title_scores", lambda i, asked: searched.extend(r["text"] for r in asked.collect()) or scores(i, asked))
+    lookups = [(q, ["erd ring", "lbue bolt", None][q % 3]) for q in range(30)]
+    got = edits.best_title(index, spark.createDataFrame(lookups, "query_id long, text string")).collect()
+    assert sorted(searched, key=str) == [None, "erd ring", "lbue bolt"]
+    assert sorted((r["query_id"], r["item_id"]) for r in got) == [(q, [1, 3][q % 3]) for q in range(30) if q % 3 < 2]

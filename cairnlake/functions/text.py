@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +93,19 @@ def standard_tokens(text: Column) -> Column:
 TOKENIZERS = {"unicode61": search_tokens, "ascii": ascii_tokens, "porter": porter_tokens, "trigram": trigram_tokens, "standard": standard_tokens}
 
 
+def token_counts(tokens: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Equal tokens of each array, counted: parts of about ``most`` tokens as the place of their first array, the arrays' sizes, the
+    different tokens, and array (in the part), token (its place among them) and number, ascending by array."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0), np.int64)
+    part = np.cumsum(sizes) // most
+    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(sizes) else np.zeros(0, int)
+    for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(sizes)], strict=False):
+        coded = tokens.slice(at, end - at).flatten().dictionary_encode()
+        n = max(1, len(coded.dictionary))
+        pairs, number = np.unique(np.repeat(np.arange(end - at), sizes[at:end]) * n + np.asarray(coded.indices), return_counts=True)
+        yield at, sizes[at:end], coded.dictionary, pairs // n, pairs % n, number
+
+
 def category_tokens(text: Column) -> Column:
     """Lower-cased words in the Unicode sense; underscores stay, apostrophes split."""
     return F.regexp_extract_all(F.lower(_blank(text)), F.lit(r"((?U)\w+)"), 1)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnlake.functions.text import TOKENIZERS
+from cairnlake.functions.text import TOKENIZERS, token_counts
 from cairnlake.session import durable, exists
 
 #: Term saturation and length normalisation, and the least idf.
@@ -66,6 +69,35 @@ def _tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
     return docs.select("doc_id", TOKENIZERS[tokenizer](F.col("text")).alias("tokens"))
 
 
+def _counted(tokens: DataFrame) -> DataFrame:
+    """(doc_id, dl, terms) of (doc_id, tokens): the number of tokens, and term and tf of each different one."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, sizes, words, row, word, tf in token_counts(batch.column(1)):
+                pairs = pa.StructArray.from_arrays([words.take(pa.array(word)), pa.array(tf)], ["term", "tf"])
+                starts = pa.array(np.searchsorted(row, np.arange(len(sizes) + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sizes)), pa.array(sizes), pa.ListArray.from_arrays(starts, pairs)], ["doc_id", "dl", "terms"])
+
+    return tokens.mapInArrow(count, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, dl long, terms array<struct<term string, tf long>>")
+
+
+def vocabulary(docs: DataFrame, tokenizer: Callable[[Column], Column]) -> DataFrame:
+    """(term, docs, occurrences) of (doc_id, text), doc_id unique: documents that hold a term and its number in all.
+
+    A task adds up a part of its documents before it passes a row for each term on.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, words, _, word, tf in token_counts(batch.column(0)):
+                sums = np.bincount(word, tf, len(words)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(word, minlength=len(words))), pa.array(sums)], ["term", "docs", "occurrences"])
+
+    tokens = docs.select("doc_id", "text").repartition("doc_id").select(tokenizer(F.col("text")).alias("tokens"))
+    return tokens.mapInArrow(count, "term string, docs long, occurrences long").groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("occurrences").alias("occurrences"))
+
+
 def doc_lengths(docs: DataFrame, tokenizer: str = "unicode61") -> DataFrame:
     return _tokens(docs, tokenizer).select("doc_id", F.size("tokens").cast("long").alias("dl"))
 
@@ -78,12 +110,13 @@ def document_frequencies(docs: DataFrame, tokenizer: str = "unicode61") -> DataF
 def build_index(docs: DataFrame, tokenizer: str = "unicode61") -> TextIndex:
     """Index (doc_id, text); null texts have no tokens and count as documents. doc_id is unique.
 
-    Postings and lengths are written once; the other tables are aggregates of them.
+    Texts are dealt by doc_id and tokenized once; the equal tokens of a document are counted where it lies, so that no posting
+    is shuffled. That table, a row a document, is written; the other tables are read from it.
     """
-    tokens = _tokens(docs, tokenizer)
-    doc_len = durable(tokens.select("doc_id", F.size("tokens").cast("long").alias("dl")))
-    each = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-    postings = durable(each.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl"))
+    counted = durable(_counted(_tokens(docs.select("doc_id", "text").repartition("doc_id"), tokenizer)))
+    doc_len = counted.select("doc_id", "dl")
+    postings = counted.select("doc_id", "dl", F.explode("terms").alias("t")).select("t.term", "doc_id", "t.tf", "dl")
+    doc_len._scratch = postings._scratch = counted._scratch
     term_df = postings.groupBy("term").agg(F.count("*").alias("df"))
     corpus = doc_len.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
     return TextIndex(postings, doc_len, term_df, corpus, tokenizer)
@@ -148,7 +181,7 @@ def top_k(index: TextIndex, queries: DataFrame, k: int, scorer: Scorer = PLAIN,
     """
     postings = index.postings.withColumnRenamed("doc_id", "item_id")
     words = query_terms(queries, index.tokenizer)
-    own = postings.join(words.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(scorer.corpus(index))).select("term", "item_id", scorer.part().alias("part"), "n")
+    own = durable(postings.join(words.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(scorer.corpus(index))).select("term", "item_id", scorer.part().alias("part"), "n"))
     known = own.groupBy("term").agg(F.count("*").alias("df"), F.max("part").alias("most"), F.first("n").alias("n"))
     weight = F.col("qtf") * scorer.idf(F.col("n"), F.col("df"))
     terms = words.join(known, "term").select("query_id", "term", "df", weight.alias("weight"), (weight * F.col("most")).alias("bound"))

@@ -83,9 +83,10 @@ def _counted(tokens: DataFrame) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, tokenizer: Callable[[Column], Column]) -> DataFrame:
-    """(term, docs, occurrences) of (doc_id, text), doc_id unique: documents that hold a term and its number in all.
+    """(term, docs, occurrences) of (doc_id, text): documents that hold a term and its number in all; rows of one doc_id are one document.
 
-    A task adds up a part of its documents before it passes a row for each term on.
+    Texts are dealt by doc_id, and a task adds up a part of its documents before it passes a row for each term on.
+    ``tokenizer`` must part words at line ends.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +95,7 @@ def vocabulary(docs: DataFrame, tokenizer: Callable[[Column], Column]) -> DataFr
                 sums = np.bincount(word, tf, len(words)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(word, minlength=len(words))), pa.array(sums)], ["term", "docs", "occurrences"])
 
-    tokens = docs.select("doc_id", "text").repartition("doc_id").select(tokenizer(F.col("text")).alias("tokens"))
+    tokens = docs.groupBy("doc_id").agg(F.array_join(F.collect_list("text"), "\n").alias("text")).select(tokenizer(F.col("text")).alias("tokens"))
     return tokens.mapInArrow(count, "term string, docs long, occurrences long").groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("occurrences").alias("occurrences"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairnlake.functions import text as T
 from cairnlake.functions.vectors import norm
+from cairnlake.operators import bm25
 from cairnlake.operators.admission import admitted, parse_rate, waits
 from cairnlake.operators.calls import evaluated
 from cairnlake.operators.digests import ordered_digest
@@ -53,8 +54,7 @@ def rate_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of a catalogue's rows in order, of its vocabulary with documents and occurrences, and of its vectors."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.category_tokens(F.col("text"))).alias("term"))
-    vocabulary = words.groupBy("term", "doc_id").agg(F.count("*").alias("c")).groupBy("term").agg(F.count("*").alias("docs"), F.sum("c").alias("occurrences"))
+    vocabulary = bm25.vocabulary(table(spark, sf_dir, "documents").select("doc_id", "text"), T.category_tokens)
     parts = {
         "items": ordered_digest(table(spark, sf_dir, "part"), ["p_partkey"], ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]),
         "vocabulary": ordered_digest(vocabulary, ["term"], ["term", "docs", "occurrences"]),

@@ -1,5 +1,6 @@
 """Tokens counted where their document lies, against plain loops."""
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -52,3 +53,20 @@ def test_best_documents_read_the_postings_once(spark, monkeypatch):
     found = {(r[0], r[1]): r[2] for r in bm25.top_k(index, queries, 10).collect()}
     assert found == pytest.approx({(r[0], r[1]): r[2] for r in bm25.scores(index, queries).collect()})
     assert name and sum("explode(terms" in p for p in plans) == 1
+
+
+def test_vocabulary_counts_each_document_once(spark):
+    rows = [(1, "a_b A_B c"), (1, "c"), (2, "c d"), (3, None), (4, ""), (5, "Σοφός c")]
+    found = bm25.vocabulary(spark.createDataFrame(rows, "doc_id long, text string"), category_tokens)
+    assert {r["term"]: (r["docs"], r["occurrences"]) for r in found.collect()} == {"a_b": (1, 2), "c": (3, 4), "d": (1, 1), "σοφός": (1, 1)}
+    assert not bm25.vocabulary(spark.createDataFrame([], "doc_id long, text string"), category_tokens).collect()
+
+
+def test_digest_of_the_vocabulary_shuffles_no_pair_of_term_and_document(spark, sf, monkeypatch):
+    from cairnlake.plans import corpora
+
+    plans = []
+    monkeypatch.setattr(corpora, "ordered_digest", lambda df, *a: (plans.append(df._jdf.queryExecution().executedPlan().toString()), (0, ""))[1])
+    corpora.index_digest(spark, sf)
+    assert sum("hashpartitioning(term" in p for p in plans) == 1
+    assert not any(re.search(r"hashpartitioning\(term#\d+, doc_id", p) for p in plans)

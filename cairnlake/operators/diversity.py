@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,27 +45,41 @@ def type_token(rows: DataFrame, keys: list[str], tokens: str) -> DataFrame:
     return counted.select(*keys, n.alias("n_tokens"), v.alias("n_types"), (v / n).alias("ttr"), (v / F.sqrt(n)).alias("root_ttr"), F.when(n > 1, F.ln(v) / F.ln(n)).alias("log_ttr"), F.when(n > 1, (F.ln(n) - F.ln(v)) / (F.ln(n) * F.ln(n))).alias("maas"))
 
 
-def _one_way(tokens: Column, threshold: float) -> Column:
-    """Length over the number of factors; a factor ends where the running type-token ratio falls to the threshold."""
-    none = F.array().cast("array<string>")
-    start = F.struct(F.lit(0.0).alias("f"), F.lit(0).alias("n"), none.alias("t"))
+def _one_way(codes: list[int], seen: list[int], stamp: int, threshold: float) -> tuple[float, int]:
+    """Length over the number of factors; a factor ends where the running type-token ratio falls to the threshold.
 
-    def step(state: Column, token: Column) -> Column:
-        types = F.when(F.array_contains(state["t"], token), state["t"]).otherwise(F.array_append(state["t"], token))
-        ends = F.size(types) / (state["n"] + 1) <= threshold
-        return F.struct(F.when(ends, state["f"] + 1).otherwise(state["f"]).alias("f"), F.when(ends, F.lit(0)).otherwise(state["n"] + 1).alias("n"), F.when(ends, none).otherwise(types).alias("t"))
-
-    def finish(state: Column) -> Column:
-        part = F.when(state["n"] > 0, (1 - F.size(state["t"]) / state["n"]) / (1 - threshold)).otherwise(F.lit(0.0))
-        factors = state["f"] + part
-        return F.when(factors > 0, F.size(tokens) / factors).otherwise(F.size(tokens).cast("double"))
-
-    return F.aggregate(tokens, start, step, finish)
+    ``seen`` holds, for each code, the last factor that met it; factors are numbered on from ``stamp``.
+    """
+    factors, n, types = 0.0, 0, 0
+    stamp += 1
+    for code in codes:
+        n += 1
+        if seen[code] != stamp:
+            seen[code] = stamp
+            types += 1
+        if types / n <= threshold:
+            factors, n, types = factors + 1, 0, 0
+            stamp += 1
+    factors += (1 - types / n) / (1 - threshold) if n else 0.0
+    return (len(codes) / factors if factors > 0 else float(len(codes))), stamp
 
 
 def mtld(tokens: Column, threshold: float = 0.72) -> Column:
-    """Mean of both directions; 0 for under ten tokens."""
-    return F.when(F.size(tokens) < 10, F.lit(0.0)).otherwise((_one_way(tokens, threshold) + _one_way(F.reverse(tokens), threshold)) / 2)
+    """Mean of both directions; 0 for under ten tokens. A task walks over numbers of its tokens, in time linear in them."""
+
+    @F.arrow_udf("double")
+    def both_ways(arrays: pa.Array) -> pa.Array:
+        coded = arrays.flatten().dictionary_encode("encode")
+        codes, seen, stamp, at, out = np.asarray(coded.indices), [0] * len(coded.dictionary), 0, 0, []
+        for size in pc.list_value_length(arrays).to_pylist():
+            own = codes[at : at + (size or 0)].tolist()
+            at += len(own)
+            there, stamp = _one_way(own, seen, stamp, threshold)
+            back, stamp = _one_way(own[::-1], seen, stamp, threshold)
+            out.append(None if size is None else (there + back) / 2)
+        return pa.array(out, pa.float64())
+
+    return F.when(F.size(tokens) < 10, F.lit(0.0)).otherwise(both_ways(tokens))
 
 
 def hdd(rows: DataFrame, keys: list[str], tokens: str, draws: int = 42) -> DataFrame:

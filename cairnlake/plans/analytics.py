@@ -17,8 +17,10 @@ def lines(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "conversations")
 
 
-def line_tokens(spark, sf_dir) -> DataFrame:
-    return lines(spark, sf_dir).where("role <> 'system'").select("conv_id", "turn", "role", T.metric_tokens(F.col("text")).alias("tokens"))
+def line_tokens(spark, sf_dir, *by: str) -> DataFrame:
+    """Tokens of the lines of users and assistants, dealt by columns first if some are given."""
+    own = lines(spark, sf_dir).where("role <> 'system'")
+    return (own.repartition(*by) if by else own).select("conv_id", "turn", "role", T.metric_tokens(F.col("text")).alias("tokens"))
 
 
 def doc_tokens(spark, sf_dir) -> DataFrame:
@@ -30,8 +32,8 @@ def _r(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 
 def _joined(spark, sf_dir) -> DataFrame:
-    """One token array a conversation, lines by turn."""
-    held = line_tokens(spark, sf_dir).groupBy("conv_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "tokens"))), lambda x: x["tokens"])).alias("tokens"))
+    """One token array a conversation, lines by turn. Lines are dealt by conversation before they are tokenized, as text is smaller."""
+    held = line_tokens(spark, sf_dir, "conv_id").groupBy("conv_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "tokens"))), lambda x: x["tokens"])).alias("tokens"))
     return held
 
 

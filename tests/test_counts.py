@@ -70,3 +70,14 @@ def test_digest_of_the_vocabulary_shuffles_no_pair_of_term_and_document(spark, s
     corpora.index_digest(spark, sf)
     assert sum("hashpartitioning(term" in p for p in plans) == 1
     assert not any(re.search(r"hashpartitioning\(term#\d+, doc_id", p) for p in plans)
+
+
+def test_quantised_best_documents_read_the_postings_once(spark, monkeypatch):
+    plans = []
+    index = bm25.build_index(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"))
+    real = bm25.durable
+    monkeypatch.setattr(bm25, "durable", lambda df, *a: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), real(df, *a))[1])
+    queries = spark.createDataFrame([(1, "a c"), (2, "b")], "query_id long, text string")
+    found = {(r[0], r[1]): r[2] for r in bm25.top_k(index, queries, 10, bm25.QUANTISED).collect()}
+    assert found == pytest.approx({(r[0], r[1]): r[2] for r in bm25.scores(index, queries, scorer=bm25.QUANTISED).collect()})
+    assert sum("explode(terms" in p for p in plans) == 1

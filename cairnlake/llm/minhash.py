@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.llm.components import components, met_by_key
-from cairnlake.session import durable
+from cairnlake.session import discard, durable, lean_shuffles
 
 #: Trees, MinHash values in each, and the values that compared rows share at least.
 TREES, VALUES, DEPTH = 12, 6, 2
@@ -462,8 +462,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     A pair at the threshold j is met in no tree with probability (1 - j ** DEPTH) ** TREES at most, 5e-6 for 0.8 and 2e-7
     for 0.85; documents that share prefixes with more than a block of others meet by an exact join of their rarest shingles.
     """
-    rows = durable(signed(docs, width, text, doc_id))
-    classes = durable(rows.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")))
+    with lean_shuffles(docs.sparkSession):
+        return _near_duplicates(docs, width, percent, text, doc_id)
+
+
+def _near_duplicates(docs: DataFrame, width: int, percent: int, text: str, doc_id: str) -> DataFrame:
+    signatures_of = durable(signed(docs, width, text, doc_id))
+    classes = durable(signatures_of.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")))
+    rows = durable(signatures_of.select("doc_id", "n_shingles", "key"))
+    discard(signatures_of)  # those of the classes are all that is read on
     bytes_of = F.concat(*(F.expr(f"substring(signature, {4 * k + 1}, 1)") for k in range(TREES * VALUES)))
     nodes = classes.select("id", "signature", bytes_of.alias("sketch"))
     pairs = durable(candidate_pairs(nodes, percent / 100 - SLACK))

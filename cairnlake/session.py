@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,6 +93,18 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@contextmanager
+def lean_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Remove the shuffle files of each action in the block once it ends, for steps that go on from written tables."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables of :func:`durable` that no later action reads; other frames are left alone."""
     for df in frames:

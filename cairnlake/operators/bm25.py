@@ -41,9 +41,13 @@ class Scorer:
         own = index.doc_len.where("dl > 0")
         return own.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
 
-    def part(self) -> Column:
+    def norm(self) -> Column:
+        """What a document's length comes to; the same for all its terms."""
         dl = quantised_length(F.col("dl")) if self.quantised else F.col("dl")
-        return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * dl / F.col("avgdl")))
+        return 1 - B + B * dl / F.col("avgdl")
+
+    def part(self, norm: Column | None = None) -> Column:
+        return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (self.norm() if norm is None else norm))
 
     def idf(self, n: Column, df: Column) -> Column:
         return F.ln(1 + (n - df + 0.5) / (df + 0.5)) if self.quantised else idf(n, df)
@@ -54,13 +58,25 @@ PLAIN, QUANTISED = Scorer(), Scorer(True)
 
 @dataclass
 class TextIndex:
-    """postings (term, doc_id, tf, dl), doc_len (doc_id, dl), term_df (term, df) and corpus (n, avgdl), one row."""
+    """postings (term, doc_id, tf, dl), doc_len (doc_id, dl), term_df (term, df) and corpus (n, avgdl), one row.
+
+    ``by_doc`` (doc_id, dl, terms) holds the postings a row a document, where an index has them so.
+    """
 
     postings: DataFrame
     doc_len: DataFrame
     term_df: DataFrame
     corpus: DataFrame
     tokenizer: str = "unicode61"
+    by_doc: DataFrame | None = None
+
+    def parts(self, scorer: Scorer) -> DataFrame:
+        """(term, item_id, part) of all postings; lengths are worked out once a document."""
+        held = (self.by_doc if self.by_doc is not None else self.postings).withColumnRenamed("doc_id", "item_id")
+        normed = held.crossJoin(F.broadcast(scorer.corpus(self))).withColumn("norm", scorer.norm())
+        if self.by_doc is not None:
+            normed = normed.select("item_id", "norm", F.explode("terms").alias("t")).select("t.term", "item_id", "t.tf", "norm")
+        return normed.select("term", "item_id", scorer.part(F.col("norm")).alias("part"))
 
 
 def _tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -120,7 +136,7 @@ def build_index(docs: DataFrame, tokenizer: str = "unicode61") -> TextIndex:
     doc_len._scratch = postings._scratch = counted._scratch
     term_df = postings.groupBy("term").agg(F.count("*").alias("df"))
     corpus = doc_len.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
-    return TextIndex(postings, doc_len, term_df, corpus, tokenizer)
+    return TextIndex(postings, doc_len, term_df, corpus, tokenizer, counted)
 
 
 _OPEN: dict[tuple[object, ...], TextIndex] = {}
@@ -174,16 +190,15 @@ def scores(index: TextIndex, queries: DataFrame, candidates: DataFrame | None =
 def top_k(index: TextIndex, queries: DataFrame, k: int, scorer: Scorer = PLAIN, slack: float = 1e-6) -> DataFrame:
     """(query_id, item_id, bm25_raw) of documents that hold all of each query's ``k`` best, as :func:`scores` would give them.
 
-    A term adds at most its greatest part over all documents. Sums over a query's rarest terms give a score that ``k``
-    documents reach; the terms whose greatest parts together stay below it can't lift a document there alone. So only
-    documents with one of the other terms are gathered, only those whose sum may still reach the ``k``-th are kept, and the common
-    terms are looked up for these alone. Nothing is skipped that could be among the best or tie with them (``slack`` is more
-    than the rounding of scores).
+    A term adds at most its greatest part over all documents. Sums over a query's rarest terms name ``k`` documents, whose whole
+    scores give one that ``k`` documents reach; the terms whose greatest parts together stay below half of it can't lift a document
+    there alone, and only few documents have the other half. So only documents with one of the other terms are gathered, only those whose sum may still reach the ``k``-th are
+    kept, and the common terms are looked up for these alone. Nothing is skipped that could be among the best or tie with
+    them (``slack`` is more than the rounding of scores).
     """
-    postings = index.postings.withColumnRenamed("doc_id", "item_id")
     words = query_terms(queries, index.tokenizer)
-    own = durable(postings.join(words.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(scorer.corpus(index))).select("term", "item_id", scorer.part().alias("part"), "n"))
-    known = own.groupBy("term").agg(F.count("*").alias("df"), F.max("part").alias("most"), F.first("n").alias("n"))
+    own = durable(index.parts(scorer).join(words.select("term").distinct(), "term", "left_semi"))
+    known = own.groupBy("term").agg(F.count("*").alias("df"), F.max("part").alias("most")).crossJoin(F.broadcast(scorer.corpus(index).select("n")))
     weight = F.col("qtf") * scorer.idf(F.col("n"), F.col("df"))
     terms = words.join(known, "term").select("query_id", "term", "df", weight.alias("weight"), (weight * F.col("most")).alias("bound"))
     rare = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
@@ -193,21 +208,31 @@ def top_k(index: TextIndex, queries: DataFrame, k: int, scorer: Scorer = PLAIN,
         hits = own.join(chosen.select("query_id", "term", "weight"), "term")
         return hits.groupBy("query_id", "item_id").agg(F.sum(F.col("weight") * F.col("part")).alias("s"))
 
+    def leading(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.col("s").desc(), "item_id")
+        return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+
     def reached(found: DataFrame) -> DataFrame:
         """The score that ``k`` documents of a query have at least; queries with fewer have none."""
-        top = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("s").desc())))
-        return top.where(F.col("r") == k).select("query_id", F.col("s").alias("reached"))
+        return leading(found).where(F.col("r") == k).select("query_id", F.col("s").alias("reached"))
+
+    def completed(some: DataFrame, chosen: DataFrame) -> DataFrame:
+        """(query_id, item_id, more): what the terms of ``chosen`` add to the documents of ``some``; those without one have no row."""
+        postings = own.join(some.select("item_id").distinct(), "item_id", "left_semi")
+        common = some.select("query_id", "item_id").join(chosen.select("query_id", "term", "weight"), "query_id").join(postings, ["item_id", "term"])
+        return common.groupBy("query_id", "item_id").agg(F.sum(F.col("weight") * F.col("part")).alias("more"))
 
-    low = terms.join(reached(sums(terms.where("seed"))), "query_id", "left")
+    seeds = durable(leading(sums(terms.where("seed"))))
+    first = reached(completed(seeds, terms).withColumnRenamed("more", "s"))
+    low = terms.join(first, "query_id", "left")
     light = Window.partitionBy("query_id").orderBy("bound", "term")
-    split = durable(low.withColumn("needed", F.sum("bound").over(light) >= F.coalesce("reached", F.lit(0.0)) - slack))
+    split = durable(low.withColumn("needed", F.sum("bound").over(light) >= F.coalesce("reached", F.lit(0.0)) / 2 - slack))
     rest = split.groupBy("query_id").agg(F.coalesce(F.sum(F.when(~F.col("needed"), F.col("bound"))), F.lit(0.0)).alias("rest"), F.coalesce(F.first("reached"), F.lit(0.0)).alias("reached"))
     found = durable(sums(split.where("needed")))
     better = reached(found).withColumnRenamed("reached", "better")
     least = F.greatest(F.col("reached"), F.coalesce("better", F.lit(0.0))) - slack
     alive = durable(found.join(rest, "query_id").join(better, "query_id", "left").where(F.col("s") + F.col("rest") >= least).select("query_id", "item_id", "s"))
-    common = alive.select("query_id", "item_id").join(split.where("NOT needed").select("query_id", "term", "weight"), "query_id").join(own, ["item_id", "term"])
-    more = common.groupBy("query_id", "item_id").agg(F.sum(F.col("weight") * F.col("part")).alias("more"))
+    more = completed(alive, split.where("NOT needed"))
     return alive.join(more, ["query_id", "item_id"], "left").select("query_id", "item_id", (F.col("s") + F.coalesce("more", F.lit(0.0))).alias("bm25_raw"))
 
 

@@ -81,3 +81,16 @@ def test_quantised_best_documents_read_the_postings_once(spark, monkeypatch):
     found = {(r[0], r[1]): r[2] for r in bm25.top_k(index, queries, 10, bm25.QUANTISED).collect()}
     assert found == pytest.approx({(r[0], r[1]): r[2] for r in bm25.scores(index, queries, scorer=bm25.QUANTISED).collect()})
     assert sum("explode(terms" in p for p in plans) == 1
+
+
+def test_whole_scores_of_the_first_documents_bound_the_search(spark, monkeypatch):
+    """One document holds all terms of a query and 1,200 others hold one each: by the score of the rarest alone most of them would be gathered."""
+    names = [f"m{i:02}" for i in range(20)]
+    rows = [(0, " ".join(["r", *names]))] + [(1 + i, " ".join([names[i % 20], *(f"z{i}n{j}" for j in range(20))])) for i in range(1200)]
+    index = bm25.build_index(spark.createDataFrame(rows, "doc_id long, text string"))
+    queries = spark.createDataFrame([(1, rows[0][1])], "query_id long, text string")
+    gathered, real = [], bm25.durable
+    monkeypatch.setattr(bm25, "durable", lambda df, *a: (gathered.append((df.columns, df.count())), real(df, *a))[1])
+    found = bm25.best(bm25.top_k(index, queries, 1, bm25.QUANTISED), 1).collect()
+    assert [(r["item_id"], round(r["bm25_raw"], 6)) for r in found] == [(r["item_id"], round(r["bm25_raw"], 6)) for r in bm25.best(bm25.scores(index, queries, scorer=bm25.QUANTISED), 1).collect()]
+    assert next(n for columns, n in gathered if columns == ["query_id", "item_id", "s"]) < 750

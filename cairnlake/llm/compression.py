@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import sys
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -117,6 +118,34 @@ def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], text: str
 # --- toxicity ---------------------------------------------------------------------------------------------------------
 
 
+def context_counts(texts: list[str], most: int = 1 << 18) -> Counter[str]:
+    """How many distinct contexts (itself with the words before and after it, if any) each word of ``texts`` has.
+
+    A word is held once and a context as three numbers, which are made distinct each time ``most`` have come.
+    """
+    number: dict[str, int] = {"": 0}
+    seen, fresh = np.zeros((0, 3), np.int32), array("i")
+
+    def merged() -> np.ndarray:
+        return np.unique(np.concatenate([seen, np.frombuffer(fresh, np.int32).reshape(-1, 3)]), axis=0)
+
+    for t in texts:
+        before = middle = 0
+        for m in WORD.finditer(t.lower()):
+            after = number.setdefault(m.group(), len(number))
+            if middle:
+                fresh.extend((before, middle, after))
+            before, middle = middle, after
+        if middle:
+            fresh.extend((before, middle, 0))
+        if len(fresh) >= 3 * max(most, len(seen)):
+            seen = merged()
+            fresh = array("i")
+    words, n = np.unique(merged()[:, 1], return_counts=True)
+    names = list(number)
+    return Counter({names[w]: k for w, k in zip(words.tolist(), n.tolist(), strict=True)})
+
+
 def telling_segments(toxic: list[str], ordinary: list[str], size: int = 1024, least_gain: float = 40.0) -> list[str]:
     """Substrings of words that tell toxic texts from ordinary ones, the strongest first, of ``size`` characters in all.
 
@@ -124,13 +153,7 @@ def telling_segments(toxic: list[str], ordinary: list[str], size: int = 1024, le
     is the log-likelihood ratio of its contexts; longer ones win between equals, and each takes the words it covers
     out of the count for the rest.
     """
-    seen: list[Counter[str]] = []
-    for texts in (toxic, ordinary):
-        contexts: set[tuple[str, str, str]] = set()
-        for t in texts:
-            words = ["", *WORD.findall(t.lower()), ""]
-            contexts.update(zip(words, words[1:], words[2:], strict=False))
-        seen.append(Counter(w for _, w, _ in contexts))
+    seen = [context_counts(texts) for texts in (toxic, ordinary)]
     n, m = (sum(c.values()) + 1 for c in seen)
 
     def gain(a: int, b: int) -> float:

@@ -450,6 +450,20 @@ def exact_links(texts: DataFrame, nodes: DataFrame, width: int, percent: int) ->
     return _links_of(_met(rare, nodes, percent / 100 - SLACK, percent), texts, width, percent)
 
 
+def regrouped(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, grp), grp being the least id of its group, once links (a, b) between their ids have joined groups.
+
+    Only links across groups go into the rounds of components, as edges between the groups; where there are none, nothing runs.
+    """
+    end = lambda c: labels.select(F.col("id").alias(c), F.col("grp").alias(f"{c}_grp"))
+    met = links.select("a", "b").join(end("a"), "a").join(end("b"), "b").where("a_grp <> b_grp")
+    across = durable(met.select(F.least("a_grp", "b_grp").alias("a"), F.greatest("a_grp", "b_grp").alias("b")).distinct())
+    if across.isEmpty():
+        return labels
+    joined = components(across)
+    return durable(labels.join(joined, F.col("grp") == F.col("node"), "left").select("id", F.coalesce("component", "grp").alias("grp")))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept, a row for each row.
 
@@ -479,27 +493,21 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int, text: str, doc_i
     texts = durable(own.join(needed, "id").groupBy("id").agg(F.max("text").alias("text")))
     crowded = pairs.where("a = b").select(F.col("a").alias("node"))
     tested = durable(confirmed(pairs.where("a <> b"), texts, width, percent))
-    edges = tested.where("linked").select("a", "b")
-    groups = components(edges)
+    groups = components(tested.where("linked").select("a", "b"))
     failed = tested.where("NOT linked").select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # groups are found on ids alone; texts meet them by their ids, which are unique, and only where they are read
-    labelled = lambda: texts.select("id").join(groups, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("grp"))
-    labels = durable(labelled())
+    labels = durable(texts.select("id").join(groups, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("grp")))
     if not failed.isEmpty():
         marked = labels.join(failed, F.col("id") == F.col("node"), "left").groupBy("grp")
         open_groups = marked.agg(F.count("node").alias("failed")).where("failed > 0").select("grp")
         again = texts.join(labels.join(open_groups, "grp", "left_semi").select("id"), "id").join(nodes.select("id", "signature"), "id")
         more = durable(links_within(again, width, percent))
         crowded = crowded.unionAll(more.where("a = b").select(F.col("a").alias("node"))).distinct()
-        edges = edges.unionByName(more.where("a <> b"))
-        groups = components(edges)
-        labels = durable(labelled())
+        labels = regrouped(labels, more.where("a <> b"))
     if not crowded.isEmpty():
         few = texts.join(labels.join(crowded, F.col("id") == F.col("node"), "left_semi"), "id").select("id", "grp", "text")
-        rest = durable(exact_links(few, nodes, width, percent))
-        if not rest.isEmpty():
-            groups = components(edges.unionByName(rest))
-    by_key = classes.select("key", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
+        labels = regrouped(labels, exact_links(few, nodes, width, percent))
+    by_key = classes.select("key", "id").join(labels, "id", "left").select("key", F.coalesce("grp", "id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "key").join(by_key, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

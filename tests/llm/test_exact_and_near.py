@@ -256,3 +256,13 @@ def test_few_dimensions_and_mixed_lengths(spark):
     assert met >= 0.99 * linked
     for d in (1, 2, 4):
         assert embedding_dedup.codes(np.ones((1000, d)), embedding_dedup.vertices_for(10**9, d), 0).shape[1] <= 11
+
+
+def test_only_links_across_groups_run_rounds_of_components(spark, monkeypatch):
+    ran = []
+    monkeypatch.setattr(minhash, "components", lambda edges: (ran.append(sorted(map(tuple, edges.collect()))), components.components(edges))[1])
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 6)], "id long, grp long")
+    links = lambda *pairs: spark.createDataFrame(list(pairs), "a long, b long")
+    assert sorted(minhash.regrouped(labels, links((1, 2), (3, 4))).collect()) == sorted(labels.collect()) and not ran
+    found = dict(minhash.regrouped(labels, links((4, 2), (1, 3), (5, 4), (6, 6))).collect())
+    assert found == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6} and ran == [[(1, 3), (3, 5)]]

@@ -570,3 +570,27 @@ def test_every_query_has_a_row_for_each_document(spark, sf, name):
     table = spark.read.parquet(f"{sf}/{source}.parquet")
     rows = table.select("conv_id").distinct().count() if source == "conversations" else table.count()
     assert found.count() == rows if "packing" not in name else found.select("doc_id").distinct().count() == rows
+
+
+def test_contexts_of_words_are_counted_in_little_memory():
+    import random
+    import tracemalloc
+    from collections import Counter
+
+    from cairnlake.llm import compression as C
+
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = ["".join(rng.choices(letters, k=6)) for _ in range(5_000)]
+    texts = ["", "ab 12", "Über über abc"] + [" ".join(rng.choices(names, k=1_000)) for _ in range(300)]
+    contexts = set()
+    for t in texts:
+        words = ["", *C.WORD.findall(t.lower()), ""]
+        contexts.update(zip(words, words[1:], words[2:], strict=False))
+    want = Counter(w for _, w, _ in contexts)
+    assert C.context_counts(texts) == C.context_counts(texts, 1_000) == want and C.context_counts([]) == Counter()
+    del contexts
+    tracemalloc.start()
+    C.telling_segments(texts, [])
+    assert tracemalloc.get_traced_memory()[1] < 40e6
+    tracemalloc.stop()

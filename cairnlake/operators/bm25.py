@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +70,11 @@ class TextIndex:
     tokenizer: str = "unicode61"
     by_doc: DataFrame | None = None
 
+    def of(self, items: DataFrame) -> TextIndex:
+        """The postings of the documents that ``items`` (item_id) names; the statistics stay those of all."""
+        own = items.select(F.col("item_id").alias("doc_id")).distinct()
+        return replace(self, postings=self.postings.join(own, "doc_id", "left_semi"), by_doc=None if self.by_doc is None else self.by_doc.join(own, "doc_id", "left_semi"))
+
     def parts(self, scorer: Scorer) -> DataFrame:
         """(term, item_id, part) of all postings; lengths are worked out once a document."""
         held = (self.by_doc if self.by_doc is not None else self.postings).withColumnRenamed("doc_id", "item_id")

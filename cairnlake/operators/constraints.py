@@ -26,7 +26,8 @@ def year_range(text: Column) -> tuple[Column, Column]:
 
 def _named(phrases: Column, table: dict[str, str]) -> Column:
     names = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in table.items()))
-    found = F.filter(names, lambda e: F.exists(phrases, lambda p: F.contains(p, e["key"])))
+    held = lambda ps: F.filter(names, lambda e: F.exists(ps, lambda p: F.contains(p, e["key"])))
+    found = F.get(F.transform(F.array(phrases), held), 0)  # bound as a variable, so that the phrases are cut once, not once a name
     return F.array_sort(F.array_distinct(F.transform(found, lambda e: e["value"])))
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnlake.functions.text import category_tokens, present
@@ -46,8 +46,10 @@ class Rules:
 
 def tasks(users: DataFrame, items: DataFrame, per_user: int, seed: int) -> DataFrame:
     """(dialogue_id, user_id, target_id): ``per_user`` random items of each user's own (user_id, item_id)."""
-    own = users.select("user_id", "item_id").distinct().join(items.select("item_id"), "item_id", "left_semi")
-    chosen = sampling.per_group(own, "user_id", "item_id", per_user, seed)
+    own = users.select("user_id", "item_id").join(items.select("item_id"), "item_id", "left_semi").repartition("user_id")
+    order = Window.partitionBy("user_id").orderBy(sampling.ticket(seed, F.col("user_id"), F.col("item_id")), "item_id")
+    # a pair that repeats has one rank, so only the chosen ones are made distinct
+    chosen = own.withColumn("__n", F.dense_rank().over(order)).where(F.col("__n") <= per_user).select("user_id", "item_id").distinct()
     return chosen.select(F.md5(F.concat_ws(":", "user_id", "item_id")).alias("dialogue_id"), "user_id", F.col("item_id").alias("target_id"))
 
 
@@ -64,12 +66,14 @@ def admits(queries: pd.DataFrame, items: pd.DataFrame) -> np.ndarray:
     A genre is required as consecutive words, excluded by any word; an item without a year is in no range.
     """
     year = items["year"].to_numpy(float)
-    spelt = [" " + " ".join(w if w is not None else ()) + " " for w in items["genre_words"]]
     ids = items["item_id"].to_numpy()
+    spelt: list[str] = []
     holding: dict[str, np.ndarray] = {}
 
     def holds(phrase: str) -> np.ndarray:
         if phrase not in holding:
+            if not spelt:
+                spelt.extend(" " + " ".join(w if w is not None else ()) + " " for w in items["genre_words"])
             holding[phrase] = np.fromiter((f" {phrase} " in s for s in spelt), bool, len(spelt))
         return holding[phrase]
 
@@ -110,8 +114,8 @@ def _asked(state: DataFrame, round_no: int, rules: Rules) -> DataFrame:
     })
 
 
-def _search(rules: Rules) -> dict[str, Column]:
-    """The search of an open dialogue: its text, the constraints that the user has spoken out, exclusions and profiles.
+def _spoken(rules: Rules) -> dict[str, Column]:
+    """What the search of an open dialogue follows from: its text, the text that is parsed, exclusions and profiles.
 
     Free dialogues search by all the user has said, with the refusals once more behind it, and parse the same text; the
     others search by the facts collected and the refusals, and parse what the user has said.
@@ -119,12 +123,27 @@ def _search(rules: Rules) -> dict[str, Column]:
     said = F.array_join("said", " ")
     refused = F.array_join(F.transform("refusals", lambda r: F.concat(F.lit(" I do not want: "), r)), "")
     text = F.concat(said, refused) if rules.mode == "free" else F.concat(F.array_join("facts", " "), refused)
-    parsed = text if rules.mode == "free" else said
-    low, high = constraints.year_range(parsed)
-    words = F.array_distinct(F.flatten(F.transform(constraints.excluded_genres(parsed), category_tokens)))
-    phrases = F.transform(constraints.required_genres(parsed), lambda g: F.array_join(category_tokens(g), " "))
-    own = {"text": text, "low": low.cast("double"), "high": high.cast("double"), "excluded": words, "required": phrases}
-    return own | {c: F.col(c) for c in ("excluded_ids", "long_profile", "short_profile")}
+    return {"text": text, "parsed": text if rules.mode == "free" else said} | {c: F.col(c) for c in ("excluded_ids", "long_profile", "short_profile")}
+
+
+def _identity(columns: dict[str, Column]) -> Column:
+    return F.xxhash64(F.to_json(F.struct(*(c.alias(n) for n, c in columns.items())), {"ignoreNullFields": "false"}))
+
+
+def _searches(spoken: DataFrame, whole_words: bool) -> DataFrame:
+    """search_id and query_id of different ``spoken``, and the search that it comes to: text, constraints, exclusions, profiles.
+
+    Embeddings and scores are sums over words, so with ``whole_words`` (the index keeps words apart) their order is given up
+    after parsing: the search is the same in whatever order the user refused.
+    """
+    low, high = constraints.year_range(F.col("parsed"))
+    words = F.array_distinct(F.flatten(F.transform(constraints.excluded_genres(F.col("parsed")), category_tokens)))
+    phrases = F.transform(constraints.required_genres(F.col("parsed")), lambda g: F.array_join(category_tokens(g), " "))
+    text = F.array_join(F.array_sort(F.split("text", r"\s+")), " ") if whole_words else F.col("text")
+    known = spoken.withColumn("search_id", _identity({c: F.col(c) for c in spoken.columns})).dropDuplicates(["search_id"])
+    known = known.withColumns({"text": text, "low": low.cast("double"), "high": high.cast("double"), "excluded": words, "required": phrases})
+    own = {c: F.col(c) for c in ("text", "low", "high", "excluded", "required", "excluded_ids", "long_profile", "short_profile")}
+    return known.select("search_id", _identity(own).alias("query_id"), *own)
 
 
 def simulate(dialogues: DataFrame, items: DataFrame, index: bm25.TextIndex, weights: hybrid.Weights = hybrid.Weights(threshold=0.0), rules: Rules = Rules()) -> DataFrame:
@@ -136,11 +155,11 @@ def simulate(dialogues: DataFrame, items: DataFrame, index: bm25.TextIndex, weig
 
     In each round the user of every open dialogue answers a question while there are any left, the items that its
     constraints admit are searched, and the best that were not refused are shown. The user accepts if one of them bears
-    the target's title and refuses otherwise. Dialogues whose search is the same share one. A dialogue ends when accepted (success), after ``max_shown`` rounds that
+    the target's title and refuses otherwise. Texts are parsed once for all dialogues that have come to the same, and dialogues
+    whose search is the same share one. A dialogue ends when accepted (success), after ``max_shown`` rounds that
     showed something (max_shown), or after ``max_rounds`` rounds (max_rounds); one whose target is not in the catalogue
     ends at once (target_not_found). The greeting is the first turn, each answer, each round that shows items and the
-    closing of a failure are one more. Only open dialogues are held in the table that is written after each round; those that
-    end are written once.
+    closing of a failure are one more. A round writes the dialogues once, and those that it ends once more while others go on.
     """
     facts = F.map_filter(F.create_map(*(x for c in rules.attributes for x in (F.lit(c), F.when(present(F.col(c)), F.trim(F.col(c).cast("string")))))) if rules.attributes else F.create_map().cast("map<string,string>"), lambda _, v: v.isNotNull())
     targets = items.select(F.col("item_id").alias("target_id"), F.col("title").alias("target_title"), F.col("text").alias("target_text"), facts.alias("target_facts"))
@@ -157,48 +176,52 @@ def simulate(dialogues: DataFrame, items: DataFrame, index: bm25.TextIndex, weig
     profiles = [F.col(c) if c in dialogues.columns else F.lit(None).cast("array<double>").alias(c) for c in ("long_profile", "short_profile")]
     begun = dialogues.select("dialogue_id", "user_id", "target_id", given.alias("excluded_ids"), asks.alias("asks"), *profiles).join(targets, "target_id", "left")
     greeting = F.concat(F.lit("Bot: "), sampling.picked(GREETINGS, rules.seed, F.col("dialogue_id"), F.lit(0)), F.lit("\n"))
-    begun = begun.withColumns({"said": none, "facts": none, "refusals": none, "shown": F.lit(0), "turns": F.lit(1), "rejected": F.array().cast(f"array<{id_type}>"), "transcript": greeting, "query_id": F.xxhash64("dialogue_id")})
-    begun = durable(begun)
+    begun = begun.withColumns({"said": none, "facts": none, "refusals": none, "shown": F.lit(0), "turns": F.lit(1), "rejected": F.array().cast(f"array<{id_type}>"), "transcript": greeting})
+    begun = durable(begun.drop("asks", "target_facts") if rules.mode == "free" else begun.drop("target_text"))
     kept = ["dialogue_id", "user_id", "target_id", "target_title", "turns", "shown", "transcript", "status", "rounds"]
     finished = [durable(begun.where("target_title IS NULL").withColumns({"status": F.lit("target_not_found"), "rounds": F.lit(0)}).select(*kept))]
     held, round_no = begun, 0
     state = begun.where("target_title IS NOT NULL")
-    search = _search(rules)
-    while round_no < rules.max_rounds and not state.isEmpty():
+    spoken, whole_words = _spoken(rules), index.tokenizer != "trigram"
+    counted = durable(index.term_df), durable(index.corpus)
+    index = replace(index, term_df=counted[0], corpus=counted[1])
+    going = not state.isEmpty()
+    while going:
         round_no += 1
-        asked = _asked(state, round_no, rules)
-        state = durable(asked.withColumn("search_id", F.xxhash64(F.to_json(F.struct(*(c.alias(n) for n, c in search.items())), {"ignoreNullFields": "false"}))))
-        discard(held)
-        searches = state.select(F.col("search_id").alias("query_id"), *(c.alias(n) for n, c in search.items())).dropDuplicates(["query_id"])
-        queries = durable(with_embedding(searches, "text", "vector"))
+        asked = _asked(state, round_no, rules).withColumn("search_id", _identity(spoken))
+        searches = durable(_searches(asked.select(*(c.alias(n) for n, c in spoken.items())).distinct(), whole_words))
+        queries = durable(with_embedding(searches.drop("search_id").dropDuplicates(["query_id"]), "text", "vector"))
         near = hybrid.neighbours(queries, catalogue, weights, admits)
-        found = hybrid.gated(hybrid.rated(index, queries, near, weights), weights.threshold)
+        found = hybrid.gated(hybrid.rated(index.of(near), queries, near, weights), weights.threshold)
         found = hybrid.with_profiles(found, queries, catalogue, weights) if "long_profile" in dialogues.columns else found.withColumn("score", F.col("base_score"))
         found = hybrid.ranked(found, weights.k).join(items.select("item_id", "title"), "item_id")
-        listed = found.groupBy(F.col("query_id").alias("search_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "item_id", "title"))).alias("listed"))
-        met = state.join(listed, "search_id", "left")
+        lists = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id", "title"))).alias("listed"))
+        listed = durable(searches.select("search_id", "query_id").join(lists, "query_id").select("search_id", "listed"))
+        met = asked.join(listed, "search_id", "left")
         offer = F.slice(F.filter("listed", lambda o: ~F.array_contains("rejected", o["item_id"])), 1, rules.shown_at_once)
-        met = met.withColumn("offer", F.when(F.size(offer) > 0, offer)).drop("listed", "search_id")
-        seen = F.col("offer").isNotNull()
-        titles = F.transform("offer", lambda o: o["title"])
-        accepted = F.coalesce(F.array_contains(titles, F.col("target_title")), F.lit(False))
+        met = met.withColumn("offer", offer).drop("listed", "search_id")
+        seen, titles = F.coalesce(F.size("offer") > 0, F.lit(False)), F.transform("offer", lambda o: o["title"])
+        met = met.withColumns({"seen": seen, "accepted": seen & F.coalesce(F.array_contains(titles, F.col("target_title")), F.lit(False))})
+        seen, accepted = F.col("seen"), F.col("accepted")
         pick = lambda pool: sampling.picked(pool, rules.seed, F.col("dialogue_id"), F.lit(round_no), F.lit("offer"))  # noqa: B023, E731
         offer = F.replace(pick(OFFERS), F.lit("{}"), F.get(titles, 0)) if rules.shown_at_once == 1 else F.concat(F.lit("Here is what I found:\n"), F.array_join(F.transform(titles, lambda t: F.concat(F.lit("- "), t)), "\n"))
-        reply = F.when(accepted, F.concat(F.lit("Yes, \""), "target_title", F.lit("\" is what I want."))).otherwise(pick(REFUSALS))
+        met = met.withColumn("reply", F.when(accepted, F.concat(F.lit("Yes, \""), "target_title", F.lit("\" is what I want."))).otherwise(pick(REFUSALS)))
         met = met.withColumns({
-            "accepted": accepted,
             "shown": F.col("shown") + seen.cast("int"),
             "turns": F.col("turns") + seen.cast("int"),
-            "transcript": F.when(seen, F.concat("transcript", F.lit("Bot: "), offer, F.lit("\nUser: "), reply, F.lit("\n"))).otherwise(F.col("transcript")),
-            "said": F.when(seen, F.array_append("said", reply)).otherwise(F.col("said")),
-            "refusals": F.when(seen & ~accepted, F.array_append("refusals", reply)).otherwise(F.col("refusals")),
+            "transcript": F.when(seen, F.concat("transcript", F.lit("Bot: "), offer, F.lit("\nUser: "), "reply", F.lit("\n"))).otherwise(F.col("transcript")),
+            "said": F.when(seen, F.array_append("said", F.col("reply"))).otherwise(F.col("said")),
+            "refusals": F.when(seen & ~accepted, F.array_append("refusals", F.col("reply"))).otherwise(F.col("refusals")),
             "rejected": F.when(seen & ~accepted, F.concat("rejected", F.transform("offer", lambda o: o["item_id"]))).otherwise(F.col("rejected")),
         })
         status = F.when(F.col("accepted"), "success").when(F.col("shown") >= rules.max_shown, "max_shown").when(F.lit(round_no >= rules.max_rounds), "max_rounds")
-        held = durable(met.withColumns({"status": status, "rounds": F.lit(round_no)}).drop("offer", "accepted"))
-        discard(state, queries, near)
-        finished.append(durable(held.where("status IS NOT NULL").select(*kept)))
+        before, held = held, durable(met.withColumns({"status": status, "rounds": F.lit(round_no)}).drop("offer", "seen", "accepted", "reply"))
+        discard(before, searches, queries, near, listed)
         state = held.where("status IS NULL").drop("status", "rounds")
+        ended = held.where("status IS NOT NULL").select(*kept)
+        going = not state.isEmpty()
+        finished.append(durable(ended) if going else ended)
+    discard(catalogue, *counted)
     out = finished[0]
     for part in finished[1:]:
         out = out.unionByName(part)

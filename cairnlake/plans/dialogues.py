@@ -21,7 +21,7 @@ def _simulated(spark, sf_dir, rules: dialogue.Rules) -> DataFrame:
         "p_brand",
         F.col("p_type").alias("category"),
     )
-    items = durable(with_embedding(parts, "text", "vector"))
+    items = durable(with_embedding(parts.repartition("item_id"), "text", "vector"))
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     own = lines.select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"))
     index = bm25.build_index(items.select(F.col("item_id").alias("doc_id"), "text"))

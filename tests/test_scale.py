@@ -60,6 +60,41 @@ def test_dialogues_that_share_searches_equal_lone_ones(spark):
     assert len(shared) == 60 and sorted(map(tuple, shared)) == sorted(map(tuple, lone))
 
 
+def test_dialogues_search_once_in_any_order_of_refusals(spark, monkeypatch):
+    texts = [(i, f"Title {i}", f"thing {['red', 'blue', 'green'][i % 3]} size {i % 4}", ["red", "blue", "green"][i % 3]) for i in range(90)]
+    items = with_embedding(spark.createDataFrame(texts, "item_id long, title string, text string, colour string"), "text", "vector").cache()
+    index = bm25.build_index(items.selectExpr("item_id AS doc_id", "text"))
+    rounds, neighbours = [], dialogue.hybrid.neighbours
+    monkeypatch.setattr(dialogue.hybrid, "neighbours", lambda q, *rest: rounds.append([" ".join(sorted(r["text"].split())) for r in q.collect()]) or neighbours(q, *rest))
+    tasks = spark.range(120).selectExpr("concat('d', id) AS dialogue_id", "id AS user_id", "id * 7 % 90 AS target_id")
+    rules = dialogue.Rules(mode="static", max_shown=4, attributes={"colour": "colour"})
+    got = dialogue.simulate(tasks, items, index, rules=rules).collect()
+    assert len(got) == 120 and len(rounds) == 4
+    assert all(len(texts) == len(set(texts)) for texts in rounds) and len(rounds[0]) == 3
+
+
+def test_tasks_of_repeated_lines(spark):
+    lines = spark.range(4000).selectExpr("id % 20 AS user_id", "id % 20 * 7 + id DIV 20 % 5 AS item_id")
+    items = spark.range(100).withColumnRenamed("id", "item_id")
+    drawn = lambda u: sorted((i for i in range(u * 7, u * 7 + 5) if i < 100), key=lambda i: hashlib.md5(f"5:{u}:{i}".encode()).hexdigest())[:2]
+    want = [(u, i) for u in range(20) for i in drawn(u)]
+    got = dialogue.tasks(lines, items, 2, 5).collect()
+    assert sorted((r["user_id"], r["target_id"]) for r in got) == sorted(want)
+
+
+def test_neighbours_keep_ties_over_stripes(spark, monkeypatch):
+    monkeypatch.setattr(knn, "STRIPES", (4, 16))
+    items = _repeated(spark)
+    queries = items.where("item_id % 10 = 0").withColumnRenamed("item_id", "query_id")
+    held = {r["item_id"]: r["vector"] for r in items.collect()}
+    cos = lambda a, b: round((1 + sum(x * y for x, y in zip(a, b, strict=True))) / 2, 9)
+    odd = lambda q, i: (q["query_id"].to_numpy()[:, None] + i["item_id"].to_numpy()) % 3 > 0
+    got = {}
+    for r in sorted(knn.nearest(queries, items, 7, odd).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append(r["item_id"])
+    assert got == {q: sorted((i for i in held if (q + i) % 3), key=lambda i: (-cos(held[q], held[i]), i))[:7] for q in range(0, 300, 10)}
+
+
 def test_many_commits_share_jobs(spark, tmp_path):
     path, jobs = f"file://{tmp_path}/cache", []
     rows = spark.range(1000).selectExpr("id * 3 AS k", "concat('v', id) AS v")
